@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .licenses import scan_licenses
 from .media import encode_media, media_features
 from .tokencount import count_tokens
+from .toxicity import fit_toxicity, score_toxicity
 from .wordbpe import bpe_digests
 
 
@@ -38,10 +39,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    return score_toxicity(documents, fit_toxicity(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_license_scan, op2_bpe_codec, op5_media_columns, op6_token_counts)
+        for f in (op1_license_scan, op2_bpe_codec, op5_media_columns, op6_token_counts, op7_toxicity)
     }
 
 
