@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import fit_languages, identify_languages
 from .licenses import scan_licenses
 from .media import encode_media, media_features
 from .tokencount import count_tokens
@@ -44,10 +45,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents, fit_toxicity(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    return identify_languages(documents, fit_languages(documents))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_license_scan, op2_bpe_codec, op5_media_columns, op6_token_counts, op7_toxicity)
+        for f in (op1_license_scan, op2_bpe_codec, op5_media_columns, op6_token_counts, op7_toxicity, op8_language_id)
     }
 
 
