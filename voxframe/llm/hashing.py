@@ -83,10 +83,8 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     out = hashes[:n].copy()
-    factor = np.uint64(1)
     for k in range(1, size):
-        factor = factor * _WORD_BASE
-        out += hashes[k : k + n] * factor
+        out += hashes[k : k + n] * _power(_WORD_BASE, size)[k]
     return mix(out + np.uint64(size))
 
 

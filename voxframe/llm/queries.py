@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import find_leaks
 from .langid import fit_languages, identify_languages
 from .licenses import scan_licenses
 from .media import encode_media, media_features
+from .secrets import secret_digests
 from .tokencount import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
 from .wordbpe import bpe_digests
@@ -50,10 +52,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents, fit_languages(documents))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_license_scan, op2_bpe_codec, op5_media_columns, op6_token_counts, op7_toxicity, op8_language_id)
+        for f in (op1_license_scan, op2_bpe_codec, op5_media_columns, op6_token_counts, op7_toxicity, op8_language_id, op9_decontamination, op10_secret_scan)
     }
 
 
