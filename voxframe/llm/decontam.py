@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import _BYTE, BY_LETTER, mix, span_hashes, window_hashes
-from .rows import slices
+from .hashing import BYTE, IN_LETTER_WORD, LOWER, mix, span_hashes, window_hashes
+from .rows import slices, with_id
 
 #: Template tokens of a window, and the least that must be words rather than placeholders.
 WINDOW, LEAST_WORDS = 8, 5
@@ -45,7 +45,7 @@ _TABLES = {
 def _hash_words(words: list[str]) -> np.ndarray:
     data = np.frombuffer(" ".join([*words, ""]).encode(), dtype=np.uint8)
     gaps = np.flatnonzero(data == 32)
-    return mix(span_hashes(_BYTE[np.where(data == 32, 0, data)], np.r_[0, gaps[:-1] + 1], gaps))
+    return mix(span_hashes(BYTE[np.where(data == 32, 0, data)], np.r_[0, gaps[:-1] + 1], gaps))
 
 
 _UNIT_HASHES = np.sort(_hash_words(UNITS))
@@ -61,7 +61,7 @@ class Templates:
         data = [(t or "").encode() for t in texts]
         raw = np.frombuffer(b"\n".join([*data, b""]), dtype=np.uint8)
         is_ = {k: v[raw] for k, v in _TABLES.items()}
-        flat = BY_LETTER[raw].copy()
+        flat = np.where(IN_LETTER_WORD[raw], LOWER[raw], 0).astype(np.uint8)
         inner = np.flatnonzero(is_["point"][1:-1] & is_["digit"][:-2] & is_["digit"][2:]) + 1
         flat[inner] = 46
         inside = np.r_[False, flat != 0, False]
@@ -69,7 +69,7 @@ class Templates:
         starts, ends = edge[::2], edge[1::2]
         at = np.r_[0, np.cumsum([len(d) + 1 for d in data], dtype=np.int64)]
         self.first = np.searchsorted(starts, at)
-        words = mix(span_hashes(_BYTE[flat], starts, ends))
+        words = mix(span_hashes(BYTE[flat], starts, ends))
         number = is_["digit"][starts]
         place = np.minimum(np.searchsorted(_UNIT_HASHES, words), len(_UNIT_HASHES) - 1)
         unit = (_UNIT_HASHES[place] == words) & np.r_[False, number[:-1]]
@@ -100,10 +100,12 @@ def _window_rows(df: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ..
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(
         "doc_id IS NOT NULL AND text IS NOT NULL"
     )
-    id_type = rows.schema["doc_id"].dataType
     schema = T.StructType(
-        [T.StructField("hash", T.LongType()), T.StructField("doc_id", id_type), T.StructField("pos", T.IntegerType())]
-        + [T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("size", T.IntegerType())]
+        [
+            T.StructField("hash", T.LongType()),
+            rows.schema["doc_id"],
+            *T.StructType.fromDDL("pos int, slots array<long>, size int").fields,
+        ]
     )
 
     def run(batches):
@@ -141,7 +143,7 @@ def _window_rows(df: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ..
 def _sizes(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, n): template tokens of each item."""
     rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([rows.schema["item_id"], T.StructField("n", T.IntegerType())])
+    schema = with_id(rows.schema["item_id"], "n int")
 
     def run(batches):
         for batch in batches:

@@ -9,19 +9,14 @@ _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-#: Byte tables: what a byte counts as (0: separator), A-Z lower-cased.
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
-#: Words are what white space leaves.
-BY_SPACE = _LOWER.copy()
-BY_SPACE[[32, *range(9, 14)]] = 0
-#: Words are letters, digits and all that is not ASCII.
-BY_LETTER = np.where(
-    (_LOWER >= 128) | ((_LOWER >= 97) & (_LOWER <= 122)) | ((_LOWER >= 48) & (_LOWER <= 57)), _LOWER, 0
-).astype(np.uint8)
+#: Bytes as words have them: A-Z lower-cased.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+#: Which bytes belong to words: all but white space; or letters, digits and all that is not ASCII.
+IN_SPACE_WORD = ~np.isin(np.arange(256), [32, *range(9, 14)])
+IN_LETTER_WORD = (LOWER >= 128) | ((LOWER >= 97) & (LOWER <= 122)) | ((LOWER >= 48) & (LOWER <= 57))
 
 _random = np.random.RandomState(20)
-_BYTE = _random.randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[0] = 0
+BYTE = _random.randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -57,20 +52,19 @@ class Words:
     """The words of a list of texts (None: empty).
 
     hashes: one a word; first: index of each text's first word, and the number of words at the end;
-    flat, starts, ends: the bytes as the table has them, and where each word lies.
+    inside: which bytes belong to words.
     """
 
-    def __init__(self, texts: list, table: np.ndarray):
+    def __init__(self, texts: list, inside: np.ndarray):
         data = [(t or "").encode() for t in texts]
-        self.data = b"\n".join([*data, b""])
-        raw = np.frombuffer(self.data, dtype=np.uint8)
-        self.flat = table[raw]
-        inside = np.r_[False, self.flat != 0, False]
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        self.starts, self.ends = edge[::2], edge[1::2]
+        joined = b"\n".join([*data, b""])
+        raw = np.frombuffer(joined, dtype=np.uint8)
+        within = np.r_[False, inside[raw], False]
+        edge = np.flatnonzero(within[1:] != within[:-1])
+        starts, ends = edge[::2], edge[1::2]
         at = np.r_[0, np.cumsum([len(d) + 1 for d in data], dtype=np.int64)]
-        self.first = np.searchsorted(self.starts, at)
-        self.hashes = mix(span_hashes(_BYTE[self.flat], self.starts, self.ends))
+        self.first = np.searchsorted(starts, at)
+        self.hashes = mix(span_hashes(BYTE[LOWER[raw]], starts, ends))
 
     def owner(self) -> np.ndarray:
         """The text that each word belongs to."""

@@ -10,10 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .rows import map_texts, slices
+from .rows import map_texts, slices, with_id
 
 #: Row width of an image in samples; payloads are padded to whole rows.
 WIDTH = 576
@@ -150,7 +149,7 @@ def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
     A null image gives null features; a damaged one raises ValueError, so that no wrong value is returned.
     """
     rows = df.select("doc_id", "n_bytes", F.col(media_col).alias("_media"))
-    schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string(FEATURES).fields])
+    schema = with_id(rows.schema["doc_id"], FEATURES)
     arrow = to_arrow_schema(schema)
 
     def describe(media: bytes | None) -> tuple:

@@ -28,6 +28,11 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         start = stop
 
 
+def with_id(id_field: T.StructField, ddl: str) -> T.StructType:
+    """A schema that begins with the id as it came."""
+    return T.StructType([id_field, *T.StructType.fromDDL(ddl).fields])
+
+
 def map_texts(
     df: DataFrame,
     kernel: Callable[[], Callable[[list], dict[str, list]]],
@@ -41,7 +46,7 @@ def map_texts(
     columns.  Ids may be null or repeated: they pass through Arrow untouched.  Other input columns are not read.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string(fields).fields])
+    schema = with_id(rows.schema["doc_id"], fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import BY_LETTER, Words, mix, window_hashes
+from .hashing import IN_LETTER_WORD, Words, mix, window_hashes
 from .rows import map_texts, slices
 
 #: Labelled texts of each class that the models are fitted on, at most: those with the smallest hash of their id.
@@ -80,7 +80,7 @@ class KneserNey:
 
     def means(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Words and mean evidence of each text (0 where it has no words)."""
-        words = Words(texts, BY_LETTER)
+        words = Words(texts, IN_LETTER_WORD)
         total = np.r_[0.0, np.cumsum(self.evidence(words))]
         count = np.diff(words.first)
         return count, (total[words.first[1:]] - total[words.first[:-1]]) / np.maximum(count, 1)
@@ -91,7 +91,7 @@ def _count_batches(batches):
     for batch in batches:
         for start, stop in slices(batch.column(0)):
             part = batch.slice(start, stop - start)
-            words = Words(part.column(0).to_pylist(), BY_LETTER)
+            words = Words(part.column(0).to_pylist(), IN_LETTER_WORD)
             before, _ = _ngrams(words)
             owner = words.owner()
             group = part.column(1).to_numpy(zero_copy_only=False) * 2 + part.column(2).to_numpy(zero_copy_only=False)
@@ -137,7 +137,7 @@ class ToxicityModel:
     def score(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.language is None:
             zero = np.zeros(len(texts))
-            return np.diff(Words(texts, BY_LETTER).first), zero, zero + 0.5
+            return np.diff(Words(texts, IN_LETTER_WORD).first), zero, zero + 0.5
         count, llr = self.language.means(texts)
         return count, llr, 1 / (1 + np.exp(-np.clip(self.slope * llr + self.offset, -30, 30)))
 
