@@ -12,6 +12,7 @@ from .licenses import scan_licenses
 from .media import encode_media, media_features
 from .ngramjoin import near_duplicates
 from .secrets import secret_digests
+from .suffixdedup import remove_repeats
 from .tokencount import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
 from .wordbpe import bpe_digests
@@ -39,6 +40,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(encode_media(_documents(spark, sf_dir)))
 
@@ -68,7 +73,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_license_scan, op2_bpe_codec, op3_ngram_jaccard, op5_media_columns, op6_token_counts, op7_toxicity, op8_language_id, op9_decontamination, op10_secret_scan)
+        for f in (op1_license_scan, op2_bpe_codec, op3_ngram_jaccard, op4_suffix_dedup, op5_media_columns, op6_token_counts, op7_toxicity, op8_language_id, op9_decontamination, op10_secret_scan)
     }
 
 
