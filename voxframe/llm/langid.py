@@ -178,3 +178,35 @@ def identify_languages(
     return map_texts(df, kernel, FIELDS, id_col, text_col).select(
         "doc_id", held_out().alias("held_out"), "lang_pred", "score", "similarity", "n_grams"
     )
+
+
+def keep_languages(
+    df: DataFrame, model: LanguageModel, least: float = 0.05, from_grams: int = 60, text_col: str = "text"
+) -> DataFrame:
+    """All columns of the rows whose text is in one of the learned languages.
+
+    Rejected: texts without a letter (null and empty ones too), and texts of ``from_grams`` windows or more whose
+    profile has a cosine under ``least`` with every prototype.  Shorter texts are too short to be told from noise, and
+    stay.  Nothing is joined: rows are judged where they are.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        fitted, letters = shared.value, letter_vectors()
+        for batch in batches:
+            for start, stop in slices(batch.column(at)):
+                part = batch.slice(start, stop - start)
+                grams = Grams(part.column(at).to_pylist())
+                vectors = grams.vectors(letters)
+                keep = np.array(grams.letters, dtype=bool)
+                for first in range(0, len(keep), _BLOCK):
+                    last = min(first + _BLOCK, len(keep))
+                    profile = grams.counts(first, last) @ vectors
+                    profile /= np.maximum(np.linalg.norm(profile, axis=1, keepdims=True), 1e-9)
+                    near = (profile @ fitted.unit.T).max(axis=1, initial=-1.0)
+                    long = np.diff(grams.first[first : last + 1]) >= from_grams
+                    keep[first:last] &= ~(long & (near < least))
+                yield part.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
