@@ -2,15 +2,17 @@
 
 Documents with the same set of shingles form one class, and only the class's least id takes part.  A set's shingles
 are ordered by a corpus-wide count (rare first), and two sets that overlap enough share one of the first few, so
-prefixes are joined by shingle.  A large group of near copies is not expanded into all its pairs: first every member
-is compared with one hub of each shingle's group, and then only pairs from different components are compared.
+prefixes are joined by shingle.  Of a prefix only the shingles that other prefixes have too can be shared; how many a
+document has bounds what it can overlap with, and ordered by their exact number of documents they form a second, shorter
+prefix.  A large group of near copies is not expanded into all its pairs: first every member is compared with the
+member of each shingle's group that has the fewest shingles of its own, and then only pairs from different components.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -27,7 +29,7 @@ CELLS, CHUNK = 1 << 22, 1 << 16
 RANGES = 64
 #: Shingles counted more often are dealt by shingle and salt.
 HOT, SALTS = 1 << 16, 64
-#: Different hubs that a document may be compared with, about.
+#: Choices among equally good hubs, by shingle.
 HUBS = 4
 #: Bits of the map of documents whose sets are wanted.
 WANTED_BITS = 1 << 23
@@ -115,6 +117,10 @@ def _prefix_length(n):
     return n - (NEED * n + OF - 1) // OF + 1
 
 
+def _prefix_length_column(n: Column) -> Column:
+    return n - _suffix_length(n)
+
+
 def _prefixes(rows: DataFrame, levels) -> DataFrame:
     """(doc_id, k1, k2, n, prefix, hot): the rarest shingles of each set, rarest first."""
     schema = with_id(rows.schema["doc_id"], "k1 long, k2 long, n long, prefix array<long>, hot array<boolean>")
@@ -151,37 +157,55 @@ def _prefixes(rows: DataFrame, levels) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _with_hubs(batches):
-    """Rows of shingles that more than one document has, each with the first row of its group, the hub.
-
-    The input is sorted by shingle, salt and priority, so a group is a run of rows; only its first row is held.
-    """
-    held, passed = None, False  # the first row of the last batch's last group, and whether it was passed on
+def _in_two(batches):
+    """(token, id) of rows (token, salt, id) sorted by token whose token more than one row has; salted rows are hot
+    and pass.  Only one row is held between batches."""
+    held, passed = None, False  # the last batch's last row, and whether it was passed on
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, salt, _, *row = (batch.column(k).to_numpy() for k in range(6))
         if held is not None:
-            token, salt, *row = (np.r_[h, c] for h, c in zip(held, [token, salt, *row], strict=True))
-        new = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
-        keep = ~new
-        keep[:-1] |= new[:-1] & ~new[1:]
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        token, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        same = token[1:] == token[:-1]
+        shared = np.r_[False, same] | np.r_[same, False] | (salt > 0)
+        keep = shared.copy()
         if held is not None and passed:
             keep[0] = False
-        last = head[-1]
-        passed = last < len(token) - 1 or (last == 0 and held is not None and passed)
-        held = [c[last : last + 1] for c in (token, salt, *row)]
+        passed = bool(shared[-1]) or (len(token) == 1 and passed)
+        held = batch.slice(batch.num_rows - 1, 1)
         if keep.any():
-            columns = [token[keep], *(c[keep] for c in row), *(c[head[keep]] for c in row)]
-            names = ["token", "id", "n", "pos", "hub", "hub_n", "hub_pos"]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
+            some = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2)], names=["token", "id"])
+
 
+def _suffix_length(n: Column) -> Column:
+    return F.floor((NEED * n + OF - 1) / OF) - 1
 
-def _close(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
-    """Length filter, and positional filter at one shared shingle."""
-    bound = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return (OF * F.least(n1, n2) >= NEED * F.greatest(n1, n2)) & ((NEED + OF) * bound >= NEED * (n1 + n2))
+
+def _close(x: str, y: str) -> Column:
+    """Length filter, and what two documents' shared prefix shingles allow at one that they have in common.
+
+    n: shingles, t: shared ones in the prefix, pos: this one's place among those.  What two documents have in common up
+    to the end of the prefix that ends first is shared in both prefixes; beyond it lies no more than that one's suffix.
+    """
+    n1, t1, p1 = (F.col(c + x) for c in ("n", "t", "pos"))
+    n2, t2, p2 = (F.col(c + y) for c in ("n", "t", "pos"))
+    q1, q2 = _suffix_length(n1), _suffix_length(n2)
+    wanted = NEED * (n1 + n2)  # times NEED + OF
+
+    def enough(most: Column) -> Column:
+        return (NEED + OF) * most >= wanted
+
+    least = F.greatest(F.ceil(wanted / (NEED + OF)) - F.greatest(q1, q2), F.lit(1))  # prefix shingles in common
+    there = F.least(p1, p2) + 1 + F.least(t1 - p1 - 1, t2 - p2 - 1) + F.greatest(q1, q2)
+    return (
+        (OF * F.least(n1, n2) >= NEED * F.greatest(n1, n2))
+        & enough(F.least(t1, t2) + F.greatest(q1, q2))
+        & (p1 <= t1 - least)
+        & (p2 <= t2 - least)
+        & enough(there)
+    )
 
 
 def _ranges_differ(batches):
@@ -269,22 +293,21 @@ class _Join:
         return found
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) from rows (a, b, na, nb, pa, pb) of shared shingles, if the last shared place leaves enough."""
-    shared = rows.groupBy("a", "b").agg(
-        F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb")
-    )
-    bound = F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    return shared.where((NEED + OF) * bound >= NEED * (F.col("na") + F.col("nb"))).select("a", "b")
+def _once(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct pairs (a, b) of joined rows, if what follows the last shared place leaves enough."""
+    first = F.col("id" + x) < F.col("id" + y)
 
+    def pick(c: str, low: bool) -> Column:
+        one, two = (x, y) if low else (y, x)
+        return F.when(first, F.col(c + one)).otherwise(F.col(c + two))
 
-def _ordered(id1, n1, p1, id2, n2, p2) -> list[Column]:
-    first = F.col(id1) < F.col(id2)
-
-    def by(x, y, name):
-        return F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
-
-    return [by(id1, id2, "a"), by(id2, id1, "b"), by(n1, n2, "na"), by(n2, n1, "nb"), by(p1, p2, "pa"), by(p2, p1, "pb")]
+    columns = [pick(c, low).alias(c + ("a" if low else "b")) for c in ("id", "n", "t", "pos") for low in (True, False)]
+    shared = rows.select(*columns).groupBy(F.col("ida").alias("a"), F.col("idb").alias("b")).agg(
+        F.count("*").alias("c"), *[F.max(c + s).alias(c + s) for c in ("n", "t", "pos") for s in "ab"]
+    )
+    c = F.col
+    rest = F.least(c("ta") - c("posa") - 1, c("tb") - c("posb") - 1) + F.greatest(_suffix_length(c("na")), _suffix_length(c("nb")))
+    return shared.where((NEED + OF) * (c("c") + rest) >= NEED * (c("na") + c("nb"))).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,54 +340,58 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     tokens = (
         _prefixes(rows.where("doc_id IS NOT NULL"), levels)
         .join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "k1", "k2", "n"], "left_semi")
-        .select(F.col("doc_id").cast("long").alias("id"), "n", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "t"))
+        .select(F.col("doc_id").cast("long").alias("id"), F.explode(F.arrays_zip("prefix", "hot")).alias("t"))
         .select(
             F.col("t.prefix").alias("token"),
-            F.when(F.col("t.hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"),
-            F.xxhash64("id", F.pmod("t.prefix", F.lit(HUBS))).alias("priority"),
+            F.when(F.col("t.hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int") + 1).otherwise(0).alias("salt"),
             "id",
-            "n",
-            F.col("pos").cast("long").alias("pos"),
         )
     )
-    shared = (
-        tokens.repartition("token", "salt")
-        .sortWithinPartitions("token", "salt", "priority", "id")
-        .mapInArrow(_with_hubs, "token long, id long, n long, pos long, hub long, hub_n long, hub_pos long")
-    )
+    shared = tokens.repartition("token", "salt").sortWithinPartitions("token").mapInArrow(_in_two, "token long, id long")
     shared = scratch.keep(shared, "shared")
     join = _Join(rows, scratch)
 
-    # Each document against the hubs of its shingles
+    # Shared shingles of each document in the order of their exact number of documents
+    often = shared.groupBy("token").agg(F.count("*").alias("df"))
+    mine = Window.partitionBy("id")
+    placed = (
+        shared.join(often, "token")
+        .withColumn("pos", F.row_number().over(mine.orderBy("df", "token")).cast("long") - 1)
+        .withColumn("t", F.count("*").over(mine))
+        .join(classes.select("id", "n"), "id")
+        .select("token", "id", "n", "t", "pos")
+    )
+    placed = scratch.keep(placed, "placed")
+    scratch.drop("shared")
+
+    # Each document against one hub a shingle: the one that has the fewest shingles of its own
     c = F.col
-    star = shared.where("id <> hub").where(_close(c("n"), c("pos"), c("hub_n"), c("hub_pos")))
-    star = _once(star.select(*_ordered("id", "n", "pos", "hub", "hub_n", "hub_pos")))
-    links = join.links(star, ranges, "star")
+    own = _prefix_length_column(c("n")) - c("t")
+    best = F.max(F.struct(-own, F.xxhash64("id", F.pmod("token", F.lit(HUBS))), "id", "n", "t", "pos")).alias("h")
+    hubs = placed.groupBy("token").agg(best).select("token", *[c(f"h.{k}").alias(k + "2") for k in ("id", "n", "t", "pos")])
+    star = placed.join(hubs, "token").where((c("id") != c("id2")) & _close("", "2"))
+    links = join.links(_once(star, "", "2"), ranges, "star")
     label = connected(links, scratch, "star-component")
 
     # What is left: pairs that share a rare shingle and lie in different components.  Of a shingle's components the
     # largest is met by all others, so no pairs inside it are looked at.
-    placed = shared.join(label, "id", "left").select(
-        "token", "id", "n", "pos", F.coalesce("component", "id").alias("component")
+    placed = placed.join(label, "id", "left").select(
+        "token", "id", "n", "t", "pos", F.coalesce("component", "id").alias("component")
     )
     sizes = placed.groupBy("token", "component").count()
     main = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component"))["component"].alias("main"))
     open_ = placed.join(main.where("parts > 1").drop("parts"), "token")
     open_ = scratch.keep(open_, "open")
     left = open_.where("component <> main").drop("main")
-    right = open_.select(
-        "token", c("id").alias("id2"), c("n").alias("n2"), c("pos").alias("pos2"), c("component").alias("component2"), "main"
-    )
+    right = open_.select("token", "main", *[c(k).alias(k + "2") for k in ("id", "n", "t", "pos", "component")])
     cross = left.join(right, "token").where(
-        (c("component") != c("component2"))
-        & ((c("component2") == c("main")) | (c("id") < c("id2")))
-        & _close(c("n"), c("pos"), c("n2"), c("pos2"))
+        (c("component") != c("component2")) & ((c("component2") == c("main")) | (c("id") < c("id2"))) & _close("", "2")
     )
-    rest = _once(cross.select(*_ordered("id", "n", "pos", "id2", "n2", "pos2")))
+    rest = _once(cross, "", "2")
     more = join.links(rest, ranges, "rest")
     both = links.unionAll(more)
     label = connected(both, scratch, "component")
-    for name in ("shared", "open"):
+    for name in ("placed", "open"):
         scratch.drop(name)
 
     classed = docs.join(

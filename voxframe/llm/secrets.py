@@ -43,8 +43,12 @@ def _join(kind: str, parts: list):
 
 
 def _demand(strings: set[str]):
-    """What a text that holds one of the strings must hold."""
-    return _join("or", [_join("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
+    """What a text that holds one of the strings must hold: every third trigram and the last, which cover the string."""
+
+    def cover(s: str) -> list[str]:
+        return [s[i : i + 3] for i in [*range(0, len(s) - 3, 3), len(s) - 3] if i >= 0]
+
+    return _join("or", [_join("and", cover(s)) for s in sorted(strings)])
 
 
 def _node(op, value):
@@ -60,7 +64,7 @@ def _node(op, value):
                 chars |= {chr(c).lower() for c in range(v[0], v[1] + 1)}
             else:
                 return None, True
-        return (chars, True) if len(chars) <= 4 else (None, True)
+        return (chars, True) if len(chars) <= 8 else (None, True)
     if op is _op.SUBPATTERN:
         return _sequence(value[-1])
     if op is _op.BRANCH:
