@@ -71,7 +71,7 @@ def _describe(rows: DataFrame) -> DataFrame:
             for start, stop in slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(start, stop - start).to_pylist())
                 flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
-                counts += np.bincount((flat % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+                np.add.at(counts, (flat % np.uint64(CELLS)).astype(np.int64), 1)
                 keys = [_key(s) for s in sets]
                 shift = np.uint64(64 - RANGES.bit_length() + 1)
                 ranges = [np.bincount((s >> shift).astype(np.int64), minlength=RANGES).astype("<u4") for s in sets]

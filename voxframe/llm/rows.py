@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text handed to a kernel at once; a single longer text still goes through whole.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
