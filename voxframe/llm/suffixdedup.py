@@ -26,7 +26,7 @@ LENGTH, GRAM = 200, 32
 #: Batches of a run over one table.
 BATCHES = 2
 #: Context bytes sorted together; beginnings with more contexts than WIDE are compared by stretch instead.
-SORTED_BYTES, WIDE = 4 << 20, 50_000
+SORTED_BYTES, WIDE = 1 << 20, 4_000
 #: Bits of the map that tells which rows have something to fetch or remove.
 WANTED_BITS = 1 << 23
 _ENTRY = "gram long, ctx long, key long, lo int, hi int"
@@ -76,7 +76,7 @@ def sampled_suffixes(data: list[bytes], length: int = LENGTH, gram: int = GRAM):
 def _entries(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for start, stop in slices(batch.column(1), 4 << 20):
+            for start, stop in slices(batch.column(1)):
                 part = batch.slice(start, stop - start)
                 data = [(t or "").encode() for t in part.column(1).to_pylist()]
                 owner, gram, ctx, lo, hi = sampled_suffixes(data, length)
