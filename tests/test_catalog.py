@@ -27,7 +27,7 @@ def plain(value):
     if value is None or value != value:
         return "~"
     if isinstance(value, float):
-        return f"{value:.6g}"
+        return f"{value + 0.0:.6g}"  # zero has one sign
     return str(value)
 
 
