@@ -269,6 +269,32 @@ def test_decontamination_finds_other_numbers_and_spares_clean_texts(spark, empty
     assert find_leaks(texts, benchmark.limit(0)).count() == 0
 
 
+def leaks(spark, items, texts):
+    """The pairs of positions (text, item) that are found."""
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(d, t, None, None, None, "c", "c") for d, t in enumerate(texts)]
+    return {(r.doc_id, r.item_id): r for r in find_leaks(spark.createDataFrame(rows, SCHEMA), benchmark).collect()}
+
+
+def test_decontamination_finds_verbatim_items_of_any_kind(spark):
+    items = [
+        "Add 17 and 25 and 31 then 12 less 4 and 9 times 3 over 8",
+        "The Great Wall Of China Was Built By Emperor Qin Shi Huang In Xian",
+        "WHICH PLANET IS THE LARGEST ONE OF OUR SOLAR SYSTEM AND HOW MANY MOONS HAS IT",
+        "Name two primes",
+        "What is the capital of France",
+        "Über den Wolken muß die Freiheit wohl ÄRGER und Öde größer sein als hier",
+        "?!",
+    ]
+    texts = [f"some text - {t} - and more of it" for t in items]
+    texts += ["some words, and that is what the capital of Spain says about the name of primes", items[5].upper().replace("SS", "ß")]
+    texts += ["SE!! CIONCIEZ!! " + items[4].upper() + " WORDS AND MORE OF THEM", "the largest planet and its moons"]
+    found = leaks(spark, items, texts)
+    assert set(found) == {*((k, k) for k in range(6)), (8, 5), (9, 4)}
+    assert all(r.exact for r in found.values())
+    assert all(r.n_windows == r.n_item_windows for r in found.values())
+
+
 def base_secrets(text):
     kinds = (
         (r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I, 1, 6),

@@ -5,6 +5,9 @@ placeholders.  Windows of template tokens are hash-joined between benchmark item
 diagonal (document position minus item position) belong together if their slots map one to one: the same item value
 always meets the same document value and the other way round.  So a question with other numbers or names is caught,
 and a text that only shares a template's words in disorder is not.
+
+Beside the templates, windows of the plain lower-case words are joined, so that a verbatim copy is found whatever its
+words look like: all capitals, mostly numbers and names, shorter than a window, or after a mark that ends no sentence.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import types as T
 from .hashing import BYTE, IN_LETTER_WORD, LOWER, mix, span_hashes, window_hashes
 from .rows import slices, with_id
 
-#: Template tokens of a window, and the least that must be words rather than placeholders.
+#: Tokens of a window, and the least that must be words rather than placeholders in a window of a template.
 WINDOW, LEAST_WORDS = 8, 5
 #: An item is leaked if half of its windows match, or this many of a long item.
 SHARE, ENOUGH = 0.5, 12
@@ -32,6 +35,8 @@ UNITS = (
     "minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree "
     "degrees"
 ).split()
+#: Windows of plain words have hashes of their own.
+_PLAIN = np.uint64(0x94D049BB133111EB)
 NUMBER, UNIT, NAME = (mix(np.array([k], dtype=np.uint64))[0] for k in (101, 102, 103))
 _TABLES = {
     "digit": np.isin(np.arange(256), np.arange(48, 58)),
@@ -48,28 +53,40 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return mix(span_hashes(BYTE[np.where(data == 32, 0, data)], np.r_[0, gaps[:-1] + 1], gaps))
 
 
+def _spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Beginnings and ends of words."""
+    flat = IN_LETTER_WORD[raw]
+    digit = _TABLES["digit"][raw]
+    inner = np.flatnonzero(_TABLES["point"][raw[1:-1]] & digit[:-2] & digit[2:]) + 1
+    flat[inner] = True
+    edge = np.flatnonzero(np.diff(np.r_[False, flat, False]))
+    return edge[::2], edge[1::2]
+
+
 _UNIT_HASHES = np.sort(_hash_words(UNITS))
 
 
 class Templates:
     """Template tokens of texts: tokens (a hash or a placeholder), values (the word's hash where it is a slot, else 0).
 
-    A point or comma between digits belongs to the number; a word that begins with a digit is a number.
+    words: the hash of every token in lower case.  A point or comma between digits belongs to the number; a word that
+    begins with a digit is a number.
     """
 
     def __init__(self, texts: list):
         data = [(t or "").encode() for t in texts]
         raw = np.frombuffer(b"\n".join([*data, b""]), dtype=np.uint8)
         is_ = {k: v[raw] for k, v in _TABLES.items()}
-        flat = np.where(IN_LETTER_WORD[raw], LOWER[raw], 0).astype(np.uint8)
-        inner = np.flatnonzero(is_["point"][1:-1] & is_["digit"][:-2] & is_["digit"][2:]) + 1
-        flat[inner] = 46
-        inside = np.r_[False, flat != 0, False]
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        starts, ends = edge[::2], edge[1::2]
+        starts, ends = _spans(raw)
         at = np.r_[0, np.cumsum([len(d) + 1 for d in data], dtype=np.int64)]
         self.first = np.searchsorted(starts, at)
-        words = mix(span_hashes(BYTE[flat], starts, ends))
+        if (raw < 128).all():
+            low, spans = LOWER[raw], (starts, ends)
+        else:  # lower case can have other lengths, but has the same words
+            low = np.frombuffer("\n".join([*((t or "").lower() for t in texts), ""]).encode(), np.uint8)
+            spans = _spans(low)
+        flat = np.where(_TABLES["point"][low], 46, np.where(IN_LETTER_WORD[low], low, 0))
+        self.words = words = mix(span_hashes(BYTE[flat], *spans))
         number = is_["digit"][starts]
         place = np.minimum(np.searchsorted(_UNIT_HASHES, words), len(_UNIT_HASHES) - 1)
         unit = (_UNIT_HASHES[place] == words) & np.r_[False, number[:-1]]
@@ -83,20 +100,24 @@ class Templates:
         self.tokens = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, words)))
         self.values = np.where(slot, words, np.uint64(0))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, text and position of every window inside one text that has words enough."""
-        hashes = window_hashes(self.tokens, size)
+    def windows(self, size: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, text and position of every window inside one text: of plain words, or of a template with words enough."""
+        hashes = window_hashes(self.words ^ _PLAIN if plain else self.tokens, size)
         n = len(hashes)
         owner = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        total = np.r_[0, np.cumsum(self.values == 0)]
-        words = total[size:] - total[:-size] if n else total[:0]
-        good = np.flatnonzero((owner[:n] == owner[size - 1 : size - 1 + n]) & (words >= LEAST_WORDS)) if n else []
-        good = np.asarray(good, dtype=np.int64)
+        good = owner[:n] == owner[size - 1 : size - 1 + n]
+        if n and not plain:
+            total = np.r_[0, np.cumsum(self.values == 0)]
+            good &= total[size:] - total[:-size] >= LEAST_WORDS
+        good = np.flatnonzero(good)
         return hashes[good], owner[good], good
 
 
 def _window_rows(df: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...], bits=None) -> DataFrame:
-    """(hash, id, pos, slots) of windows; only those in the map if there is one."""
+    """(hash, id, pos, slots, size, plain) of windows; only those in the map if there is one.
+
+    In the documents (where there is a map) the slots of a plain window are all its words, as any may be the item's slot.
+    """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(
         "doc_id IS NOT NULL AND text IS NOT NULL"
     )
@@ -104,23 +125,33 @@ def _window_rows(df: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ..
         [
             T.StructField("hash", T.LongType()),
             rows.schema["doc_id"],
-            *T.StructType.fromDDL("pos int, slots array<long>, size int").fields,
+            *T.StructType.fromDDL("pos int, slots array<long>, size int, plain boolean").fields,
         ]
     )
 
+    # No template of fewer tokens has words enough
+    ways = [(size, plain) for size in sizes for plain in (False, True) if plain or size >= LEAST_WORDS]
+
     def run(batches):
         known = bits.value if bits is not None else None
         for batch in batches:
             for start, stop in slices(batch.column(1)):
                 part = batch.slice(start, stop - start)
                 made = Templates(part.column(1).to_pylist())
-                for size in sizes:
-                    hashes, owner, at = made.windows(size)
-                    if known is not None:
+                for size, plain in ways:
+                    hashes, owner, at = made.windows(size, plain)
+                    if known is None:  # an item has windows of one size
+                        own = np.minimum(np.diff(made.first), WINDOW)[owner] == size
+                        hashes, owner, at = hashes[own], owner[own], at[own]
+                    else:
                         cell = hashes % np.uint64(MAP_BITS)
                         hit = (known[cell // np.uint64(64)] >> (cell % np.uint64(64))) & np.uint64(1) != 0
                         hashes, owner, at = hashes[hit], owner[hit], at[hit]
-                    slots = made.values[at[:, None] + np.arange(size)].view(np.int64) if len(at) else np.zeros((0, size), np.int64)
+                    if plain and size < WINDOW:  # it is the whole item: one place in a text is enough
+                        _, once = np.unique(np.c_[owner.astype(np.uint64), hashes], axis=0, return_index=True)
+                        hashes, owner, at = hashes[once], owner[once], at[once]
+                    values = made.words if plain and known is not None else made.values
+                    slots = values[at[:, None] + np.arange(size)].view(np.int64) if len(at) else np.zeros((0, size), np.int64)
                     for k in range(0, len(at), 1 << 16):
                         cut = slice(k, k + (1 << 16))
                         few = slots[cut]
@@ -133,8 +164,9 @@ def _window_rows(df: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ..
                                     pa.array(np.arange(len(few) + 1, dtype=np.int32) * size), pa.array(few.ravel())
                                 ),
                                 pa.array(np.full(len(few), size, dtype=np.int32)),
+                                pa.array(np.full(len(few), plain)),
                             ],
-                            names=["hash", "doc_id", "pos", "slots", "size"],
+                            names=["hash", "doc_id", "pos", "slots", "size", "plain"],
                         )
 
     return rows.mapInArrow(run, schema)
@@ -165,20 +197,19 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, n_item_windows, n_slots, exact) for every document that holds a benchmark item.
 
-    ``n_windows``: windows of the item found on diagonals with consistent slots; ``exact``: all slot values equal.
+    ``n_windows``: windows of the item found, as plain words or as templates on diagonals with consistent slots;
+    ``exact``: all slot values equal.  An item is found if windows enough are, of all or of those that can be templates.
     Rows without id or text are not matched.  A repeated document id is matched with all its texts together, a
-    repeated item id likewise.  Items of fewer than LEAST_WORDS template words have no window and match nothing;
-    items shorter than a window are one window.  An empty table gives an empty result; extra columns are ignored.
+    repeated item id likewise.  Items shorter than a window are one window and, where it has fewer than LEAST_WORDS
+    words outside slots, found verbatim only; items without a word match nothing.  An empty table gives an empty
+    result; extra columns are ignored.
     """
     spark = documents.sparkSession
-    lengths = _sizes(benchmark, item_col, item_text_col).groupBy("item_id").agg(F.max("n").alias("n"))
-    # At most WINDOW - LEAST_WORDS + 1 distinct sizes
-    sized = lengths.where(F.col("n") >= LEAST_WORDS).withColumn("size", F.least(F.col("n"), F.lit(WINDOW)))
-    sizes = tuple(sorted(r[0] for r in sized.select("size").distinct().collect())) or (WINDOW,)
-    items = (
-        _window_rows(benchmark, item_col, item_text_col, sizes)
-        .withColumnsRenamed({"doc_id": "item_id", "pos": "item_pos", "slots": "item_slots"})
-        .join(sized.select("item_id", "size"), ["item_id", "size"], "left_semi")
+    # At most WINDOW distinct sizes
+    lengths = _sizes(benchmark, item_col, item_text_col).where("n > 0")
+    sizes = tuple(sorted(r[0] for r in lengths.select(F.least("n", F.lit(WINDOW))).distinct().collect())) or (WINDOW,)
+    items = _window_rows(benchmark, item_col, item_text_col, sizes).withColumnsRenamed(
+        {"doc_id": "item_id", "pos": "item_pos", "slots": "item_slots"}
     )
     # The map of possible hashes: a fixed number of words, whatever the benchmark's size
     cell = F.pmod(F.col("hash"), F.lit(MAP_BITS))  # MAP_BITS is a power of two: the same for signed and unsigned
@@ -197,26 +228,44 @@ def find_leaks(
         lambda p: F.struct(p["item_slots"].alias("item"), p["slots"].alias("doc")),
     )
     diagonals = (
-        hits.join(items, ["hash", "size"])
+        hits.join(items, ["hash", "size", "plain"])
         .groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
         .agg(
-            F.collect_set("item_pos").alias("found"),
-            F.array_distinct(F.flatten(F.collect_set(pair))).alias("slots"),
+            F.collect_set(F.when(F.col("plain"), F.col("item_pos"))).alias("verbatim"),
+            F.collect_set(F.when(~F.col("plain"), F.col("item_pos"))).alias("found"),
+            F.array_distinct(F.flatten(F.collect_set(F.when(F.col("plain"), pair)))).alias("same"),
+            F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("plain"), pair)))).alias("slots"),
         )
-        .where(
+        .withColumn(
+            "fits",
             (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))))
-            & (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["doc"]))))
+            & (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["doc"])))),
         )
+        .withColumn("found", F.when(F.col("fits"), F.array_union("found", "verbatim")).otherwise(F.col("verbatim")))
+        .withColumn("slots", F.when(F.col("fits"), F.array_union("slots", "same")).otherwise(F.col("same")))
+        .where(F.size("found") > 0)
+    )
+    total = items.groupBy("item_id").agg(
+        F.countDistinct("item_pos").alias("n_item_windows"),
+        F.collect_set(F.when(~F.col("plain"), F.col("item_pos"))).alias("templates"),
     )
-    total = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_item_windows"))
+    of_templates = F.size(F.array_intersect("found", "templates"))
+
+    def least(n: Column) -> Column:
+        return F.least(F.ceil(n * F.lit(share)), F.lit(enough))
+
     return (
         diagonals.groupBy("doc_id", "item_id")
         .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("n_windows"),
+            F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"),
             F.sum(F.size("slots")).alias("n_slots"),
             F.bool_and(F.forall("slots", lambda s: s["item"] == s["doc"])).alias("exact"),
         )
+        .withColumn("n_windows", F.size("found").cast("long"))
         .join(total, "item_id")
-        .where(F.col("n_windows") >= F.least(F.ceil(F.col("n_item_windows") * F.lit(share)), F.lit(enough)))
+        .where(
+            (F.col("n_windows") >= least(F.col("n_item_windows")))
+            | ((F.size("templates") > 0) & (of_templates >= least(F.size("templates"))))
+        )
         .select("doc_id", "item_id", "n_windows", "n_item_windows", "n_slots", "exact")
     )
