@@ -295,6 +295,29 @@ def test_decontamination_finds_verbatim_items_of_any_kind(spark):
     assert all(r.n_windows == r.n_item_windows for r in found.values())
 
 
+def test_decontamination_judges_each_slot_alone(spark):
+    long = "then the old clerk of the town hall wrote down what Anna had told him about the house by the river and left. "
+    items = [
+        "so the farmer sells 3 baskets of red apples and then 5 bags of ripe pears to the old miller",
+        "now the baker fills 2 trays with warm rolls and puts 2 cakes on the upper shelf of the oven",
+        "the case: " + long + "in the evening Anna came back with her friend and asked the clerk for the paper that he wrote",
+        "when the tired Boris meets the angry Clara near the bridge he greets the angry Clara and shakes her hand",
+    ]
+    texts = [
+        items[0].replace("3", "4").replace("5", "4"),
+        items[1].replace("2", "3", 1).replace("2 cakes", "7 cakes"),
+        items[2].replace("Anna came", "Berta came"),
+        items[3].replace("Boris", "David").replace("Clara", "David"),
+        items[3].replace("Boris", "David").replace("Clara", "Elsa"),
+    ]
+    found = leaks(spark, items, texts)
+    assert {(0, 0), (1, 1), (2, 2), (4, 3)} <= set(found) <= {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3)}
+    # All windows where numbers coincide; all but the eight around the other name; fewer where two names became one
+    assert all(found[k, k].n_windows == found[k, k].n_item_windows for k in (0, 1))
+    assert found[2, 2].n_windows == found[2, 2].n_item_windows - 8
+    assert found[4, 3].n_windows > (found[3, 3].n_windows if (3, 3) in found else 0)
+
+
 def base_secrets(text):
     kinds = (
         (r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I, 1, 6),

@@ -2,9 +2,11 @@
 
 Texts become templates: numbers, units after numbers, and names (capitalised words inside a sentence) turn into typed
 placeholders.  Windows of template tokens are hash-joined between benchmark items and documents.  Matches on one
-diagonal (document position minus item position) belong together if their slots map one to one: the same item value
-always meets the same document value and the other way round.  So a question with other numbers or names is caught,
-and a text that only shares a template's words in disorder is not.
+diagonal (document position minus item position) belong together where their slots agree.  Each slot is judged alone: a
+name must meet its most frequent counterpart both ways; of a number or unit and its counterpart, one must be the
+other's most frequent, since the values of two slots can coincide in either text.  Only windows that hold a conflicting
+slot are dropped.  So a question with other numbers or names is caught, and a text that only shares a template's words
+in disorder is not.
 
 Beside the templates, windows of the plain lower-case words are joined, so that a verbatim copy is found whatever its
 words look like: all capitals, mostly numbers and names, shorter than a window, or after a mark that ends no sentence.
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,8 @@ UNITS = (
 ).split()
 #: Windows of plain words have hashes of their own.
 _PLAIN = np.uint64(0x94D049BB133111EB)
+#: The lowest bits of a slot's value tell its kind.
+_KIND, _KINDS = 3, {"number": 1, "unit": 2, "name": 3}
 NUMBER, UNIT, NAME = (mix(np.array([k], dtype=np.uint64))[0] for k in (101, 102, 103))
 _TABLES = {
     "digit": np.isin(np.arange(256), np.arange(48, 58)),
@@ -67,7 +71,7 @@ _UNIT_HASHES = np.sort(_hash_words(UNITS))
 
 
 class Templates:
-    """Template tokens of texts: tokens (a hash or a placeholder), values (the word's hash where it is a slot, else 0).
+    """Template tokens of texts: tokens (a hash or a placeholder), values (the word's hash and the kind where it is a slot, else 0).
 
     words: the hash of every token in lower case.  A point or comma between digits belongs to the number; a word that
     begins with a digit is a number.
@@ -98,7 +102,8 @@ class Templates:
         unit[self.first[:-1][np.diff(self.first) > 0]] = False  # the number before it is another text's
         slot = number | unit | name
         self.tokens = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, words)))
-        self.values = np.where(slot, words, np.uint64(0))
+        kind = np.where(number, _KINDS["number"], np.where(unit, _KINDS["unit"], _KINDS["name"])).astype(np.uint64)
+        self.values = np.where(slot, words & ~np.uint64(_KIND) | kind, np.uint64(0))
 
     def windows(self, size: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, text and position of every window inside one text: of plain words, or of a template with words enough."""
@@ -197,7 +202,7 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, n_item_windows, n_slots, exact) for every document that holds a benchmark item.
 
-    ``n_windows``: windows of the item found, as plain words or as templates on diagonals with consistent slots;
+    ``n_windows``: windows of the item found, as plain words or as templates whose slots agree on their diagonal;
     ``exact``: all slot values equal.  An item is found if windows enough are, of all or of those that can be templates.
     Rows without id or text are not matched.  A repeated document id is matched with all its texts together, a
     repeated item id likewise.  Items shorter than a window are one window and, where it has fewer than LEAST_WORDS
@@ -223,27 +228,43 @@ def find_leaks(
     table[cells["word"].to_numpy(dtype=np.int64)] = cells["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     hits = _window_rows(documents, id_col, text_col, sizes, spark.sparkContext.broadcast(table))
 
-    pair: Column = F.transform(
-        F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["item_slots"] != 0),
-        lambda p: F.struct(p["item_slots"].alias("item"), p["slots"].alias("doc")),
+    # Every slot of the item in a window, and what the document has there; the document's word is of the item's kind
+    slots: Column = F.filter(
+        F.transform(
+            F.arrays_zip("item_slots", "slots"),
+            lambda p, k: F.struct(
+                (F.col("item_pos") + k).alias("at"),
+                p["item_slots"].alias("item"),
+                p["slots"].bitwiseAND(F.lit(~_KIND)).bitwiseOR(p["item_slots"].bitwiseAND(F.lit(_KIND))).alias("doc"),
+            ),
+        ),
+        lambda s: s["item"] != 0,
     )
-    diagonals = (
+    line = ["doc_id", "item_id", "diagonal"]
+    found = (
         hits.join(items, ["hash", "size", "plain"])
-        .groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+        .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "plain", slots.alias("slots"))
+        .repartition(*line)  # the windows below need no other exchange
+        .select(*line, "item_pos", "plain", F.explode_outer("slots").alias("slot"))
+        .select(*line, "item_pos", "plain", "slot.*")
+    )
+    # Weight of a pair of values: the places that have it, then the earlier one, so that a tie has one winner
+    same = Window.partitionBy(*line, "item", "doc")
+    weight = F.struct(F.size(F.collect_set("at").over(same)).alias("n"), (-F.min("at").over(same)).alias("first"), "item", "doc")
+    found = found.withColumn("weight", weight)
+    best_of_item = F.max("weight").over(Window.partitionBy(*line, "item")) == F.col("weight")
+    best_of_doc = F.max("weight").over(Window.partitionBy(*line, "doc")) == F.col("weight")
+    name = F.col("item").bitwiseAND(F.lit(_KIND)) == _KINDS["name"]
+    agrees = F.when(name, best_of_item & best_of_doc).otherwise(best_of_item | best_of_doc)
+    # A verbatim window stands whatever the others say
+    windows = (
+        found.withColumn("agrees", F.col("item").isNull() | agrees)
+        .groupBy(*line, "item_pos", "plain")
         .agg(
-            F.collect_set(F.when(F.col("plain"), F.col("item_pos"))).alias("verbatim"),
-            F.collect_set(F.when(~F.col("plain"), F.col("item_pos"))).alias("found"),
-            F.array_distinct(F.flatten(F.collect_set(F.when(F.col("plain"), pair)))).alias("same"),
-            F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("plain"), pair)))).alias("slots"),
-        )
-        .withColumn(
-            "fits",
-            (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))))
-            & (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["doc"])))),
+            F.bool_and("agrees").alias("agrees"),
+            F.collect_set(F.when(F.col("item").isNotNull(), F.struct("diagonal", "item", "doc"))).alias("slots"),
         )
-        .withColumn("found", F.when(F.col("fits"), F.array_union("found", "verbatim")).otherwise(F.col("verbatim")))
-        .withColumn("slots", F.when(F.col("fits"), F.array_union("slots", "same")).otherwise(F.col("same")))
-        .where(F.size("found") > 0)
+        .where("plain OR agrees")
     )
     total = items.groupBy("item_id").agg(
         F.countDistinct("item_pos").alias("n_item_windows"),
@@ -255,10 +276,10 @@ def find_leaks(
         return F.least(F.ceil(n * F.lit(share)), F.lit(enough))
 
     return (
-        diagonals.groupBy("doc_id", "item_id")
+        windows.groupBy("doc_id", "item_id")
         .agg(
-            F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"),
-            F.sum(F.size("slots")).alias("n_slots"),
+            F.collect_set("item_pos").alias("found"),
+            F.size(F.array_distinct(F.flatten(F.collect_set("slots")))).cast("long").alias("n_slots"),
             F.bool_and(F.forall("slots", lambda s: s["item"] == s["doc"])).alias("exact"),
         )
         .withColumn("n_windows", F.size("found").cast("long"))
