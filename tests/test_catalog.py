@@ -52,6 +52,23 @@ def test_query_without_sql_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, str(SF)).count() > 0
 
 
+def test_detect_language_knows_all_languages(spark):
+    from pyspark.sql import functions as F
+
+    from voxframe.functions.text import detect_language
+
+    texts = {
+        "uk": "Сьогодні дощ, її немає", "ru": "Сегодня это что", "nl": "dat het een man van zijn huis niet is", "pl": "to nie jest tak jak się mówi",
+        "zh": "今天天气很好", "ja": "ひらがなとカタカナ", "ko": "오늘은 날씨가 좋다", "ar": "الطقس جميل اليوم", "en": "12 34",
+        "fr": "le chat est sur la table que les enfants", "de": "der Hund und die Katze, das ist nicht",
+    }
+    rows = spark.createDataFrame(list(texts.items()), "lang string, text string")
+    got = {r.lang: r.detected for r in rows.select("lang", detect_language(F.col("text")).alias("detected")).collect()}
+    assert got == {lang: lang for lang in texts}
+    tie = spark.createDataFrame([("без слов",)], "text string")  # both Cyrillic languages score alike: the earlier one
+    assert tie.select(detect_language(F.col("text"))).first()[0] == "uk"
+
+
 @needs_tables
 def test_entry_gives_subtitles(spark):
     import __spark_entry__

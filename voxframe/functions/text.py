@@ -18,7 +18,18 @@ MARKERS = {
     "es": (" el ", " los ", " las ", " que ", " una ", " por "),
     "it": (" il ", " che ", " di ", " una ", " per ", " sono "),
     "pt": (" o ", " que ", " os ", " uma ", " para ", " não "),
+    "uk": (" не ", " що ", " це ", " як ", " для ", " або "),
+    "ru": (" не ", " что ", " это ", " как ", " для "),
+    "nl": (" het ", " een ", " van ", " dat ", " niet ", " zijn "),
+    "pl": (" nie ", " jest ", " się ", " że ", " jak "),
 }
+#: Characters of a script, and what each counts for a language; languages without marker words come last.
+SCRIPTS = {
+    "uk": ("\\u0400-\\u04ff", 1), "ru": ("\\u0400-\\u04ff", 1), "zh": ("\\u4e00-\\u9fff", 5),
+    "ja": ("\\u3040-\\u30ff", 5), "ko": ("\\uac00-\\ud7af", 5), "ar": ("\\u0600-\\u06ff", 5),
+}
+#: Letters of Ukrainian alone; each that a text has counts once.
+UKRAINIAN, UKRAINIAN_BONUS = "іїєґ", 10
 
 
 def strip_blanks(t: Column) -> Column:
@@ -97,9 +108,22 @@ def occurrences(t: Column, part: str) -> Column:
 
 
 def detect_language(t: Column) -> Column:
-    """The language with the most marker words, the earlier listed one on a tie, ``en`` without any."""
+    """The language with the most points, the earlier listed one on a tie, ``en`` without any.
+
+    Points are for marker words, characters of the language's script, and letters that only Ukrainian has.
+    """
     low = F.concat(F.lit(" "), F.lower(t), F.lit(" "))
-    scores = [(lang, sum((occurrences(low, w) for w in words), F.lit(0))) for lang, words in MARKERS.items()]
+
+    def points(lang: str) -> Column:
+        total = sum((occurrences(low, w) for w in MARKERS.get(lang, ())), F.lit(0))
+        if lang in SCRIPTS:
+            script, each = SCRIPTS[lang]
+            total = total + F.length(F.regexp_replace(t, f"[^{script}]", "")) * each
+        if lang == "uk":
+            total = sum((F.contains(low, F.lit(c)).cast("int") * UKRAINIAN_BONUS for c in UKRAINIAN), total)
+        return total
+
+    scores = [(lang, points(lang)) for lang in {**MARKERS, **SCRIPTS}]
     ranked = F.array(*[F.struct(s.alias("s"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, s) in enumerate(scores)])
     best = F.array_max(ranked)
     return F.when(best["s"] > 0, best["lang"]).otherwise("en")
