@@ -19,21 +19,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id.  Rows without an id stay."""
+    """One document of each group of near duplicates: the one with the least id.  Rows without an id stay.
+
+    Rows that share the id that stays are one document only where their texts are equal too.
+    """
     groups = near_duplicates(docs)
     keepers = Scratch(spark, "keepers").keep(
         groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct(), "ids"
     )
-    kept = docs.join(keepers, docs["doc_id"] == keepers["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(keepers, docs["doc_id"] == keepers["_keep"], "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, also not with other numbers, names or units."""
+    """Documents that hold no benchmark item, also not with other numbers, names or units.
+
+    Each row is judged by its own text, also where it has no id or shares one.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
+    texts = docs.select(F.sha2("text", 256).alias("key"), "text")
+    leaks = find_leaks(texts, benchmark, id_col="key").select(F.col("doc_id").alias("_leak")).distinct()
     leaks = Scratch(spark, "leaks").keep(leaks, "ids")
-    return docs.join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti")
+    return docs.join(leaks, F.sha2(docs["text"], 256) == leaks["_leak"], "left_anti")
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,23 @@ def test_stages_take_empty_tables_and_nulls_everywhere(spark, folder):
         assert stage(spark, nulls, folder).count() <= 3, name
 
 
+def test_nothing_learned_keeps_all_lettered_texts(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, folder).collect()}
+    assert kept == {*range(43), 46}
+
+
+def test_rows_that_share_or_lack_an_id_are_judged_by_their_texts(spark, folder):
+    rng = random.Random(2)
+    mine = [prose(rng, 60) for _ in range(3)]
+    rows = [(1, t, "aa", "s", len(t)) for t in (mine[0], mine[1], mine[1])] + [(None, t, "aa", "s", len(t)) for t in (mine[2], f"See: {ITEM}")]
+    docs = spark.createDataFrame([*rows, (1, f"Look: {ITEM}", "aa", "s", 0)], DOCS)
+    groups = corpus_pipeline.near_duplicate_groups(spark, spark.createDataFrame(rows, DOCS), folder).collect()
+    assert sorted(r.text for r in groups if r.doc_id == 1) == sorted(mine[:2])
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, folder).collect()
+    assert sorted(r.text for r in kept) == sorted([mine[0], mine[1], mine[1], mine[2]])
+
+
 def test_repeated_rows_and_extra_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 3")
     twice = docs.unionAll(docs).withColumn("component_id", F.lit("x")).withColumn("_keep", F.lit(1)).withColumn("_leak", F.lit(2))

@@ -187,7 +187,7 @@ def keep_languages(
 
     Rejected: texts without a letter (null and empty ones too), and texts of ``from_grams`` windows or more whose
     profile has a cosine under ``least`` with every prototype.  Shorter texts are too short to be told from noise, and
-    stay.  Nothing is joined: rows are judged where they are.
+    stay; so do all texts with a letter where no language was learned.  Nothing is joined: rows are judged where they are.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
@@ -200,7 +200,7 @@ def keep_languages(
                 grams = Grams(part.column(at).to_pylist())
                 vectors = grams.vectors(letters)
                 keep = np.array(grams.letters, dtype=bool)
-                for first in range(0, len(keep), _BLOCK):
+                for first in range(0, len(keep) if fitted.names else 0, _BLOCK):
                     last = min(first + _BLOCK, len(keep))
                     profile = grams.counts(first, last) @ vectors
                     profile /= np.maximum(np.linalg.norm(profile, axis=1, keepdims=True), 1e-9)
