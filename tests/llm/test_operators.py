@@ -16,7 +16,8 @@ from voxframe.llm.licenses import evaluate, scan_licenses, to_postfix
 from voxframe.llm.media import encode_media, media_features, pad, png_decode, png_encode
 from voxframe.llm.ngramjoin import near_duplicates
 from voxframe.llm.secrets import RULES, find_secrets, mask_secrets, secret_digests, trigram_query
-from voxframe.llm.suffixdedup import remove_repeats
+from voxframe.llm.shared import Scratch
+from voxframe.llm.suffixdedup import SuffixLevels, _entries, _row_keys, remove_repeats
 from voxframe.llm.tokencount import count_tokens
 from voxframe.llm.toxicity import fit_toxicity, score_toxicity
 from voxframe.llm.wordbpe import bpe_digests
@@ -139,7 +140,8 @@ def test_ngram_join(docs, empty, odd):
     assert [r.component_id for r in twice if r.doc_id is None] == [None]
 
 
-@pytest.mark.parametrize("options", [{}, {"batches": 4}, {"wide": 1}])
+# Few bits of the ordering hash: nearly all beginnings collide, and the bytes must still decide
+@pytest.mark.parametrize("options", [{}, {"batches": 1}, {"wide": 1}, {"hash_bits": 3}])
 def test_suffix_dedup(docs, empty, odd, options):
     count = Counter()
     data = {d: (t or "").encode() for d, t, *_ in corpus()}
@@ -163,6 +165,20 @@ def test_suffix_dedup(docs, empty, odd, options):
         assert {r.n_removed for r in remove_repeats(odd).where("doc_id = 7").collect()} == {len(data[7])}
 
 
+def test_suffix_levels_merge_when_equal(spark, docs):
+    entries = _entries(docs.where("length(text) > 200").select(*_row_keys(F.col("text")), "text"), 200, 6, 64).cache()
+    levels, weights = SuffixLevels(Scratch(spark, "levels")), []
+    for k in range(6):
+        levels.add(entries.where(F.col("batch") == k))
+        weights.append([w for w, _ in levels.levels])
+    assert weights == [[1], [2], [2, 1], [4], [4, 1], [4, 2]] and levels.merged == 4
+    kept = [spark.table(name) for _, name in levels.levels]
+    assert sum(t.agg(F.sum("n")).first()[0] for t in kept) == entries.count()
+    plan = levels._scan(levels.levels[1][1])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # a scan shuffles nothing
+    levels.clear()
+
+
 def test_media_round_trip(docs, empty, odd):
     got = by_id(media_features(encode_media(docs)))
     for doc_id, text, *_ in corpus():

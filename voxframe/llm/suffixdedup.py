@@ -1,39 +1,50 @@
 """Removal of repeated byte strings with a logarithmic family of sampled suffix arrays.
 
-A suffix array level is a table of suffixes in the order of their first GRAM bytes' hash.  Suffixes are sampled by
-content: of every stretch of LENGTH bytes the place with the least GRAM hash is kept, so equal stretches keep equal
-places, and two suffixes that share a stretch share their first GRAM bytes.  A new batch is merge-scanned against the
-levels there are; what shares its first bytes with something else goes on.  Levels of equal size merge, so an entry is
-rewritten a logarithmic number of times.  Among the suffixes that go on, the stretches themselves are compared by true
-suffix arrays (prefix doubling over their bytes), so no hash decides what is removed.
+Suffixes are sampled by content: of every stretch of LENGTH bytes the place with the least hash of GRAM bytes is kept, so
+equal stretches keep equal places, and two suffixes that share a stretch share their first GRAM bytes.  A suffix array
+level is a table of such suffixes in buckets by their beginning, sorted within each.  A new batch is sorted the same
+way and merge-scanned against the levels bucket by bucket, so no level is shuffled again; what shares its beginning with
+something else goes on.  Levels of equal weight merge, so an entry is rewritten a logarithmic number of times.
+
+What is removed is decided by bytes: suffixes with the same BLAKE2b digest of their whole context are copies, the
+contexts of the others that share a beginning are compared by true suffix arrays (prefix doubling over their bytes), and
+rows are told apart by 128 bits of the SHA-256 of their texts.  Beginnings that very many suffixes share stay out of the
+levels: their contexts meet by digests of ever longer stretches, partly aggregated before each shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BYTE, mix, span_hashes
 from .rows import slices, with_id
-from .shared import Scratch
+from .shared import KeyMap, Scratch
 
 #: Bytes of a stretch that must not start twice, and of the hashed beginnings.
 LENGTH, GRAM = 200, 32
 #: Batches of a run over one table.
-BATCHES = 2
-#: Context bytes sorted together; beginnings with more contexts than WIDE are compared by stretch instead.
-SORTED_BYTES, WIDE = 1 << 20, 4_000
-#: Bits of the map that tells which rows have something to fetch or remove.
-WANTED_BITS = 1 << 23
-_ENTRY = "gram long, ctx long, key long, lo int, hi int"
+BATCHES = 4
+#: Context bytes sorted together; beginnings of more suffixes than WIDE stay out of the levels, and if they have more
+#: contexts than that, these are compared by digests of stretches instead.
+SORTED_BYTES, WIDE = 1 << 20, 2_000
+#: Suffixes of one Arrow batch from which on a beginning is counted as one that may be wide.
+HEAVY = 8
+#: Starts of stretches that are told apart together in the first look at a wide beginning's contexts.
+STEP = 34
+_KEY, _CLASS = ["k1", "k2"], ["gram", "c1", "c2"]
+_ENTRY = "gram long, c1 long, c2 long, k1 long, k2 long, lo int, hi int, at int, batch int, heavy boolean"
 
 
-def _row_key(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+def _row_keys(text: Column) -> list[Column]:
+    """128 bits of the SHA-256 of a text as two longs."""
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    return [F.conv(F.substring(digest, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "k1"), (17, "k2"))]
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -45,117 +56,142 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(values) - width + 1], out[width - have :]) if have < width else out
 
 
-def sampled_suffixes(data: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """(owner, gram hash, context hash, lo, hi) of every sampled suffix.
+def digests(data, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2b digests of data[start:end] as rows of two numbers."""
+    view, digest = memoryview(data), hashlib.blake2b
+    made = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(made, dtype=np.int64).reshape(-1, 2)
 
-    Stretches that start from lo to hi have it as their least place; its context is all bytes of those stretches.
+
+def sampled_suffixes(data: list[bytes], length: int = LENGTH, gram: int = GRAM, bits: int = 64):
+    """(owner, gram hash, context digests, lo, hi, at) of every sampled suffix.
+
+    Stretches that start from lo to hi have it as their least place, which is lo + at; its context is all bytes of those
+    stretches.  ``bits``: how many of the hash are used.
     """
     size = np.array([len(d) for d in data], dtype=np.int64)
-    raw = np.frombuffer(b"".join(data), dtype=np.uint8)
+    joined = b"".join(data)
+    raw = np.frombuffer(joined, dtype=np.uint8)
     none = np.zeros(0, dtype=np.int64)
+    nothing = none, none, none.reshape(0, 2), none, none, none
     if len(raw) < length:
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
-    spread = BYTE[raw]
+        return nothing
     places = np.arange(len(raw) - gram + 1)
-    grams = mix(span_hashes(spread, places, places + gram))
-    packed = (grams >> np.uint64(32) << np.uint64(32)) | places.astype(np.uint64)
+    grams = mix(span_hashes(BYTE[raw], places, places + gram)) & np.uint64((1 << bits) - 1)
+    packed = (mix(grams) >> np.uint64(32) << np.uint64(32)) | places.astype(np.uint64)
     least = (_sliding_least(packed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.r_[0, np.cumsum(size)]
     room = np.repeat(first[1:], size)[: len(least)] - np.arange(len(least))
     starts = np.flatnonzero(room >= length)
     if not len(starts):
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        return nothing
     place = least[starts]
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)])
     lo, hi = starts[new], starts[np.r_[new[1:] - 1, len(starts) - 1]]
     owner = np.searchsorted(first, lo, side="right") - 1
-    contexts = mix(span_hashes(spread, lo, hi + length) ^ (hi - lo).astype(np.uint64))
-    return owner, grams[place[new]], contexts, lo - first[owner], hi - first[owner]
-
-
-def _entries(rows: DataFrame, length: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for start, stop in slices(batch.column(1)):
+    at = place[new]
+    return owner, grams[at].view(np.int64), digests(joined, lo, hi + length), lo - first[owner], hi - first[owner], at - lo
+
+
+def _entries(rows: DataFrame, length: int, batches: int, bits: int) -> DataFrame:
+    """The sampled suffixes of rows (k1, k2, text).  A text that a task has seen before is left out: one of a task's
+    copies stands for them all, and texts that repeat are removed whole anyway."""
+
+    def run(frames):
+        seen: set[tuple[int, int]] = set()
+        for batch in frames:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            fresh = []
+            for k, key in enumerate(keys):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(k)
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            parts = []
+            for start, stop in slices(batch.column(2)):
                 part = batch.slice(start, stop - start)
-                data = [(t or "").encode() for t in part.column(1).to_pylist()]
-                owner, gram, ctx, lo, hi = sampled_suffixes(data, length)
-                keys = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(gram.view(np.int64)),
-                        pa.array(ctx.view(np.int64)),
-                        pa.array(keys[owner]),
-                        pa.array(lo.astype(np.int32)),
-                        pa.array(hi.astype(np.int32)),
-                    ],
-                    names=["gram", "ctx", "key", "lo", "hi"],
-                )
+                owner, gram, ctx, lo, hi, at = sampled_suffixes([t.encode() for t in part.column(2).to_pylist()], length, bits=bits)
+                k1, k2 = (part.column(c).to_numpy()[owner] for c in (0, 1))
+                parts.append((gram, ctx[:, 0], ctx[:, 1], k1, k2, lo, hi, at))
+            if not parts:
+                continue
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            _, which, count = np.unique(columns[0], return_inverse=True, return_counts=True)
+            columns += [columns[4] % batches, count[which] >= HEAVY]
+            types = [pa.int64()] * 5 + [pa.int32()] * 4 + [pa.bool_()]
+            table = pa.Table.from_arrays(
+                [pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)],
+                names=[f.split()[0] for f in _ENTRY.split(", ")],
+            )
+            yield from table.to_batches(max_chunksize=1 << 16)
 
-    return rows.select("key", "text").mapInArrow(run, _ENTRY)
+    return rows.mapInArrow(run, _ENTRY)
 
 
-def _shared_grams(batches):
-    """Of rows sorted by gram, those whose gram more than one has.  Only one row is held between batches."""
-    held, passed = None, False  # the last batch's last row, and whether it was passed on
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        gram = batch.column(0).to_numpy()
-        same = gram[1:] == gram[:-1]
-        shared = np.r_[False, same] | np.r_[same, False]
-        keep = shared.copy()
-        if held is not None and passed:
-            keep[0] = False
-        passed = bool(shared[-1]) or (len(gram) == 1 and passed)
-        held = batch.slice(batch.num_rows - 1, 1)
-        if keep.any():
-            yield batch.filter(pa.array(keep))
+def _classes(entries: DataFrame) -> DataFrame:
+    """(gram, c1, c2, n, k1, k2, lo, hi, at): suffixes with one context, their number, and one of them."""
+    one = [F.first(c).alias(c) for c in (*_KEY, "lo", "hi", "at")]
+    return entries.groupBy(*_CLASS).agg(F.count("*").alias("n"), *one)
 
 
 class SuffixLevels:
-    """Levels of sampled suffixes.  ``add`` takes a batch's entries and returns all entries that share a beginning with
-    another one of the batch and the levels, the levels' own included; levels of equal weight then merge."""
-
-    def __init__(self, scratch: Scratch):
-        self.scratch = scratch
-        self.levels: list[tuple[int, str, DataFrame]] = []
-        self.made = 0
-
-    def _sorted(self, entries: DataFrame) -> DataFrame:
-        return entries.repartition("gram").sortWithinPartitions("gram")
+    """Levels of sampled suffixes, each in buckets by its suffixes' beginnings and sorted in them.
 
-    def scan(self, entries: DataFrame) -> DataFrame:
-        return self._sorted(entries).mapInArrow(_shared_grams, _ENTRY)
+    ``add`` takes a batch's entries and returns the classes that share a beginning with another one of the batch and the
+    levels, the levels' own included; levels of equal weight then merge.  Nothing but the batch is shuffled.
+    """
 
-    def add(self, entries: DataFrame, last: bool = False) -> DataFrame | None:
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.spark = scratch, scratch.spark
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"suffixes_{uuid.uuid4().hex}"
+        self.levels: list[tuple[int, str]] = []
+        self.made = self.merged = 0
+
+    def _write(self, classes: DataFrame) -> str:
+        name = f"{self.name}_{self.made}"
+        self.made += 1
+        writer = classes.write.bucketBy(self.buckets, "gram").sortBy("gram")
+        writer.option("path", f"{self.scratch.folder}/{name}").saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.scratch.drop(name)
+
+    def _scan(self, batch: str) -> DataFrame:
+        rows = self.spark.table(batch).withColumn("new", F.lit(True))
+        for _, level in self.levels:
+            rows = rows.unionAll(self.spark.table(level).withColumn("new", F.lit(False)))
+        shared = rows.groupBy("gram").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.max("new").alias("due"))
+        shared = shared.where("due AND (kinds > 1 OR most > 1)").select("gram")
+        return rows.join(shared, "gram", "left_semi").drop("new")
+
+    def add(self, entries: DataFrame, last: bool = False) -> DataFrame:
         """``last``: no batch will follow, so the levels need not be kept up."""
-        found = None
-        if self.levels:
-            for _, _, level in self.levels:
-                part = self.scan(entries.unionAll(level))
-                found = part if found is None else found.unionAll(part)
-        elif last:
-            return self.scan(entries)
+        weight, name = 1, self._write(_classes(entries.repartition(self.buckets, "gram")))
+        found = self.scratch.keep(self._scan(name), f"found-{self.made}")
         if last:
+            self._drop(name)
+            self.clear()
             return found
-        if found is not None:
-            found = self.scratch.keep(found, f"found-{self.made}")
-        weight, merged = 1, entries
-        gone = []
         while self.levels and self.levels[-1][0] == weight:
-            weight, (_, name, level) = weight * 2, self.levels.pop()
-            merged = merged.unionAll(level)
-            gone.append(name)
-        name = f"level-{self.made}"
-        self.made += 1
-        self.levels.append((weight, name, self.scratch.keep(self._sorted(merged), name)))
-        for old in gone:
-            self.scratch.drop(old)
+            weight, (_, other) = weight * 2, self.levels.pop()
+            both = self.spark.table(other).unionAll(self.spark.table(name))
+            one = [F.first(c).alias(c) for c in (*_KEY, "lo", "hi", "at")]
+            merged = self._write(both.groupBy(*_CLASS).agg(F.sum("n").alias("n"), *one))
+            for old in (name, other):
+                self._drop(old)
+            name = merged
+            self.merged += 1
+        self.levels.append((weight, name))
         return found
 
+    def clear(self) -> None:
+        for _, name in self.levels:
+            self._drop(name)
+        self.levels = []
+
 
 def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """Of each context the starts of stretches that start more than once among all contexts, by prefix doubling.
@@ -202,133 +238,167 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]]
 
 
-def _bit_map(spark, keys: DataFrame):
-    """Broadcast map of the cells that the keys (column key) fall into: WANTED_BITS bits, whatever their number."""
-    cells = (
-        keys.select(
-            (F.pmod("key", F.lit(WANTED_BITS)) / 64).cast("int").alias("word"),
-            F.expr("shiftleft(1L, cast(pmod(key, 64) as int))").alias("bit"),
-        )
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toPandas()
-    )
-    table = np.zeros(WANTED_BITS // 64, dtype=np.uint64)
-    table[cells["word"].to_numpy(dtype=np.int64)] = cells["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    return spark.sparkContext.broadcast(table)
-
+_CONTEXT = "gram long, broad boolean, twice boolean, k1 long, k2 long, lo int, at int, context binary"
 
-def _in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    cell = keys % WANTED_BITS
-    return (bits[cell // 64] >> (cell % 64).astype(np.uint64)) & np.uint64(1) != 0
 
+def _cut(length: int):
+    """Contexts out of rows (k1, k2, text, asks)."""
 
-def _wanted(rows: DataFrame, bits) -> DataFrame:
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_in_map(bits.value, batch.column(0).to_numpy())))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
-def _repeated_ranges(rows: DataFrame, shared: DataFrame, scratch: Scratch, length: int, wide: int) -> DataFrame:
-    """(key, lo, hi): stretches from lo to hi that start elsewhere too."""
-    shared = shared.distinct()  # an entry is found once a level
-    classes = scratch.keep(
-        shared.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("first")),
-        "classes",
-    )
-    alike = shared.join(classes.where("n > 1"), ["gram", "ctx"], "left_semi").select("key", "lo", "hi")
-    kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    asked = (
-        classes.join(kinds, "gram")
-        .select(F.col("first.key").alias("key"), F.struct("gram", "kinds", "n", "first.lo", "first.hi").alias("ask"))
-        .groupBy("key")
-        .agg(F.collect_list("ask").alias("asks"))  # as many as the document has places
-    )
-    asked = scratch.keep(asked, "asked")
-    texts = _wanted(rows.select("key", "text"), _bit_map(rows.sparkSession, asked)).dropDuplicates(["key"])
-
-    def cut(batches):
-        for batch in batches:
+            lists, texts = batch.column(3), batch.column(2)
+            bounds, asks = lists.offsets.to_numpy(), lists.values
+            field = {f: asks.field(f).to_numpy(zero_copy_only=False) for f in ("gram", "broad", "twice", "lo", "hi", "at")}
             for k in range(batch.num_rows):
-                key, data = batch.column(0)[k].as_py(), (batch.column(1)[k].as_py() or "").encode()
-                asks = batch.column(2)[k].as_py()
-                for at in range(0, len(asks), 4096):
-                    some = asks[at : at + 4096]
+                data = texts[k].as_py().encode()
+                for start in range(bounds[k], bounds[k + 1], 4096):
+                    some = slice(start, min(start + 4096, bounds[k + 1]))
+                    lo, hi = field["lo"][some].tolist(), field["hi"][some].tolist()
+                    m = len(lo)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([a["gram"] for a in some], pa.int64()),
-                            pa.array([a["kinds"] for a in some], pa.int64()),
-                            pa.array([a["n"] for a in some], pa.int64()),
-                            pa.array([key] * len(some), pa.int64()),
-                            pa.array([a["lo"] for a in some], pa.int32()),
-                            pa.array([data[a["lo"] : a["hi"] + length] for a in some], pa.binary()),
+                            *[pa.array(field[f][some]) for f in ("gram", "broad", "twice")],
+                            *[pa.array(np.full(m, batch.column(c)[k].as_py(), dtype=np.int64)) for c in (0, 1)],
+                            *[pa.array(field[f][some]) for f in ("lo", "at")],
+                            pa.array([data[a : b + length] for a, b in zip(lo, hi, strict=True)], pa.binary()),
                         ],
-                        names=["gram", "kinds", "n", "key", "lo", "context"],
+                        names=[f.split()[0] for f in _CONTEXT.split(", ")],
                     )
 
-    contexts = texts.join(asked, "key").select("key", "text", "asks")
-    contexts = contexts.mapInArrow(cut, "gram long, kinds long, n long, key long, lo int, context binary")
-    contexts = scratch.keep(contexts, "contexts")
+    return run
 
-    def compare(batches):
+
+def _compare(length: int):
+    """Repeated runs among the contexts of rows sorted by beginning; about SORTED_BYTES are compared together."""
+
+    def run(batches):
         held: list[tuple] = []
         weight = 0
 
         def settle(some: list[tuple]):
             out = []
-            for (_, n, key, lo, _), starts in zip(some, repeated_starts([r[4] for r in some], length), strict=True):
-                if n == 1 and len(starts):
-                    out += [(key, lo + int(a), lo + int(b)) for a, b in zip(*_runs(starts), strict=True)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))],
-                names=["key", "lo", "hi"],
-            )
+            for (_, twice, k1, k2, lo, _), starts in zip(some, repeated_starts([r[5] for r in some], length), strict=True):
+                if not twice and len(starts):
+                    out += [(k1, k2, lo + int(a), lo + int(b)) for a, b in zip(*_runs(starts), strict=True)]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[*_KEY, "lo", "hi"])
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if weight >= SORTED_BYTES and row[0] != held[-1][0]:
                     yield settle(held)
                     held, weight = [], 0
                 held.append(row)
-                weight += len(row[4])
+                weight += len(row[5])
         if held:
             yield settle(held)
 
-    few = contexts.where(F.col("kinds") <= wide).select("gram", "n", "key", "lo", "context")
-    partly = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(compare, "key long, lo int, hi int")
+    return run
+
+
+def _stretches(length: int, first_look: bool):
+    """Digests of stretches of contexts (k1, k2, lo, at, context, steps).
+
+    First look: one for each STEP starts, of the bytes that all stretches from there have; else one for each start that the
+    steps hold.
+    """
 
-    def stretches(batches):
+    def run(batches):
         for batch in batches:
-            for start, stop in slices(batch.column(2), 1 << 18):
+            for start, stop in slices(batch.column(4), 1 << 18):
                 part = batch.slice(start, stop - start)
-                data = part.column(2).to_pylist()
-                first = np.r_[0, np.cumsum([len(d) for d in data])]
-                count = np.array([len(d) - length + 1 for d in data])
-                owner = np.repeat(np.arange(len(data)), count)
-                at = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
-                starts = first[owner] + at
-                raw = BYTE[np.frombuffer(b"".join(data), dtype=np.uint8)]
-                a = mix(span_hashes(raw, starts, starts + length))
-                b = mix(span_hashes(mix(raw), starts, starts + length))
+                data, at = part.column(4).to_pylist(), part.column(3).to_pylist()
+                steps = [None] * len(data) if first_look else part.column(5).to_pylist()
+                base, owner, begin, step = 0, [], [], []
+                for k, (context, place) in enumerate(zip(data, at, strict=True)):
+                    for s in range((place + STEP) // STEP) if first_look else steps[k]:
+                        low, high = max(place - STEP * s - STEP + 1, 0), min(place - STEP * s, len(context) - length)
+                        if low <= high:
+                            found = [place - STEP * s] if first_look else range(low, high + 1)
+                            begin += [base + b for b in found]
+                            owner += [k] * len(found)
+                            step += [s] * len(found)
+                    base += len(context)
+                begin, owner = np.array(begin, dtype=np.int64), np.array(owner, dtype=np.int64)
+                made = digests(b"".join(data), begin, begin + (length - STEP + 1 if first_look else length))
+                offset = np.r_[0, np.cumsum([len(c) for c in data])][owner]
+                lo = part.column(2).to_numpy()[owner]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(a.view(np.int64)),
-                        pa.array(b.view(np.int64)),
-                        part.column(0).take(pa.array(owner)),
-                        pa.array((part.column(1).to_numpy()[owner] + at).astype(np.int32)),
+                        *[pa.array(made[:, c]) for c in (0, 1)],
+                        *[part.column(c).take(pa.array(owner)) for c in (0, 1)],
+                        pa.array(lo),
+                        pa.array((np.array(step, dtype=np.int32) if first_look else (begin - offset + lo).astype(np.int32))),
                     ],
-                    names=["a", "b", "key", "lo"],
+                    names=["d1", "d2", *_KEY, "lo", "place"],
                 )
 
-    # Beginnings with too many contexts for one task: stretches meet by 128 bits of hash, partly aggregated first
-    many = contexts.where(F.col("kinds") > wide).select("key", "lo", "context").mapInArrow(
-        stretches, "a long, b long, key long, lo int"
+    return run
+
+
+_STRETCH = "d1 long, d2 long, k1 long, k2 long, lo int, place int"
+
+
+def _to_runs(batches):
+    for batch in batches:
+        out = []
+        for k1, k2, places in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            out += [(k1, k2, int(a), int(b)) for a, b in zip(*_runs(np.unique(places)), strict=True)]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[*_KEY, "lo", "hi"])
+
+
+def _broad_ranges(contexts: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """(k1, k2, lo, hi) of repeated runs among contexts whose beginnings have too many of them for one task.
+
+    Two equal stretches also agree in what all stretches of their step have; so only steps that something shares are
+    looked at start by start.
+    """
+
+    def shared(rows: DataFrame, *more: str) -> DataFrame:
+        often = rows.groupBy("d1", "d2", *more).count().where("count > 1").drop("count")
+        return rows.join(often, ["d1", "d2", *more], "left_semi")
+
+    looked = contexts.select(*_KEY, "lo", "at", "context", F.lit(None).cast("array<int>").alias("steps"))
+    looked = scratch.keep(looked.mapInArrow(_stretches(length, True), _STRETCH), "looked")
+    steps = shared(looked, "place").groupBy(*_KEY, "lo").agg(F.collect_set("place").alias("steps"))  # a few for each context
+    again = contexts.join(steps, [*_KEY, "lo"])
+    each = again.select(*_KEY, "lo", "at", "context", "steps").mapInArrow(_stretches(length, False), _STRETCH)
+    each = scratch.keep(each, "stretches")
+    starts = shared(each).join(contexts.where("NOT twice"), [*_KEY, "lo"], "left_semi")
+    # At most as many as a context has
+    return starts.groupBy(*_KEY, "lo").agg(F.collect_list("place").alias("places")).select(*_KEY, "places").mapInArrow(
+        _to_runs, "k1 long, k2 long, lo int, hi int"
     )
-    often = many.groupBy("a", "b").count().where("count > 1")
-    broadly = many.join(often, ["a", "b"], "left_semi").select("key", "lo", F.col("lo").alias("hi"))
-    return alike.unionAll(partly).unionAll(broadly)
+
+
+def _repeated_ranges(rows: DataFrame, entries: DataFrame, shared: DataFrame, broad: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """(k1, k2, lo, hi): stretches from lo to hi that start elsewhere too."""
+    spread = [f(c).alias(f"{name}_{c}") for c in (*_KEY, "lo") for name, f in (("low", F.min), ("top", F.max))]
+    one = [F.first(c).alias(c) for c in (*_KEY, "lo", "hi", "at")]
+    twice = F.expr("n > 1 OR low_k1 <> top_k1 OR low_k2 <> top_k2 OR low_lo <> top_lo")
+    # A class is found once a scan, from each level that has it
+    classes = shared.groupBy(*_CLASS).agg(F.max("n").alias("n"), *one, *spread).withColumn("twice", twice)
+    classes = scratch.keep(classes.select(*_CLASS, *_KEY, "lo", "hi", "at", "twice"), "classes")
+
+    again = classes.where("twice").select(*_CLASS)
+    alike = KeyMap(again, "c1").filter(entries.select(*_CLASS, *_KEY, "lo", "hi")).join(again, _CLASS, "left_semi").select(*_KEY, "lo", "hi")
+
+    kinds = classes.groupBy("gram").count().where("count > 1").join(broad.withColumn("broad", F.lit(True)), "gram", "left")
+    kinds = kinds.select("gram", F.coalesce("broad", F.lit(False)).alias("broad"))
+    asked = classes.join(kinds, "gram").groupBy(*_KEY).agg(
+        F.collect_list(F.struct("gram", "broad", "twice", "lo", "hi", "at")).alias("asks")  # as many as the text has places
+    )
+    asked = scratch.keep(asked, "asked")
+    texts = KeyMap(asked, "k1").filter(rows.select(*_KEY, "text")).dropDuplicates(_KEY)
+    contexts = texts.join(asked, _KEY).select(*_KEY, "text", "asks").mapInArrow(_cut(length), _CONTEXT)
+    contexts = scratch.keep(contexts, "contexts")
+    few = contexts.where("NOT broad").select("gram", "twice", *_KEY, "lo", "context")
+    partly = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(length), "k1 long, k2 long, lo int, hi int")
+    ranges = alike.unionAll(partly)
+    if not broad.isEmpty():
+        ranges = ranges.unionAll(_broad_ranges(contexts.where("broad"), scratch, length))
+    return ranges
 
 
 FIELDS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -359,40 +429,39 @@ def remove_repeats(
     batches: int = BATCHES,
     wide: int = WIDE,
     with_text: bool = False,
+    hash_bits: int = 64,
 ) -> DataFrame:
     """Every row with its text's repeated stretches taken out: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     ``with_text`` adds kept: what is left, decoded (bytes of a character that was cut are left out).  Null texts count as
-    empty.  A row that repeats another's id and text is a copy like any other: both lose all that is long enough.  Null
-    ids are kept; extra columns are ignored; an empty table gives an empty result.  Matches do not cross documents.
+    empty.  A row that repeats another's text is a copy like any other, whatever its id: both lose all that is long
+    enough.  Null ids are kept; extra columns are ignored; an empty table gives an empty result.  Matches do not cross
+    documents.  ``wide`` and ``hash_bits`` (bits of the hash that orders the suffixes) change the work, not the result.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "suffixdedup")
-    rows = documents.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), _row_key(id_col, text_col).alias("key")
-    )
+    text = F.col(text_col).cast("string")
+    rows = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), *_row_keys(text))
     usable = rows.where(F.octet_length("text") >= length)
-    levels, found = SuffixLevels(scratch), []
+    entries = scratch.keep(_entries(usable.select(*_KEY, "text"), length, batches, hash_bits), "entries")
+
+    # Beginnings of very many suffixes: few, since each has more than ``wide``
+    hot = entries.where("heavy").groupBy("gram").count().where(F.col("count") > wide).select("gram")
+    hot = scratch.keep(hot, "hot")
+    levels, shared = SuffixLevels(scratch), None
     for k in range(batches):
-        # Another hash than the key's own remainder, which the bit maps use
-        batch = usable.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == k) if batches > 1 else usable
-        entries = _entries(batch, length)
-        if 0 < k < batches - 1:  # scanned and merged: not sampled twice
-            entries = scratch.keep(entries, f"batch-{k}")
-        part = levels.add(entries, last=k == batches - 1)
-        if part is not None:
-            found.append(part)
-    shared = found[0]
-    for part in found[1:]:
-        shared = shared.unionAll(part)
-    shared = scratch.keep(shared, "shared")
-    ranges = _repeated_ranges(rows, shared, scratch, length, wide)
-    # Rows that repeat a row entirely have the same key, so their own entries do not tell them apart
-    again = usable.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where("n > 1")
-    ranges = ranges.unionAll(again.select("key", F.lit(0).alias("lo"), (F.col("size") - length).cast("int").alias("hi")))
-    by_row = ranges.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+        found = levels.add(entries.where(F.col("batch") == k).join(hot, "gram", "left_anti"), last=k == batches - 1)
+        shared = found if shared is None else shared.unionAll(found)
+    crowd = scratch.keep(_classes(entries.join(hot, "gram", "left_semi")), "crowd")
+    broad = scratch.keep(crowd.groupBy("gram").count().where(F.col("count") > wide).select("gram"), "broad")
+    ranges = _repeated_ranges(rows, entries, shared.unionByName(crowd), broad, scratch, length)
+
+    again = usable.groupBy(*_KEY).agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where("n > 1")
+    ranges = ranges.unionAll(again.select(*_KEY, F.lit(0).alias("lo"), (F.col("size") - length).cast("int").alias("hi")))
+    by_row = ranges.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))  # as many as the text has places
     by_row = scratch.keep(by_row, "ranges")
-    bits = _bit_map(spark, by_row)
+    scratch.drop("entries", "found", "contexts", "asked", "classes", "crowd", "looked", "stretches")
+    wanted = KeyMap(by_row, "k1")
     schema = with_id(rows.schema["doc_id"], FIELDS if with_text else FIELDS.replace(", kept string", ""))
 
     def finish(ids, texts, ranges):
@@ -408,10 +477,9 @@ def remove_repeats(
 
     def untouched(batches):
         for batch in batches:
-            free = batch.filter(pa.array(~_in_map(bits.value, batch.column(2).to_numpy())))
-            for start, stop in slices(free.column(1)):
-                part = free.slice(start, stop - start)
-                yield finish(part.column(0), part.column(1).to_pylist(), [()] * part.num_rows)
+            for start, stop in slices(batch.column(2)):
+                part = batch.slice(start, stop - start)
+                yield finish(part.column(1), part.column(2).to_pylist(), [()] * part.num_rows)
 
     def touched(batches):
         for batch in batches:
@@ -420,9 +488,7 @@ def remove_repeats(
                 yield finish(part.column(0), part.column(1).to_pylist(), part.column(2).to_pylist())
 
     # The map is exact for what it excludes: those rows lose nothing.  The others meet their ranges by key.
-    maybe = _wanted(rows.select("key", "doc_id", "text"), bits).join(by_row, "key", "left")
-    return (
-        rows.select("doc_id", "text", "key")
-        .mapInArrow(untouched, schema)
-        .unionAll(maybe.select("doc_id", "text", "ranges").mapInArrow(touched, schema))
-    )
+    found = wanted.filter(rows.select(*_KEY, "doc_id", "text")).join(by_row, _KEY, "left")
+    done = found.select("doc_id", "text", "ranges").mapInArrow(touched, schema)
+    free = wanted.filter(rows.select("k1", "doc_id", "text"), inside=False)
+    return done if free is None else free.mapInArrow(untouched, schema).unionAll(done)
