@@ -175,7 +175,7 @@ def test_suffix_levels_merge_when_equal(spark, docs):
     kept = [spark.table(name) for _, name in levels.levels]
     assert sum(t.agg(F.sum("n")).first()[0] for t in kept) == entries.count()
     plan = levels._scan(levels.levels[1][1])._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Exchange" not in plan  # a scan shuffles nothing
+    assert "Bucketed: true" in plan and "Exchange hashpartitioning" not in plan  # a scan shuffles nothing
     levels.clear()
 
 

@@ -160,12 +160,17 @@ class SuffixLevels:
         self.scratch.drop(name)
 
     def _scan(self, batch: str) -> DataFrame:
-        rows = self.spark.table(batch).withColumn("new", F.lit(True))
-        for _, level in self.levels:
-            rows = rows.unionAll(self.spark.table(level).withColumn("new", F.lit(False)))
-        shared = rows.groupBy("gram").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.max("new").alias("due"))
-        shared = shared.where("due AND (kinds > 1 OR most > 1)").select("gram")
-        return rows.join(shared, "gram", "left_semi").drop("new")
+        new = self.spark.table(batch)
+        levels = [self.spark.table(name) for _, name in self.levels]
+        due = new.groupBy("gram").agg((F.count("*") + F.max("n")).alias("weight"))
+        for k, level in enumerate(levels):
+            known = level.select("gram", F.lit(True).alias(f"in_{k}")).distinct()
+            due = due.join(known, "gram", "left")
+        shared = due.where(" OR ".join(["weight > 2", *(f"in_{k}" for k in range(len(levels)))])).select("gram")
+        found = new.join(shared, "gram", "left_semi")
+        for level in levels:
+            found = found.unionAll(level.join(shared, "gram", "left_semi"))
+        return found
 
     def add(self, entries: DataFrame, last: bool = False) -> DataFrame:
         """``last``: no batch will follow, so the levels need not be kept up."""
