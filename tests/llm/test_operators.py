@@ -364,4 +364,7 @@ def test_secret_scan(docs, empty, odd):
     assert "hunter22" not in masked[14].text and masked[14].text.count("[secret]") == 3
     assert masked[7].text == corpus()[7][1] and masked[0].text is None
     assert {"_text", "component"} <= set(mask_secrets(docs).columns)
+    clash = docs.select("doc_id", "text", *[F.lit(7).alias(c) for c in ("_secret_key", "_secret_rules", "_secret_spans", "_SECRET_KEY_")])
+    same = mask_secrets(clash)
+    assert same.columns == clash.columns and {tuple(r)[2:] for r in same.collect()} == {(7, 7, 7, 7)}
     assert find_secrets(docs, block_rows=4).where(F.size("_secret_spans") > 0).count() >= 2

@@ -14,8 +14,10 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows whose postings are intersected together, about.
-BLOCK_ROWS = 2048
+from .shared import Scratch
+
+#: Rows whose postings are intersected together, about, and the terms that a row has, about.
+BLOCK_ROWS, _TERMS_A_ROW = 2048, 4
 #: Kind, regex, group whose length counts, least length.  The first three are the base kinds.
 RULES = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -29,6 +31,8 @@ RULES = (
     ("stripe", r"[rs]k_live_[0-9A-Za-z]{16,}", 0, 24),
 )
 N_BASE = 3
+#: Trigrams that are asked of a string, and fixed values: characters from the most frequent on (others, index -1, come first).
+_TRIGRAMS, _FREQUENT = 2, " etaoinshrdlcumwfgypbvkjxqz0123456789-_.'\""
 #: Literal variants of a stretch of a regex that are followed at once.
 _VARIANTS = 64
 
@@ -43,12 +47,14 @@ def _join(kind: str, parts: list):
 
 
 def _demand(strings: set[str]):
-    """What a text that holds one of the strings must hold: every third trigram and the last, which cover the string."""
+    """What a text that holds one of the strings must hold: the string's rarest trigrams by the frequency of their letters."""
 
-    def cover(s: str) -> list[str]:
-        return [s[i : i + 3] for i in [*range(0, len(s) - 3, 3), len(s) - 3] if i >= 0]
+    def rarest(s: str) -> list[str]:
+        found = dict.fromkeys(s[i : i + 3] for i in range(len(s) - 2))
+        return sorted(sorted(found, key=lambda g: sum(map(_FREQUENT.find, g)), reverse=True)[:_TRIGRAMS])
 
-    return _join("or", [_join("and", cover(s)) for s in sorted(strings)])
+    least = [s for s in strings if not any(t != s and t in s for t in strings)]  # who holds a longer one holds its part
+    return _join("or", [_join("and", rarest(s)) for s in sorted(least)])
 
 
 def _node(op, value):
@@ -110,6 +116,20 @@ def _terms(query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(_terms, query[1]))
 
 
+def _any_of(terms: list[str]) -> str:
+    """A regex that finds every place where a trigram starts, tried by first letter."""
+    by_first: dict[str, list[str]] = {}
+    for t in terms:
+        by_first.setdefault(t[0], []).append(t[1:])
+
+    def quoted(s: str) -> str:
+        return "".join(c if c.isalnum() else f"\\x{ord(c):02x}" for c in s)
+
+    branches = "|".join(quoted(c) + "(?:" + "|".join(map(quoted, rest)) + ")" for c, rest in by_first.items())
+    classes = "".join(f"[{''.join(map(quoted, sorted({t[k] for t in terms})))}]" for k in range(3))  # rejects most places at once
+    return f"(?={classes})(?=({branches}))"
+
+
 def _candidates(query, postings: Column) -> Column:
     """The row keys that fulfil a query, out of a map from trigram to row keys."""
     if isinstance(query, str):
@@ -157,40 +177,60 @@ def _spans(text: Column, rule: tuple) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(none)
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All rows and columns, with ``_secret_spans``: (start, kind number, end) of every match, in order.
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
-    Null texts have no spans.  Repeated rows and null ids are kept; no text is shortened; other columns pass through.
+
+def find_secrets(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block_rows: int = BLOCK_ROWS,
+    spans_col: str = "_secret_spans",
+) -> DataFrame:
+    """All rows and columns, with ``spans_col``: (start, kind number, end) of every match, in order.
+
+    Null texts have no spans.  Repeated rows and null ids are kept; no text is shortened; other columns pass through, but
+    one that is called ``spans_col`` is replaced.  An empty table gives an empty result.
     """
+    scratch = Scratch(df.sparkSession, "secrets")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = df.withColumn("_secret_key", F.xxhash64(F.col(id_col).cast("string"), text))
+    key, rules = _fresh(df, "_secret_key"), _fresh(df, "_secret_rules")
+    row_key = F.xxhash64(F.col(id_col).cast("string"), text)
     queries = {k: trigram_query(rule[1]) for k, rule in enumerate(RULES)}
     terms = sorted(set().union(*map(_terms, queries.values())))
 
-    low = F.lower(text)
-    blocks = max(1, -(-df.count() // block_rows))
-    present = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms]))
+    # One pass over the text finds all terms: a look-ahead, so that they may overlap
+    held = F.regexp_extract_all(F.lower(text), F.lit(_any_of(terms)), F.lit(1))
+    # Rows that repeat, a third of the table perhaps, are one key: they are put together before the shuffle
+    present = df.select(row_key.alias("key"), F.explode(F.array_distinct(held)).alias("term")).distinct()
+    present = scratch.keep(present, "present")
+    blocks = max(1, -(-present.count() // (_TERMS_A_ROW * block_rows)))
     postings = (
-        keyed.select("_secret_key", F.explode(present).alias("term"))
-        .withColumn("block", F.pmod("_secret_key", F.lit(blocks)))
-        .repartition("block")  # serves both groupings below
-        .groupBy("block", "term")
-        .agg(F.collect_list("_secret_key").alias("rows"))
+        present.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "term")
+        .agg(F.collect_list("key").alias("rows"))  # distinct keys of one block
         .groupBy("block")
         .agg(F.map_from_entries(F.collect_list(F.struct("term", "rows"))).alias("postings"))
     )
+
     def tagged(rule: int) -> Column:
         rows = _candidates(queries[rule], F.col("postings"))
-        return F.transform(rows, lambda key: F.struct(key.alias("_secret_key"), F.lit(rule).alias("rule")))
+        return F.transform(rows, lambda k: F.struct(k.alias("key"), F.lit(rule).alias("rule")))
 
     listed = [tagged(k) for k, q in queries.items() if q is not True]
     found = (
         postings.select(F.explode(F.flatten(F.array(*listed))).alias("c"))
         .select("c.*")
-        .groupBy("_secret_key")
-        .agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("_secret_rules"))
+        .groupBy("key")
+        .agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("rules"))
     )
-    due = F.coalesce(F.col("_secret_rules"), F.lit(0))
+    # Written, so that its size is known when the join is planned: few candidates are broadcast, and no text is shuffled
+    found = scratch.keep(found, "candidates").select(F.col("key").alias(key), F.col("rules").alias(rules))
+    due = F.coalesce(F.col(rules), F.lit(0))
     each = [
         _spans(text, rule)
         if queries[k] is True
@@ -198,9 +238,8 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for k, rule in enumerate(RULES)
     ]
     spans = F.array_sort(F.flatten(F.array_compact(F.array(*each))))
-    return (
-        keyed.join(found, "_secret_key", "left").withColumn("_secret_spans", spans).drop("_secret_key", "_secret_rules")
-    )
+    keyed = df.withColumn(key, row_key)
+    return keyed.join(found, key, "left").withColumn(spans_col, spans).drop(key, rules)
 
 
 def _listing(spans: Column) -> Column:
@@ -232,10 +271,11 @@ def secret_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def mask_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """All rows and columns, with every span of the text replaced by the mask; overlapping spans become one."""
-    found = find_secrets(df, id_col, text_col)
+    spans = _fresh(df, "_secret_spans")
+    found = find_secrets(df, id_col, text_col, spans_col=spans)
     text = F.col(text_col)
     walked = F.aggregate(
-        "_secret_spans",
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -248,4 +288,4 @@ def mask_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
     )
     masked = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))
-    return found.withColumn(text_col, F.when(F.size("_secret_spans") > 0, masked).otherwise(text)).drop("_secret_spans")
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).drop(spans)
