@@ -140,6 +140,20 @@ def test_ngram_join(docs, empty, odd):
     assert [r.component_id for r in twice if r.doc_id is None] == [None]
 
 
+def test_ngram_join_rows_of_one_id_are_one_document(spark):
+    rng = random.Random(4)
+    a, b, c, d = (sentence(rng, 40) for _ in range(4))
+    near = " ".join(["other", *c.split()[1:]])
+    rows = [(3, b), (7, a), (7, b), (9, c), (8, near), (8, d), (5, d), (1, sentence(rng, 30)), (9, c), (2, None), (2, a)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(texts).collect()}
+    # An empty text is linked with nothing, also where its id has another text that is
+    assert got == {(3, 2), (7, 2), (9, 5), (8, 5), (5, 5), (1, 1), (2, 2)}
+    assert near_duplicates(texts).count() == len(rows)
+    plain = {(r.doc_id, r.n_shingles) for r in near_duplicates(texts).collect()}
+    assert plain == {(i, len(shingles(t))) for i, t in rows}
+
+
 # Few bits of the ordering hash: nearly all beginnings collide, and the bytes must still decide
 @pytest.mark.parametrize("options", [{}, {"batches": 1}, {"wide": 1}, {"hash_bits": 3}])
 def test_suffix_dedup(docs, empty, odd, options):

@@ -19,20 +19,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .components import connected
 from .hashing import IN_SPACE_WORD, Words, mix, sequence_hash, window_hashes
 from .rows import slices, with_id
-from .shared import Scratch
+from .shared import KeyMap, Scratch
 
 #: Words of a shingle; the similarity is NEED / OF.
 SHINGLE, NEED, OF = 5, 3, 4
-#: Cells of the count sketch: its size is fixed, whatever the corpus; cells are moved in chunks.
-CELLS, CHUNK = 1 << 22, 1 << 16
+#: Cells of the count sketch for each document, the least and the most of them; cells are moved in chunks.
+CELLS_A_ROW, LEAST_CELLS, MOST_CELLS, CHUNK = 4, 1 << 20, 1 << 24, 1 << 16
 #: Hash ranges of the suffix filter.
 RANGES = 64
-#: Shingles counted more often are dealt by shingle and salt.
+#: Shingles counted more often, beyond what a cell has of others, are dealt by shingle and salt.
 HOT, SALTS = 1 << 16, 64
 #: Choices among equally good hubs, by shingle.
 HUBS = 4
-#: Bits of the map of documents whose sets are wanted.
-WANTED_BITS = 1 << 23
 
 
 def shingle_sets(texts: list) -> list[np.ndarray]:
@@ -61,17 +59,17 @@ def _key(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _describe(rows: DataFrame) -> DataFrame:
+def _describe(rows: DataFrame, cells: int) -> DataFrame:
     """A row per document (n, k1, k2: its set; ranges: its shingles by hash range), and this task's counts in chunks."""
     schema = with_id(rows.schema["doc_id"], "n long, k1 long, k2 long, ranges binary, chunk int, counts binary")
 
     def run(batches):
-        counts = np.zeros(CELLS, dtype=np.int64)
+        counts = np.zeros(cells, dtype=np.uint32)  # of one task
         for batch in batches:
             for start, stop in slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(start, stop - start).to_pylist())
                 flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
-                np.add.at(counts, (flat % np.uint64(CELLS)).astype(np.int64), 1)
+                np.add.at(counts, (flat % np.uint64(cells)).astype(np.int64), 1)
                 keys = [_key(s) for s in sets]
                 shift = np.uint64(64 - RANGES.bit_length() + 1)
                 ranges = [np.bincount((s >> shift).astype(np.int64), minlength=RANGES).astype("<u4") for s in sets]
@@ -88,10 +86,10 @@ def _describe(rows: DataFrame) -> DataFrame:
                     ],
                     names=schema.names,
                 )
-        for k in range(CELLS // CHUNK):
+        for k in range(cells // CHUNK):
             part = counts[k * CHUNK : (k + 1) * CHUNK]
             if part.any():
-                kind = next(t for t in ("<u1", "<u2", "<u4", "<u8") if part.max() <= np.iinfo(t).max)
+                kind = next(t for t in ("<u1", "<u2", "<u4") if part.max() <= np.iinfo(t).max)
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(1, f.type) for f in list(to_arrow_schema(schema))[:5]]
                     + [pa.array([k], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())],
@@ -101,16 +99,24 @@ def _describe(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _sum_chunks(batches):
-    """Counts of each chunk over all tasks; a partition holds its own chunks only."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(data, dtype=f"<u{len(data) // CHUNK}").astype(np.int64)
-            total[k] = total[k] + part if k in total else part
-    for k, part in total.items():
-        level = np.minimum(8 * np.log2(part + 1.0), 255).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()])], names=["chunk", "level"])
+def _sum_chunks(usual: float):
+    """Levels of the counts of each chunk over all tasks; a partition holds its own chunks only.
+
+    ``usual`` is what a cell has on the average.  Only what it has beyond that tells its shingles from others: so the
+    order stays rare-first where the corpus has many more shingles than there are cells.
+    """
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(data, dtype=f"<u{len(data) // CHUNK}").astype(np.int64)
+                total[k] = total[k] + part if k in total else part
+        for k, part in total.items():
+            level = np.minimum(8 * np.log2(np.maximum(part - usual, 0) + 1.0), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()])], names=["chunk", "level"])
+
+    return run
 
 
 def _prefix_length(n):
@@ -138,7 +144,7 @@ def _prefixes(rows: DataFrame, levels) -> DataFrame:
                         prefix.append([])
                         hot.append([])
                         continue
-                    rank = level[(s % np.uint64(CELLS)).astype(np.int64)]
+                    rank = level[(s % np.uint64(len(level))).astype(np.int64)]
                     order = np.lexsort((s, rank))[: _prefix_length(len(s))]
                     prefix.append(s[order].view(np.int64))
                     hot.append(rank[order] >= hot_level)
@@ -157,15 +163,37 @@ def _prefixes(rows: DataFrame, levels) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, n, text) of rows with an id."""
+
+    def run(batches):
+        for batch in batches:
+            for start, stop in slices(batch.column(1)):
+                part = batch.slice(start, stop - start)
+                sets = shingle_sets(part.column(1).to_pylist())
+                keys = [_key(s) for s in sets]
+                columns = [[k[0] for k in keys], [k[1] for k in keys], [len(s) for s in sets]]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *[pa.array(c, pa.int64()) for c in columns], part.column(1)],
+                    names=["doc_id", "k1", "k2", "n", "text"],
+                )
+
+    rows = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, text string")
+
+
 def _in_two(batches):
-    """(token, id) of rows (token, salt, id) sorted by token whose token more than one row has; salted rows are hot
-    and pass.  Only one row is held between batches."""
+    """(token, id) of rows (token, salt, id) sorted by token and id whose token more than one id has; salted rows are hot
+    and pass.  Repeated rows count once.  Only one row is held between batches."""
     held, passed = None, False  # the last batch's last row, and whether it was passed on
     for batch in batches:
         if not batch.num_rows:
             continue
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        token, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        new = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])])
+        batch = batch.take(pa.array(new))
         token, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         same = token[1:] == token[:-1]
         shared = np.r_[False, same] | np.r_[same, False] | (salt > 0)
@@ -234,42 +262,26 @@ def _similar(batches):
 
 
 class _Join:
-    def __init__(self, rows: DataFrame, scratch: Scratch):
-        self.rows, self.scratch = rows, scratch
-        self.spark = rows.sparkSession
+    def __init__(self, texts: DataFrame, scratch: Scratch):
+        """texts: one text (id, text) of each class."""
+        self.texts, self.scratch = texts, scratch
 
     def sets_of(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(id, shingles) of the documents in pairs.  A bit map of fixed size spares the other texts the shuffle."""
-        ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
-        cell = F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS))
-        cells = (
-            ids.select((cell / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))").alias("bit"))
-            .groupBy("word")
-            .agg(F.bit_or("bit").alias("bits"))
-            .toPandas()
-        )
-        table = np.zeros(WANTED_BITS // 64, dtype=np.uint64)
-        table[cells["word"].to_numpy(dtype=np.int64)] = cells["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-        wanted = self.spark.sparkContext.broadcast(table)
+        """(id, shingles) of the documents in pairs.  A map of their ids spares the other texts the shuffle."""
+        ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+        ids = self.scratch.keep(ids.withColumn("spread", F.xxhash64("id")), f"{name}-ids")
 
         def run(batches):
-            bits = wanted.value
             for batch in batches:
-                at = batch.column(2).to_numpy()
-                hit = (bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) != 0
-                few = batch.filter(pa.array(hit))
-                for start, stop in slices(few.column(1)):
-                    sets = shingle_sets(few.column(1).slice(start, stop - start).to_pylist())
+                for start, stop in slices(batch.column(1)):
+                    sets = shingle_sets(batch.column(1).slice(start, stop - start).to_pylist())
                     yield pa.RecordBatch.from_arrays(
-                        [few.column(0).slice(start, stop - start).cast(pa.int64()), pa.array([s.tobytes() for s in sets])],
-                        names=["id", "shingles"],
+                        [batch.column(0).slice(start, stop - start), pa.array([s.tobytes() for s in sets])], names=["id", "shingles"]
                     )
 
-        marked = self.rows.where("doc_id IS NOT NULL").select(
-            "doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(WANTED_BITS)).alias("cell")
-        )
-        sets = marked.mapInArrow(run, "id long, shingles binary")
-        return self.scratch.keep(sets.join(ids.distinct(), "id", "left_semi"), name)
+        wanted = KeyMap(ids, "spread").filter(self.texts.select("id", "text", F.xxhash64("id").alias("spread")))
+        sets = wanted.select("id", "text").mapInArrow(run, "id long, shingles binary")
+        return self.scratch.keep(sets.join(ids.select("id"), "id", "left_semi"), name)
 
     def links(self, pairs: DataFrame, ranges: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that are similar, each verified once, as edges (u, v)."""
@@ -288,8 +300,7 @@ class _Join:
             .mapInArrow(_similar, "u long, v long")
         )
         found = self.scratch.keep(found, f"{name}-links")
-        self.scratch.drop(f"{name}-sets")
-        self.scratch.drop(f"{name}-pairs")
+        self.scratch.drop(f"{name}-sets", f"{name}-pairs")
         return found
 
 
@@ -310,6 +321,37 @@ def _once(rows: DataFrame, x: str, y: str) -> DataFrame:
     return shared.where((NEED + OF) * (c("c") + rest) >= NEED * (c("na") + c("nb"))).select("a", "b")
 
 
+def _classes(linkable: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(k1, k2, n, id, own) of the distinct sets: ``id`` is unique, ``own`` is the least document id with the set.
+
+    ``id`` is ``own`` too, but where a document id comes with several sets it can name only one of them; a set that no
+    document id is left for gets a hash that is no other's.  The second frame has edges (u, v) between sets of one id,
+    or is None where there are none.
+    """
+    key = ["k1", "k2", "n"]
+    pairs = scratch.keep(linkable.select("doc_id", *key).distinct(), "id-sets")
+    several = pairs.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id")
+    several = scratch.keep(several, "several")
+    if several.isEmpty():
+        found = pairs.groupBy(*key).agg(F.min("doc_id").alias("id"))
+        return scratch.keep(found.withColumn("own", F.col("id")), "classes"), None
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(*key))
+    first = pairs.join(several, "doc_id", "left_anti").withColumn("turn", F.lit(1))
+    first = first.unionByName(pairs.join(several, "doc_id", "left_semi").withColumn("turn", turn))
+    found = first.groupBy(*key).agg(F.min(F.when(F.col("turn") == 1, F.col("doc_id"))).alias("id"), F.min("doc_id").alias("own"))
+    for salt in range(64):
+        named = found.withColumn("id", F.coalesce("id", F.xxhash64(*key, F.lit(salt))))
+        named = scratch.keep(named.select(*key, "id", "own"), f"classes-{salt}")
+        if named.groupBy("id").count().where("count > 1").isEmpty():
+            break
+        scratch.drop(f"classes-{salt}")
+    else:
+        raise ValueError("no free ids for the shingle sets of repeated document ids")
+    mine = pairs.join(several, "doc_id").join(named.select(*key, "id"), key).select("doc_id", "id")
+    least = mine.groupBy("doc_id").agg(F.min("id").alias("u"))
+    return named, scratch.keep(mine.join(least, "doc_id").where("id <> u").select("u", F.col("id").alias("v")), "same-id")
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) for every row.
 
@@ -321,35 +363,42 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     spark = documents.sparkSession
     scratch = Scratch(spark, "ngramjoin")
     rows = _rows(documents, id_col, text_col)
-    described = scratch.keep(_describe(rows), "described")
+    cells = min(max(LEAST_CELLS, 1 << (CELLS_A_ROW * documents.count()).bit_length()), MOST_CELLS)
+    described = scratch.keep(_describe(rows, cells), "described")
     docs = described.where("n IS NOT NULL").drop("chunk", "counts")
 
-    # Corpus-wide shingle counts: CELLS bytes on the driver and in each task, whatever the corpus
+    # Corpus-wide shingle counts: at most MOST_CELLS bytes on the driver and in each task
+    usual = (docs.agg(F.sum("n")).first()[0] or 0) / cells
     chunks = described.where("chunk IS NOT NULL").select("chunk", "counts")
-    summed = chunks.repartition(CELLS // CHUNK, "chunk").mapInArrow(_sum_chunks, "chunk int, level binary")
-    level = np.zeros(CELLS, dtype=np.uint8)
+    summed = chunks.repartition(cells // CHUNK, "chunk").mapInArrow(_sum_chunks(usual), "chunk int, level binary")
+    level = np.zeros(cells, dtype=np.uint8)
     for chunk, data in summed.collect():
         level[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(data, dtype=np.uint8)
     levels = spark.sparkContext.broadcast(level)
 
     linkable = docs.where("n > 0 AND doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
-    classes = linkable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"))
-    classes = scratch.keep(classes, "classes")
-    ranges = linkable.join(classes, ["k1", "k2", "n"]).where("doc_id = id").groupBy("id").agg(F.first("ranges").alias("ranges"))
+    classes, same_id = _classes(linkable, scratch)
+    own = classes.select("k1", "k2", "n", "id", F.col("own").alias("doc_id"))
+    ranges = linkable.join(own, ["doc_id", "k1", "k2", "n"]).groupBy("id").agg(F.first("ranges").alias("ranges"))
 
+    prefixes = _prefixes(rows.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")), levels)
     tokens = (
-        _prefixes(rows.where("doc_id IS NOT NULL"), levels)
-        .join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "k1", "k2", "n"], "left_semi")
-        .select(F.col("doc_id").cast("long").alias("id"), F.explode(F.arrays_zip("prefix", "hot")).alias("t"))
+        prefixes.join(own, ["doc_id", "k1", "k2", "n"])
+        .select("id", F.explode(F.arrays_zip("prefix", "hot")).alias("t"))
         .select(
             F.col("t.prefix").alias("token"),
             F.when(F.col("t.hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int") + 1).otherwise(0).alias("salt"),
             "id",
         )
     )
-    shared = tokens.repartition("token", "salt").sortWithinPartitions("token").mapInArrow(_in_two, "token long, id long")
+    shared = tokens.repartition("token", "salt").sortWithinPartitions("token", "id").mapInArrow(_in_two, "token long, id long")
     shared = scratch.keep(shared, "shared")
-    join = _Join(rows, scratch)
+    # The texts by class; rows of one id are told apart by their sets only where there are such
+    if same_id is None:
+        texts = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
+    else:
+        texts = _keyed(rows).join(own, ["doc_id", "k1", "k2", "n"]).select("id", "text")
+    join = _Join(texts, scratch)
 
     # Shared shingles of each document in the order of their exact number of documents
     often = shared.groupBy("token").agg(F.count("*").alias("df"))
@@ -390,15 +439,16 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rest = _once(cross, "", "2")
     more = join.links(rest, ranges, "rest")
     both = links.unionAll(more)
+    if same_id is not None:
+        both = both.unionAll(same_id)
     label = connected(both, scratch, "component")
-    for name in ("placed", "open"):
-        scratch.drop(name)
+    scratch.drop("placed", "open", "id-sets", "several")
 
-    classed = docs.join(
-        classes.join(label, "id", "left").select("k1", "k2", "n", "id", F.coalesce("component", "id").alias("component")),
-        ["k1", "k2", "n"],
-        "left",
-    )
+    labelled = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if same_id is not None:  # ids of sets are not all ids of documents: the least of these names the component
+        least = labelled.groupBy("component").agg(F.min("own").alias("least"))
+        labelled = labelled.join(least, "component").drop("component").withColumnRenamed("least", "component")
+    classed = docs.join(labelled.select("k1", "k2", "n", F.col("own").alias("id"), "component"), ["k1", "k2", "n"], "left")
     known = c("doc_id").isNotNull()
     return classed.select(
         "doc_id",
