@@ -249,6 +249,16 @@ def test_toxicity_on_held_out_texts(spark, empty, docs):
     assert sum(p == t for p, t in judged) >= 0.97 * len(judged)
     assert score_toxicity(empty, model).count() == 0
     assert score_toxicity(docs, model).count() == docs.count()
+    # Both models sum to one for every word before, words that are left out counting as one
+    kn = model.language
+    vocabulary = np.r_[kn.word, np.uint64(1)]
+    for before in [*kn.history[:: max(len(kn.history) // 20, 1)], np.uint64(2)]:
+        for k in (0, 1):
+            p = kn.probability(k, np.full(len(vocabulary), before), vocabulary)
+            assert (p > 0).all() and abs(p.sum() - 1) < 1e-9
+    again = texts.unionAll(texts).unionAll(spark.createDataFrame([(None, "vile", *[None] * 5)], SCHEMA))
+    twice = fit_toxicity(again, known.unionAll(known.limit(5)).unionAll(spark.createDataFrame([(None, 1, 1)], known.schema)))
+    assert (twice.slope, twice.offset) == (model.slope, model.offset)
     bare = fit_toxicity(texts, known.where("toxic = 0"))
     assert {r.score for r in score_toxicity(docs, bare).collect()} == {0.5}
 

@@ -59,7 +59,10 @@ _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 _LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_HEAD = re.compile(r"[ \t\r*/#\"';,-]*")
 _ITEM = re.compile(r"\s*([()]|[a-z0-9][a-z0-9.+-]*)")
+_TAIL = re.compile(r"[ \t\r*/#\"';,-]*(?:\n|$)")
+_FIRST = re.compile(r"[(),;.]*([^ \n(),;]*)")
 _RANK = {"with": 3, "and": 2, "or": 1}
 
 
@@ -67,14 +70,14 @@ def family(identifier: str) -> tuple[str, bool] | None:
     return next(((label, free) for stem, label, free in FAMILIES if identifier.startswith(stem)), None)
 
 
-def to_postfix(expression: str) -> list[str] | None:
-    """Shunting-yard: with binds tighter than and, and tighter than or.  None if the expression is malformed."""
-    out, held, at, operand = [], [], 0, True
-    text = expression.strip()
-    while at < len(text):
-        found = _ITEM.match(text, at)
-        if not found:
-            return None
+def to_postfix(expression: str, start: int = 0, stop: int | None = None) -> list[str] | None:
+    """Shunting-yard: with binds tighter than and, and tighter than or.  None if the expression is malformed.
+
+    Reads from ``start`` to ``stop`` and no further than the first item that does not fit.
+    """
+    out, held, at, operand = [], [], start, True
+    stop = len(expression) if stop is None else stop
+    while found := _ITEM.match(expression, at, stop):
         at, item = found.end(), found[1]
         if item == "(":
             if not operand:
@@ -100,7 +103,7 @@ def to_postfix(expression: str) -> list[str] | None:
                 return None
             out.append(item)
             operand = False
-    if operand or "(" in held:
+    if operand or "(" in held or not _TAIL.match(expression, at, stop):
         return None
     return out + held[::-1]
 
@@ -164,16 +167,15 @@ def _kernel():
         low = data.translate(_LOWER_BYTES).decode("latin-1")
         for end, _ in tags.iter(low):
             n_tags += 1
-            stop = low.find("\n", end)
-            line = low[end + 1 : stop if stop >= 0 else len(low)].strip(" \t\r*/#\"';,-")
-            postfix = to_postfix(line)
+            start = _HEAD.match(low, end + 1).end()
+            postfix = to_postfix(low, start)
             if postfix:
                 found, free = evaluate(postfix)
                 labels |= found
                 if expression is None:
                     expression, permissive = " ".join(postfix), free
             else:  # prose after the identifier: keep what its first word names
-                known = family(line.split(" ")[0].strip("(),;."))
+                known = family(_FIRST.match(low, start)[1])
                 if known:
                     labels.add(known[0])
         weight = len(base_at) + notices + 2 * n_tags

@@ -1,11 +1,16 @@
 """Toxicity: two class-conditional Kneser-Ney word models that share their backoff counts.
 
-Counts are of distinct texts, as continuation counts are.  Of each class's count of an n-gram, a discount is taken and
-given to the backoff: for a word the counts of both classes together, for a pair what the word alone predicts.  The
-discount is Kneser-Ney's constant plus a multiple of the count's sampling error, so an expression too rare to say
-anything weighs the same in both classes; with the constant alone, chance differences of rare words drown the rest.
-A text's evidence is the mean difference of its two log-likelihoods a word; a logistic curve fitted on texts that the
-models have not seen turns it into a score.
+Each class has probabilities of a word given the one before, p(w|h), with absolute discounts: what a pair's count keeps
+after the discount is the class's own, and the rest of h's mass goes to the class's p(w).  That one counts distinct words
+before w, as Kneser-Ney does, and gives its discounted mass to a distribution that both classes share.  So each model
+sums to one over the vocabulary for every h.
+
+How much of a count is discounted is judged by texts, which are independent of each other as the words of one text are
+not: of the texts with an expression those go that the shared counts explain (the class's share, or what the backoff expects
+if that is more), ERRORS standard errors of that, and DISCOUNT.  An expression too rare to say anything is thus left to the
+shared backoff in both models.  With the constant alone, chance differences of rare words drown the rest.
+A text's evidence is the difference of its two log-likelihoods by word; a logistic curve fitted on texts that the models
+have not seen turns it into a score.
 """
 
 from __future__ import annotations
@@ -16,18 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import IN_LETTER_WORD, Words, mix, window_hashes
+from .hashing import IN_LETTER_WORD, Words, mix
 from .rows import map_texts, slices
+from .shared import Scratch
 
-#: Labelled texts of each class that the models are fitted on, at most: those with the smallest hash of their id.
-CLASS_BOUND = 4000
-#: N-grams seen in fewer labelled texts are left to the backoff.
+#: Labelled texts that the models are fitted on, at most: those with the smallest hash of their id, in their natural shares.
+TEXT_BOUND = 12_000
+#: Words and pairs of fewer texts of both classes together are left to the backoff.
 LEAST = 3
-#: The constant discount, its multiple of the sampling error, and the pseudo-texts of every estimate.
-DISCOUNT, ERRORS, PSEUDO = 0.75, 3.0, 1.0
+#: The constant discount, and the standard errors of what the shared counts explain that it grows by.
+DISCOUNT, ERRORS = 0.75, 3.0
 THRESHOLD = 0.7
 FIELDS = "n_words long, llr double, score double"
-_START = np.uint64(0x5851F42D4C957F2D)
+_START, _ANY = np.uint64(0x5851F42D4C957F2D), 0
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _ngrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -35,48 +42,80 @@ def _ngrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     before = np.r_[_START, words.hashes[:-1]]
     first = words.first[:-1][np.diff(words.first) > 0]
     before[first] = _START
-    return before, mix(before * np.uint64(0x9E3779B97F4A7C15) ^ words.hashes)
+    return before, mix(before * _PAIR ^ words.hashes)
 
 
 class KneserNey:
-    """Log-likelihood differences (toxic minus ordinary) of the n-grams that the counts keep."""
-
-    def __init__(self, texts, word, in_word, before, follow, in_pair):
-        """texts: labelled texts of each class; in_word, in_pair: for each class the texts with each word or pair."""
-        share = texts[1] / max(sum(texts), 1)
-        word_llr = self._difference(in_word, np.full(len(word), share))
-        order = np.argsort(word)
-        self.word, self.word_llr = word[order], word_llr[order]
-        base = self._look(self.word, self.word_llr, follow)
-        odds = share / max(1 - share, 1e-9) * np.exp(base)
-        pair_llr = base + self._difference(in_pair, odds / (1 + odds))
-        key = mix(before * np.uint64(0x9E3779B97F4A7C15) ^ follow)
+    """Probabilities of both classes (0: ordinary, 1: toxic).
+
+    texts: the number of each class; word, with_word: hashes and the texts with each; after: for each class the distinct
+    words before each; total: their sums over all words, also those left out here.  before, follow, pairs: pairs and the
+    texts with them by class; history, of_history: words before and the same counts by class, of all pairs.
+    """
+
+    def __init__(self, texts, word, with_word, after, total, before, follow, pairs, history, of_history):
+        known = np.flatnonzero(after[0] + after[1] > 0)
+        order = known[np.argsort(word[known])]
+        self.word, after, with_word = word[order], [n[order] for n in after], [n[order] for n in with_word]
+        kept = self._kept(with_word, [n / max(sum(texts), 1.0) for n in texts], [0.0, 0.0])
+        kept = [n * k / np.maximum(w, 1.0) for n, k, w in zip(after, kept, with_word, strict=True)]
+        # Both classes back off to the counts that the discounts leave, with a place for the words that no text has
+        rest = sum(total) - sum(k.sum() for k in kept) + 1.0
+        self.shared = (after[0] + after[1] - kept[0] - kept[1]) / rest
+        self.own = [k / max(n, 1.0) for k, n in zip(kept, total, strict=True)]
+        self.left = [1.0 - own.sum() for own in self.own]
+        self.unknown = 1.0 - self.shared.sum()
+
+        rank = np.argsort(history)
+        self.history, of_history = history[rank], [c[rank] for c in of_history]
+        key = mix(before * _PAIR ^ follow)
         order = np.argsort(key)
-        self.pair, self.pair_llr = key[order], pair_llr[order]
+        self.pair, follow, pairs = key[order], follow[order], [c[order] for c in pairs]
+        at = np.searchsorted(self.history, before[order])
+        around = [c[at] for c in of_history]
+        part = [c / np.maximum(around[0] + around[1], 1.0) for c in around]
+        kept = self._kept(pairs, part, [c * self.word_probability(k, follow) for k, c in enumerate(around)])
+        self.pair_own = [k / np.maximum(c, 1.0) for k, c in zip(kept, around, strict=True)]
+        self.pair_left = [1.0 - np.bincount(at, weights=own, minlength=len(self.history)) for own in self.pair_own]
 
     @staticmethod
-    def _difference(count, share) -> np.ndarray:
-        """log(toxic / expected) - log(ordinary / expected) after the discount; ``share``: expected part of toxic."""
-        both = count[0] + count[1]
-        error = np.sqrt(both * share * (1 - share))
-        log = []
-        for n, part in ((count[0], 1 - share), (count[1], share)):
-            backoff = both * part
-            kept = np.maximum(np.abs(n - backoff) - DISCOUNT - ERRORS * error, 0) * np.sign(n - backoff)
-            log.append(np.log((backoff + kept + PSEUDO) / (backoff + PSEUDO)))
-        return log[1] - log[0]
+    def _kept(counts, part, expected) -> list[np.ndarray]:
+        """What is left of both classes' counts after the discount.
+
+        part: each class's share of all; expected: what its backoff expects.  The shared counts explain a class's share of
+        what the discounts leave; what a class keeps is not shared, so that is worked out in turns.
+        """
+        kept = [np.zeros_like(c) for c in counts]
+        for _ in range(40):
+            shared = counts[0] + counts[1] - kept[0] - kept[1]
+            last, kept = kept, []
+            for c, p, e in zip(counts, part, expected, strict=True):
+                explained = np.maximum(shared * p, e)
+                kept.append(np.maximum(c - explained - DISCOUNT - ERRORS * np.sqrt(explained * (1 - p)), 0.0))
+            if max((np.abs(a - b).max(initial=0.0) for a, b in zip(last, kept, strict=True)), default=0.0) < 1e-6:
+                break
+        return kept
 
     @staticmethod
     def _look(keys, values, wanted, fallback=0.0) -> np.ndarray:
         if not len(keys):
-            return np.broadcast_to(fallback, wanted.shape)
+            return np.full(wanted.shape, fallback, dtype=float)
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, values[at], fallback)
 
+    def word_probability(self, k: int, word: np.ndarray) -> np.ndarray:
+        """p(w) of class k; the words left out share one probability."""
+        return self._look(self.word, self.own[k], word) + self.left[k] * self._look(self.word, self.shared, word, self.unknown)
+
+    def probability(self, k: int, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """p(w|h) of class k."""
+        own = self._look(self.pair, self.pair_own[k], mix(before * _PAIR ^ word))
+        return own + self._look(self.history, self.pair_left[k], before, 1.0) * self.word_probability(k, word)
+
     def evidence(self, words: Words) -> np.ndarray:
-        """The log-likelihood difference of each word given the one before; 0 for what the counts have not kept."""
-        _, both = _ngrams(words)
-        return self._look(self.pair, self.pair_llr, both, self._look(self.word, self.word_llr, words.hashes))
+        """The difference of each word's log-probabilities given the one before."""
+        before, _ = _ngrams(words)
+        return np.log(self.probability(1, before, words.hashes)) - np.log(self.probability(0, before, words.hashes))
 
     def means(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Words and mean evidence of each text (0 where it has no words)."""
@@ -87,29 +126,24 @@ class KneserNey:
 
 
 def _count_batches(batches):
-    """(fold, toxic, kind, word before, word, texts with it); kind 0: the texts, 1: words, 2: pairs."""
+    """(fold, toxic, word before, word, texts with the pair); before _ANY: texts with the word."""
     for batch in batches:
         for start, stop in slices(batch.column(0)):
             part = batch.slice(start, stop - start)
             words = Words(part.column(0).to_pylist(), IN_LETTER_WORD)
             before, _ = _ngrams(words)
-            owner = words.owner()
             group = part.column(1).to_numpy(zero_copy_only=False) * 2 + part.column(2).to_numpy(zero_copy_only=False)
-            seen = {"owner": owner, "group": group[owner], "before": before.view(np.int64)}
-            pairs = pd.DataFrame(seen | {"word": words.hashes.view(np.int64)}).drop_duplicates()
-            tables = [
-                pd.DataFrame({"group": group}).groupby("group").size().reset_index(name="n"),
-                pairs.drop_duplicates(["owner", "word"]).groupby(["group", "word"]).size().reset_index(name="n"),
-                pairs.groupby(["group", "before", "word"]).size().reset_index(name="n"),
-            ]
-            for kind, once in enumerate(tables):
-                columns = [once["group"] // 2, once["group"] % 2, np.full(len(once), kind)]
-                columns += [once[c] if c in once else np.zeros(len(once)) for c in ("before", "word")] + [once["n"]]
-                types = [pa.int32()] * 3 + [pa.int64()] * 3
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.asarray(c).astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)],
-                    names=["fold", "toxic", "kind", "before", "word", "n"],
-                )
+            owner = words.owner()
+            seen = {"owner": owner, "group": group[owner], "before": before.view(np.int64), "word": words.hashes.view(np.int64)}
+            once = pd.DataFrame(seen).drop_duplicates()
+            words_once = once.drop_duplicates(["owner", "word"]).assign(before=_ANY)
+            once = pd.concat([once, words_once]).groupby(["group", "before", "word"]).size().reset_index(name="n")
+            columns = [once["group"] // 2, once["group"] % 2, once["before"], once["word"], once["n"]]
+            types = [pa.int32()] * 2 + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.asarray(c).astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)],
+                names=["fold", "toxic", "before", "word", "n"],
+            )
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -147,71 +181,90 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_toxicity(
-    documents: DataFrame, labels: DataFrame, class_bound: int = CLASS_BOUND, least: int = LEAST
-) -> ToxicityModel:
-    """Fit on at most ``class_bound`` labelled texts of each class that are not held out.
+#: The models that are fitted, by the folds that they see: one to judge each fold's texts without them, and the one that is used.
+FOLDS = 4
+_MODELS = (*(tuple(f for f in range(FOLDS) if f != out) for out in range(FOLDS)), tuple(range(FOLDS)))
+
+
+def fit_toxicity(documents: DataFrame, labels: DataFrame, text_bound: int = TEXT_BOUND, least: int = LEAST) -> ToxicityModel:
+    """Fit on at most ``text_bound`` labelled texts that are not held out.
 
-    Rows without id, text or label are not learned from; an id labelled twice counts as toxic if either label says so.
-    The sample, and with it all that comes to the driver, is bounded by the parameter.
+    Rows without id, text or label are not learned from; an id labelled twice counts as toxic if either label says so, and of
+    the texts of one id that with the least hash counts.  The sample, and with it all that comes to the driver, is bounded
+    by the parameter.
     """
-    labelled = (
+    scratch = Scratch(documents.sparkSession, "toxicity")
+    pick = (
         labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
         .where("id IS NOT NULL AND toxic IS NOT NULL")
         .where(~held_out("id"))
         .groupBy("id")
         .agg(F.max("toxic").alias("toxic"))
         .withColumn("turn", F.xxhash64(F.col("id").cast("string")))
+        .orderBy("turn", "id")
+        .limit(text_bound)
     )
-    pick = None
-    for toxic in (0, 1):
-        part = labelled.where(F.col("toxic") == toxic).orderBy("turn", "id").limit(class_bound)
-        pick = part if pick is None else pick.unionAll(part)
-    pick = pick.withColumn("fold", F.when(F.col("turn") % 2 == 0, 0).otherwise(1))
     texts = (
         documents.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
         .where("text IS NOT NULL")
-        .join(F.broadcast(pick), "id")  # at most 2 * class_bound ids
-        .select("text", "fold", "toxic", "id")
+        .join(F.broadcast(pick), "id")  # at most text_bound ids
+        .groupBy("id", "toxic", F.pmod("turn", F.lit(FOLDS)).cast("int").alias("fold"))
+        .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
     )
-    counted = texts.select("text", "fold", "toxic").mapInArrow(
-        _count_batches, "fold int, toxic int, kind int, before long, word long, n long"
-    )
-    by_class = [
-        F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"c{f}{t}")
-        for f in (0, 1)
-        for t in (0, 1)
-    ]
-    often = F.expr(f"kind = 0 OR c00 + c01 + c10 + c11 >= {int(least)}")
-    table = counted.groupBy("kind", "before", "word").agg(*by_class).where(often).toPandas()
-    size = table[table["kind"] == 0]
-    if any(not size[[f"c0{t}", f"c1{t}"]].to_numpy().sum() for t in (0, 1)):
+    texts = scratch.keep(texts.select("text", "fold", "toxic"), "texts")
+    counted = texts.mapInArrow(_count_batches, "fold int, toxic int, before long, word long, n long")
+    cell = [(f, t) for f in range(FOLDS) for t in (0, 1)]
+    by_class = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"c{f}{t}") for f, t in cell]
+    pairs = scratch.keep(counted.groupBy("before", "word").agg(*by_class), "pairs")
+
+    def seen(folds: tuple[int, ...], toxic: int):
+        return F.count_if(F.expr(f"before <> {_ANY} AND " + " + ".join(f"c{f}{toxic}" for f in folds) + " > 0"))
+
+    # Distinct words before each word, by model and class, and the texts with it
+    after = [seen(folds, k).alias(f"a{m}{k}") for m, folds in enumerate(_MODELS) for k in (0, 1)]
+    after += [F.sum(F.when(F.col("before") == _ANY, F.col(f"c{f}{t}")).otherwise(0)).alias(f"c{f}{t}") for f, t in cell]
+    words = scratch.keep(pairs.groupBy("word").agg(*after), "words")
+    sums = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in words.columns[1:]]).first().asDict()
+    if any(not sums[f"a{m}{k}"] for m in range(len(_MODELS)) for k in (0, 1)):
         return ToxicityModel(None)
-    single, pairs = table[table["kind"] == 1], table[table["kind"] == 2]
+    size = {(r.fold, r.toxic): r["count"] for r in texts.groupBy("fold", "toxic").count().collect()}
+    enough = F.expr(" + ".join(f"c{f}{t}" for f, t in cell)) >= least
+    pairs = pairs.where(F.col("before") != _ANY)
+    often = pairs.where(enough)
+    histories = pairs.groupBy("before").agg(*[F.sum(f"c{f}{t}").alias(f"c{f}{t}") for f, t in cell])
+    word_table = words.where(enough).toPandas()
+    pair_table = often.toPandas()
+    history_table = histories.join(often.select("before"), "before", "left_semi").toPandas()
 
     def bits(column) -> np.ndarray:
         return column.to_numpy().astype(np.int64).view(np.uint64)
 
-    def model(folds: tuple[int, ...]) -> KneserNey:
-        n = [[sum(rows[f"c{f}{t}"].to_numpy() for f in folds).astype(float) for t in (0, 1)] for rows in (single, pairs)]
-        texts_of = [float(sum(size[f"c{f}{t}"].sum() for f in folds)) for t in (0, 1)]
-        return KneserNey(texts_of, bits(single["word"]), n[0], bits(pairs["before"]), bits(pairs["word"]), n[1])
+    def model(m: int) -> KneserNey:
+        def by_fold(table) -> list[np.ndarray]:
+            return [sum(table[f"c{f}{t}"].to_numpy(dtype=float) for f in _MODELS[m]) for t in (0, 1)]
+
+        after = [word_table[f"a{m}{k}"].to_numpy(dtype=float) for k in (0, 1)]
+        return KneserNey(
+            [float(sum(size.get((f, t), 0) for f in _MODELS[m])) for t in (0, 1)],
+            bits(word_table["word"]), by_fold(word_table), after, [float(sums[f"a{m}{k}"]) for k in (0, 1)],
+            bits(pair_table["before"]), bits(pair_table["word"]), by_fold(pair_table),
+            bits(history_table["before"]), by_fold(history_table),
+        )
 
-    halves = [model((1,)), model((0,))]  # a text of fold f is judged by the model without it
+    parts = [model(m) for m in range(FOLDS)]  # a text of fold f is judged by the model without it
 
     def judge(batches):
         for batch in batches:
             for start, stop in slices(batch.column(0)):
                 part = batch.slice(start, stop - start)
                 fold = part.column(1).to_numpy(zero_copy_only=False)
-                both = [m.means(part.column(0).to_pylist())[1] for m in halves]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.where(fold == 0, *both)), part.column(2)], names=["llr", "toxic"]
-                )
-
-    seen = texts.select("text", "fold", "toxic").mapInArrow(judge, "llr double, toxic int").toPandas()
-    slope, offset = _logistic(seen["llr"].to_numpy(), seen["toxic"].to_numpy().astype(float))
-    return ToxicityModel(model((0, 1)), slope, offset)
+                each = np.stack([m.means(part.column(0).to_pylist())[1] for m in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(each[fold, np.arange(len(fold))]), part.column(2)], names=["llr", "toxic"])
+
+    judged = texts.mapInArrow(judge, "llr double, toxic int").toPandas()  # a row for each sampled text
+    slope, offset = _logistic(judged["llr"].to_numpy(), judged["toxic"].to_numpy().astype(float))
+    scratch.drop("texts", "pairs", "words")
+    return ToxicityModel(model(FOLDS), slope, offset)
 
 
 def score_toxicity(
