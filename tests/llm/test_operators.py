@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -10,10 +11,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxframe.llm import langid, licenses
 from voxframe.llm.decontam import find_leaks
 from voxframe.llm.langid import fit_languages, identify_languages, keep_languages
 from voxframe.llm.licenses import evaluate, scan_licenses, to_postfix
-from voxframe.llm.media import encode_media, media_features, pad, png_decode, png_encode
+from voxframe.llm.media import cosine_hash, encode_media, filtered, media_features, pad, png_decode, png_encode, unfilter
 from voxframe.llm.ngramjoin import near_duplicates
 from voxframe.llm.secrets import RULES, find_secrets, mask_secrets, secret_digests, trigram_query
 from voxframe.llm.shared import Scratch
@@ -203,6 +205,23 @@ def test_media_round_trip(docs, empty, odd):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
         media = png_encode(pad(data))
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    rng = np.random.RandomState(1)
+    for step, kinds in ((1, (0,)), (1, (1,)), (1, (2,)), (1, (3,)), (3, (4,)), (2, (0, 1, 2)), (3, (0, 1, 2, 3, 4)), (4, (3, 4))):
+        image = np.cumsum(rng.randint(-9, 9, (23, 24 * step)), axis=1).astype(np.uint8)
+        raw = filtered(image, kinds, step)
+        assert set(raw[:, 0]) <= set(kinds) and (unfilter(raw[:, 1:], raw[:, 0], step) == image).all()
+    plain = png_decode(png_encode(pad(b"several rows of text " * 99), kinds=(0,)))
+    assert all((png_decode(png_encode(pad(b"several rows of text " * 99), kinds=k)) == plain).all() for k in ((1, 2), (3, 4)))
+    with pytest.raises(ValueError):
+        unfilter(plain, np.full(len(plain), 5), 1)
+    for image in (plain, rng.randint(0, 256, (70, 96)).astype(np.uint8)):  # the hash by a direct transform
+        h, w = image.shape
+        cut = lambda n, k: slice(k * n // 32, max((k + 1) * n // 32, k * n // 32 + 1))
+        small = [[image[cut(h, y), cut(w, x)].astype(float).mean(axis=0).mean() for x in range(32)] for y in range(32)]
+        wave = lambda k, n: np.cos(np.pi * k * (2 * n + 1) / 64)
+        low = [sum(small[y][x] * wave(u, y) * wave(v, x) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+        low = np.round(low, 6)
+        assert cosine_hash(image) == np.packbits(low > np.median(low[1:])).tobytes()
     media = bytearray(png_encode(pad(b"some text")))
     media[45] ^= 1
     with pytest.raises(ValueError):
@@ -283,6 +302,45 @@ def test_language_on_held_out_texts(spark, empty, docs):
     assert kept.columns == texts.columns and {r.doc_id for r in kept.collect()} == set(range(300))
 
 
+def test_language_profiles_equal_plain_sums_and_stay_small(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(7)
+    letters = langid.letter_vectors().astype(int)
+    texts = ["Ab c", "", "12", "  éa--Bc  ", "漢字かな", "".join(rng.choice("abc de1漢") for _ in range(500))]
+
+    def plain(text):
+        codes = [int(langid.letter_codes()[ord(c)]) for c in f" {text} "]
+        codes = [c for k, c in enumerate(codes) if k == 0 or c or codes[k - 1]]
+        total = np.zeros(langid.DIMENSIONS, dtype=int)
+        for k in range(len(codes) - 2):
+            total += np.roll(letters[codes[k]], 2) * np.roll(letters[codes[k + 1]], 1) * letters[codes[k + 2]]
+        return total, max(len(codes) - 2, 0)
+
+    for piece, kinds in ((1 << 20, 1 << 13), (7, 3)):
+        monkeypatch.setattr(langid, "_PIECE", piece)
+        monkeypatch.setattr(langid, "_KINDS", kinds)
+        made = langid.Profiles(texts, langid.letter_vectors())
+        for k, text in enumerate(texts):
+            total, n = plain(text)
+            assert (made.bundles[k] == total).all() and made.n_grams[k] == n
+        assert made.letters.tolist() == [any(c.isalpha() for c in t) for t in texts]
+    monkeypatch.undo()
+    long = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(200_000)) * 60  # 36 MB of many kinds
+    tracemalloc.start()
+    langid.Profiles([long], langid.letter_vectors())
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
+def test_license_tags_on_one_line_take_linear_time():
+    kernel = licenses._kernel()
+    start = time.perf_counter()
+    made = kernel(["license-expression: mit or so it seems " * 40_000, "spdx-license-identifier: mit\nor apache"])
+    assert made["n_tags"] == [40_000, 1] and made["labels"] == ["mit", "mit"] and made["expression"] == [None, "mit"]
+    assert time.perf_counter() - start < 10
+
+
 def test_decontamination_finds_other_numbers_and_spares_clean_texts(spark, empty):
     items = [
         (1, "A train leaves the station at 40 km per hour and Anna waits 15 minutes before she follows it on foot."),

@@ -19,8 +19,8 @@ from .toxicity import held_out
 DIMENSIONS, GRAM = 1024, 3
 #: Letter codes: 0 for what is no letter, 1-26 for a-z, the rest shared by all other letters.
 ALPHABET = 128
-#: Texts bundled at once; the sharpness of the score.
-_BLOCK, _SHARP = 64, 12.0
+#: Texts and kinds of windows bundled at once, and the characters of a piece; the sharpness of the score.
+_BLOCK, _KINDS, _PIECE, _SHARP = 64, 1 << 13, 1 << 20, 12.0
 FIELDS = "lang_pred string, score double, similarity double, n_grams long"
 UNDETERMINED = "und"
 _letter_codes: list[np.ndarray] = []
@@ -43,47 +43,74 @@ def letter_vectors() -> np.ndarray:
     return np.random.RandomState(11).choice(np.array([-1, 1], dtype=np.int8), (ALPHABET, DIMENSIONS))
 
 
-class Grams:
-    """Window codes of a list of texts: runs of other characters count as one gap, also before and after the text."""
-
-    def __init__(self, texts: list):
-        table = letter_codes()
-        coded, self.letters, size = [], [], []
-        for text in texts:
-            points = np.frombuffer((text or "").encode("utf-32-le", "replace"), dtype=np.uint32)
-            codes = np.r_[np.uint8(0), table[points], np.uint8(0)]
-            keep = np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]
-            codes = codes[keep]
-            self.letters.append(bool(codes.any()))
-            n = max(len(codes) - GRAM + 1, 0)
-            gram = np.zeros(n, dtype=np.int32)
-            for k in range(GRAM):
-                gram = gram * ALPHABET + codes[k : k + n]
-            coded.append(gram)
-            size.append(n)
-        self.first = np.r_[0, np.cumsum(size)]
-        codes = np.concatenate(coded) if coded else np.zeros(0, dtype=np.int32)
-        present = np.bincount(codes, minlength=ALPHABET**GRAM) > 0
-        self.kinds = np.flatnonzero(present)
-        place = np.zeros(ALPHABET**GRAM, dtype=np.int32)
-        place[self.kinds] = np.arange(len(self.kinds))
-        self.index = place[codes]
+class Profiles:
+    """The bundled windows of a list of texts: bundles (one row a text), n_grams, and letters (whether it has any).
+
+    Runs of other characters count as one gap, also before and after the text.  ``groups``: texts of one number share a row.
+    Neither a long text nor many kinds of windows are held at once: texts are read in pieces, and kinds are bound in blocks.
+    """
 
-    def vectors(self, letters: np.ndarray) -> np.ndarray:
-        """The bound vector of every kind of window."""
-        bound = np.ones((len(self.kinds), DIMENSIONS), dtype=np.int8)
+    def __init__(self, texts: list, letters: np.ndarray, groups: np.ndarray | None = None, dtype=np.float32):
+        rows = np.arange(len(texts)) if groups is None else groups
+        self.bundles = np.zeros((int(rows.max(initial=-1)) + 1, DIMENSIONS), dtype=dtype)
+        self.n_grams, self.letters = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=bool)
+        held, owner, size = [], [], 0
+        for k, text in enumerate(texts):
+            for codes, lettered in _pieces(text or ""):
+                self.letters[k] |= lettered
+                self.n_grams[k] += len(codes)
+                held.append(codes)
+                owner.append(np.full(len(codes), rows[k], dtype=np.int32))
+                size += len(codes)
+                if size >= _PIECE:
+                    self._add(np.concatenate(held), np.concatenate(owner), letters)
+                    held, owner, size = [], [], 0
+        if size:
+            self._add(np.concatenate(held), np.concatenate(owner), letters)
+
+    def _add(self, codes: np.ndarray, owner: np.ndarray, letters: np.ndarray) -> None:
+        kinds = np.flatnonzero(np.bincount(codes, minlength=ALPHABET**GRAM))
+        place = np.zeros(ALPHABET**GRAM, dtype=np.int32)
+        place[kinds] = np.arange(len(kinds))
+        index = place[codes]
+        for low in range(0, len(kinds), _KINDS):
+            some = kinds[low : low + _KINDS]
+            bound = _bound(some, letters).astype(self.bundles.dtype)
+            here = np.flatnonzero((index >= low) & (index < low + _KINDS)) if len(kinds) > _KINDS else np.arange(len(index))
+            row, kind = owner[here], index[here] - low  # rows ascend
+            first = np.searchsorted(row, np.arange(0, len(self.bundles) + _BLOCK, _BLOCK))
+            for block, (start, stop) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                if start == stop:
+                    continue
+                top = min(_BLOCK, len(self.bundles) - block * _BLOCK)
+                cell = (row[start:stop] - block * _BLOCK) * len(some) + kind[start:stop]
+                counts = np.bincount(cell, minlength=top * len(some)).reshape(top, len(some))
+                self.bundles[block * _BLOCK : block * _BLOCK + top] += counts.astype(bound.dtype) @ bound
+
+
+def _pieces(text: str):
+    """(window codes, whether a letter is in them) of a text, piece by piece."""
+    table, held = letter_codes(), np.zeros(1, dtype=np.uint8)
+    for start in range(0, max(len(text), 1), _PIECE):
+        points = np.frombuffer(text[start : start + _PIECE].encode("utf-32-le", "replace"), dtype=np.uint32)
+        end = np.zeros(int(start + _PIECE >= len(text)), dtype=np.uint8)
+        codes = np.r_[held, table[points], end]
+        codes = codes[np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]]
+        n = max(len(codes) - GRAM + 1, 0)
+        gram = np.zeros(n, dtype=np.int32)
         for k in range(GRAM):
-            code = self.kinds // ALPHABET ** (GRAM - 1 - k) % ALPHABET
-            bound *= np.roll(letters, GRAM - 1 - k, axis=1)[code]
-        return bound.astype(np.float32)
+            gram = gram * ALPHABET + codes[k : k + n]
+        yield gram, bool(codes.any())
+        held = codes[-(GRAM - 1) :]
+
 
-    def counts(self, start: int, stop: int) -> np.ndarray:
-        """Texts x kinds of windows."""
-        size = np.diff(self.first[start : stop + 1])
-        cell = np.repeat(np.arange(stop - start), size) * len(self.kinds)
-        cell += self.index[self.first[start] : self.first[stop]]
-        flat = np.bincount(cell, minlength=(stop - start) * len(self.kinds))
-        return flat.reshape(stop - start, len(self.kinds)).astype(np.float32)
+def _bound(kinds: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The bound vector of every kind of window."""
+    bound = np.ones((len(kinds), DIMENSIONS), dtype=np.int8)
+    for k in range(GRAM):
+        code = kinds // ALPHABET ** (GRAM - 1 - k) % ALPHABET
+        bound *= np.roll(letters, GRAM - 1 - k, axis=1)[code]
+    return bound
 
 
 class LanguageModel:
@@ -107,13 +134,11 @@ def fit_languages(documents: DataFrame) -> LanguageModel:
         letters = letter_vectors()
         for batch in batches:
             for start, stop in slices(batch.column(0)):
-                grams = Grams(batch.column(0).slice(start, stop - start).to_pylist())
-                names = np.array(batch.column(1).slice(start, stop - start).to_pylist(), dtype=object)
-                owner = np.repeat(np.arange(len(names)), np.diff(grams.first))
-                vectors = grams.vectors(letters).astype(np.float64)
-                for name in sorted(set(names)):
-                    mine = (names == name)[owner]
-                    total = np.bincount(grams.index[mine], minlength=len(grams.kinds)) @ vectors
+                names, group = np.unique(batch.column(1).slice(start, stop - start).to_pylist(), return_inverse=True)
+                order = np.argsort(group, kind="stable")
+                texts = batch.column(0).slice(start, stop - start).to_pylist()
+                made = Profiles([texts[k] for k in order], letters, group[order], np.float64)
+                for name, total in zip(names.tolist(), made.bundles, strict=True):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([name] * DIMENSIONS),
@@ -151,26 +176,21 @@ def identify_languages(
         fitted, letters = shared.value, letter_vectors()
 
         def work(texts: list) -> dict[str, list]:
-            grams = Grams(texts)
-            vectors = grams.vectors(letters)
-            out: dict[str, list] = {"lang_pred": [], "score": [], "similarity": [], "n_grams": []}
-            for start in range(0, len(texts), _BLOCK):
-                stop = min(start + _BLOCK, len(texts))
-                profile = grams.counts(start, stop) @ vectors
-                profile /= np.maximum(np.linalg.norm(profile, axis=1, keepdims=True), 1e-9)
-                apart, plain = profile @ fitted.apart.T, profile @ fitted.unit.T
-                for k in range(stop - start):
-                    if not grams.letters[start + k] or not fitted.names:
-                        best, share, near = UNDETERMINED, 0.0, 0.0
-                    else:
-                        at = int(np.argmax(apart[k]))
-                        weight = np.exp(_SHARP * (apart[k].astype(float) - float(apart[k][at])))
-                        best, share = fitted.names[at], float(1 / weight.sum())
-                        near = float(np.clip(plain[k][at], 0, 1))
-                    out["lang_pred"].append(best)
-                    out["score"].append(share)
-                    out["similarity"].append(near)
-                    out["n_grams"].append(int(grams.first[start + k + 1] - grams.first[start + k]))
+            made = Profiles(texts, letters)
+            profile = made.bundles / np.maximum(np.linalg.norm(made.bundles, axis=1, keepdims=True), 1e-9)
+            out: dict[str, list] = {"lang_pred": [], "score": [], "similarity": [], "n_grams": made.n_grams.tolist()}
+            apart, plain = profile @ fitted.apart.T, profile @ fitted.unit.T
+            for k in range(len(texts)):
+                if not made.letters[k] or not fitted.names:
+                    best, share, near = UNDETERMINED, 0.0, 0.0
+                else:
+                    at = int(np.argmax(apart[k]))
+                    weight = np.exp(_SHARP * (apart[k].astype(float) - float(apart[k][at])))
+                    best, share = fitted.names[at], float(1 / weight.sum())
+                    near = float(np.clip(plain[k][at], 0, 1))
+                out["lang_pred"].append(best)
+                out["score"].append(share)
+                out["similarity"].append(near)
             return out
 
         return work
@@ -197,16 +217,12 @@ def keep_languages(
         for batch in batches:
             for start, stop in slices(batch.column(at)):
                 part = batch.slice(start, stop - start)
-                grams = Grams(part.column(at).to_pylist())
-                vectors = grams.vectors(letters)
-                keep = np.array(grams.letters, dtype=bool)
-                for first in range(0, len(keep) if fitted.names else 0, _BLOCK):
-                    last = min(first + _BLOCK, len(keep))
-                    profile = grams.counts(first, last) @ vectors
-                    profile /= np.maximum(np.linalg.norm(profile, axis=1, keepdims=True), 1e-9)
+                made = Profiles(part.column(at).to_pylist(), letters)
+                keep = made.letters.copy()
+                if fitted.names:
+                    profile = made.bundles / np.maximum(np.linalg.norm(made.bundles, axis=1, keepdims=True), 1e-9)
                     near = (profile @ fitted.unit.T).max(axis=1, initial=-1.0)
-                    long = np.diff(grams.first[first : last + 1]) >= from_grams
-                    keep[first:last] &= ~(long & (near < least))
+                    keep &= ~((made.n_grams >= from_grams) & (near < least))
                 yield part.filter(pa.array(keep))
 
     return df.mapInArrow(run, df.schema)

@@ -60,7 +60,7 @@ _WORD_BYTES = bytes(
 )
 _LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _HEAD = re.compile(r"[ \t\r*/#\"';,-]*")
-_ITEM = re.compile(r"\s*([()]|[a-z0-9][a-z0-9.+-]*)")
+_ITEM = re.compile(r"[^\S\n]*([()]|[a-z0-9][a-z0-9.+-]*)")
 _TAIL = re.compile(r"[ \t\r*/#\"';,-]*(?:\n|$)")
 _FIRST = re.compile(r"[(),;.]*([^ \n(),;]*)")
 _RANK = {"with": 3, "and": 2, "or": 1}

@@ -35,44 +35,64 @@ def pad(data: bytes) -> bytes:
     return data + b"\xff" * (-len(data) % WIDTH if data else WIDTH)
 
 
-def png_encode(payload: bytes, level: int = 1) -> bytes:
-    """An 8-bit grey image whose samples are the payload, one filter byte (none) before each row."""
-    rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH)
-    raw = np.zeros((len(rows), WIDTH + 1), dtype=np.uint8)
-    raw[:, 1:] = rows
-    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
+def filtered(rows: np.ndarray, kinds: tuple[int, ...] = (0, 1, 2), step: int = 1) -> np.ndarray:
+    """Rows of bytes after their filter byte: of ``kinds`` each row gets the one whose result has the least magnitude."""
+    wide = rows.astype(np.int16)
+    left, up, corner = np.zeros_like(wide), np.zeros_like(wide), np.zeros_like(wide)
+    left[:, step:], up[1:], corner[1:, step:] = wide[:, :-step], wide[:-1], wide[:-1, :-step]
+    guesses = {0: lambda: 0, 1: lambda: left, 2: lambda: up, 3: lambda: (left + up) // 2, 4: lambda: _nearest(left, up, corner)}
+    made = [(wide - guesses[k]()).astype(np.uint8) for k in kinds]
+    best = np.argmin([np.abs(m.view(np.int8).astype(np.int32)).sum(axis=1) for m in made], axis=0)
+    out = np.empty((len(rows), rows.shape[1] + 1), dtype=np.uint8)
+    out[:, 0] = np.array(kinds, dtype=np.uint8)[best]
+    for k, m in enumerate(made):
+        out[best == k, 1:] = m[best == k]
+    return out
+
+
+def png_encode(payload: bytes, level: int = 1, kinds: tuple[int, ...] = (0, 1, 2)) -> bytes:
+    """An 8-bit grey image whose samples are the payload, each row filtered by one of ``kinds``."""
+    raw = filtered(np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH), kinds)
+    head = struct.pack(">IIBBBBB", WIDTH, len(raw), 8, 0, 0, 0, 0)
     return _MAGIC + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
+def _nearest(left, up, corner):
+    """Of the three neighbours the one nearest to left + up - corner; the first named of equally near ones."""
+    near = left + up - corner
+    a, b, c = np.abs(near - left), np.abs(near - up), np.abs(near - corner)
+    return np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+
+
+def _diagonals(raw: np.ndarray, kinds: np.ndarray, step: int) -> np.ndarray:
+    """Undo filters that look left and up at once: what lies on one diagonal needs the diagonals before it only."""
+    height, width = raw.shape[0], raw.shape[1] // step
+    given = raw.reshape(height, width, step).astype(np.int16)
+    out = np.zeros((height + 1, width + 1, step), dtype=np.int16)  # zeros above and on the left
+    for d in range(width + height - 1):
+        r = np.arange(max(0, d - width + 1), min(height, d + 1))
+        left, up, corner = out[r + 1, d - r], out[r, d - r + 1], out[r, d - r]
+        kind = kinds[r][:, None]
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) // 2, _nearest(left, up, corner)], 0)
+        out[r + 1, d - r + 1] = (given[r, d - r] + guess) & 255
+    return out[1:, 1:].reshape(raw.shape).astype(np.uint8)
+
+
 def unfilter(raw: np.ndarray, kinds: np.ndarray, step: int) -> np.ndarray:
     """Undo the five row filters.  raw: rows of bytes; kinds: the filter of each row; step: bytes between like samples."""
+    if kinds.max(initial=0) > 4:
+        raise ValueError(f"unknown row filter {kinds.max()}")
+    if (kinds > 2).any():
+        return _diagonals(raw, kinds, step)
     out = raw.copy()
-    if not kinds.any():
-        return out
-    width, above = raw.shape[1], np.zeros(raw.shape[1], dtype=np.uint8)
-    for r, kind in enumerate(kinds):
-        row = out[r]
-        if kind == 1:
-            for c in range(step):
-                row[c::step] = np.cumsum(row[c::step], dtype=np.uint64).astype(np.uint8)
-        elif kind == 2:
-            row += above
-        elif kind in (3, 4):
-            done, up = row.astype(int).tolist(), above.astype(int).tolist()
-            for i in range(width):
-                left = done[i - step] if i >= step else 0
-                if kind == 3:
-                    guess = (left + up[i]) // 2
-                else:
-                    corner = up[i - step] if i >= step else 0
-                    near = left + up[i] - corner
-                    a, b, c = abs(near - left), abs(near - up[i]), abs(near - corner)
-                    guess = left if a <= b and a <= c else up[i] if b <= c else corner
-                done[i] = (done[i] + guess) & 255
-            row[:] = done
-        elif kind:
-            raise ValueError(f"unknown row filter {kind}")
-        above = row
+    for c in range(step):  # bytes wrap around, as the filters do
+        out[kinds == 1, c::step] = np.cumsum(raw[kinds == 1, c::step], axis=1, dtype=np.uint8)
+    upward = kinds == 2
+    upward[:1] = False  # nothing is above the first row
+    first = np.flatnonzero(upward & ~np.r_[False, upward[:-1]])
+    last = np.flatnonzero(upward & ~np.r_[upward[1:], False])
+    for a, b in zip(first, last, strict=True):  # a run of such rows adds up from the row before it
+        out[a - 1 : b + 1] = np.cumsum(out[a - 1 : b + 1], axis=0, dtype=np.uint8)
     return out
 
 
