@@ -56,14 +56,16 @@ WITH_SPANS = f"WITH spans AS ({SPANS}) "
 
 
 def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speaker segments a second later than the turns, cut by half a second, without each fourth turn."""
-    return spans(spark, sf_dir).where("seg_no % 4 <> 3").select(
-        "media_id", F.col("seg_no").alias("ord"), (F.col("start") + 1.0).alias("start"), (F.col("end") + 0.5).alias("end"), "speaker"
+    """Speaker segments a second later than the turns and cut by half a second; each fourth one an hour later, out of reach."""
+    late = F.when(F.col("seg_no") % 4 == 3, 3600.0).otherwise(0.0)
+    return spans(spark, sf_dir).select(
+        "media_id", F.col("seg_no").alias("ord"), (F.col("start") + 1.0 + late).alias("start"), (F.col("end") + 0.5 + late).alias("end"), "speaker"
     )
 
 
-WITH_SHIFTED = f"""WITH spans AS ({SPANS}), segs AS (SELECT media_id, seg_no AS ord, "start" + 1.0::DOUBLE AS s2,
-  "end" + 0.5::DOUBLE AS e2, speaker AS spk FROM spans WHERE seg_no % 4 <> 3) """
+WITH_SHIFTED = f"""WITH spans AS ({SPANS}), segs AS (SELECT media_id, seg_no AS ord,
+  "start" + 1.0::DOUBLE + CASE WHEN seg_no % 4 = 3 THEN 3600.0::DOUBLE ELSE 0.0::DOUBLE END AS s2,
+  "end" + 0.5::DOUBLE + CASE WHEN seg_no % 4 = 3 THEN 3600.0::DOUBLE ELSE 0.0::DOUBLE END AS e2, speaker AS spk FROM spans) """
 
 _FIXED = "printf('%.2f', {0})"
 
@@ -336,10 +338,10 @@ _FRAMES = """WITH frames AS (SELECT user_id AS media_id, 0 AS speaker_id, row_nu
   AS frame, value / 500.0::DOUBLE AS p FROM events)"""
 _MEDIAN = """, med AS (SELECT media_id, speaker_id, frame, list_sort(list(p) OVER w)[(len(list(p) OVER w)) // 2 + 1] AS p FROM frames
   WINDOW w AS (PARTITION BY media_id ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))"""
-_ACTIVE = """, act AS (SELECT *, coalesce(last_value(CASE WHEN p >= 0.2 THEN 1 WHEN p < 0.15 THEN 0 END IGNORE NULLS) OVER (PARTITION BY media_id
+_ACTIVE = """, act AS (SELECT *, coalesce(last_value(CASE WHEN p >= 0.11 THEN 1 WHEN p < 0.09 THEN 0 END IGNORE NULLS) OVER (PARTITION BY media_id
   ORDER BY frame), 0) AS a FROM med), runs AS (SELECT *, frame - row_number() OVER (PARTITION BY media_id, a ORDER BY frame) AS g FROM act),
   seg AS (SELECT media_id, min(frame) * 0.08::DOUBLE AS s, (max(frame) + 1) * 0.08::DOUBLE AS e FROM runs WHERE a = 1 GROUP BY media_id, g)"""
-_T = diarize.Thresholds(onset=0.2, offset=0.15, min_on=0.1, min_off=0.3)
+_T = diarize.Thresholds(onset=0.11, offset=0.09, min_on=0.1, min_off=0.3)
 
 
 @query(_FRAMES + _MEDIAN + " SELECT media_id, frame::BIGINT AS frame, round(p, 6) AS p FROM med")
@@ -403,9 +405,8 @@ def application_state(spark, sf_dir):
 
 @query("SELECT user_id FROM events GROUP BY 1 HAVING sqrt(avg((value / 500.0::DOUBLE) * (value / 500.0::DOUBLE))) >= 0.03::DOUBLE")
 def silence_gate(spark, sf_dir):
-    x = F.col("value") / 500.0
-    loud = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sqrt(F.avg(x * x)).alias("level"))
-    return loud.where("level >= 0.03").select("user_id")
+    samples = table(spark, sf_dir, "events").select(F.col("user_id").alias("media_id"), (F.col("value") / 500.0).alias("value"))
+    return signal.loud_enough(samples).select(F.col("media_id").alias("user_id"))
 
 
 @query(
@@ -417,12 +418,12 @@ def sensitivity(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(t["onset"], 6).alias("onset"), F.round(t["offset"], 6).alias("off"))
 
 
-@query("SELECT user_id, sum(value) FILTER (WHERE event_type = 'click') AS clicks, count(*) AS n, json_extract_string(any_value(props), '$.k') IS NOT NULL AS has_k FROM events GROUP BY 1")
+@query("SELECT user_id, sum(value) FILTER (WHERE event_type = 'click') AS clicks, count(*) AS n, max(json_extract_string(props, '$.k')) IS NOT NULL AS has_k FROM events GROUP BY 1")
 def props_read(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(
         F.sum(F.when(F.col("event_type") == "click", F.col("value"))).alias("clicks"),
         F.count("*").alias("n"),
-        F.get_json_object(F.first("props"), "$.k").isNotNull().alias("has_k"),
+        F.max(F.get_json_object("props", "$.k")).isNotNull().alias("has_k"),
     )
 
 
@@ -556,13 +557,13 @@ def levels(spark, sf_dir):
 @query(
     _CELLS
     + """, b AS (SELECT vec_id, abs(x) AS m, (i + 1) * 62.5::DOUBLE AS hz FROM c), p AS (SELECT *, floor(ln(hz / 80.0::DOUBLE) / ln(50.0::DOUBLE) * 8)::INTEGER AS band FROM b WHERE hz >= 80 AND hz < 4000)
-    SELECT vec_id, band, round(0.6::DOUBLE * sqrt(avg(m * m)) + 0.4::DOUBLE * max(m), 6) AS level FROM p GROUP BY ALL"""
+    SELECT vec_id, band, round((0.6::DOUBLE * sqrt(avg(m * m)) + 0.4::DOUBLE * max(m)) * sqrt(pow(50.0::DOUBLE, (min(band) + 0.5::DOUBLE) / 8)) * 1000 / 32768.0::DOUBLE, 6) AS level FROM p GROUP BY ALL"""
 )
 def band_levels(spark, sf_dir):
     bins = _cells(table(spark, sf_dir, "embeddings"), F.col("embedding")).select(
         F.col("vec_id").alias("media_id"), F.lit(0).alias("frame"), ((F.col("i") + 1) * 62.5).alias("hz"), F.abs(F.col("x").cast("double")).alias("magnitude")
     )
-    return signal.band_levels(bins).select(F.col("media_id").alias("vec_id"), "band", F.round("level", 6).alias("level"))
+    return signal.band_levels(bins).select(F.col("media_id").alias("vec_id"), "band", F.round(F.col("level") * 1000, 6).alias("level"))
 
 
 @query("SELECT vec_id, round(CASE WHEN hz < 1000 THEN hz * 3.0::DOUBLE / 200.0::DOUBLE ELSE 15.0::DOUBLE + ln(hz / 1000) * 27.0::DOUBLE / ln(6.4::DOUBLE) END, 6) AS slaney, round(2595.0::DOUBLE * log10(1 + hz / 700.0::DOUBLE), 6) AS htk FROM (SELECT vec_id, (vec_id % 320) * 25.0::DOUBLE AS hz FROM embeddings)")
@@ -728,13 +729,13 @@ def accent_fold(spark, sf_dir):
 @query(
     "WITH l AS (SELECT doc_id, text, lang, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS n, length(regexp_replace(text, '[^\\x{0400}-\\x{04FF}]', '', 'g')) AS c FROM (SELECT doc_id, "
     "CASE WHEN doc_id % 7 = 0 THEN repeat('привіт ', 400) || text ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN 'uk' ELSE lang END AS lang " + _DOCS + ")) "
-    "SELECT doc_id, length(CASE WHEN n > 0 AND (CASE WHEN lang = 'uk' THEN c / n < 0.2 ELSE c / n > 0.5 END) THEN '' ELSE text END) AS left_over FROM l"
+    "SELECT doc_id, CASE WHEN n > 0 AND (CASE WHEN lang = 'uk' THEN c / n < 0.2 ELSE c / n > 0.5 END) THEN '' ELSE text END AS left_over FROM l"
 )
 def script_rejection(spark, sf_dir):
     rows = _docs(spark, sf_dir).withColumn(
         "text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.repeat(F.lit("привіт "), 400), F.col("text"))).otherwise(F.col("text"))
     ).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "uk").otherwise(F.col("lang")))
-    return rows.select("doc_id", F.length(text.reject_wrong_script(F.col("text"), F.col("lang"))).cast("long").alias("left_over"))
+    return rows.select("doc_id", text.reject_wrong_script(F.col("text"), F.col("lang")).alias("left_over"))
 
 
 @query("SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS text FROM pages")
@@ -794,23 +795,24 @@ def language_pack(spark, sf_dir):
     return textrules.rewrite(_docs(spark, sf_dir), textrules.LANGUAGE_PACKS).select("doc_id", "text")
 
 
-_PICKED = "FROM (SELECT doc_id, list_aggregate(string_split(text, ' ')[1:2], 'string_agg', ' ') AS text FROM documents WHERE text IS NOT NULL)"
+#: Word characters as the patterns of the text functions have them.
+_WORD_SQL = "\\p{L}\\p{M}\\p{Nd}\\p{Pc}"
+#: Texts under so many words count as short here, so that both kinds are common.
+_SHORT = 200
 
 
 @query(
-    "WITH p AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w, list_filter(string_split_regex(regexp_replace(text, '[.!?,]\\s*$', ''), '\\s+'), lambda x: x <> '') AS c " + _PICKED + ") "
-    "SELECT doc_id, CASE WHEN len(w) < 3 AND NOT contains(text, chr(10)) AND regexp_matches(text, '[\\p{L}\\p{N}]') THEN array_to_string(list_transform(c, lambda x: CASE WHEN regexp_matches(x, "
+    "WITH p AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w, list_filter(string_split_regex(regexp_replace(text, '[.!?,]\\s*$', ''), '\\s+'), lambda x: x <> '') AS c " + _DOCS + ") "
+    f"SELECT doc_id, CASE WHEN len(w) < {_SHORT} AND NOT contains(text, chr(10)) AND regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN array_to_string(list_transform(c, lambda x: CASE WHEN regexp_matches(x, "
     "'^\\p{Lu}[\\p{Ll}\\p{M}''’-]*$') THEN lower(left(x, 1)) || substr(x, 2) ELSE x END), ' ') ELSE text END AS text FROM p"
 )
 def short_text(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("text"))
-    return rows.select("doc_id", text.short_text(F.col("text")).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", text.short_text(F.col("text"), _SHORT).alias("text"))
 
 
 @query()
 def keepcaps(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("text"))
-    return rows.select("doc_id", text.keepcaps(F.col("text"), ["the", "là", "der"]).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", text.keepcaps(F.col("text"), ["the", "là", "der"], _SHORT).alias("text"))
 
 
 @query()
@@ -818,17 +820,9 @@ def capitalise(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.capitalise(F.lower("text")).alias("text"))
 
 
-@query(
-    "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\bTHE\\b', 'DIE', 'g'), '\\bT(?i:he)\\b', 'Die', 'g'), '\\bt(?i:he)\\b', 'die', 'g') AS text "
-    + _DOCS + " AND lang = 'en'"
-)
+@query()
 def dictionary_case(spark, sf_dir):
-    rules = textrules.cased_variants("the", "die")
-    rows = _docs(spark, sf_dir).where("lang = 'en'")
-    t = F.col("text")
-    for r in rules:
-        t = F.regexp_replace(t, r.pattern, r.replacement)
-    return rows.select("doc_id", t.alias("text"))
+    return textrules.rewrite(_docs(spark, sf_dir), textrules.cased_variants("the", "die")).select("doc_id", "text")
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(translate(text, chr(160) || chr(8239), '  '), '…', '...'), '—', '--'), '–', '-'), chr(2), '') AS text " + _DOCS)
@@ -841,28 +835,26 @@ def typing_commands(spark, sf_dir):
     return render.typing_commands(_docs(spark, sf_dir), "doc_id")
 
 
-@query("SELECT doc_id, regexp_replace(left(text, 40), '[^\\w.-]', '_', 'g') AS name FROM documents WHERE text IS NOT NULL AND lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7f]*$')")
+@query(f"SELECT doc_id, regexp_replace(text, '[^{_WORD_SQL}.-]', '_', 'g') AS name " + _DOCS)
 def safe_filename(spark, sf_dir):
-    rows = _docs(spark, sf_dir).where((F.col("lang") == "en") & F.col("text").rlike("^[\\x00-\\x7f]*$"))
-    return rows.select("doc_id", text.safe_filename(F.substring("text", 1, 40)).alias("name"))
+    return _docs(spark, sf_dir).select("doc_id", text.safe_filename(F.col("text")).alias("name"))
 
 
 @query(
-    "WITH b AS (SELECT doc_id, lang, regexp_replace(left(text, 60), '\\s+$', '') AS t " + _DOCS + ") SELECT doc_id, CASE WHEN t = '' OR contains(t, chr(10)) THEN NULL ELSE "
+    "WITH b AS (SELECT doc_id, lang, text, regexp_replace(text, '\\s+$', '') AS t " + _DOCS + ") SELECT doc_id, CASE WHEN t = '' OR contains(text, chr(10)) THEN NULL ELSE "
     "(CASE WHEN t LIKE '%?' THEN CASE WHEN lang = 'fr' THEN '.2' ELSE '.1' END WHEN t LIKE '%!' THEN CASE WHEN lang = 'fr' THEN '.2' ELSE 'F' END WHEN t LIKE '%...' THEN '.3' WHEN t LIKE '%..' THEN '.2' "
     "WHEN t LIKE '%…' THEN '.3' WHEN t LIKE '%.' THEN '.1' WHEN t LIKE '%,' THEN ',' WHEN t LIKE '%;' OR t LIKE '%:' OR t LIKE '%)' OR t LIKE '%»' THEN 'F' ELSE '_' END) || ':' || "
     "lower(regexp_replace(list_last(string_split(list_last(string_split_regex(t, '\\s+')), '-')), '^[.,;:!?…)»\"'']+|[.,;:!?…)»\"'']+$', '', 'g')) END AS state FROM b"
 )
 def last_word_marker(spark, sf_dir):
-    head = F.regexp_replace(F.substring("text", 1, 60), "\\s+$", "")
-    return _docs(spark, sf_dir).select("doc_id", session.end_marker(head, F.col("lang")).alias("state"))
+    return _docs(spark, sf_dir).select("doc_id", session.end_marker(F.col("text"), F.col("lang")).alias("state"))
 
 
 @query()
 def continued_utterances(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("user_id"), F.col("turn").cast("long").alias("seq"), F.timestamp_seconds(F.col("turn") * 10).alias("ts"),
-        F.lit("fr").alias("lang"), F.regexp_extract("text", "^[^\\n]*", 0).alias("text"),
+        F.lit("fr").alias("lang"), "text",
     )
     return session.fold_utterances(rows, {"fr": frozenset(textrules.CONTINUING["fr"])}, ("euh",), ttl=30)
 
@@ -876,7 +868,6 @@ def rule_coverage(spark, sf_dir):
     return _docs(spark, sf_dir).select(F.explode(hits).alias("rule")).groupBy("rule").agg(F.count("*").alias("docs"))
 
 
-@query("SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s]', '', 'g'), '\\s+'), lambda x: x <> ''))::INTEGER AS n FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7f]*$')")
+@query(f"SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(lower(text), '[^{_WORD_SQL}\\s]', '', 'g'), '\\s+'), lambda x: x <> ''))::INTEGER AS n " + _DOCS)
 def plain_word_count(spark, sf_dir):
-    rows = _docs(spark, sf_dir).where(F.col("text").rlike("^[\\x00-\\x7f]*$"))
-    return rows.select("doc_id", F.size(text.plain_words(F.col("text"))).alias("n"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(text.plain_words(F.col("text"))).alias("n"))

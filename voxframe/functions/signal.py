@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.functions.binding import bound
+
 
 def pcm16(sample: Column) -> Column:
     return sample.cast("double") / 32768.0
@@ -16,25 +18,31 @@ def resample(samples: Column, rate: Column | int, target: int = 16000) -> Column
     """Linear interpolation to the target rate; beyond the last sample it holds."""
     rate = F.lit(rate) if isinstance(rate, int) else rate
     ratio = rate / F.lit(float(target))
-    n = F.size(samples)
-    count = F.floor(n / ratio).cast("int")
 
-    def at(i: Column) -> Column:
-        place = i * ratio
-        low = F.floor(place).cast("int")
-        high = F.least(low + 1, n - 1)
-        a = F.get(samples, F.least(low, n - 1)).cast("double")
-        return a + (F.get(samples, high).cast("double") - a) * (place - low)
+    def run(x: Column) -> Column:
+        n = F.size(x)
+        count = F.floor(n / ratio).cast("int")
+
+        def at(i: Column) -> Column:
+            place = i * ratio
+            low = F.floor(place).cast("int")
+            a = F.get(x, F.least(low, n - 1)).cast("double")
+            return a + (F.get(x, F.least(low + 1, n - 1)).cast("double") - a) * (place - low)
 
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), at)).otherwise(F.array().cast("array<double>"))
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), at)).otherwise(F.array().cast("array<double>"))
+
+    return bound(samples, run)
 
 
 def peak_normalise(samples: Column) -> Column:
     """Divided by the largest magnitude plus 1e-5, unless that is at most 1e-6."""
-    peak = F.array_max(F.transform(samples, lambda x: F.abs(x.cast("double"))))
-    return F.when(peak > 1e-6, F.transform(samples, lambda x: x.cast("double") / (peak + 1e-5))).otherwise(
-        F.transform(samples, lambda x: x.cast("double"))
-    )
+
+    def run(x: Column) -> Column:
+        peak = F.array_max(F.transform(x, F.abs))
+        by = bound(peak, lambda p: F.when(p > 1e-6, p + 1e-5).otherwise(1.0))
+        return bound(by, lambda d: F.transform(x, lambda v: v / d))
+
+    return bound(samples.cast("array<double>"), run)
 
 
 def downmix(samples: Column, channels: int) -> Column:
@@ -57,13 +65,17 @@ def preemphasis(samples: Column, factor: float = 0.97, guard: str = "none") -> C
     def finite(x: Column) -> Column:
         return F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
 
-    clean = F.transform(samples, lambda x: finite(x.cast("double")) if guard == "input" else x.cast("double"))
-
-    def step(x: Column, i: Column) -> Column:
-        y = F.when(i == 0, x).otherwise(x - F.lit(factor) * F.get(clean, i - 1))
+    def step(x: Column, before: Column) -> Column:
+        y = F.when(before.isNull(), x).otherwise(x - F.lit(factor) * before)
         return finite(y) if guard == "result" else y
 
-    return F.transform(clean, step)
+    def run(x: Column) -> Column:
+        # The same samples one place later meet each other; the last of them has no partner
+        later = F.concat(F.array(F.lit(None).cast("double")), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))))
+        return F.when(F.size(x) > 0, F.zip_with(x, later, step)).otherwise(x)
+
+    clean = samples.cast("array<double>")
+    return bound(F.transform(clean, finite) if guard == "input" else clean, run)
 
 
 def argmax_first(values: Column) -> Column:
@@ -165,11 +177,19 @@ def normalise_features(cells: DataFrame) -> DataFrame:
 
 
 def band_levels(bins: DataFrame, bands: int = 8, low: float = 80.0, high: float = 4000.0) -> DataFrame:
-    """0.6 * rms + 0.4 * max of the magnitudes in log-spaced bands, for spectra (media_id, frame, hz, magnitude)."""
+    """0.6 * rms + 0.4 * max of the magnitudes in log-spaced bands, over 32768 and raised by the root of the band's centre over
+    the lowest frequency, for spectra (media_id, frame, hz, magnitude) of 16-bit samples."""
     place = F.floor(F.log(F.col("hz") / low) / float(np.log(high / low)) * bands)
     inside = bins.where((F.col("hz") >= low) & (F.col("hz") < high)).withColumn("band", place.cast("int"))
     level = 0.6 * F.sqrt(F.avg(F.col("magnitude") * F.col("magnitude"))) + 0.4 * F.max("magnitude")
-    return inside.groupBy("media_id", "frame", "band").agg(level.alias("level"))
+    gain = F.sqrt(F.pow(F.lit(high / low), (F.col("band") + 0.5) / bands)) / 32768.0
+    return inside.groupBy("media_id", "frame", "band").agg(level.alias("level")).withColumn("level", F.col("level") * gain)
+
+
+def loud_enough(samples: DataFrame, least: float = 0.03) -> DataFrame:
+    """(media_id, level) of the recordings whose root mean square of (media_id, value) is not below ``least``."""
+    level = F.sqrt(F.avg(F.col("value") * F.col("value")))
+    return samples.groupBy("media_id").agg(level.alias("level")).where(F.col("level") >= least)
 
 
 def noise_floor(levels: DataFrame, frames: int = 25, margin: float = 1.2) -> DataFrame:
@@ -181,15 +201,23 @@ def noise_floor(levels: DataFrame, frames: int = 25, margin: float = 1.2) -> Dat
 
 
 def smooth_levels(levels: DataFrame, alpha: float = 0.35) -> DataFrame:
-    """Exponential mean over frames of (media_id, frame, level), which starts at the first level."""
-    ordered = F.array_sort(F.collect_list(F.struct("frame", "level")))
-    start = F.array().cast("array<struct<frame:bigint,level:double>>")
+    """Exponential mean over frames of (media_id, frame, level), which starts at the first level.
 
-    def step(acc: Column, x: Column) -> Column:
-        before = F.coalesce(F.try_element_at(acc, F.lit(-1))["level"], x["level"])
-        now = F.lit(alpha) * x["level"] + F.lit(1 - alpha) * before
-        return F.array_append(acc, F.struct(x["frame"].cast("bigint").alias("frame"), now.cast("double").alias("level")))
+    A mean depends on the one before it: sorted partitions are read in batches, and one mean is carried on.
+    """
 
-    return levels.groupBy("media_id").agg(ordered.alias("_all")).select(
-        "media_id", F.inline(F.aggregate("_all", start, step))
-    )
+    def run(batches):
+        last, mean = None, 0.0
+        for batch in batches:
+            media, level = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            out = []
+            for m, x in zip(media, level, strict=True):
+                mean = x if m != last else alpha * x + (1 - alpha) * mean
+                last = m
+                out.append(mean)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["media_id", "frame", "level"])
+
+    rows = levels.select("media_id", F.col("frame").cast("long").alias("frame"), F.col("level").cast("double").alias("level"))
+    kind = rows.schema["media_id"].dataType.simpleString()
+    ordered = rows.repartition("media_id").sortWithinPartitions("media_id", "frame")
+    return ordered.mapInArrow(run, f"media_id {kind}, frame long, level double")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Frame length in seconds of the probabilities.
 FRAME_SECONDS = 0.08
@@ -55,15 +57,21 @@ def active_frames(frames: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
         mark = F.when(F.col("p") >= t.onset, 1).when(F.col("p") < t.offset, 0)
         w = Window.partitionBy(*_KEY).orderBy("frame")
         return frames.withColumn("active", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0)) == 1)
-    start = F.struct(F.lit(False).alias("on"), F.array().cast("array<struct<frame:int,p:double,active:boolean>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        on = F.when(acc["on"], x["p"] >= t.offset).otherwise(x["p"] >= t.onset)
-        row = F.struct(x["frame"].cast("int").alias("frame"), x["p"].cast("double").alias("p"), on.alias("active"))
-        return F.struct(on.alias("on"), F.array_append(acc["out"], row).alias("out"))
-
-    folded = frames.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("frame", "p"))).alias("all"))
-    return folded.select(*_KEY, F.inline(F.aggregate("all", start, step)["out"]))
+    def run(batches):
+        last, on = None, False
+        for batch in batches:
+            out = []
+            for media, speaker, p in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                if (media, speaker) != last:
+                    last, on = (media, speaker), False
+                on = p >= t.offset if on else p >= t.onset
+                out.append(on)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*_KEY, "frame", "p", "active"])
+
+    rows = frames.select(*_KEY, F.col("frame").cast("int").alias("frame"), F.col("p").cast("double").alias("p"))
+    ordered = rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "frame")
+    return ordered.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("active", T.BooleanType())]))
 
 
 def activity_segments(frames: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:

@@ -6,7 +6,7 @@ bucket where the later of the two begins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_SECONDS = 60.0
@@ -47,35 +47,73 @@ def overlap_join(
     )
 
 
-def point_join(points: DataFrame, segments: DataFrame) -> DataFrame:
+def point_join(points: DataFrame, segments: DataFrame, bucket: float = BUCKET_SECONDS) -> DataFrame:
     """Each point (media_id, point_id, t) with the first segment that holds it, else the nearest by its edges.
 
     Segments are [start, end); of equally near ones the first by ``ord`` wins.  A medium without segments gives null.
+    Points meet the segments of their own time bucket only; for the others the nearest edge is the last one before or the
+    first one after, which a window over points and edges finds.
     """
-    inside = (F.col("start") <= F.col("t")) & (F.col("t") < F.col("end"))
-    distance = F.when(inside, F.lit(-1.0)).otherwise(F.least(F.abs(F.col("t") - F.col("start")), F.abs(F.col("t") - F.col("end"))))
-    best = (
-        points.join(segments.select("media_id", "ord", "start", "end"), "media_id")
-        .groupBy("media_id", "point_id")
-        .agg(F.min(F.struct(distance.alias("distance"), "ord")).alias("best"))
+    keys = ["media_id", "point_id"]
+    held = (
+        points.withColumn("_bucket", F.floor(F.col("t") / F.lit(bucket)))
+        .join(_bucketed(segments.select("media_id", "ord", "start", "end"), "start", "end", bucket), ["media_id", "_bucket"])
+        .where((F.col("start") <= F.col("t")) & (F.col("t") < F.col("end")))
+        .groupBy(*keys)
+        .agg(F.min("ord").alias("_held"))
     )
-    return points.join(best, ["media_id", "point_id"], "left").select(
-        "media_id", "point_id", "t", F.col("best.ord").alias("ord"), (F.col("best.distance") < 0).alias("inside")
+    edges = segments.select("media_id", "ord", F.explode(F.array("start", "end")).alias("at"))
+    # Of edges at one time only the least ord can win
+    edges = edges.groupBy("media_id", "at").agg(F.min("ord").alias("ord"))
+    both = points.select(*keys, F.col("t").alias("at"), F.lit(None).cast(segments.schema["ord"].dataType).alias("ord")).unionByName(
+        edges.select("media_id", F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), "at", "ord")
+    )
+    edge = F.when(F.col("ord").isNotNull(), F.struct("at", "ord"))
+    w = Window.partitionBy("media_id").orderBy("at")
+    before = F.last(edge, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(edge, ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    near = both.withColumns({"_before": before, "_after": after}).where("point_id IS NOT NULL")
+
+    def candidate(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{c}.at")).alias("distance"), F.col(f"{c}.ord").alias("ord")))
+
+    near = near.select(*keys, F.least(candidate("_before"), candidate("_after")).alias("near"))
+    return (
+        points.join(near, keys, "left")
+        .join(held, keys, "left")
+        .select(
+            *keys,
+            "t",
+            F.coalesce("_held", "near.ord").alias("ord"),
+            F.when(F.col("near").isNotNull(), F.col("_held").isNotNull()).alias("inside"),
+        )
     )
 
 
 def neighbour_segments(points: DataFrame, segments: DataFrame, guard: float = 0.1) -> DataFrame:
     """Start of the previous and next segment from each point: before t - guard (else the last one wraps around),
-    after t + guard (else the first one)."""
-    before = F.max(F.when(F.col("start") < F.col("t") - F.lit(guard), F.col("start")))
-    after = F.min(F.when(F.col("start") > F.col("t") + F.lit(guard), F.col("start")))
+    after t + guard (else the first one).  Points and starts meet in one ordered window a medium."""
+    none = F.lit(None).cast("double")
+    starts = segments.select("media_id", F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.col("start").alias("at"), F.col("start"))
+
+    def seen(sign: float) -> DataFrame:
+        return points.select("media_id", "point_id", (F.col("t") + F.lit(sign * guard)).alias("at"), none.alias("start")).unionByName(starts)
+
+    w = Window.partitionBy("media_id").orderBy("at")
+    span = {-1.0: (Window.unboundedPreceding, Window.currentRow), 1.0: (Window.currentRow, Window.unboundedFollowing)}
+    found = []
+    for sign, pick, name in ((-1.0, F.last, "_prev"), (1.0, F.first, "_next")):
+        # A start at the very place does not count
+        rows = seen(sign)
+        strict = w.orderBy(F.col("at"), F.col("start").isNotNull() if sign < 0 else F.col("start").isNull())
+        rows = rows.withColumn(name, pick("start", ignorenulls=True).over(strict.rowsBetween(*span[sign])))
+        found.append(rows.where("point_id IS NOT NULL").select("media_id", "point_id", name))
+    ends = segments.groupBy("media_id").agg(F.max("start").alias("_last"), F.min("start").alias("_first"))
     return (
-        points.join(segments.select("media_id", "start"), "media_id")
-        .groupBy("media_id", "point_id")
-        .agg(
-            F.coalesce(before, F.max("start")).alias("prev_start"),
-            F.coalesce(after, F.min("start")).alias("next_start"),
-        )
+        found[0]
+        .join(found[1], ["media_id", "point_id"])
+        .join(ends, "media_id")
+        .select("media_id", "point_id", F.coalesce("_prev", "_last").alias("prev_start"), F.coalesce("_next", "_first").alias("next_start"))
     )
 
 

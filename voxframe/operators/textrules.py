@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.functions.binding import bound
 from voxframe.functions.text import NBSP, NNBSP, capitalise, keepcaps, reject_wrong_script, scrub, short_text
 
 
@@ -64,23 +65,52 @@ def _families(rules: Sequence[Rule]) -> list[list[Rule]]:
     return out
 
 
-def rewrite(df: DataFrame, rules: Sequence[Rule], text: str = "text", lang: str = "lang") -> DataFrame:
-    """The frame with all rules applied in order.
+def rewritten(t: Column, lang: Column, rules: Sequence[Rule]) -> Column:
+    """A text with all rules applied in order.
 
-    A family is one projection: its replacements nest, and the condition (language, guard) refers to the column before.
-    Chaining conditions inside one expression instead would double the expression with every family.
+    Neighbouring families of single languages become one choice by language.  Every family's text is bound, so the
+    expression grows in step with the rules.
     """
-    for family in _families(rules):
-        head, t = family[0], F.col(text)
-        out = t
+
+    def chain(families: list[list[Rule]]):
+        def run(x: Column) -> Column:
+            for family in families:
+                x = bound(x, lambda y, family=family: guarded(y, family))
+            return x
+
+        return run
+
+    def guarded(x: Column, family: list[Rule]) -> Column:
+        out, head = x, family[0]
         for rule in family:
             out = F.regexp_replace(out, F.lit(to_java(rule.pattern, rule.flags)), F.lit(to_java_replacement(rule.replacement)))
-        due = F.col(lang) == head.lang if head.lang != "*" else None
-        if head.guard:
-            found = t.rlike(to_java(head.guard, head.flags))
-            due = found if due is None else due & found
-        df = df.withColumn(text, out if due is None else F.when(due, out).otherwise(t))
-    return df
+        return F.when(x.rlike(to_java(head.guard, head.flags)), out).otherwise(x) if head.guard else out
+
+    def choose(by_lang: dict[str, list[list[Rule]]]):
+        def run(x: Column) -> Column:
+            out = None
+            for code, families in by_lang.items():
+                made = chain(families)(x)
+                out = F.when(lang == code, made) if out is None else out.when(lang == code, made)
+            return out.otherwise(x)
+
+        return run
+
+    waiting: dict[str, list[list[Rule]]] = {}
+    for family in [*_families(rules), None]:
+        if family is not None and family[0].lang != "*":
+            waiting.setdefault(family[0].lang, []).append(family)
+            continue
+        if waiting:  # what is of different languages can change places
+            t, waiting = bound(t, choose(waiting)), {}
+        if family is not None:
+            t = chain([family])(t)
+    return t
+
+
+def rewrite(df: DataFrame, rules: Sequence[Rule], text: str = "text", lang: str = "lang") -> DataFrame:
+    """The frame with all rules applied in order."""
+    return df.withColumn(text, rewritten(F.col(text), F.col(lang), rules))
 
 
 def cased_variants(word: str, replacement: str, lang: str = "*", family: str = "dictionary") -> list[Rule]:
@@ -98,7 +128,7 @@ def contraction(first: str, second: str, joined: str, lang: str, ahead: str = ""
     out = []
     for a, j in ((first.upper(), joined.upper()), (first[:1].upper() + first[1:], joined[:1].upper() + joined[1:]), (first, joined)):
         b = second.upper() if a.isupper() and len(a) > 1 else second
-        out.append(Rule(rf"\b{a}\s+{b}\b{ahead}", j, lang, f"contractions-{lang}", "", rf"(?i)\b{first}\s"))
+        out.append(Rule(rf"\b{a}\s+{b}\b{ahead}", j, lang, f"contractions-{lang}", ""))
     return out
 
 
@@ -217,7 +247,9 @@ ROMANIAN = [
 TYPOGRAPHY_FR = [
     Rule(r"\.{3}", "…", "fr", "typography"),
     Rule(r'"([^"\n]+)"', f"«{NBSP}\\1{NBSP}»", "fr", "typography", "", None),
-    Rule(r"[ \t  ]*([;!?])", f"{NNBSP}\\1", "fr", "typography", "", None),
+    Rule(r"«[ \t\u00a0\u202f]*", f"«{NBSP}", "fr", "typography", "", None),
+    Rule(r"[ \t\u00a0\u202f]*»", f"{NBSP}»", "fr", "typography", "", None),
+    Rule(r"(?<=[^\s;!?])[ \t\u00a0\u202f]*([;!?])", f"{NNBSP}\\1", "fr", "typography", "", None),
     Rule(r"(?<=\S)[ \t ]*:", f"{NBSP}:", "fr", "typography", "", None),
 ]
 _DIGITS = {
@@ -246,14 +278,14 @@ def _versions(lang: str) -> list[Rule]:
 
 VERSIONS = [r for lang in _DIGITS for r in _versions(lang)]
 DECIMAL_COMMA = [
-    Rule(r"(?<![0-9,]\s)(?<!\d)(\d+), (\d+)(?!\d)(?!,? \d)", r"\1,\2", lang, "decimal", "", r"\d, \d") for lang in ("fr", "de", "es", "it", "pt")
+    Rule(r"(?<![0-9,]\s)(?<!\d)(\d+),\s+(\d+)(?!\d)(?!,?\s\d)", r"\1,\2", lang, "decimal", "", r"\d,\s+\d") for lang in ("fr", "de", "es", "it", "pt")
 ]
 TIME_FR = [
     Rule(r"\b([01]?\d|2[0-3])\s+heures?\s+([0-5]\d)\b", r"\1h\2", "fr", "time", "i", r"heure"),
     Rule(r"\b([01]?\d|2[0-3])\s+heures?\s+([0-9])\b", r"\1h0\2", "fr", "time", "i", r"heure"),
     Rule(r"\b(\d)h(\d\d)\b", r"0\1h\2", "fr", "time", "i", r"\dh\d"),
 ]
-EQUALS_FR = [Rule(r"(\d)\s+égale?s?\s+(\d)", r"\1 = \2", "fr", "equals", "i", r"égal")]
+EQUALS_FR = [Rule(r"(\d)(\s*)égale?s?(\s*)(?=\d)", r"\1\2=\3", "fr", "equals", "i", r"égal")]
 
 LANGUAGE_PACKS = [*ELISION_FR, *ITALIAN, *SPANISH, *PORTUGUESE, *GERMAN, *DUTCH, *ROMANIAN]
 NUMBERS = [*VERSIONS, *DECIMAL_COMMA, *TIME_FR, *EQUALS_FR]
@@ -304,60 +336,65 @@ class TextChain:
     dictionary: dict[str, dict[str, str]] = field(default_factory=dict)
 
     def steps(self) -> list:
-        """(label, frame function) of the steps that run; each works on the columns _text and _lang."""
+        """(label, function of text and language columns) of the steps that run."""
         g = self.gates
         entries = [r for lang, rows in self.dictionary.items() for w, x in rows.items() for r in cased_variants(w, x, lang)]
-        t, lang = F.col("_text"), F.col("_lang")
 
         def by(rules):
-            return lambda df: rewrite(df, rules, "_text", "_lang")
+            return lambda t, lang: rewritten(t, lang, rules)
 
-        def put(column):
-            return lambda df: df.withColumn("_text", column)
+        def continuing(t: Column, lang: Column) -> Column:
+            out = t
+            for code, words in CONTINUING.items():
+                out = F.when(lang == code, fix_continuation(t, words)).otherwise(out)
+            return out
+
+        def short(t: Column, lang: Column) -> Column:
+            return keepcaps(t, list(g.keep), g.short_limit) if g.keep else short_text(t, g.short_limit)
 
-        continuing = t
-        for code, words in CONTINUING.items():
-            continuing = F.when(lang == code, fix_continuation(t, words)).otherwise(continuing)
-        short = keepcaps(t, list(g.keep), g.short_limit) if g.keep else short_text(t, g.short_limit)
         table = [
-            (g.rules, "rules", lambda df: put(F.regexp_replace(t, "^[ \\t]+|[ \\t]+$", ""))(by(FIRST_RULES)(df))),
-            (g.script, "script", put(reject_wrong_script(t, lang))),
-            (g.continuation, "continuation", put(continuing)),
+            (g.rules, "rules", lambda t, lang: F.regexp_replace(rewritten(t, lang, FIRST_RULES), "^[ \\t]+|[ \\t]+$", "")),
+            (g.script, "script", reject_wrong_script),
+            (g.continuation, "continuation", continuing),
             (g.language, "language", by(LANGUAGE_PACKS)),
             (g.typography, "typography", by(TYPOGRAPHY_FR)),
             (g.numbers, "numbers", by(NUMBERS)),
             (g.dictionary and bool(entries), "dictionary", by(entries)),
-            (g.capitals, "capitals", put(capitalise(t))),
-            (g.short, "short", put(short)),
-            (True, "scrub", put(scrub(t))),
+            (g.capitals, "capitals", lambda t, lang: capitalise(t)),
+            (g.short, "short", short),
+            (True, "scrub", lambda t, lang: scrub(t)),
         ]
         return [(label, f) for on, label, f in table if on]
 
-    def _begin(self, df: DataFrame, text: str, lang: str) -> DataFrame:
-        return df.withColumn("_text", F.regexp_replace(F.col(text), "\\n$", "")).withColumn("_lang", F.col(lang))
-
     def apply(self, df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
         """The frame with the text rewritten; one final newline is taken off first, and blank texts stay as they are."""
-        out = self._begin(df, text, lang)
-        for _, step in self.steps():
-            out = step(out)
-        before = F.regexp_replace(F.col(text), "\\n$", "")
-        blank = ~F.col(text).rlike("(?U)\\S")
-        return out.withColumn(text, F.when(blank, before).otherwise(F.col("_text"))).drop("_text", "_lang")
+
+        def all_steps(t: Column) -> Column:
+            out = t
+            for _, step in self.steps():
+                out = bound(out, lambda x, step=step: step(x, F.col(lang)))
+            return F.when(t.rlike("(?U)\\S"), out).otherwise(t)
+
+        return df.withColumn(text, bound(F.regexp_replace(F.col(text), "\\n$", ""), all_steps))
 
     def trace(self, df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-        """The frame with ``trace``: label, text before and after of every step."""
-        out = self._begin(df, text, lang).withColumn("_0", F.col("_text"))
+        """The frame with ``trace``: label, text before and after of every step.  Each step runs once: the texts so far are
+        one array that a step adds to."""
         steps = self.steps()
-        for k, (_, step) in enumerate(steps):
-            out = step(out).withColumn(f"_{k + 1}", F.col("_text"))
+        held = F.array(F.regexp_replace(F.col(text), "\\n$", ""))
+        for _, step in steps:
+            held = bound(held, lambda a, step=step: F.concat(a, F.array(bound(F.element_at(a, -1), lambda x: step(x, F.col(lang))))))
 
-        def shown(c: str) -> Column:
-            t = F.replace(F.col(c), F.lit("\\"), F.lit("\\\\"))
+        def shown(t: Column) -> Column:
+            t = F.replace(t, F.lit("\\"), F.lit("\\\\"))
             return F.replace(F.replace(t, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
 
-        rows = [
-            F.struct(F.lit(label).alias("label"), shown(f"_{k}").alias("before"), shown(f"_{k + 1}").alias("after"))
-            for k, (label, _) in enumerate(steps)
-        ]
-        return out.withColumn("trace", F.array(*rows)).drop("_text", "_lang", *[f"_{k}" for k in range(len(steps) + 1)])
+        def rows(a: Column) -> Column:
+            return F.array(
+                *[
+                    F.struct(F.lit(label).alias("label"), shown(F.get(a, k)).alias("before"), shown(F.get(a, k + 1)).alias("after"))
+                    for k, (label, _) in enumerate(steps)
+                ]
+            )
+
+        return df.withColumn("trace", bound(held, rows))
