@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from voxframe import catalog
+from voxframe import catalog, catalog_sources  # noqa: F401  the second registers its queries with the first
 
 SF = Path("/root/testdata/sf0.001")
 needs_tables = pytest.mark.skipif(not SF.exists(), reason="no test tables")
@@ -95,3 +95,55 @@ def test_entry_stands_without_the_optional_parts(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(sys.modules["__spark_entry__"])
+
+
+def test_cased_dictionary_words(spark):
+    from voxframe.operators.textrules import cased_variants, rewrite
+
+    rows = spark.createDataFrame([("the The THE tHe other thé", "*")], "text string, lang string")
+    assert rewrite(rows, cased_variants("the", "die")).first().text == "die Die DIE die other thé"
+
+
+def test_rule_plans_grow_in_step_with_the_rules(spark):
+    from voxframe.operators.textrules import Rule, TextChain, rewrite
+
+    rows = spark.createDataFrame([("a b", "en")], "text string, lang string")
+
+    def size(n):
+        rules = [Rule(f"w{k}", "x", ("en", "fr")[k % 2], f"family{k}", "i", f"g{k}") for k in range(n)]
+        return len(rewrite(rows, rules)._jdf.queryExecution().optimizedPlan().toString())
+
+    assert size(40) < 3 * size(20)
+    assert len(TextChain().trace(rows)._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
+def test_text_steps(spark):
+    from voxframe.operators import textrules as tr
+
+    cases = [
+        (tr.TYPOGRAPHY_FR, "fr", "quoi ? oui! ?\n! \"mot\" « deja » ici : la...", "quoi ? oui ! ?\n! « mot » « deja » ici : la…"),
+        (tr.DECIMAL_COMMA, "fr", "1,  5 et 1, 2, 3", "1,5 et 1, 2, 3"),
+        (tr.EQUALS_FR, "fr", "4égale3 et 4 égale 3", "4=3 et 4 = 3"),
+        (tr.ITALIAN, "it", "di il e Di la e IN LO", "del e Della e NELLO"),
+    ]
+    for rules, lang, given, want in cases:
+        rows = spark.createDataFrame([(given, lang)], "text string, lang string")
+        assert tr.rewrite(rows, rules).first().text == want
+
+
+def test_array_functions_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from voxframe.functions import signal
+
+    def seconds(f, n):
+        samples = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.sin(i.cast("double")))
+        start = time.perf_counter()
+        spark.range(4).select(F.size(f(samples)).alias("n")).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    for f in (signal.peak_normalise, signal.preemphasis, lambda x: signal.resample(x, 24000)):
+        seconds(f, 1000)
+        assert seconds(f, 100_000) < 10  # a minute or more where the time grows with the square

@@ -9,7 +9,7 @@ from voxframe.functions.text import strip_blanks
 
 _RULE = r"^\s*\[([a-z*]+)\]\s*/((?:[^/\\]|\\.)*)/((?:[^/\\]|\\.)*)/([a-z]*)\s*$"
 _ENTRY = r"^\s*\[([a-z*]+)\]\s*([^=]+?)\s*=\s*(.*?)\s*$"
-_WORDS = r"^\s*\[(?:(exclude|keyword):)?([a-z*]+)\]\s*(.*?)\s*$"
+_WORDS = r"^\s*\[(?:(exclude|keyword):)?([a-z*]+)\]\s*(.*)$"
 
 
 def parse_rules(lines: DataFrame) -> DataFrame:
@@ -31,13 +31,10 @@ def parse_word_sets(lines: DataFrame, separator: str = "\\s+") -> DataFrame:
     """(lang, op, word) of "[lang] w1 w2", "[exclude:lang] ..." and "[keyword:lang] ..." lines; op: add, exclude, keyword."""
     op = F.regexp_extract("value", _WORDS, 1)
     words = F.split(F.regexp_extract("value", _WORDS, 3), separator)
+    lang = F.regexp_extract("value", _WORDS, 2)
+    rows = lines.where(F.col("value").rlike(_WORDS)).select(lang.alias("lang"), F.when(op == "", "add").otherwise(op).alias("op"), words.alias("words"))
     return (
-        lines.where(F.col("value").rlike(_WORDS))
-        .select(
-            F.regexp_extract("value", _WORDS, 2).alias("lang"),
-            F.when(op == "", "add").otherwise(op).alias("op"),
-            F.explode(words).alias("word"),
-        )
+        rows.select("lang", "op", F.explode("words").alias("word"))  # what is said once a line is read once a line
         .withColumn("word", F.lower(strip_blanks(F.col("word"))))
         .where("word <> ''")
     )
