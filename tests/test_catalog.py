@@ -147,3 +147,26 @@ def test_array_functions_take_linear_time(spark):
     for f in (signal.peak_normalise, signal.preemphasis, lambda x: signal.resample(x, 24000)):
         seconds(f, 1000)
         assert seconds(f, 100_000) < 10  # a minute or more where the time grows with the square
+
+
+def test_keepcaps_and_continued_utterances(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from voxframe.functions.text import keepcaps
+    from voxframe.operators.session import fold_utterances
+
+    texts = ["Là.", "la", "La Maison", "Une Maison.", "Une Maison et encore autre"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in rows.select(keepcaps(F.col("text"), ["là"])).collect()]
+    assert got == ["\x03Là", "\x03la", "\x03La Maison", "une maison", "Une Maison et encore autre"]
+    start = datetime.datetime(2026, 1, 1)
+    said = [(0, "Je vois le."), (10, "Chat noir,"), (20, "Puis rien!"), (60, "Enfin"), (70, "deux\nlignes"), (75, "Seul")]
+    said = [(1, k, start + datetime.timedelta(seconds=s), "fr", t) for k, (s, t) in enumerate(said)]
+    frame = spark.createDataFrame(said, "user_id long, seq long, ts timestamp, lang string, text string")
+    made = fold_utterances(frame, {"fr": frozenset({"le"})}, ttl=30).orderBy("seq").collect()
+    # Goes on after a word that calls for more; lower case after a comma; forgotten after 30 s; a newline ends it
+    assert [(r.shown, r.back) for r in made] == [
+        ("Je vois le.", 0), (" chat noir,", 1), (" puis rien!", 0), ("Enfin", 0), (" deux\nlignes", 0), ("Seul", 0),
+    ]
