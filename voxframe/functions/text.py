@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from voxframe.functions.binding import bound
+
 NBSP, NNBSP, FORCED_END, KEEPCAPS, RESET = " ", " ", "\x02", "\x03", "\x04"
 _CONTROLS = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 
@@ -222,15 +224,20 @@ def aligned(a: Column, b: Column) -> Column:
 def solo_in_combined(solo: Column, combined: Column) -> Column:
     """The words of a combined text from where the solo text begins, searched from the end by up to three words with at most
     one mismatch; null if it is nowhere.  Both are arrays of words."""
-    k = F.least(F.size(solo), F.lit(3))
-    head = F.slice(solo, 1, F.greatest(k, F.lit(1)))
-    last = F.size(combined) - k
-    places = F.filter(
-        F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
-        lambda i: aligned(F.slice(combined, i + 1, F.greatest(k, F.lit(1))), head) >= k - 1,
-    )
-    at = F.array_max(places)
-    return F.when((k > 0) & at.isNotNull(), F.slice(combined, at + 1, F.size(combined)))
+
+    def cut(solo: Column, combined: Column) -> Column:
+        k = F.least(F.size(solo), F.lit(3))
+        last = F.size(combined) - k
+
+        def agrees(i: Column) -> Column:
+            same = [(F.get(combined, i + n) == F.get(solo, F.lit(n))) & (n < k) for n in range(3)]
+            return sum((F.coalesce(x, F.lit(False)).cast("int") for x in same), F.lit(0)) >= k - 1
+
+        places = F.filter(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), agrees)
+        at = F.array_max(places)
+        return F.when((k > 0) & at.isNotNull(), F.slice(combined, at + 1, F.size(combined)))
+
+    return bound(solo, lambda s: bound(combined, lambda c: cut(s, c)))
 
 
 def strip_prefix(buffer: Column, combined: Column) -> Column:

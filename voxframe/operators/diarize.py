@@ -142,6 +142,13 @@ def boost_top(scored: DataFrame, k: int, scale: float) -> DataFrame:
     ).drop("_rank")
 
 
+def boost(scored: DataFrame, passes: tuple[tuple[int, float], ...] = ((33, 2.0), (66, 1.0))) -> DataFrame:
+    """Each speaker's best frames lifted in passes (how many, how far); a later pass ranks what the earlier one made."""
+    for k, scale in passes:
+        scored = boost_top(scored, k, scale)
+    return scored
+
+
 def cache_frames(scored: DataFrame, k: int = 188) -> DataFrame:
     """The ``k`` best (speaker, frame) cells of each medium, in flat order (speaker first), -infinity as disabled."""
     w = Window.partitionBy("media_id").orderBy(F.col("score").desc(), "speaker_id", "frame")

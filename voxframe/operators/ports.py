@@ -12,7 +12,11 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from voxframe.functions.phrases import reply_language_head, reply_language_tail
+from voxframe.functions.text import fill_prompt
+from voxframe.operators.render import prompt_plain, prompt_text
 from voxframe.operators.sequence import speaker_turns
 
 
@@ -49,7 +53,7 @@ def recognise(audio: DataFrame, factory: Callable[[], Recogniser]) -> DataFrame:
 
 def correct_text(df: DataFrame, factory: Callable[[], TextModel], prompt: str = "prompt", text: str = "text") -> DataFrame:
     """The frame with ``corrected`` and ``failed``: the model's reply, the text itself where that fails or is empty."""
-    schema = df.schema.add("corrected", "string").add("failed", "boolean")
+    schema = StructType([*df.schema.fields]).add("corrected", "string").add("failed", "boolean")
 
     def run(frames: Iterable[pd.DataFrame]):
         model = factory()
@@ -68,6 +72,21 @@ def correct_text(df: DataFrame, factory: Callable[[], TextModel], prompt: str =
     return df.mapInPandas(run, schema)
 
 
+def analyse_whole(
+    segments: DataFrame, template: str, factory: Callable[[], TextModel], lang_name: str = "", dictionary: str = "", plain: bool = False
+) -> DataFrame:
+    """(media_id, text, corrected, failed): a model's reply on each whole recording, asked with the template.
+
+    Plain profiles read the texts alone, the others speakers and times too; where the model fails, the transcript stands.
+    """
+    whole = prompt_plain(segments) if plain else prompt_text(segments)
+    name = F.lit(lang_name)
+    ask = F.concat(
+        reply_language_head(name), fill_prompt(F.lit(template), F.col("text"), F.lit(None).cast("string"), F.lit(dictionary)), reply_language_tail(name)
+    )
+    return correct_text(whole.withColumn("prompt", ask), factory).drop("prompt")
+
+
 def correct_in_turn(segments: DataFrame, factory: Callable[[], Callable[[str, str], str]]) -> DataFrame:
     """(media_id, seg_no, text, corrected): each segment corrected with the corrected one before it as context.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,3 +185,42 @@ def piece_text(ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda p: p["piece"])
     joined = F.trim(F.regexp_replace(F.array_join(pieces, ""), "▁", " "))
     return ids.join(vocabulary, "id").groupBy("media_id").agg(joined.alias("text"))
+
+
+def segment_order(segments: DataFrame) -> DataFrame:
+    """Segments with ``place``: by start within a recording; of equal starts the lower speaker comes first, then the earlier row."""
+    w = Window.partitionBy("media_id").orderBy("start", "speaker_id", "ord")
+    return segments.withColumn("place", F.row_number().over(w) - 1)
+
+
+def last_seconds(tokens: DataFrame, seconds: int = 30) -> DataFrame:
+    """What starts in the last ``seconds`` of each recording; the whole seconds of its length count."""
+    whole = F.floor(F.max("end").over(Window.partitionBy("media_id")))
+    return tokens.withColumn("_from", whole - seconds).where("start >= _from").drop("_from")
+
+
+def segment_positions(documents: DataFrame, segments: DataFrame) -> DataFrame:
+    """(media_id, seg_no, from, to): where segments stand in the edited text (media_id, text) of their recording.
+
+    Each is searched from the end of the one found before it, so repeated phrases meet their own place; what is not found or
+    empty is left out and moves nothing.  Places count characters from 0.
+    """
+
+    @F.pandas_udf("array<struct<seg_no long, `from` long, to long>>")
+    def places(text: pd.Series, wanted: pd.Series) -> pd.Series:
+        def one(t: str | None, rows) -> list[dict]:
+            found, at = [], 0
+            for row in rows:
+                part = (row["text"] or "").strip()
+                start = (t or "").find(part, at) if part else -1
+                if start >= 0:
+                    at = start + len(part)
+                    found.append({"seg_no": row["seg_no"], "from": start, "to": at})
+            return found
+
+        return pd.Series([one(t, rows) for t, rows in zip(text, wanted, strict=True)])
+
+    row = F.struct(F.col("seg_no").cast("long").alias("seg_no"), "text")
+    wanted = segments.groupBy("media_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    both = documents.join(wanted, "media_id").select("media_id", places("text", "_rows").alias("p"))
+    return both.select("media_id", F.inline("p"))

@@ -54,6 +54,46 @@ def lint(rules: Sequence[Rule]) -> list[str]:
     return found
 
 
+_CLASS_BLANK = re.compile(r"\[((?:[^\]\\]|\\[^s])*)\\s([^\]]*)\]")
+_ESCAPED = re.compile(r"\\(?:n|t|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4})")
+_SUFFIX = re.compile("%SUFFIX_([A-Z]{2})%")
+
+
+def _decoded(replacement: str) -> str:
+    """Escapes of new line, tab and code points read; references to groups stay."""
+
+    def one(m: re.Match) -> str:
+        part = m[0][1:]
+        return {"n": "\n", "t": "\t"}.get(part) or chr(int(part[1:], 16))
+
+    return _ESCAPED.sub(one, replacement)
+
+
+def rules_from_rows(rows: DataFrame, suffixes: dict[str, str] | None = None) -> list[Rule]:
+    """Rules of a rule file's rows (ord, lang, pattern, replacement, flags), in their order.
+
+    A pattern with a suffix that is not given is left out, and so is one that does not compile.  A blank class within
+    brackets means space and tab there, so that it takes no new line another rule has made.  Rule files are small: each rule
+    becomes part of the plan.
+    """
+    found = []
+    for row in rows.orderBy("ord").collect():
+        pattern, named = row.pattern, _SUFFIX.search(row.pattern)
+        if named:
+            suffix = (suffixes or {}).get(named[1].lower())
+            if not suffix:
+                continue
+            pattern = pattern.replace(named[0], suffix)
+        pattern = _CLASS_BLANK.sub(r"[\1 \\t\2]", pattern)
+        rule = Rule(pattern, _decoded(row.replacement), row.lang, f"file-{row.lang}", "".join(f for f in row.flags if f in "im"))
+        try:
+            re.compile(rule.pattern)
+        except re.error:
+            continue
+        found.append(rule)
+    return found
+
+
 def _families(rules: Sequence[Rule]) -> list[list[Rule]]:
     """Neighbouring rules of one language, family and guard."""
     out: list[list[Rule]] = []
@@ -185,13 +225,21 @@ SYMBOLS = [
     Rule(r"(\d)\s*(?:dollars?)\b", r"\1 $", family="symbols", guard=r"\d"),
     Rule(r"(\d)\s+(?:degrees|degrés|grad|grados)\b", r"\1°", family="symbols", guard=r"\d"),
 ]
-#: French h-words that block elision: a few of our own choosing.
-ASPIRATED = ("haricot", "hasard", "haut", "hauteur", "héros", "hibou", "honte", "huit", "hamster", "handicap")
+# French words whose h blocks elision, as dictionaries mark them.
+ASPIRATED = (
+    "hache", "hachis", "hachoir", "haie", "haillon", "haine", "haineux", "haineuse", "haïr", "hall", "halo", "halte", "hamac", "hamburger", "hameau",
+    "hamster", "hanche", "handball", "handicap", "handicapé", "hangar", "hanneton", "hanter", "hantise", "harceler", "harcèlement", "hardi",
+    "harem", "hareng", "hargne", "hargneux", "haricot", "harnais", "harpe", "harpon", "hasard", "hasardeux", "hâte", "hâtif", "hausse",
+    "haut", "hautain", "hautbois", "hauteur", "havre", "hayon", "hennissement", "hérisson", "hernie", "héron", "héros", "herse", "hêtre", "heurt",
+    "heurter", "hibou", "hideux", "hideuse", "hiérarchie", "hiérarchique", "hippie", "hisser", "hobby", "hochet", "hockey", "hollandais", "hollandaise",
+    "hollande", "homard", "hongrie", "hongrois", "hongroise", "honte", "honteux", "honteuse", "hoquet", "horde", "hors", "hotte", "houblon", "houille",
+    "houle", "housse", "houx", "hublot", "huche", "huée", "huit", "huitaine", "huitième", "hurlement", "hurler", "hussard", "hutte",
+)
 _ELIDED = {"le": "l'", "la": "l'", "de": "d'", "que": "qu'", "je": "j'", "ne": "n'", "se": "s'", "me": "m'", "te": "t'", "ce": "c'"}
 ELISION_FR = [
     Rule(r"\bsi\s+(ils?)\b", r"s'\1", "fr", "elision"),
     *[
-        Rule(rf"\b{full}\s+(?!(?:{'|'.join(ASPIRATED)})s?\b)(?=[aeiouyàâéèêëîïôûùh])", short, "fr", "elision")
+        Rule(rf"\b{full}\s+(?!(?:{'|'.join(ASPIRATED)})(?:e?s?|x)\b)(?=[aeiouyàâéèêëîïôûùh])", short, "fr", "elision")
         for full, short in _ELIDED.items()
     ],
 ]
@@ -216,10 +264,18 @@ SPANISH = [
 PORTUGUESE = [
     r
     for a, rows in {
-        "de": {"o": "do", "a": "da", "os": "dos", "as": "das", "ele": "dele", "ela": "dela"},
-        "em": {"o": "no", "a": "na", "os": "nos", "as": "nas", "um": "num", "uma": "numa"},
+        # The contractions of the written language
+        "de": {
+            "o": "do", "a": "da", "os": "dos", "as": "das", "ele": "dele", "ela": "dela", "eles": "deles", "elas": "delas",
+            "este": "deste", "esta": "desta", "esse": "desse", "essa": "dessa", "aquele": "daquele", "aquela": "daquela",
+            "isto": "disto", "isso": "disso", "aquilo": "daquilo",
+        },
+        "em": {
+            "o": "no", "a": "na", "os": "nos", "as": "nas", "um": "num", "uma": "numa", "este": "neste", "esta": "nesta",
+            "esse": "nesse", "essa": "nessa", "aquele": "naquele", "aquela": "naquela", "isto": "nisto", "isso": "nisso", "aquilo": "naquilo",
+        },
         "por": {"o": "pelo", "a": "pela", "os": "pelos", "as": "pelas"},
-        "a": {"o": "ao", "os": "aos"},
+        "a": {"o": "ao", "os": "aos", "a": "à", "as": "às", "aquele": "àquele", "aquela": "àquela", "aquilo": "àquilo"},
     }.items()
     for b, joined in rows.items()
     for r in contraction(a, b, joined, "pt")
@@ -241,7 +297,10 @@ DUTCH = [
     Rule(r"\bhet (?=\p{Ll})", "'t ", "nl", "dutch", ""),
 ]
 ROMANIAN = [
-    *[r for a, b, j in (("într", "un", "într-un"), ("dintr", "un", "dintr-un"), ("într", "o", "într-o"), ("dintr", "o", "dintr-o")) for r in contraction(a, b, j, "ro")],
+    *[r for a, b, j in (
+        ("într", "un", "într-un"), ("dintr", "un", "dintr-un"), ("printr", "un", "printr-un"),
+        ("într", "o", "într-o"), ("dintr", "o", "dintr-o"), ("printr", "o", "printr-o"),
+    ) for r in contraction(a, b, j, "ro")],
     Rule(r'"([^"\n]+)"', r"„\1”", "ro", "quotes", "", '"'),
 ]
 TYPOGRAPHY_FR = [

@@ -51,6 +51,11 @@ def replace_rows(system: DataFrame, user: DataFrame) -> DataFrame:
     return user.unionByName(system.join(any_user, F.lit(True), "left_anti"))
 
 
+def builtins_then_user(builtin: DataFrame, user: DataFrame) -> DataFrame:
+    """Built-in rows, then the user's with the ids they have; ``origin`` 0 or 1 and ``ord`` give the order."""
+    return builtin.withColumn("origin", F.lit(0)).unionByName(user.withColumn("origin", F.lit(1)))
+
+
 def merge_words(system: DataFrame, user: DataFrame) -> DataFrame:
     """(lang, word): both word sets together, without what the user excludes."""
     added = system.where("op = 'add'").unionByName(user.where("op = 'add'")).select("lang", "word").distinct()
