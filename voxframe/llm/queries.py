@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import find_leaks
 from .langid import fit_languages, identify_languages
 from .licenses import scan_licenses
+from .manifest import MANIFEST_SQL, tampered_manifest
 from .media import encode_media, media_features
+from .mixing import MIX_SQL, mix_sources
 from .ngramjoin import near_duplicates
+from .periodic import periodic_runs, plant_repeats, run_digests
 from .secrets import secret_digests
 from .suffixdedup import remove_repeats
 from .tokencount import count_tokens
@@ -70,12 +73,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(plant_repeats(_documents(spark, sf_dir))))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_manifest(_documents(spark, sf_dir))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_license_scan, op2_bpe_codec, op3_ngram_jaccard, op4_suffix_dedup, op5_media_columns, op6_token_counts, op7_toxicity, op8_language_id, op9_decontamination, op10_secret_scan)
+        for f in (
+            op1_license_scan, op2_bpe_codec, op3_ngram_jaccard, op4_suffix_dedup, op5_media_columns, op6_token_counts, op7_toxicity,
+            op8_language_id, op9_decontamination, op10_secret_scan, op11_periodic_runs, op12_merkle_manifest, op13_source_mix,
+        )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_merkle_manifest": MANIFEST_SQL, "op13_source_mix": MIX_SQL}
