@@ -192,10 +192,11 @@ def test_mix_against_sql(spark):
     assert got == sorted(con.execute(MIX_SQL).fetchall(), key=str)
     assert got == sorted(map(tuple, mix_sources(df.repartition(2)).collect()), key=str)
     taken = {}
-    for _, size, _, target, words in got:
+    for _, size, whole, target, words in got:
         assert 0 <= words <= 3 * size
-        taken[target] = taken.get(target, 0) + words
-    assert all(abs(words - target) <= 60 for target, words in taken.items())  # rows alike at a threshold are rounded each
+        taken[whole, target] = taken.get((whole, target), 0) + words
+    assert len(taken) == len({r[3] for r in rows})  # no two sources are of one size
+    assert all(abs(words - target) <= 60 for (_, target), words in taken.items())  # rows alike at a threshold are rounded each
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     blank = spark.createDataFrame([(1, "", None, "s", 0, *"cccc")], SCHEMA)
     assert [tuple(r) for r in mix_sources(blank).collect()] == [(1, 0, 0, 0.0, 0)]
