@@ -478,14 +478,15 @@ def zscore_features(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("label").alias("media_id"), F.col("vec_id").alias("frame"), F.posexplode(F.slice("embedding", 1, 4)).alias("speaker_id", "v")
-    ).withColumn("p", F.least(F.lit(0.99), F.abs(F.col("v").cast("double")) * 5)).drop("v")
+    """The greatest of each speaker's sixteen dimensions stands for a probability."""
+    cells = table(spark, sf_dir, "embeddings").select(F.col("label").alias("media_id"), F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("i", "v"))
+    most = F.max(F.abs(F.col("v").cast("double")))
+    return cells.groupBy("media_id", "frame", (F.col("i") % 4).alias("speaker_id")).agg(F.least(F.lit(0.99), most * most * 5).alias("p"))
 
 
-_SCORES = """WITH v AS (SELECT label AS media_id, vec_id AS frame, unnest(range(4))::INTEGER AS speaker_id, unnest(embedding[1:4])::DOUBLE AS v FROM embeddings),
-  pr AS (SELECT media_id, frame, speaker_id, least(0.99::DOUBLE, abs(v) * 5) AS p FROM v),
-  sc AS (SELECT *, ln(greatest(p, 0.25::DOUBLE)) - ln(greatest(1 - p, 0.25::DOUBLE)) + sum(ln(greatest(1 - p, 0.25::DOUBLE))) OVER (PARTITION BY media_id, frame) - ln(0.5::DOUBLE) AS score FROM pr)"""
+_SCORES = """WITH v AS (SELECT label AS media_id, vec_id AS frame, unnest(range(64))::INTEGER % 4 AS speaker_id, abs(unnest(embedding)::DOUBLE) AS v FROM embeddings),
+  pr AS (SELECT media_id, frame, speaker_id, least(0.99::DOUBLE, max(v) * max(v) * 5) AS p FROM v GROUP BY ALL), fl AS (SELECT *, greatest(p, 0.25::DOUBLE) AS f FROM pr),
+  sc AS (SELECT media_id, frame, speaker_id, p, ln(f) - ln(greatest(1 - f, 0.25::DOUBLE)) + sum(ln(greatest(1 - f, 0.25::DOUBLE))) OVER (PARTITION BY media_id, frame) - ln(0.5::DOUBLE) AS score FROM fl)"""
 _LOW = """, d1 AS (SELECT media_id, frame, speaker_id, p, CASE WHEN p > 0.5 THEN score END AS score FROM sc), d2 AS (SELECT *, count(*) FILTER (WHERE score > 0)
   OVER (PARTITION BY media_id, speaker_id) AS np FROM d1), dl AS (SELECT media_id, frame, speaker_id, CASE WHEN score <= 0 AND np >= 5 THEN NULL ELSE score END AS score FROM d2)"""
 
@@ -516,15 +517,41 @@ def boosted_scores(spark, sf_dir):
     return diarize.boost_top(low, 3, 2.0).select("media_id", "frame", "speaker_id", _finite("score"))
 
 
+_SLOTS = """, n AS (SELECT media_id, max(frame) + 1 AS n FROM dl GROUP BY 1),
+    cells AS (SELECT media_id, speaker_id, frame, score, speaker_id * (n + 3) + frame AS flat, false AS empty FROM dl JOIN n USING (media_id)
+      UNION ALL SELECT media_id, s, n + i, 'inf'::DOUBLE, s * (n + 3) + n + i, true FROM n, range(4) a(s), range(3) b(i)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY coalesce(score, '-inf'::DOUBLE) DESC, flat) AS k FROM cells),
+    slots AS (SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY CASE WHEN score IS NULL THEN 99999999 ELSE flat END, flat) - 1)::INTEGER AS slot,
+      CASE WHEN score IS NOT NULL AND NOT empty THEN speaker_id END AS speaker_id, CASE WHEN score IS NOT NULL AND NOT empty THEN frame END AS frame,
+      score IS NULL OR empty AS disabled FROM r WHERE k <= 188)"""
+
+
+def _slots(spark, sf_dir):
+    return diarize.cache_frames(diarize.disable_low(diarize.log_odds(_scores(spark, sf_dir)), enough=5))
+
+
+@query(_SCORES + _LOW + _SLOTS + " SELECT * FROM slots")
+def cache_frames(spark, sf_dir):
+    return _slots(spark, sf_dir)
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("media_id"), F.col("vec_id").alias("frame"), F.col("embedding").alias("vector"))
+
+
 @query(
     _SCORES
     + _LOW
-    + """, r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY score DESC NULLS LAST, speaker_id, frame) AS k FROM dl)
-    SELECT media_id, frame, speaker_id, (row_number() OVER (PARTITION BY media_id ORDER BY speaker_id, frame) - 1)::INTEGER AS slot, score IS NULL AS disabled FROM r WHERE k <= 20"""
+    + _SLOTS
+    + """, q AS (SELECT media_id, frame FROM pr GROUP BY ALL HAVING sum(p) < 1.2::DOUBLE), x AS (SELECT label AS media_id, vec_id AS frame, unnest(range(64)) AS dim,
+    unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT media_id, dim, avg(x) AS quiet FROM x SEMI JOIN q USING (media_id, frame) GROUP BY ALL), a AS (SELECT * FROM slots, range(64) d(dim))
+    SELECT a.media_id, a.slot, a.frame, a.dim::INTEGER AS dim, round(CASE WHEN a.disabled THEN m.quiet ELSE x.x END, 5) AS value
+    FROM a LEFT JOIN x ON a.media_id = x.media_id AND a.frame = x.frame AND a.dim = x.dim LEFT JOIN m ON a.media_id = m.media_id AND a.dim = m.dim"""
 )
-def cache_frames(spark, sf_dir):
-    low = diarize.disable_low(diarize.log_odds(_scores(spark, sf_dir)), enough=5)
-    return diarize.cache_frames(low, 20).select("media_id", "frame", "speaker_id", "slot", "disabled")
+def cache_vectors(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir)
+    made = diarize.gather(_slots(spark, sf_dir), vectors, diarize.silence_mean(vectors, _scores(spark, sf_dir), under=1.2))
+    return made.select("media_id", "slot", "frame", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round("value", 5))
 
 
 @query(
@@ -533,8 +560,7 @@ def cache_frames(spark, sf_dir):
     unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT media_id, dim, round(avg(x), 5) AS value FROM c SEMI JOIN q USING (media_id, frame) GROUP BY ALL"""
 )
 def silence_mean(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("label").alias("media_id"), F.col("vec_id").alias("frame"), F.col("embedding").alias("vector"))
-    return diarize.silence_mean(vectors, _scores(spark, sf_dir), under=1.2).withColumn("value", F.round("value", 5))
+    return diarize.silence_mean(_vectors(spark, sf_dir), _scores(spark, sf_dir), under=1.2).withColumn("value", F.round("value", 5))
 
 
 @query(

@@ -113,9 +113,10 @@ def diarize(frames: DataFrame, t: Thresholds = Thresholds(), half: int = 5) -> D
 
 def log_odds(frames: DataFrame, floor: float = 0.25) -> DataFrame:
     """Score of each (media_id, frame, speaker_id, p): ln p - ln(1 - p) + sum over speakers of ln(1 - p) - ln 0.5, with
-    p and 1 - p at least ``floor`` under the logarithm."""
-    log_p = F.log(F.greatest(F.col("p"), F.lit(floor)))
-    log_q = F.log(F.greatest(1 - F.col("p"), F.lit(floor)))
+    p raised to ``floor`` first, and then 1 - p."""
+    raised = F.greatest(F.col("p"), F.lit(floor))
+    log_p = F.log(raised)
+    log_q = F.log(F.greatest(1 - raised, F.lit(floor)))
     everyone = F.sum(log_q).over(Window.partitionBy("media_id", "frame"))
     return frames.withColumn("score", log_p - log_q + everyone - F.log(F.lit(0.5)))
 
@@ -149,18 +150,31 @@ def boost(scored: DataFrame, passes: tuple[tuple[int, float], ...] = ((33, 2.0),
     return scored
 
 
-def cache_frames(scored: DataFrame, k: int = 188) -> DataFrame:
-    """The ``k`` best (speaker, frame) cells of each medium, in flat order (speaker first), -infinity as disabled."""
-    w = Window.partitionBy("media_id").orderBy(F.col("score").desc(), "speaker_id", "frame")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    order = Window.partitionBy("media_id").orderBy("speaker_id", "frame")
-    return ranked.select(
+def cache_frames(scored: DataFrame, k: int = 188, silent: int = 3) -> DataFrame:
+    """Slots (media_id, slot, speaker_id, frame, disabled) of each medium's ``k`` best cells (speaker, frame).
+
+    ``silent`` placeholders a speaker, after its frames, outrank every score.  Slots go by speaker and frame, but cells
+    of score -infinity come last.  Those and the placeholders are disabled: they have neither speaker nor frame.
+    """
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    cells = scored.select("media_id", "speaker_id", "frame", F.lit(0).alias("_place"), F.col("score").cast("double").alias("score"))
+    places = F.explode(F.sequence(F.lit(1), F.lit(silent))).alias("_place")
+    speakers = cells.select("media_id", "speaker_id").distinct()
+    if silent:
+        held = speakers.select("media_id", "speaker_id", F.lit(None).cast(scored.schema["frame"].dataType).alias("frame"), places, high.alias("score"))
+        cells = cells.unionByName(held)
+    flat = ["speaker_id", "_place", "frame"]
+    best = Window.partitionBy("media_id").orderBy(F.col("score").desc(), *flat)
+    kept = cells.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
+    void = F.col("score") == low
+    order = Window.partitionBy("media_id").orderBy(void, *flat)
+    disabled = void | (F.col("_place") > 0)
+    return kept.select(
         "media_id",
-        "speaker_id",
-        "frame",
-        "score",
         (F.row_number().over(order) - 1).alias("slot"),
-        (F.col("score") == float("-inf")).alias("disabled"),
+        F.when(~disabled, F.col("speaker_id")).alias("speaker_id"),
+        F.when(~disabled, F.col("frame")).alias("frame"),
+        disabled.alias("disabled"),
     )
 
 
