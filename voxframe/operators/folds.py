@@ -7,7 +7,7 @@ memory at a time is carried from batch to batch, so that a key of any length nee
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -41,10 +41,30 @@ class Fold:
         """What is given once no row follows."""
         return []
 
+    def over(self, memory: Any) -> bool:
+        """Whether a memory may be given up after a gap; one that still counts is kept."""
+        return True
+
     def names(self) -> list[str]:
         return [c.split()[0] for c in _top_level(self.columns)]
 
 
+class ModelFold(Fold):
+    """A fold that asks a plugged-in model; each worker makes its own, once."""
+
+    def __init__(self, factory: Callable[[], Any]):
+        self.factory, self._model = factory, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_model": None}
+
+    @property
+    def model(self) -> Any:
+        if self._model is None:
+            self._model = self.factory()
+        return self._model
+
+
 def _top_level(ddl: str) -> list[str]:
     parts, depth, now = [], 0, ""
     for c in ddl:
@@ -61,7 +81,7 @@ def advance(fold: Fold, key: tuple, memory: Any, last: float | None, frame: pd.D
     """Feeds rows in order, beginning anew after each gap; ``last`` is the event time of the row before."""
     if not len(frame):
         return memory, last, []
-    if fold.idle is None:
+    if fold.idle is None or AT not in frame:
         memory, out = fold.rows(key, memory, frame)
         return memory, (float(frame[AT].iloc[-1]) if AT in frame else None), out
     at = frame[AT].to_numpy(dtype=np.float64)
@@ -69,7 +89,7 @@ def advance(fold: Fold, key: tuple, memory: Any, last: float | None, frame: pd.D
     cuts = [0, *np.flatnonzero(gap > fold.idle).tolist(), len(frame)]
     out: list[tuple] = []
     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if k:
+        if k and fold.over(memory):
             out += fold.end(key, memory)
             memory = fold.start(key)
         if b > a:
@@ -90,7 +110,7 @@ def event_ms(at: str):
 def fold_in_order(df: DataFrame, keys: list[str], order: list[str], fold: Fold, at: str | None = None) -> DataFrame:
     """What a fold gives over the rows of each key by ``order``.  at: a timestamp column, where the fold knows gaps.
 
-    Keys are not null.  One task holds one key's memory and one batch of rows at a time.
+    Keys are not null.  Without ``at`` a key never begins anew.  One task holds one key's memory and one batch of rows at a time.
     """
     rows = df if at is None else df.withColumn(AT, event_ms(at))
 

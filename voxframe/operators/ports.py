@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from voxframe.functions.phrases import reply_language_head, reply_language_tail
 from voxframe.functions.text import fill_prompt
+from voxframe.operators.folds import ModelFold, fold_in_order
 from voxframe.operators.render import prompt_plain, prompt_text
 from voxframe.operators.sequence import speaker_turns
 
@@ -87,26 +88,26 @@ def analyse_whole(
     return correct_text(whole.withColumn("prompt", ask), factory).drop("prompt")
 
 
-def correct_in_turn(segments: DataFrame, factory: Callable[[], Callable[[str, str], str]]) -> DataFrame:
-    """(media_id, seg_no, text, corrected): each segment corrected with the corrected one before it as context.
+class InTurn(ModelFold):
+    """Segments (media_id, seg_no, text) corrected one after another; the memory is the corrected text before."""
 
-    A medium's segments depend on each other, so a medium is one group; a failure keeps that segment's text.
-    """
+    columns = "media_id long, seg_no long, text string, corrected string"
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        model, before, out = factory(), "", []
-        frame = frame.sort_values("seg_no")
-        for text in frame["text"]:
+    def rows(self, key: tuple, memory: str | None, frame: pd.DataFrame) -> tuple[str, list[tuple]]:
+        before, out = memory or "", []
+        for seg_no, text in zip(frame["seg_no"], frame["text"], strict=True):
             try:
-                before = (model(text, before) or "").strip() or text
-            except Exception:  # noqa: BLE001
+                before = (self.model(text, before) or "").strip() or text
+            except Exception:  # noqa: BLE001  any failure of a plugged-in model keeps the segment
                 before = text
-            out.append(before)
-        return frame.assign(corrected=out)[["media_id", "seg_no", "text", "corrected"]]
+            out.append((key[0], seg_no, text, before))
+        return before, out
 
-    return segments.select("media_id", "seg_no", "text").groupBy("media_id").applyInPandas(
-        run, "media_id long, seg_no long, text string, corrected string"
-    )
+
+def correct_in_turn(segments: DataFrame, factory: Callable[[], Callable[[str, str], str]]) -> DataFrame:
+    """(media_id, seg_no, text, corrected): each segment corrected with the corrected one before it as context; a failure
+    keeps that segment's text."""
+    return fold_in_order(segments.select("media_id", "seg_no", "text"), ["media_id"], ["seg_no"], InTurn(factory))
 
 
 def translate_by_table(df: DataFrame, table: DataFrame, src: str, tgt: str, text: str = "text") -> DataFrame:
@@ -140,24 +141,38 @@ def translate_turns(segments: DataFrame, translate: Callable[[DataFrame], DataFr
     )
 
 
+class Transducer(ModelFold):
+    """Tokens of frames (media_id, frame, vector) in order; the memory is the model's state, how many frames to leave out,
+    and the numbers of frames and tokens so far."""
+
+    columns = "media_id long, pos int, id int, frame int"
+
+    def __init__(self, factory: Callable[[], Callable], blank: int, most: int = 10):
+        super().__init__(factory)
+        self.blank, self.most = blank, most
+
+    def start(self, key: tuple) -> tuple:
+        return None, 0, 0, 0
+
+    def rows(self, key: tuple, memory: tuple, frame: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+        (state, skip, t, pos), out = memory, []
+        for vector in frame["vector"]:
+            here = 0
+            while not skip:
+                token, duration, after = self.model(state, vector)
+                if token != self.blank:
+                    out.append((key[0], pos, token, t))
+                    state, here, pos = after, here + 1, pos + 1
+                if duration > 0 or token == self.blank or here >= self.most:
+                    skip = max(duration, 1)
+            skip, t = skip - 1, t + 1
+        return (state, skip, t, pos), out
+
+
 def greedy_transducer(frames: DataFrame, factory: Callable[[], Callable], blank: int, most: int = 10) -> DataFrame:
     """(media_id, pos, id, frame) by a step function (state, frame vector) -> (id, duration, state): a blank or a positive
     duration moves on, at most ``most`` tokens come from one frame.  Frames: (media_id, frame, vector)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        step, state, out = factory(), None, []
-        frame = frame.sort_values("frame")
-        vectors, t, here = frame["vector"].tolist(), 0, 0
-        while t < len(vectors):
-            token, duration, after = step(state, vectors[t])
-            if token != blank:
-                out.append((frame["media_id"].iloc[0], len(out), token, t))
-                state, here = after, here + 1
-            if duration > 0 or token == blank or here >= most:
-                t, here = t + max(duration, 1), 0
-        return pd.DataFrame(out, columns=["media_id", "pos", "id", "frame"])
-
-    return frames.groupBy("media_id").applyInPandas(run, "media_id long, pos int, id int, frame int")
+    return fold_in_order(frames.select("media_id", "frame", "vector"), ["media_id"], ["frame"], Transducer(factory, blank, most))
 
 
 #: Languages an attention decoder knows, by the order of their prompt tokens.

@@ -6,7 +6,6 @@ also there as column expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import FORCED_END, NBSP, NNBSP
+from voxframe.operators.folds import Fold, fold_in_order
 
 #: Final characters and the marker they leave, longest first; ? and ! depend on the language.
 ENDS = (("...", ".3"), ("..", ".2"), ("…", ".3"), (".", ".1"), (",", ","), (";", "F"), (":", "F"), (")", "F"), ("»", "F"))
@@ -112,24 +112,34 @@ def fold_utterances(
     """(user_id, seq, shown, back, state) of utterances (user_id, seq, ts, lang, text), each seeing the one before.
 
     What is shown depends on the end of the text before it, which depends on that text as changed: a fold over a user's
-    utterances.  ``ttl``: seconds after which the end is forgotten; a gap of just that many still counts.
+    utterances by time, then ``seq``.  ``ttl``: seconds after which the end is forgotten; a gap of just that many still counts.
     """
-    schema = "user_id long, seq long, shown string, back long, state string"
+    return fold_in_order(utterances, ["user_id"], ["ts", "seq"], Utterances(words, keywords, ttl), "ts" if ttl is not None else None)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        end, last, out = None, None, []
-        for row in frame.sort_values("seq").itertuples():
-            if ttl is not None and last is not None and (row.ts - last).total_seconds() > ttl:
-                end = None
-            mine = words.get(row.lang, frozenset())
-            shown, back = continue_text(end, row.text or "", row.lang, mine, keywords)
-            if (row.text or "").strip():
-                _, end = end_of(shown, row.lang, mine)
-                last = row.ts
-            out.append((row.user_id, row.seq, shown, back, str(end) if end else None))
-        return pd.DataFrame(out, columns=["user_id", "seq", "shown", "back", "state"])
 
-    return utterances.groupBy("user_id").applyInPandas(run, schema)
+class Utterances(Fold):
+    """What is shown of utterances (user_id, seq, ts, lang, text); the memory is the end of the text before and its time."""
+
+    columns = "user_id long, seq long, shown string, back long, state string"
+
+    def __init__(self, words: dict[str, frozenset[str]], keywords: tuple[str, ...] = (), ttl: int | None = None):
+        self.words, self.keywords, self.ttl = words, keywords, ttl
+        self.idle = None if ttl is None else ttl * 1000.0
+
+    def rows(self, key: tuple, memory: tuple | None, frame: pd.DataFrame) -> tuple[tuple | None, list[tuple]]:
+        end, last = memory or (None, None)
+        out = []
+        for seq, ts, lang, text in zip(*(frame[c] for c in ("seq", "ts", "lang", "text")), strict=True):
+            text = text or ""
+            if self.ttl is not None and last is not None and (ts - last).total_seconds() > self.ttl:
+                end = None
+            mine = self.words.get(lang, frozenset())
+            shown, back = continue_text(end, text, lang, mine, self.keywords)
+            if text.strip():
+                _, end = end_of(shown, lang, mine)
+                last = ts
+            out.append((key[0], seq, shown, back, str(end) if end else None))
+        return (end, last), out
 
 
 def expiring_sessions(events: DataFrame, seconds: float) -> DataFrame:
@@ -172,15 +182,29 @@ def key_event(state: KeyState, ms: float, value: int, debounce: float = 150, coo
     return "cancel" if ms - state.pressed < hold else "stop"
 
 
-def debounce_keys(events: DataFrame, debounce: float = 150, cooldown: float = 500, hold: float = 300) -> DataFrame:
-    """(user_id, ms, value, action) of key events (user_id, ms, value): a fold, for the last accepted event decides."""
+class Keys(Fold):
+    """Actions of key events (user_id, ms, value).  A key that is neither held nor recording is forgotten after a while."""
+
+    columns = "user_id long, ms double, value int, action string"
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state, frame = KeyState(), frame.sort_values(["ms", "value"])
-        frame["action"] = [key_event(state, m, v, debounce, cooldown, hold) for m, v in zip(frame["ms"], frame["value"], strict=True)]
-        return frame[["user_id", "ms", "value", "action"]]
+    def __init__(self, debounce: float = 150, cooldown: float = 500, hold: float = 300):
+        self.limits = (debounce, cooldown, hold)
+        self.idle = max(10_000.0, *self.limits)
 
-    return events.groupBy("user_id").applyInPandas(run, "user_id long, ms double, value int, action string")
+    def start(self, key: tuple) -> KeyState:
+        return KeyState()
+
+    def over(self, memory: KeyState) -> bool:
+        return not (memory.held or memory.recording)
+
+    def rows(self, key: tuple, memory: KeyState, frame: pd.DataFrame) -> tuple[KeyState, list[tuple]]:
+        events = zip(frame["ms"].tolist(), frame["value"].tolist(), strict=True)
+        return memory, [(key[0], ms, value, key_event(memory, ms, value, *self.limits)) for ms, value in events]
+
+
+def debounce_keys(events: DataFrame, debounce: float = 150, cooldown: float = 500, hold: float = 300) -> DataFrame:
+    """(user_id, ms, value, action) of key events (user_id, ms, value): a fold, for the last accepted event decides."""
+    return fold_in_order(events, ["user_id"], ["ms", "value"], Keys(debounce, cooldown, hold), None)
 
 
 def application_state(events: DataFrame) -> DataFrame:
@@ -190,16 +214,3 @@ def application_state(events: DataFrame) -> DataFrame:
     solid = F.last(F.when(F.col("state") != "idle", F.col("state")), ignorenulls=True).over(w)
     shown = F.when((F.col("state") == "idle") & (solid == "offline"), "offline").otherwise(F.col("state"))
     return events.withColumn("shown", shown)
-
-
-def utterances_in_state(rows: Iterator[pd.DataFrame], end: End | None, words: dict, keywords: tuple[str, ...]):
-    """Folds batches of one user's utterances; gives the rows and the end after them."""
-    out = []
-    for frame in rows:
-        for row in frame.sort_values("seq").itertuples():
-            mine = words.get(row.lang, frozenset())
-            shown, back = continue_text(end, row.text or "", row.lang, mine, keywords)
-            if (row.text or "").strip():
-                _, end = end_of(shown, row.lang, mine)
-            out.append((row.user_id, row.seq, shown, back, str(end) if end else None))
-    return pd.DataFrame(out, columns=["user_id", "seq", "shown", "back", "state"]), end

@@ -13,7 +13,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 
-from voxframe.operators.folds import Fold
+from voxframe.operators.folds import ModelFold
 
 
 class SpeakerModel(Protocol):
@@ -86,17 +86,15 @@ def _joined(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
     return b if a is None or not len(a) else np.concatenate([a, b])
 
 
-class StreamingDiarizer(Fold):
+class StreamingDiarizer(ModelFold):
     """(media_id, frame, p array) of feature rows (media_id, ..., vector), chunk by chunk; a last, shorter chunk is given
     once the recording has been silent for ``idle`` milliseconds, or has ended."""
 
     columns = "media_id long, frame long, p array<double>"
 
     def __init__(self, factory: Callable[[], SpeakerModel], sizes: CacheSizes = CacheSizes(), idle: float | None = 5000.0):
-        self.factory, self.sizes, self.idle, self._model = factory, sizes, idle, None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_model": None}  # each worker makes its own, once
+        super().__init__(factory)
+        self.sizes, self.idle = sizes, idle
 
     def start(self, key: tuple) -> SpeakerState:
         return SpeakerState()
@@ -115,15 +113,13 @@ class StreamingDiarizer(Fold):
 
     def _chunk(self, key: tuple, s: SpeakerState) -> list[tuple]:
         z = self.sizes
-        if self._model is None:
-            self._model = self.factory()
         used = len(s.pending)
         chunk = np.zeros((z.chunk * z.stride, len(s.pending[0])))
         chunk[:used] = s.pending
         s.pending = []
         none = np.zeros((0, 0))
         cached, queued = (0 if a is None else len(a) for a in (s.cache, s.queue))
-        p, made = self._model(s.cache if cached else none, s.queue if queued else none, chunk, used)
+        p, made = self.model(s.cache if cached else none, s.queue if queued else none, chunk, used)
         new = -(-used // z.stride)
         first = cached + queued
         fresh = p[first : first + new]

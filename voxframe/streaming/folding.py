@@ -74,12 +74,12 @@ class EventFold(StatefulProcessor):
                 self.waiting.put([(_packed(later),)])
                 self.handle.registerTimer(int(later[AT].min()))
         idle = self.fold.idle
-        if last is not None and idle is not None and now > last + idle:
+        if last is not None and idle is not None and now > last + idle and self.fold.over(memory):
             out += self.fold.end(key, memory)
             self.memory.clear()
         elif last is not None:
             self.memory.update((pickle.dumps(memory), last))
-            if idle is not None:
+            if idle is not None and now <= last + idle:
                 self.handle.registerTimer(int(last + idle) + 1)
         if out:
             yield as_frame(self.fold, out)

@@ -1,16 +1,18 @@
-"""The stateful operators over Structured Streaming.  State is keyed by user or stream and bounded."""
+"""The stateful operators over Structured Streaming.  State is keyed by user or stream, bounded, and on event time."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from voxframe.operators.session import End, KeyState, key_event, utterances_in_state
+from voxframe.operators.intervals import merge_chunks
+from voxframe.operators.listening import ChunkedRecogniser, ContextRecogniser, LevelMeter, UtteranceRecogniser
+from voxframe.operators.session import Keys, Utterances
+from voxframe.operators.speakercache import CacheSizes, StreamingDiarizer
 from voxframe.sources.wire import parse_request
+from voxframe.streaming.folding import fold_stream
 
 
 def requests(lines: DataFrame) -> DataFrame:
@@ -25,90 +27,64 @@ def session_windows(events: DataFrame, gap: str = "30 seconds", late: str = "10
     return grouped.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def level_meter(samples: DataFrame, chunk: int = 640) -> DataFrame:
-    """(media_id, chunk, n, level) of samples (media_id, i, value, ts): mean square by tumbling chunks of samples."""
-    return (
-        samples.withWatermark("ts", "1 minute")
-        .groupBy("media_id", F.floor(F.col("i") / chunk).alias("chunk"))
-        .agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("level"))
-    )
+def owned_tokens(tokens: DataFrame, length: float = 120.0, overlap: float = 15.0, late: str = "5 minutes") -> DataFrame:
+    """Streaming form of intervals.merge_chunks: chunk tokens (media_id, chunk, n_chunks, pos, chunk_start, start, end, text,
+    ts) on the medium's time, each by the one chunk that owns its middle, also where a chunk is sent again."""
+    fresh = tokens.withWatermark("ts", late).dropDuplicatesWithinWatermark(["media_id", "chunk", "pos"])
+    return merge_chunks(fresh, length, overlap)
 
 
-def overlapping_chunks(tokens: DataFrame, length: str = "120 seconds", step: str = "105 seconds") -> DataFrame:
-    """(media_id, chunk window, n) of tokens (media_id, ts) in overlapping chunks."""
-    return (
-        tokens.withWatermark("ts", "5 minutes")
-        .groupBy("media_id", F.window("ts", length, step).alias("w"))
-        .agg(F.count("*").alias("n"))
-        .select("media_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-    )
+def owned_chunks(tokens: DataFrame, length: int = 120, overlap: int = 15, late: str = "5 minutes") -> DataFrame:
+    """(media_id, start, end, n) of tokens (media_id, ts): how many fall into each of the overlapping chunks that own them.
 
+    A token lies in up to two event windows; the one whose middle part holds it counts it, so the counts add up to the
+    tokens.  A window is given once the watermark has passed its end.
+    """
+    step = length - overlap
+    w = F.window("ts", f"{length} seconds", f"{step} seconds")
+    placed = tokens.withWatermark("ts", late).select("media_id", "ts", w.alias("w"))
+    into = F.col("ts").cast("double") - F.col("w.start").cast("timestamp").cast("double")
+    owned = placed.where((into >= overlap / 2) & (into < length - overlap / 2))
+    counted = owned.groupBy("media_id", "w").agg(F.count("*").alias("n"))
+    return counted.select("media_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
-def continue_utterances(utterances: DataFrame, words: dict[str, frozenset[str]], keywords: tuple[str, ...] = (), ttl_ms: int = 30_000) -> DataFrame:
-    """Streaming form of session.fold_utterances: the end of a user's last text is state that expires after ``ttl_ms``."""
-
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        end = End(*state.get) if state.exists else None
-        made, end = utterances_in_state(frames, end, words, keywords)
-        if end is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((end.marker, end.last_word))
-            state.setTimeoutDuration(ttl_ms)
-        yield made
-
-    return utterances.groupBy("user_id").applyInPandasWithState(
-        run,
-        "user_id long, seq long, shown string, back long, state string",
-        "marker string, last_word string",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
-    )
 
+def level_meter(blocks: DataFrame, late: str = "10 seconds", **options) -> DataFrame:
+    """(media_id, chunk, levels) of blocks (media_id, seq, ts, samples): see listening.LevelMeter."""
+    return fold_stream(blocks, ["media_id"], ["seq"], LevelMeter(**options), "ts", late)
 
-def push_to_talk(events: DataFrame, debounce: float = 150, cooldown: float = 500, hold: float = 300) -> DataFrame:
-    """Streaming form of session.debounce_keys over key events (user_id, ms, value)."""
 
-    def run(key, frames, state):
-        now = KeyState(*state.get) if state.exists else KeyState()
-        for frame in frames:
-            frame = frame.sort_values(["ms", "value"])
-            frame["action"] = [key_event(now, m, v, debounce, cooldown, hold) for m, v in zip(frame["ms"], frame["value"], strict=True)]
-            yield frame[["user_id", "ms", "value", "action"]]
-        state.update((now.held, now.recording, now.accepted, now.stopped, now.pressed))
+def continue_utterances(
+    utterances: DataFrame, words: dict[str, frozenset[str]], keywords: tuple[str, ...] = (), ttl: int = 30, late: str = "10 seconds"
+) -> DataFrame:
+    """Streaming form of session.fold_utterances; the end of a user's last text expires on event time."""
+    return fold_stream(utterances, ["user_id"], ["seq"], Utterances(words, keywords, ttl), "ts", late)
 
-    return events.groupBy("user_id").applyInPandasWithState(
-        run,
-        "user_id long, ms double, value int, action string",
-        "held boolean, recording boolean, accepted double, stopped double, pressed double",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
 
+def push_to_talk(events: DataFrame, debounce: float = 150, cooldown: float = 500, hold: float = 300, late: str = "10 seconds") -> DataFrame:
+    """Streaming form of session.debounce_keys over key events (user_id, ms, value); ms is the event time."""
+    timed = events.withColumn("ts", F.timestamp_millis(F.col("ms").cast("long")))
+    return fold_stream(timed, ["user_id"], ["ms", "value"], Keys(debounce, cooldown, hold), "ts", late)
 
-def stream_recogniser(audio: DataFrame, factory: Callable[[], Callable], keep: int = 64_000) -> DataFrame:
-    """(media_id, text) of a stream of sample blocks (media_id, seq, samples): the port sees the last ``keep`` samples
-    and its own state, and gives (new text, state)."""
-
-    def run(key, frames, state):
-        model = factory()
-        ring, memory = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-        for frame in frames:
-            texts = []
-            for samples in frame.sort_values("seq")["samples"]:
-                ring = (ring + list(samples))[-keep:]
-                text, memory = model(ring, len(samples), memory)
-                texts.append(text)
-            yield pd.DataFrame({"media_id": [key[0]] * len(texts), "text": texts})
-        state.update(([float(x) for x in ring], memory))
-
-    return audio.groupBy("media_id").applyInPandasWithState(
-        run, "media_id long, text string", "ring array<double>, memory string", "append", GroupStateTimeout.NoTimeout
-    )
+
+def stream_diarizer(frames: DataFrame, factory: Callable, sizes: CacheSizes = CacheSizes(), idle: float = 5000.0, late: str = "10 seconds") -> DataFrame:
+    """(media_id, frame, p) of feature rows (media_id, i, ts, vector): see speakercache.StreamingDiarizer."""
+    return fold_stream(frames, ["media_id"], ["i"], StreamingDiarizer(factory, sizes, idle), "ts", late)
+
+
+def stream_chunks(blocks: DataFrame, factory: Callable, late: str = "10 seconds", **options) -> DataFrame:
+    """(media_id, pos, id, frame) of blocks (media_id, seq, ts, samples): see listening.ChunkedRecogniser."""
+    return fold_stream(blocks, ["media_id"], ["seq"], ChunkedRecogniser(factory, **options), "ts", late)
+
+
+def stream_recogniser(blocks: DataFrame, factory: Callable, blank: int, end: int, late: str = "10 seconds", **options) -> DataFrame:
+    """(media_id, seq, text) of blocks (media_id, seq, ts, samples): see listening.UtteranceRecogniser."""
+    return fold_stream(blocks, ["media_id"], ["seq"], UtteranceRecogniser(factory, blank, end, **options), "ts", late)
+
+
+def recognise_in_context(recordings: DataFrame, factory: Callable, mode: str = "times", late: str = "10 seconds", **options) -> DataFrame:
+    """(user_id, seq, text, with_context, failed) of recordings (user_id, seq, ts, samples): see listening.ContextRecogniser."""
+    return fold_stream(recordings, ["user_id"], ["seq"], ContextRecogniser(factory, mode, **options), "ts", late)
 
 
 def run_batches(lines: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
