@@ -109,6 +109,29 @@ def test_bpe_codec_equals_the_library(docs, empty, odd):
     assert bpe_digests(empty, path).count() == 0 and bpe_digests(odd, path).count() == odd.count()
 
 
+def test_bpe_of_long_words_equals_the_library():
+    from tokenizers import Tokenizer
+
+    from voxframe.llm import wordbpe
+
+    path = tokenizer_files.path("word_bpe_49k.json")
+    library, model, rng = Tokenizer.from_file(path), wordbpe.WordBpe(path), random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(letters, k=k)) for k in (255, 256, 257, 5000, 1_000_000)]
+    words += ["a" * 1001, "ab" * 500, "ing" * 300 + "x", "é" * 400, "漢字" * 300]
+    words += ["".join(rng.choices(["th", "e", "an", "in", "g", "tion"], k=400)) for _ in range(10)]
+    start = time.perf_counter()
+    ids, at = model.encode_words(words)
+    assert time.perf_counter() - start < 30
+    for k, word in enumerate(words):
+        assert ids[at[k] : at[k + 1]].tolist() == library.encode(word, add_special_tokens=False).ids
+    for _ in range(200):  # the same routine on words of any length
+        word = "".join(rng.choices(letters[: rng.choice([2, 5, 26])], k=rng.randrange(1, 40)))
+        raw = np.frombuffer(word.encode(), dtype=np.uint8)
+        got = model.encode_long(np.r_[model.inner[raw[:-1]], model.final[raw[-1:]]])
+        assert got.tolist() == library.encode(word, add_special_tokens=False).ids
+
+
 def shingles(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)

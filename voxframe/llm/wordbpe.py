@@ -4,11 +4,16 @@ All words of a batch that are not yet known lie as symbols in one flat array.  A
 by binary search in the sorted pair keys, takes each word's lowest rank, and merges all its places at once; words with
 nothing left to merge leave the array.  Ranks grow with every merge a vocabulary learned, so merging all places of the
 lowest pair at once gives the same symbols as merging them one by one.
+
+A word of many symbols (text without blanks, encoded bytes, junk) would need a round over all of them for each of its
+merges.  Such words keep their symbols in linked arrays instead, and places by the rank of their pair: a round takes the
+places of the lowest rank out, merges them, and looks up only the pairs that are new.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 
@@ -19,6 +24,8 @@ from .rows import map_texts
 
 #: Words kept between batches of a task.
 KNOWN_WORDS = 150_000
+#: Symbols from which a word is merged place by place, and up to which what it gives is remembered.
+LONG_WORD, _REMEMBERED = 256, 4096
 _NONE = np.int64(1 << 40)
 _SHIFT = np.int64(1 << 21)
 #: Scripts in which Python's and the library's character tables agree; other texts take the library's splitter.
@@ -59,6 +66,10 @@ class WordBpe:
         made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        born = np.full(len(self.pieces), -1, dtype=np.int64)
+        born[made] = np.arange(len(made))
+        if (np.maximum(born[keys // _SHIFT], born[keys % _SHIFT]) >= np.arange(len(keys))).any():
+            raise ValueError("a merge comes before the pieces that it joins")
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
@@ -90,23 +101,82 @@ class WordBpe:
         text = self.space.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ")
         return self.words(text.lower())
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (_NONE: no merge) and its place in the table."""
+        key = left * _SHIFT + right
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[place] == key, self.ranks[place], _NONE), place
+
+    def encode_long(self, sym: np.ndarray) -> np.ndarray:
+        """The ids of one word of many symbols."""
+        n = len(sym)
+        sym, after, before = sym.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, made = np.full(n, _NONE), np.zeros(n, dtype=np.int64)
+        places: dict[int, list] = {}
+        heap: list[int] = []
+
+        def look_up(at: np.ndarray) -> None:
+            at = at[after[at] < n]
+            if not len(at):
+                return
+            rank[at], made[at] = self._pairs(sym[at], sym[after[at]])
+            at = at[rank[at] != _NONE]
+            order = at[np.argsort(rank[at], kind="stable")]
+            ranks = rank[order]
+            cut = np.flatnonzero(np.diff(ranks)) + 1
+            for r, part in zip(ranks[np.r_[0, cut]].tolist() if len(ranks) else (), np.split(order, cut), strict=False):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(heap, r)
+                places[r].append(part)
+
+        look_up(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]  # others have changed since
+            if not len(at):
+                continue
+            # In a run such as a a a the pairs overlap: every second one merges, from the left
+            first = np.r_[True, at[1:] != after[at[:-1]]]
+            index = np.arange(len(at))
+            at = at[(index - np.maximum.accumulate(np.where(first, index, 0))) % 2 == 0]
+            gone = after[at]
+            sym[at], rank[gone] = self.made[made[at]], _NONE
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            rank[at] = _NONE
+            after[gone] = -1  # marks what is gone
+            left = before[at]
+            look_up(np.unique(np.concatenate([left[left >= 0], at])))
+        return sym[after >= 0]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all words, and where each word's ids begin (one more entry than words)."""
         raw = [w.encode("utf-8", "surrogateescape") for w in words]
+        long = [k for k, r in enumerate(raw) if len(r) >= LONG_WORD]
+        if not long:
+            return self._encode_short(raw)
+        ids, at = self._encode_short([b"" if len(r) >= LONG_WORD else r for r in raw])
+        parts = np.split(ids, at[1:-1])
+        for k in long:
+            flat = np.frombuffer(raw[k], dtype=np.uint8)
+            parts[k] = self.encode_long(np.r_[self.inner[flat[:-1]], self.final[flat[-1:]]])
+        return np.concatenate(parts), np.r_[0, np.cumsum(list(map(len, parts)))]
+
+    def _encode_short(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
         size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         owner = np.repeat(np.arange(len(raw), dtype=np.int64), size)
         sym = self.inner[flat]
-        ends = np.cumsum(size) - 1
+        ends = (np.cumsum(size) - 1)[size > 0]
         sym[ends] = self.final[flat[ends]]
         done_sym, done_owner = [], []
         while len(sym):
             rank, at = np.full(len(sym), _NONE), np.zeros(len(sym), dtype=np.int64)
             same = np.flatnonzero(owner[:-1] == owner[1:])
-            key = sym[same] * _SHIFT + sym[same + 1]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[place] == key
-            rank[same[hit]], at[same[hit]] = self.ranks[place[hit]], place[hit]
+            rank[same], at[same] = self._pairs(sym[same], sym[same + 1])
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             count = np.diff(np.r_[starts, len(owner)])
             low = np.repeat(np.minimum.reduceat(rank, starts), count)
@@ -129,10 +199,10 @@ class WordBpe:
             keep[chosen + 1] = False
             sym, owner = sym[keep], owner[keep]
         if not done_sym:
-            return np.zeros(0, dtype=np.int64), np.zeros(len(words) + 1, dtype=np.int64)
+            return np.zeros(0, dtype=np.int64), np.zeros(len(raw) + 1, dtype=np.int64)
         sym, owner = np.concatenate(done_sym), np.concatenate(done_owner)
         order = np.argsort(owner, kind="stable")
-        return sym[order], np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))]
+        return sym[order], np.r_[0, np.cumsum(np.bincount(owner, minlength=len(raw)))]
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary file names no decoder, so pieces are joined by a space."""
@@ -165,6 +235,10 @@ def _coder(path: str):
         for words in lists:
             got = [known[w] for w in words]
             out.append((" ".join([g[0] for g in got]), " ".join([g[1] for g in got])))
+        for words in lists:
+            for w in words:
+                if not isinstance(w, int) and len(w) > _REMEMBERED:
+                    known.pop(w, None)
         return out
 
     return code
@@ -174,7 +248,8 @@ def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Token count and digests of ids and decoded text for every document.
 
     Null texts count as empty: no tokens, and both digests are those of the empty string.  Repeated rows and null ids
-    are kept, one result each; extra columns are ignored; texts of any length are encoded whole.
+    are kept, one result each; extra columns are ignored; texts of any length are encoded whole, words of any length in
+    about linear time.
     """
 
     def kernel():
