@@ -473,3 +473,33 @@ def test_secret_scan(docs, empty, odd):
     same = mask_secrets(clash)
     assert same.columns == clash.columns and {tuple(r)[2:] for r in same.collect()} == {(7, 7, 7, 7)}
     assert find_secrets(docs, block_rows=4).where(F.size("_secret_spans") > 0).count() >= 2
+
+
+def masked_plainly(text, spans):
+    out, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            out.append(text[at:start] + "[secret]")
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_secret_scan_of_hostile_texts_takes_linear_time(spark):
+    n = 1_000_000
+    hostile = [
+        "eyJ" * (n // 3) + " .eyJ", "eyJabcdefghijk." * (n // 15), "token=" * (n // 6), "tokén = abcdef " * (n // 15), "AKIA" * (n // 4),
+        ("AKIA" + "A1" * 9 + " é") * (n // 24), "0123456789abcdef0123456 " * (n // 24), "token=0123456789abcdef012345678 " * (n // 32),
+        "ghp_" * (n // 4), "AIza" * (n // 4), "xoxb-" * (n // 5), "rk_live_" * (n // 8), "-----BEGIN PRIVATE KEY----- " * (n // 28), "password" + " " * n,
+    ]
+    df = spark.createDataFrame(list(enumerate(hostile)), "doc_id long, text string").repartition(4)
+    start = time.perf_counter()
+    spans = {r.doc_id: r._secret_spans for r in find_secrets(df).collect()}
+    masked = {r.doc_id: r.text for r in mask_secrets(df).collect()}
+    assert time.perf_counter() - start < 120
+    assert sum(map(len, spans.values())) > 100_000
+    for k, text in enumerate(hostile):
+        assert masked[k] == masked_plainly(text, spans[k])
+        for kind, pattern, group, least in RULES:
+            number = [r[0] for r in RULES].index(kind)
+            want = [(m.start(), m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+            assert [(s.start, s.end) for s in spans[k] if s.kind == number] == want

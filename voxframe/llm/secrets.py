@@ -14,6 +14,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.functions.binding import bound
+
 from .shared import Scratch
 
 #: Rows whose postings are intersected together, about, and the terms that a row has, about.
@@ -25,7 +27,7 @@ RULES = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("google", r"AIza[0-9A-Za-z_-]{35}", 0, 39),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}", 0, 1),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}", 0, 1),
     ("private_key", r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", 0, 1),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("stripe", r"[rs]k_live_[0-9A-Za-z]{16,}", 0, 24),
@@ -33,6 +35,8 @@ RULES = (
 N_BASE = 3
 #: Trigrams that are asked of a string, and fixed values: characters from the most frequent on (others, index -1, come first).
 _TRIGRAMS, _FREQUENT = 2, " etaoinshrdlcumwfgypbvkjxqz0123456789-_.'\""
+#: Elements of an array that are gone through together.
+_PART = 512
 #: Literal variants of a stretch of a regex that are followed at once.
 _VARIANTS = 64
 
@@ -79,7 +83,7 @@ def _node(op, value):
         if all(s is not None for s, _ in parts):
             return set().union(*(s for s, _ in parts)), queries
         return None, queries
-    if op in (_op.MAX_REPEAT, _op.MIN_REPEAT):
+    if op in (_op.MAX_REPEAT, _op.MIN_REPEAT, _op.POSSESSIVE_REPEAT):
         least, most, inner = value
         strings, query = _sequence(inner)
         if strings is not None and most == 1:
@@ -153,28 +157,46 @@ def _spans(text: Column, rule: tuple) -> Column:
         F.transform(hits, F.length).alias("size"),
         F.transform(measured, F.length).alias("counted"),
     )
+
+    def placed(steps: Column) -> Column:
+        at = _running(F.transform(steps, lambda s: s["gap"] + s["size"]), lambda a, b: a + b)
+        found = F.zip_with(
+            steps,
+            at,
+            lambda s, a: F.struct(
+                (a + s["gap"]).alias("start"),
+                F.lit(number).alias("kind"),
+                (a + s["gap"] + s["size"]).alias("end"),
+                s["counted"].alias("counted"),
+            ),
+        )
+        enough = F.filter(found, lambda s: s["counted"] >= least)
+        return F.transform(enough, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["size"]).alias("at"),
-            F.when(
-                s["counted"] >= least,
-                F.array_append(
-                    acc["out"],
-                    F.struct(
-                        (acc["at"] + s["gap"]).alias("start"),
-                        F.lit(number).alias("kind"),
-                        (acc["at"] + s["gap"] + s["size"]).alias("end"),
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-    )["out"]
-    return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(none)
+    return F.when(F.regexp_like(text, F.lit(pattern)), bound(steps, placed)).otherwise(none)
+
+
+def _parts(values: Column) -> Column:
+    """An array in parts of _PART."""
+    last = ((F.size(values) - 1) / _PART).cast("int")
+    each = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * _PART + 1, F.lit(_PART)))
+    return F.when(F.size(values) > 0, each).otherwise(F.array().cast("array<array<int>>"))
+
+
+def _running(values: Column, combine) -> Column:
+    """What the elements before each one come to, from 0 on.  Arrays are built in parts, as appending to an array copies it."""
+
+    def before(part: Column, start: Column) -> Column:
+        return F.slice(
+            F.aggregate(part, F.array(start), lambda acc, x: F.array_append(acc, combine(F.element_at(acc, -1), x))), 1, F.size(part)
+        )
+
+    def joined(parts: Column) -> Column:
+        whole = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), combine))
+        return F.flatten(F.zip_with(parts, before(whole, F.lit(0)), before))
+
+    return bound(values, lambda v: bound(_parts(v), joined))
 
 
 def _fresh(df: DataFrame, name: str) -> str:
@@ -274,18 +296,25 @@ def mask_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = _fresh(df, "_secret_spans")
     found = find_secrets(df, id_col, text_col, spans_col=spans)
     text = F.col(text_col)
-    walked = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(
-                s["start"] >= acc["at"],
-                F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)),
+    ends = _running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))  # where the spans before each one end
+    heads = F.filter(F.arrays_zip(F.col(spans).alias("span"), ends.alias("from")), lambda z: z["span"]["start"] >= z["from"])
+
+    def masked(cuts: Column) -> Column:
+        """Pieces between (from, start), in parts: a place in a text is found by going through it from its start."""
+        parts = F.transform(
+            F.sequence(F.lit(0), ((F.size(cuts) - 1) / _PART).cast("int")), lambda k: F.slice(cuts, k * _PART + 1, F.lit(_PART))
+        )
+
+        def part(cut: Column) -> Column:
+            begin, end = F.get(cut, F.lit(0))["from"], F.element_at(cut, -1)["span"]["start"]
+            return bound(
+                F.substring(text, begin + 1, end - begin),
+                lambda t: F.array_join(
+                    F.transform(cut, lambda z: F.concat(F.substring(t, z["from"] - begin + 1, z["span"]["start"] - z["from"]), F.lit(mask))), ""
+                ),
             )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-    )
-    masked = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).drop(spans)
+
+        rest = F.aggregate(spans, F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+        return F.concat(F.array_join(F.transform(parts, part), ""), F.substring(text, rest + 1, F.length(text)))
+
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, bound(heads, masked)).otherwise(text)).drop(spans)
