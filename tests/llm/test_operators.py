@@ -325,6 +325,28 @@ def test_language_on_held_out_texts(spark, empty, docs):
     assert kept.columns == texts.columns and {r.doc_id for r in kept.collect()} == set(range(300))
 
 
+def test_languages_that_were_not_learned_are_rejected_at_any_length(spark):
+    rng = random.Random(8)
+    english = "the house of my father stands at the river where we went every summer with all our friends and children".split()
+    german = "das haus meines vaters steht an dem fluss wohin wir jeden sommer mit allen unseren freunden und kindern gingen".split()
+
+    def prose(words, n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    rows = [(k, prose((english, german)[k % 2], rng.choice([3, 30, 300])), ("en", "de")[k % 2]) for k in range(300)]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    clean = {k: prose((english, german)[k % 2], n) for k, n in enumerate([1, 2, 5, 20, 100, 1000] * 4)}
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    foreign = [
+        "".join(rng.choices(letters + "    ", k=900)), "".join(rng.choices(letters + letters.upper() + "0123456789+/", k=900)),
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 6,
+        "Все люди рождаются свободными и равными в своем достоинстве и правах " * 6, "if (a[i] == b[i]) { return NULL; } x++; " * 20,
+    ]
+    texts = [*clean.items(), *((100 + k, t) for k, t in enumerate(foreign)), (200, None), (201, ""), (202, "12 34")]
+    kept = {r.doc_id for r in keep_languages(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert kept == set(clean)
+
+
 def test_language_profiles_equal_plain_sums_and_stay_small(monkeypatch):
     import tracemalloc
 
@@ -503,3 +525,33 @@ def test_secret_scan_of_hostile_texts_takes_linear_time(spark):
             number = [r[0] for r in RULES].index(kind)
             want = [(m.start(), m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
             assert [(s.start, s.end) for s in spans[k] if s.kind == number] == want
+
+
+def test_decontamination_finds_changed_items_and_spares_the_rest(spark):
+    """Recall on items as they are, in other letters, renumbered and without punctuation; none of the clean texts."""
+    rng = random.Random(12)
+    nouns = "farmer teacher river market bridge garden window sailor village engine winter basket ladder letter island".split()
+    verbs = "carries sells measures counts leaves follows paints repairs crosses remembers".split()
+
+    def sentence():
+        return f"The {rng.choice(nouns)} {rng.choice(verbs)} {rng.randrange(2, 90)} {rng.choice(nouns)}s and the {rng.choice(nouns)} {rng.choice(verbs)} a {rng.choice(nouns)}"
+
+    items = [f"{sentence()}, while {sentence()[0].lower()}{sentence()[1:]}. How many {rng.choice(nouns)}s are left?" for _ in range(60)]
+    clean = [". ".join(sentence() for _ in range(4)) + "." for _ in range(200)]
+
+    def renumbered(text):
+        return re.sub(r"\d+", lambda m: str(int(m[0]) + 7), text)
+
+    kinds = {"as is": str, "lower": str.lower, "upper": str.upper, "renumbered": renumbered, "bare": lambda t: re.sub(r"[^\w\s]", "", t)}
+    rows, want = [], {}
+    for kind, change in kinds.items():
+        for k, item in enumerate(items):
+            want.setdefault(kind, set()).add((len(rows), k))
+            rows.append((len(rows), f"{rng.choice(clean)} {change(item)} {rng.choice(clean)}"))
+    first = len(rows)
+    rows += [(first + k, t) for k, t in enumerate(clean)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    for kind, pairs in want.items():
+        assert len(pairs & got) >= 0.9 * len(pairs), kind
+    assert not {d for d, _ in got if d >= first}

@@ -114,10 +114,14 @@ def _bound(kinds: np.ndarray, letters: np.ndarray) -> np.ndarray:
 
 
 class LanguageModel:
-    """Prototypes of the learned languages, in the order of their names."""
+    """Prototypes of the learned languages, in the order of their names.
 
-    def __init__(self, names: list[str], bundles: np.ndarray):
+    own: a language's mean projection, of its own windows on its prototype; a window of something else has 0 on average.
+    """
+
+    def __init__(self, names: list[str], bundles: np.ndarray, n_grams: np.ndarray | None = None):
         self.names = names
+        self.own = np.linalg.norm(bundles, axis=1) / np.maximum(1 if n_grams is None else n_grams, 1)
         length = np.maximum(np.linalg.norm(bundles, axis=1, keepdims=True), 1e-9)
         self.unit = (bundles / length).astype(np.float32)
         apart = self.unit - self.unit.mean(axis=0) if len(names) > 1 else self.unit
@@ -138,12 +142,13 @@ def fit_languages(documents: DataFrame) -> LanguageModel:
                 order = np.argsort(group, kind="stable")
                 texts = batch.column(0).slice(start, stop - start).to_pylist()
                 made = Profiles([texts[k] for k in order], letters, group[order], np.float64)
-                for name, total in zip(names.tolist(), made.bundles, strict=True):
+                windows = np.bincount(group[order], made.n_grams, len(names))
+                for name, total, n in zip(names.tolist(), made.bundles, windows, strict=True):
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([name] * DIMENSIONS),
-                            pa.array(np.arange(DIMENSIONS, dtype=np.int32)),
-                            pa.array(total.astype(np.int64)),
+                            pa.array([name] * (DIMENSIONS + 1)),
+                            pa.array(np.arange(DIMENSIONS + 1, dtype=np.int32)),
+                            pa.array(np.r_[total, n].astype(np.int64)),  # the number of windows comes last
                         ],
                         names=["lang", "dim", "total"],
                     )
@@ -156,10 +161,10 @@ def fit_languages(documents: DataFrame) -> LanguageModel:
     table = learn.mapInArrow(bundle, "lang string, dim int, total long").groupBy("lang", "dim").agg(F.sum("total"))
     sums = table.toPandas()
     names = sorted(set(sums["lang"]))
-    bundles = np.zeros((len(names), DIMENSIONS))
+    bundles = np.zeros((len(names), DIMENSIONS + 1))
     row = {n: k for k, n in enumerate(names)}
     bundles[sums["lang"].map(row).to_numpy(dtype=int), sums["dim"].to_numpy(dtype=int)] = sums.iloc[:, 2]
-    return LanguageModel(names, bundles)
+    return LanguageModel(names, bundles[:, :-1], bundles[:, -1])
 
 
 def identify_languages(
@@ -201,13 +206,15 @@ def identify_languages(
 
 
 def keep_languages(
-    df: DataFrame, model: LanguageModel, least: float = 0.05, from_grams: int = 60, text_col: str = "text"
+    df: DataFrame, model: LanguageModel, share: float = 0.25, errors: float = 3.0, text_col: str = "text"
 ) -> DataFrame:
     """All columns of the rows whose text is in one of the learned languages.
 
-    Rejected: texts without a letter (null and empty ones too), and texts of ``from_grams`` windows or more whose
-    profile has a cosine under ``least`` with every prototype.  Shorter texts are too short to be told from noise, and
-    stay; so do all texts with a letter where no language was learned.  Nothing is joined: rows are judged where they are.
+    Rejected: texts without a letter (null and empty ones too), and texts whose windows project on every prototype less
+    than ``share`` of what the language's own windows do on average, by more than ``errors`` standard errors.  A window of
+    anything else projects 0 on average with deviation 1, so the error of a text's mean is one over the root of its windows:
+    the shorter a text, the less it is rejected, and none for its length alone.  All texts with a letter stay where no
+    language was learned.  Nothing is joined: rows are judged where they are.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
@@ -220,9 +227,9 @@ def keep_languages(
                 made = Profiles(part.column(at).to_pylist(), letters)
                 keep = made.letters.copy()
                 if fitted.names:
-                    profile = made.bundles / np.maximum(np.linalg.norm(made.bundles, axis=1, keepdims=True), 1e-9)
-                    near = (profile @ fitted.unit.T).max(axis=1, initial=-1.0)
-                    keep &= ~((made.n_grams >= from_grams) & (near < least))
+                    n = np.maximum(made.n_grams, 1)[:, None]
+                    mean = made.bundles @ fitted.unit.T / n
+                    keep &= (mean + errors / np.sqrt(n) >= share * fitted.own).any(axis=1)
                 yield part.filter(pa.array(keep))
 
     return df.mapInArrow(run, df.schema)
