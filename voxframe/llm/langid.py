@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import map_texts, slices
+from .rows import bound_batches, map_texts, slices
 from .toxicity import held_out
 
 DIMENSIONS, GRAM = 1024, 3
@@ -153,6 +153,7 @@ def fit_languages(documents: DataFrame) -> LanguageModel:
                         names=["lang", "dim", "total"],
                     )
 
+    bound_batches(documents.sparkSession)
     learn = (
         documents.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
         .where(~held_out())
@@ -216,6 +217,7 @@ def keep_languages(
     the shorter a text, the less it is rejected, and none for its length alone.  All texts with a letter stay where no
     language was learned.  Nothing is joined: rows are judged where they are.
     """
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 

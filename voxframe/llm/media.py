@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .rows import map_texts, slices, with_id
+from .rows import bound_batches, map_texts, slices, with_id
 
 #: Row width of an image in samples; payloads are padded to whole rows.
 WIDTH = 576
@@ -168,6 +168,7 @@ def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     A null image gives null features; a damaged one raises ValueError, so that no wrong value is returned.
     """
+    bound_batches(df.sparkSession)
     rows = df.select("doc_id", "n_bytes", F.col(media_col).alias("_media"))
     schema = with_id(rows.schema["doc_id"], FEATURES)
     arrow = to_arrow_schema(schema)

@@ -5,13 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text handed to a kernel at once; a single longer text still goes through whole.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between an executor and its Python workers; each side holds one or two for every running task.
+BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lets the session send texts to Python in batches of BATCH_BYTES, where it would send larger ones.
+
+    By default a batch is bounded by rows, and ten thousand long texts are more than a task should hold at a time.
+    """
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -45,6 +57,7 @@ def map_texts(
     ``kernel()`` runs once per task and returns a function from a list of texts (None for null) to named
     columns.  Ids may be null or repeated: they pass through Arrow untouched.  Other input columns are not read.
     """
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     schema = with_id(rows.schema["doc_id"], fields)
     arrow = to_arrow_schema(schema)
