@@ -271,16 +271,20 @@ class _Join:
         ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
         ids = self.scratch.keep(ids.withColumn("spread", F.xxhash64("id")), f"{name}-ids")
 
+        wanted = KeyMap(ids, "spread").test()
+
         def run(batches):
             for batch in batches:
+                if wanted is not None:
+                    batch = batch.filter(pa.array(wanted(batch.column(2).to_numpy())))
                 for start, stop in slices(batch.column(1)):
                     sets = shingle_sets(batch.column(1).slice(start, stop - start).to_pylist())
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(start, stop - start), pa.array([s.tobytes() for s in sets])], names=["id", "shingles"]
                     )
 
-        wanted = KeyMap(ids, "spread").filter(self.texts.select("id", "text", F.xxhash64("id").alias("spread")))
-        sets = wanted.select("id", "text").mapInArrow(run, "id long, shingles binary")
+        # One Python worker a task looks ids up and makes the sets
+        sets = self.texts.select("id", "text", F.xxhash64("id").alias("spread")).mapInArrow(run, "id long, shingles binary")
         return self.scratch.keep(sets.join(ids.select("id"), "id", "left_semi"), name)
 
     def links(self, pairs: DataFrame, ranges: DataFrame, name: str) -> DataFrame:

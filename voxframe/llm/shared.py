@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -78,16 +79,27 @@ class KeyMap:
         table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
         self.bits = keys.sparkSession.sparkContext.broadcast(table)
 
+    def test(self) -> Callable[[np.ndarray], np.ndarray] | None:
+        """For use inside tasks: which of some keys may be in the table; None if the map excludes nothing."""
+        if self.bits is None:
+            return None
+        bits, size = self.bits, self.size
+
+        def hits(keys: np.ndarray) -> np.ndarray:
+            cell = keys % size
+            return (bits.value[cell // 64] >> (cell % 64).astype(np.uint64)) & np.uint64(1) != 0
+
+        return hits
+
     def filter(self, df: DataFrame, inside: bool = True) -> DataFrame | None:
         """Rows whose key may be in the table, or (not inside) those whose key is not; None if the map excludes nothing."""
-        if self.bits is None:
+        hits = self.test()
+        if hits is None:
             return df if inside else None
-        bits, size, at = self.bits, self.size, df.columns.index(self.column)
+        at = df.columns.index(self.column)
 
         def run(batches):
             for batch in batches:
-                cell = batch.column(at).to_numpy() % size
-                hit = (bits.value[cell // 64] >> (cell % 64).astype(np.uint64)) & np.uint64(1) != 0
-                yield batch.filter(pa.array(hit == inside))
+                yield batch.filter(pa.array(hits(batch.column(at).to_numpy()) == inside))
 
         return df.mapInArrow(run, df.schema)
