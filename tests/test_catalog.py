@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from voxframe import catalog, catalog_phrases, catalog_sources  # noqa: F401  the others register with the first
+from voxframe import catalog, catalog_phrases, catalog_sources, catalog_streams  # noqa: F401  the others register with the first
 
 SF = Path("/root/testdata/sf0.001")
 needs_tables = pytest.mark.skipif(not SF.exists(), reason="no test tables")

@@ -10,6 +10,7 @@ import time
 
 import numpy as np
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from voxframe.operators.folds import fold_in_order
 from voxframe.streaming.folding import fold_stream
@@ -626,3 +627,53 @@ def test_segments_corrected_in_turn(spark):
     rows = [(m, k, t) for m in (1, 2) for k, t in enumerate(["a", "same", "bad", "b"])]
     got = values(correct_in_turn(spark.createDataFrame(rows, "media_id long, seg_no long, text string").repartition(3), factory), "media_id", "seg_no")
     assert [r[3] for r in got] == ["a|", "same", "bad", "b|bad"] * 2
+
+
+# Replies and progressive text ---------------------------------------------------------------------------------------
+
+
+def test_replies_cut_anywhere_read_the_same(spark, tmp_path):
+    import json
+
+    from voxframe.operators.replies import BLOCK_EVENTS, CHAT_EVENTS, NDJSON, StreamedReplies, streamed_replies
+
+    words = [" Été ", "chez", " nous ☀", "\n", "fin  "]
+    chat = [json.dumps({"choices": [{"delta": {"content": w}}]}, ensure_ascii=False) for w in words]
+    blocks = [json.dumps({"type": "content_block_delta", "delta": {"text": w}}) for w in words]
+    sent = {
+        1: (NDJSON, "\n".join([*(json.dumps({"response": w}) for w in words), "no json", "[1]", '{"done": true}', '{"response": "late"}'])),
+        2: (CHAT_EVENTS, "\n\n".join(["event: x", *(f"data: {c}" for c in chat), 'data: {"choices": []}', "data: [DONE]", f"data: {chat[0]}"])),
+        3: (BLOCK_EVENTS, "\n".join(["event: y", *(f"data: {b}" for b in blocks), 'data: {"type": "message_stop"}', f"data: {blocks[0]}"])),
+        4: (BLOCK_EVENTS, f'data: {blocks[0]}\ndata: {{"type": "error", "error": {{"message": "too much"}}}}\ndata: {blocks[1]}'),
+        5: (CHAT_EVENTS, "data: [DONE]"), 6: (NDJSON, json.dumps({"response": "no line end"})),
+    }
+    whole = "".join(words).strip()
+    want = {1: (whole, None), 2: (whole, None), 3: (whole, None), 4: (None, "too much"), 5: (None, "empty reply"), 6: ("no line end", None)}
+    schema = "reply_id long, seq long, kind string, data binary"
+    for size in (1, 7, 10_000):
+        rows = []
+        for k, (kind, text) in sent.items():
+            data = text.encode()
+            rows += [(k, i, kind, data[i : i + size]) for i in range(0, len(data), size)]
+        got = {r.reply_id: (r.text, r.error) for r in streamed_replies(spark.createDataFrame(rows, schema).repartition(3)).collect()}
+        assert got == want
+    timed = [(k, i, at(i / 100), kind, bytes(d)) for k, i, kind, d in sorted(rows, key=lambda r: r[1])]
+    fold = StreamedReplies()
+    fold.idle = 1000.0
+    made = streamed(
+        spark, tmp_path, timed, "reply_id long, seq long, ts timestamp, kind string, data binary",
+        lambda s: fold_stream(s, ["reply_id"], ["seq"], fold, "ts", "1 second"), 3, clock=(9, 0, at(1e6), NDJSON, b""),
+    )
+    texts = {}
+    for r in made.where("reply_id < 9").orderBy("reply_id", F.col("seq").asc_nulls_last()).collect():
+        texts[r.reply_id] = texts.get(r.reply_id, "") + (r.text or "")
+    assert {k: texts[k].strip() for k in (1, 2, 3, 6)} == {k: want[k][0] for k in (1, 2, 3, 6)}
+
+
+def test_progressive_text(spark):
+    from voxframe.operators.replies import progressive_text
+
+    pieces = ["<s>", "▁", "▁Bon", "jour", "▁", "<0xE2>", "<0x98>", "<0x80>", "<unk>", "[SEP]", "é!", "</s>", "<0xC3>"]
+    rows = [(1, k, p, float(k), k + 1.0) for k, p in enumerate(pieces)]
+    got = values(progressive_text(spark.createDataFrame(rows, "media_id long, pos long, piece string, start double, end double")), "pos")
+    assert [(r[1], r[2]) for r in got] == [(2, " Bon"), (3, "jour"), (4, " "), (7, "☀"), (8, "<unk>"), (10, "é!")]
