@@ -149,12 +149,14 @@ def safe_filename(t: Column) -> Column:
 def capitalise(t: Column) -> Column:
     """First letter, letters after . ! ? … and blanks, and letters after a newline in upper case.
 
-    A forced end mark before such blanks is dropped.  The text is cut after each such place and put together again.
+    A forced end mark before such blanks is dropped.  The places are marked, the text is cut there and put together again.
     """
-    parts = F.split(F.regexp_replace(t, "([.!?…])\\x02(?=\\s+[a-zà-ÿ])", "$1"), "(?<=[.!?…]\\s{1,8})|(?<=\\n)", -1)
+    cut = "\x1e\x1f"
+    marked = F.regexp_replace(t, "(?U)([.!?…])\\x02?(\\s+)(?=[a-zà-ÿ])", f"$1$2{cut}")
+    marked = F.regexp_replace(marked, "(?U)(\\n\\s*)(?=[a-zà-ÿ])", f"$1{cut}")
     raised = F.transform(
-        parts,
-        lambda p: F.when(p.rlike("^[a-zà-ÿ]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p),
+        F.split(marked, cut, -1),
+        lambda p: F.when(p.rlike("^\\p{Ll}"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p),
     )
     return F.array_join(raised, "")
 

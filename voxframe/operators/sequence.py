@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.operators.folds import Fold, fold_in_order
+
 ENDS_SENTENCE = "[.?!]"
 PUNCTUATION = "^[!-/:-@\\[-`{-~]+$"
 
@@ -64,18 +68,29 @@ def proportional_spans(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("start", i * F.col("duration") / n).withColumn("end", (i + 1) * F.col("duration") / n)
 
 
-def digit_spacing(tokens: DataFrame) -> DataFrame:
-    """Text of each medium from pieces (media_id, pos, piece): an all-digit piece without a leading space gets one after
-    more than one trailing letter, or after exactly the letter a.  The text so far decides, so pieces are folded."""
-    trailing = lambda acc: F.regexp_extract(acc, "(\\p{L}*)$", 1)
+class DigitSpacing(Fold):
+    """Pieces (media_id, pos, piece), spaced; the memory is the run of letters at the end of the text so far, as far as it
+    counts: two letters are as good as more."""
 
-    def step(acc: Column, piece: Column) -> Column:
-        word = trailing(acc)
-        gap = piece.rlike("^[0-9]+$") & ((F.length(word) > 1) | (F.lower(word) == "a"))
-        return F.concat(acc, F.when(gap, F.concat(F.lit(" "), piece)).otherwise(piece))
+    columns = "media_id long, pos long, text string"
+    _letters = re.compile(r"[^\W\d_]*\Z")
 
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda p: p["piece"])
-    return tokens.groupBy("media_id").agg(F.aggregate(pieces, F.lit(""), step).alias("text"))
+    def rows(self, key: tuple, memory: str | None, frame: pd.DataFrame) -> tuple[str, list[tuple]]:
+        run, out = memory or "", []
+        for pos, piece in zip(frame["pos"], frame["piece"], strict=True):
+            gap = piece.isascii() and piece.isdigit() and (len(run) > 1 or run.lower() == "a")
+            out.append((key[0], pos, " " + piece if gap else piece))
+            end = self._letters.search(piece)[0]
+            run = (run + piece if len(end) == len(piece) else end)[-2:]
+        return run, out
+
+
+def digit_spacing(tokens: DataFrame) -> DataFrame:
+    """Text of each medium from pieces (media_id, pos, piece): an all-digit piece without a leading space gets one after
+    more than one trailing letter, or after exactly the letter a."""
+    spaced = fold_in_order(tokens.select("media_id", F.col("pos").cast("long").alias("pos"), "piece"), ["media_id"], ["pos"], DigitSpacing())
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    return spaced.groupBy("media_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("text"))
 
 
 def words_from_tokens(tokens: DataFrame) -> DataFrame:

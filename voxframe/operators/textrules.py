@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions.binding import bound
+from voxframe.functions.numerals import digits
 from voxframe.functions.text import NBSP, NNBSP, capitalise, keepcaps, reject_wrong_script, scrub, short_text
 
 
@@ -228,20 +229,39 @@ SYMBOLS = [
 # French words whose h blocks elision, as dictionaries mark them.
 ASPIRATED = (
     "hache", "hachis", "hachoir", "haie", "haillon", "haine", "haineux", "haineuse", "haïr", "hall", "halo", "halte", "hamac", "hamburger", "hameau",
-    "hamster", "hanche", "handball", "handicap", "handicapé", "hangar", "hanneton", "hanter", "hantise", "harceler", "harcèlement", "hardi",
+    "hamster", "hanche", "happer", "harasser", "handball", "handicap", "handicapé", "hangar", "hanneton", "hanter", "hantise", "harceler", "harcèlement", "hardi",
     "harem", "hareng", "hargne", "hargneux", "haricot", "harnais", "harpe", "harpon", "hasard", "hasardeux", "hâte", "hâtif", "hausse",
     "haut", "hautain", "hautbois", "hauteur", "havre", "hayon", "hennissement", "hérisson", "hernie", "héron", "héros", "herse", "hêtre", "heurt",
-    "heurter", "hibou", "hideux", "hideuse", "hiérarchie", "hiérarchique", "hippie", "hisser", "hobby", "hochet", "hockey", "hollandais", "hollandaise",
-    "hollande", "homard", "hongrie", "hongrois", "hongroise", "honte", "honteux", "honteuse", "hoquet", "horde", "hors", "hotte", "houblon", "houille",
-    "houle", "housse", "houx", "hublot", "huche", "huée", "huit", "huitaine", "huitième", "hurlement", "hurler", "hussard", "hutte",
+    "heurter", "hibou", "hideux", "hideuse", "hiérarchie", "hiérarchique", "hippie", "hisser", "hobby", "hocher", "hochet", "hockey", "hollandais", "hollandaise",
+    "hollande", "homard", "hongrie", "hongrois", "hongroise", "honte", "honteux", "honteuse", "hoquet", "horde", "hors", "hot", "hotte", "houblon", "houille",
+    "houle", "housse", "houx", "hublot", "huche", "huée", "huer", "huit", "huitaine", "huitième", "hurlement", "hurler", "hussard", "hutte", "hyène",
 )
 _ELIDED = {"le": "l'", "la": "l'", "de": "d'", "que": "qu'", "je": "j'", "ne": "n'", "se": "s'", "me": "m'", "te": "t'", "ce": "c'"}
+#: Stands before a word that has just been joined, until its capital is lowered.
+_JOINED = "\ue000"
+_VOWELS_FR = "aeiouyàâéèêëîïôûùh"
 ELISION_FR = [
     Rule(r"\bsi\s+(ils?)\b", r"s'\1", "fr", "elision"),
     *[
-        Rule(rf"\b{full}\s+(?!(?:{'|'.join(ASPIRATED)})(?:e?s?|x)\b)(?=[aeiouyàâéèêëîïôûùh])", short, "fr", "elision")
+        Rule(rf"\b{full}\s+(?!(?:{'|'.join(ASPIRATED)})(?:e?s?|x)\b)(?=[{_VOWELS_FR}])", short + _JOINED, "fr", "elision")
         for full, short in _ELIDED.items()
     ],
+    # A capitalised word is lowered as it is joined; others, of one letter or with more capitals, stay
+    *[
+        Rule(rf"{_JOINED}{c.upper()}(?=(?:(?!\p{{Lu}})\w)+\b)", c, "fr", "elision-capitals", "", _JOINED)
+        for c in _VOWELS_FR
+    ],
+    Rule(_JOINED, "", "fr", "elision-capitals", "", _JOINED),
+]
+#: Italian words that lose their vowel before another, and what is left of them.
+_ELIDED_IT = (
+    ("lo|la", "l'"), ("una", "un'"), ("di", "d'"), ("ci", "c'"), ("quell[oa]", "quell'"), ("quest[oa]", "quest'"), ("bell[oa]", "bell'"),
+    ("come", "com'"), ("dove", "dov'"),
+)
+ELISION_IT = [
+    Rule(rf"\b(?=\p{{{kind}}})(?i:{word})\s+(?=h?[aeiouyàèéìòóù]|(?-i:H?[AEIOUYÀÈÉÌÒÓÙ]))", short[:1].upper() + short[1:] if kind == "Lu" else short, "it", "elision-it", "")
+    for word, short in _ELIDED_IT
+    for kind in ("Lu", "Ll")
 ]
 ITALIAN = [
     r
@@ -255,11 +275,15 @@ ITALIAN = [
     for b, joined in rows.items()
     for r in contraction(a, b, joined, "it")
 ]
+#: Spanish question words.
+ASKING_ES = ("qué", "quién", "quiénes", "cómo", "cuándo", "dónde", "por qué", "cuál", "cuáles", "cuánto", "cuánta", "cuántos", "cuántas")
 SPANISH = [
     *contraction("a", "el", "al", "es", r"(?!\s+\p{Lu})"),
     *contraction("de", "el", "del", "es", r"(?!\s+\p{Lu})"),
-    Rule(r"(^|[.!?…]\s+)(?!¿)(qué|quién|cómo|cuándo|dónde|cuánto|cuál)\b([^.!?\n]*\?)", r"\1¿\2\3", "es", "spanish-marks", "i", r"\?"),
-    Rule(r"(^|[.!?…]\s+)(?!¡)([^.!?¿¡\n]+!)", r"\1¡\2", "es", "spanish-marks", "i", "!"),
+    Rule(rf"(^|(?<=[\s,;]))((?:{'|'.join(ASKING_ES)})\b[^?]*\?)", r"\1¿\2", "es", "spanish-questions", "i", r"\?"),
+    # What is called out is marked as a whole first, with or without its mark, so that no later part of it is marked again
+    Rule(r"(^|(?<=[.!?\n]\s))([^!]*!)", rf"{_JOINED}\2", "es", "spanish-calls", "", "!"),
+    Rule(rf"{_JOINED}(?:¡|\s*(?!¡))", "¡", "es", "spanish-calls", "", "!"),
 ]
 PORTUGUESE = [
     r
@@ -273,6 +297,7 @@ PORTUGUESE = [
         "em": {
             "o": "no", "a": "na", "os": "nos", "as": "nas", "um": "num", "uma": "numa", "este": "neste", "esta": "nesta",
             "esse": "nesse", "essa": "nessa", "aquele": "naquele", "aquela": "naquela", "isto": "nisto", "isso": "nisso", "aquilo": "naquilo",
+            "ele": "nele", "ela": "nela", "eles": "neles", "elas": "nelas",
         },
         "por": {"o": "pelo", "a": "pela", "os": "pelos", "as": "pelas"},
         "a": {"o": "ao", "os": "aos", "a": "à", "as": "às", "aquele": "àquele", "aquela": "àquela", "aquilo": "àquilo"},
@@ -292,47 +317,51 @@ GERMAN = [
     Rule(r'"([^"\n]+)"', r"„\1“", "de", "quotes", "", '"'),
 ]
 DUTCH = [
-    Rule(r"\bhet is (\w+) uur\b", r"'t is \1 uur", "nl", "dutch"),
-    Rule(r"\been (?=\p{Ll})", "'n ", "nl", "dutch", ""),
-    Rule(r"\bhet (?=\p{Ll})", "'t ", "nl", "dutch", ""),
+    *[Rule(rf"\bin de {part}s?\b", f"'s {part}s", "nl", "dutch") for part in ("morgen", "avond", "nacht", "middag")],
+    Rule(r"\b[Hh]et\b", "'t", "nl", "dutch", ""),
+    Rule(r"\b[Ee]en\b(?=\s+[a-zà-ÿ])", "'n", "nl", "dutch", ""),
 ]
 ROMANIAN = [
     *[r for a, b, j in (
         ("într", "un", "într-un"), ("dintr", "un", "dintr-un"), ("printr", "un", "printr-un"),
-        ("într", "o", "într-o"), ("dintr", "o", "dintr-o"), ("printr", "o", "printr-o"),
+        ("nu", "am", "n-am"), ("nu", "ai", "n-ai"), ("nu", "a", "n-a"), ("nu", "au", "n-au"), ("nu", "o", "n-o"), ("într", "o", "într-o"), ("dintr", "o", "dintr-o"), ("printr", "o", "printr-o"),
     ) for r in contraction(a, b, j, "ro")],
-    Rule(r'"([^"\n]+)"', r"„\1”", "ro", "quotes", "", '"'),
+    Rule(r'"([^"\n]+)"', r"„\1“", "ro", "quotes", "", '"'),
 ]
 TYPOGRAPHY_FR = [
-    Rule(r"\.{3}", "…", "fr", "typography"),
+    Rule(r"\.{3,}", "…", "fr", "typography"),
     Rule(r'"([^"\n]+)"', f"«{NBSP}\\1{NBSP}»", "fr", "typography", "", None),
     Rule(r"«[ \t\u00a0\u202f]*", f"«{NBSP}", "fr", "typography", "", None),
     Rule(r"[ \t\u00a0\u202f]*»", f"{NBSP}»", "fr", "typography", "", None),
     Rule(r"(?<=[^\s;!?])[ \t\u00a0\u202f]*([;!?])", f"{NNBSP}\\1", "fr", "typography", "", None),
     Rule(r"(?<=\S)[ \t ]*:", f"{NBSP}:", "fr", "typography", "", None),
 ]
+# The words of 0 to 10, with their variants after a slash.
 _DIGITS = {
-    "en": "zero one two three four five six seven eight nine",
-    "fr": "zéro un deux trois quatre cinq six sept huit neuf",
-    "de": "null eins zwei drei vier fünf sechs sieben acht neun",
-    "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
-    "it": "zero uno due tre quattro cinque sei sette otto nove",
-    "pt": "zero um dois três quatro cinco seis sete oito nove",
+    "en": "zero one two three four five six seven eight nine ten",
+    "fr": "zéro/zero un/une deux trois quatre cinq six sept huit neuf dix",
+    "de": "null eins/ein/eine zwei drei vier fünf sechs sieben acht neun zehn",
+    "es": "cero uno/una/un dos tres cuatro cinco seis siete ocho nueve diez",
+    "it": "zero uno/una/un due tre quattro cinque sei sette otto nove dieci",
+    "pt": "zero um/uma dois/duas três quatro cinco seis sete oito nove dez",
 }
 _POINT = {"en": "point", "fr": "point", "de": "punkt", "es": "punto", "it": "punto", "pt": "ponto"}
 
 
 def _versions(lang: str) -> list[Rule]:
-    """two point three becomes 2.3: digits next to the word for a point, then the word between two numbers."""
-    words, point = _DIGITS[lang].split(), _POINT[lang]
+    """two point three becomes 2.3: numbers before the word for a point, then those after it, then the word between them."""
+    words, point = [w.replace("/", "|") for w in _DIGITS[lang].split()], _POINT[lang]
     any_ = "|".join([*words, r"\d+"])
-    guard = rf"(?:{any_})\s+{point}\s+(?:{any_})"
-    rules = []
-    for digit, word in enumerate(words):
-        rules.append(Rule(rf"\b{word}(?=\s+{point}\s+(?:{any_})\b)", str(digit), lang, f"versions-{lang}", "i", guard))
-        rules.append(Rule(rf"(?<=\d\s{point}\s){word}\b", str(digit), lang, f"versions-{lang}", "i", guard))
-    rules.append(Rule(rf"(?<=\d)\s+{point}\s+(?=\d)", ".", lang, f"versions-{lang}", "i", guard))
-    return rules
+    guard = rf"\b(?:{any_})\s+{point}\s+(?:{any_})\b"
+
+    def rule(pattern: str, made: str) -> Rule:
+        return Rule(pattern, made, lang, f"versions-{lang}", "i", guard)
+
+    return [
+        *[rule(rf"\b(?:{word})(?=\s+{point}\s+(?:{any_})\b)", str(n)) for n, word in enumerate(words)],
+        *[rule(rf"(?<=\d\s{{1,9}}{point}\s{{1,9}})(?:{word})\b", str(n)) for n, word in enumerate(words)],
+        rule(rf"(?<=\d)\s+{point}\s+(?=\d)", "."),
+    ]
 
 
 VERSIONS = [r for lang in _DIGITS for r in _versions(lang)]
@@ -340,13 +369,13 @@ DECIMAL_COMMA = [
     Rule(r"(?<![0-9,]\s)(?<!\d)(\d+),\s+(\d+)(?!\d)(?!,?\s\d)", r"\1,\2", lang, "decimal", "", r"\d,\s+\d") for lang in ("fr", "de", "es", "it", "pt")
 ]
 TIME_FR = [
-    Rule(r"\b([01]?\d|2[0-3])\s+heures?\s+([0-5]\d)\b", r"\1h\2", "fr", "time", "i", r"heure"),
-    Rule(r"\b([01]?\d|2[0-3])\s+heures?\s+([0-9])\b", r"\1h0\2", "fr", "time", "i", r"heure"),
-    Rule(r"\b(\d)h(\d\d)\b", r"0\1h\2", "fr", "time", "i", r"\dh\d"),
+    Rule(rf"\b{hour}\s+heures?\s+{minute}\b", made, "fr", "time", "", r"heure")
+    for hour, left in ((r"([01]\d|2[0-3])", r"\1h"), (r"(\d)", r"0\1h"))
+    for minute, made in ((r"([0-5]\d)", left + r"\2"), (r"(\d)", left + r"0\2"))
 ]
-EQUALS_FR = [Rule(r"(\d)(\s*)égale?s?(\s*)(?=\d)", r"\1\2=\3", "fr", "equals", "i", r"égal")]
+EQUALS_FR = [Rule(r"(\d)(\s*)égale?(\s*)(?=\d)", r"\1\2=\3", "fr", "equals", "i", r"égal")]
 
-LANGUAGE_PACKS = [*ELISION_FR, *ITALIAN, *SPANISH, *PORTUGUESE, *GERMAN, *DUTCH, *ROMANIAN]
+LANGUAGE_PACKS = [*ELISION_FR, *ITALIAN, *ELISION_IT, *SPANISH, *PORTUGUESE, *GERMAN, *DUTCH, *ROMANIAN]
 NUMBERS = [*VERSIONS, *DECIMAL_COMMA, *TIME_FR, *EQUALS_FR]
 FIRST_RULES = [*ANNOTATIONS, *HESITATIONS, *COMMANDS, *REPEATED_WORDS, *PUNCTUATION, *SYMBOLS, *SPACING]
 
@@ -361,6 +390,7 @@ class Gates:
     language: bool = True
     typography: bool = True
     numbers: bool = True
+    spelled: bool = False
     dictionary: bool = True
     capitals: bool = True
     short: bool = True
@@ -368,6 +398,8 @@ class Gates:
     keep: tuple[str, ...] = ()
 
 
+#: The step that runs in Python, between columns: it cannot stand inside a lambda.
+SPELLED = "spelled"
 #: Words after which a sentence goes on, of our own choosing.
 CONTINUING = {
     "en": ("the", "a", "of", "and", "to", "with"),
@@ -417,6 +449,8 @@ class TextChain:
             (g.continuation, "continuation", continuing),
             (g.language, "language", by(LANGUAGE_PACKS)),
             (g.typography, "typography", by(TYPOGRAPHY_FR)),
+            (g.numbers and g.spelled, "versions", by(VERSIONS)),
+            (g.numbers and g.spelled, SPELLED, digits),
             (g.numbers, "numbers", by(NUMBERS)),
             (g.dictionary and bool(entries), "dictionary", by(entries)),
             (g.capitals, "capitals", lambda t, lang: capitalise(t)),
@@ -428,21 +462,43 @@ class TextChain:
     def apply(self, df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
         """The frame with the text rewritten; one final newline is taken off first, and blank texts stay as they are."""
 
-        def all_steps(t: Column) -> Column:
-            out = t
-            for _, step in self.steps():
-                out = bound(out, lambda x, step=step: step(x, F.col(lang)))
-            return F.when(t.rlike("(?U)\\S"), out).otherwise(t)
-
-        return df.withColumn(text, bound(F.regexp_replace(F.col(text), "\\n$", ""), all_steps))
+        def chained(steps: list):
+            def run(t: Column) -> Column:
+                out = t
+                for _, step in steps:
+                    out = bound(out, lambda x, step=step: step(x, F.col(lang)))
+                return F.when(t.rlike("(?U)\\S"), out).otherwise(t)
+
+            return run
+
+        first = F.regexp_replace(F.col(text), "\\n$", "")
+        for k, (python, steps) in enumerate(self._runs()):
+            now = first if k == 0 else F.col(text)
+            df = df.withColumn(text, digits(now, F.col(lang)) if python else bound(now, chained(steps)))
+        return df
+
+    def _runs(self) -> list:
+        """(whether it is the step in Python, its steps) of each run of steps that are one expression."""
+        out: list = []
+        for label, step in self.steps():
+            python = label == SPELLED
+            if not out or python or out[-1][0]:
+                out.append((python, []))
+            out[-1][1].append((label, step))
+        return out
 
     def trace(self, df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
         """The frame with ``trace``: label, text before and after of every step.  Each step runs once: the texts so far are
         one array that a step adds to."""
         steps = self.steps()
         held = F.array(F.regexp_replace(F.col(text), "\\n$", ""))
-        for _, step in steps:
-            held = bound(held, lambda a, step=step: F.concat(a, F.array(bound(F.element_at(a, -1), lambda x: step(x, F.col(lang))))))
+        for python, part in self._runs():
+            if python:
+                df = df.withColumn("_held", held).withColumn("_digits", digits(F.element_at("_held", -1), F.col(lang)))
+                held = F.concat("_held", F.array("_digits"))
+                continue
+            for _, step in part:
+                held = bound(held, lambda a, step=step: F.concat(a, F.array(bound(F.element_at(a, -1), lambda x: step(x, F.col(lang))))))
 
         def shown(t: Column) -> Column:
             t = F.replace(t, F.lit("\\"), F.lit("\\\\"))
@@ -456,4 +512,4 @@ class TextChain:
                 ]
             )
 
-        return df.withColumn("trace", bound(held, rows))
+        return df.withColumn("trace", bound(held, rows)).drop("_held", "_digits")
