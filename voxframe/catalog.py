@@ -279,9 +279,7 @@ def parse_diarized(spark, sf_dir):
     printf('%02d', floor(max("end"))::BIGINT % 60) ELSE printf('%.1f', max("end")) || 's' END AS length FROM spans GROUP BY ALL"""
 )
 def run_summary(spark, sf_dir):
-    return spans(spark, sf_dir).groupBy("media_id").agg(
-        F.countDistinct("speaker").alias("n_speakers"), timefmt.media_length(F.max("end")).alias("length")
-    )
+    return render.run_summary(spans(spark, sf_dir)).select("media_id", "n_speakers", "length")
 
 
 @query(
@@ -289,9 +287,7 @@ def run_summary(spark, sf_dir):
     + """SELECT media_id, string_agg(text, ' ' ORDER BY seg_no) AS text FROM spans WHERE "start" >= 20.0::DOUBLE - 0.5::DOUBLE GROUP BY ALL"""
 )
 def text_after(spark, sf_dir):
-    rows = spans(spark, sf_dir).where(F.col("start") >= 20.0 - 0.5)
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "text"))), lambda r: r["text"])
-    return rows.groupBy("media_id").agg(F.array_join(texts, " ").alias("text"))
+    return render.text_from(spans(spark, sf_dir), 20.0)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import typing_text
-from voxframe.functions.timefmt import hms, span_text, srt_time
+from voxframe.functions.timefmt import hms, media_length, span_text, srt_time
 
 
 def _ordered(order: str, column: str, glue: str) -> Column:
@@ -97,3 +97,26 @@ def timeline_markers(segments: DataFrame, colours: list[str]) -> DataFrame:
         (F.col("end") * 1000).cast("long").alias("end_ms"),
         F.element_at(palette, F.pmod(F.col("speaker_index"), F.lit(len(colours))) + 1).alias("colour"),
     )
+
+
+def text_from(segments: DataFrame, threshold: float, slack: float = 0.5) -> DataFrame:
+    """(media_id, text): the texts that start up to ``slack`` seconds before a time, or later, joined by a space."""
+    return segments.where(F.col("start") >= threshold - slack).groupBy("media_id").agg(_ordered("seg_no", "text", " ").alias("text"))
+
+
+def run_summary(segments: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """(media_id, n_speakers, length, summary) of segments (media_id, speaker, end): distinct speakers and the length of
+    each medium; with runs (media_id, transcribe_seconds, translate_seconds, either null) also how long these took.
+
+    The summary joins what is known by a dash.
+    """
+    made = segments.groupBy("media_id").agg(F.countDistinct("speaker").alias("n_speakers"), media_length(F.max("end")).alias("length"))
+    took: list[Column] = []
+    if runs is not None:
+        made = made.join(runs.select("media_id", "transcribe_seconds", "translate_seconds"), "media_id", "left")
+        took = [
+            F.when(F.col(c).isNotNull(), F.concat(F.lit(word), media_length(F.col(c))))
+            for word, c in (("transcribed in ", "transcribe_seconds"), ("translated in ", "translate_seconds"))
+        ]
+    speakers = F.concat(F.col("n_speakers").cast("string"), F.when(F.col("n_speakers") == 1, F.lit(" speaker")).otherwise(F.lit(" speakers")))
+    return made.select("media_id", "n_speakers", "length", F.concat_ws(" — ", speakers, "length", *took).alias("summary"))

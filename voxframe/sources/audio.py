@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 SCHEMA = "path string, sample_rate int, channels int, samples array<float>, status string, error string"
 
 
-def decode_wav(data: bytes) -> tuple[int, int, np.ndarray]:
-    """Rate, channels and samples of a RIFF file of 32-bit floats or 16-bit integers (these over 32768)."""
+def decode_wav(data: bytes, strict: bool = False) -> tuple[int, int, np.ndarray]:
+    """Rate, channels and samples of a RIFF file of 32-bit floats or 16-bit integers (these over 32768).
+
+    strict: 16-bit integers only, at 16 kHz and of one channel.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a RIFF wave file")
     source, form = io.BytesIO(data[12:]), None
@@ -28,6 +31,8 @@ def decode_wav(data: bytes) -> tuple[int, int, np.ndarray]:
             if form is None:
                 raise ValueError("samples before their format")
             code, channels, rate, _, _, bits = form
+            if strict and (rate, channels, code, bits) != (16000, 1, 1, 16):
+                raise ValueError(f"{rate} Hz with {channels} channels and {bits} bits; 16000 Hz, mono and 16-bit integers are wanted")
             if (code, bits) == (3, 32):
                 return rate, channels, np.frombuffer(body[: size // 4 * 4], "<f4")
             if (code, bits) == (1, 16):
@@ -36,17 +41,17 @@ def decode_wav(data: bytes) -> tuple[int, int, np.ndarray]:
     raise ValueError("no samples")
 
 
-def read_audio(spark: SparkSession, path: str, strict_mono: bool = False) -> DataFrame:
+def read_audio(spark: SparkSession, path: str, strict_mono: bool = False, strict: bool = False) -> DataFrame:
     """A row per file.  A file that cannot be read gives status ``error`` and its message; the others go on.
 
-    strict_mono: also reject what is not 16 kHz and mono.
+    strict_mono: also reject what is not 16 kHz and mono; strict: what is not 16-bit integers either.
     """
 
     def run(batches):
         for batch in batches:
             for where, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rate, channels, samples = decode_wav(content)
+                    rate, channels, samples = decode_wav(content, strict)
                     if strict_mono and (rate, channels) != (16000, 1):
                         raise ValueError(f"{rate} Hz with {channels} channels; 16000 Hz mono is wanted")
                     row = (where, rate, channels, samples.tolist(), "ok", None)
