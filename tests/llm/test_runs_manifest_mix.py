@@ -9,9 +9,11 @@ from pathlib import Path
 
 import pytest
 
-from voxframe.llm.manifest import FIELDS, MANIFEST_SQL, depth_of, tampered_manifest
+from voxframe.llm.manifest import FIELDS, depth_of, tampered_manifest
 from voxframe.llm.mixing import MIX_SQL, mix_sources
 from voxframe.llm.periodic import find_runs, kept_words, periodic_runs, plant_repeats, run_digests, strongest, word_ids
+from voxframe.llm.queries import oracle_sql, queries
+from voxframe.llm.shared import Scratch, clear_scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, key string, h string, _text string"
 SF = Path("/root/testdata/sf0.001")
@@ -218,13 +220,24 @@ def plain(value):
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
-@pytest.mark.parametrize(("made", "sql"), [(tampered_manifest, MANIFEST_SQL), (mix_sources, MIX_SQL)])
-def test_tables_against_sql(spark, made, sql):
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_queries_against_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = con.execute(sql)
+    want = con.execute(oracle_sql()[name])
     names = [d[0] for d in want.description]
-    got = made(spark.read.parquet(f"{SF}/documents.parquet")).select(*names)
-    assert sorted(tuple(map(plain, r)) for r in got.collect()) == sorted(tuple(map(plain, r)) for r in want.fetchall())
+    got = queries()[name](spark, str(SF))
+    assert sorted(got.columns) == sorted(names)
+    got = got.select(*names)
+    assert sorted((tuple(map(plain, r)) for r in got.collect()), key=str) == sorted((tuple(map(plain, r)) for r in want.fetchall()), key=str)
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    scratch = Scratch(spark, "clear")
+    kept = scratch.keep(spark.range(3), "rows")
+    place = Path(scratch.folder.removeprefix("file:"))
+    assert kept.count() == 3 and place.exists()
+    clear_scratch(spark)
+    assert not place.exists()

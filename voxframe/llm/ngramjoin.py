@@ -23,8 +23,9 @@ from .shared import KeyMap, Scratch
 
 #: Words of a shingle; the similarity is NEED / OF.
 SHINGLE, NEED, OF = 5, 3, 4
-#: Cells of the count sketch for each document, the least and the most of them; cells are moved in chunks.
-CELLS_A_ROW, LEAST_CELLS, MOST_CELLS, CHUNK = 4, 1 << 20, 1 << 24, 1 << 16
+#: Cells of the count sketch for each document, the least and the most of them; cells are moved in chunks.  Every task moves
+#: its own sketch, so the most is a small part of what a task reads.
+CELLS_A_ROW, LEAST_CELLS, MOST_CELLS, CHUNK = 4, 1 << 20, 1 << 22, 1 << 16
 #: Hash ranges of the suffix filter.
 RANGES = 64
 #: Shingles counted more often, beyond what a cell has of others, are dealt by shingle and salt.

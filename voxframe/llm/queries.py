@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import base_queries
 from .decontam import find_leaks
 from .langid import fit_languages, identify_languages
 from .licenses import scan_licenses
@@ -86,14 +87,15 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    own = {
         f.__name__: f
         for f in (
             op1_license_scan, op2_bpe_codec, op3_ngram_jaccard, op4_suffix_dedup, op5_media_columns, op6_token_counts, op7_toxicity,
             op8_language_id, op9_decontamination, op10_secret_scan, op11_periodic_runs, op12_merkle_manifest, op13_source_mix,
         )
     }
+    return own | base_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_merkle_manifest": MANIFEST_SQL, "op13_source_mix": MIX_SQL}
+    return {"op12_merkle_manifest": MANIFEST_SQL, "op13_source_mix": MIX_SQL} | base_queries.ORACLES

@@ -27,12 +27,24 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_folders: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of all operators that this process has run.  Results that have not been written or
+    read yet may still need them: call it after that."""
+    while _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables of one run.  ``keep`` writes a table and reads it back, which cuts lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         bound_batches(spark)
+        _folders.append(self.folder)
         self.kept: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
