@@ -727,12 +727,16 @@ def _low(expression: str) -> str:
 
 
 def _language_sql() -> str:
-    low = "' ' || lower(text) || ' '"
-    scores = []
-    for lang, words in text.MARKERS.items():
-        parts = [f"(length({low}) - length(replace({low}, '{w}', ''))) // {len(w)}" for w in words]
+    scores, langs = [], [*text.MARKERS, "zh", "ja", "ko", "ar"]
+    scripts = {"uk": ("0400", "04ff", 1), "ru": ("0400", "04ff", 1), "zh": ("4e00", "9fff", 5), "ja": ("3040", "30ff", 5), "ko": ("ac00", "d7af", 5), "ar": ("0600", "06ff", 5)}
+    for lang in langs:
+        parts = [f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in text.MARKERS.get(lang, ())]
+        if lang in scripts:
+            first, last, each = scripts[lang]
+            parts.append(f"{each} * length(regexp_replace(text, '[^\\x{{{first}}}-\\x{{{last}}}]', '', 'g'))")
+        if lang == "uk":
+            parts += [f"(CASE WHEN contains(lower(text), '{c}') THEN 10 ELSE 0 END)" for c in "іїєґ"]
         scores.append(f"({' + '.join(parts)}) AS s_{lang}")
-    langs = list(text.MARKERS)
     top = "greatest(" + ", ".join(f"s_{c}" for c in langs) + ")"
     cases = " ".join(f"WHEN s_{c} = {top} THEN '{c}'" for c in langs)
     return f"WITH s AS (SELECT doc_id, {', '.join(scores)} {_DOCS}) SELECT doc_id, CASE WHEN {top} = 0 THEN 'en' {cases} END AS detected FROM s"

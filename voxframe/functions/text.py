@@ -14,12 +14,12 @@ _CONTROLS = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 
 #: Marker words of each language, counted as written with their blanks, in order of preference.
 MARKERS = {
-    "en": (" the ", " and ", " is ", " of ", " to ", " that "),
-    "fr": (" le ", " la ", " les ", " des ", " est ", " que ", " une "),
-    "de": (" der ", " die ", " und ", " das ", " ist ", " nicht "),
-    "es": (" el ", " los ", " las ", " que ", " una ", " por "),
-    "it": (" il ", " che ", " di ", " una ", " per ", " sono "),
-    "pt": (" o ", " que ", " os ", " uma ", " para ", " não "),
+    "en": ("the ", " is ", " are ", " was ", " have ", " that ", " with ", " this "),
+    "fr": (" le ", " la ", " les ", " des ", " est ", " que ", " dans ", " une ", " qui "),
+    "de": (" der ", " die ", " das ", " und ", " ist ", " ein ", " nicht ", " den "),
+    "es": (" el ", " los ", " las ", " que ", " por ", " una ", " con ", " del "),
+    "it": (" il ", " che ", " di ", " una ", " per ", " con ", " sono ", " della "),
+    "pt": (" que ", " uma ", " com ", " para ", " dos ", " das ", " não "),
     "uk": (" не ", " що ", " це ", " як ", " для ", " або "),
     "ru": (" не ", " что ", " это ", " как ", " для "),
     "nl": (" het ", " een ", " van ", " dat ", " niet ", " zijn "),
@@ -114,7 +114,7 @@ def detect_language(t: Column) -> Column:
 
     Points are for marker words, characters of the language's script, and letters that only Ukrainian has.
     """
-    low = F.concat(F.lit(" "), F.lower(t), F.lit(" "))
+    low = F.lower(t)
 
     def points(lang: str) -> Column:
         total = sum((occurrences(low, w) for w in MARKERS.get(lang, ())), F.lit(0))
