@@ -33,8 +33,8 @@ BATCHES = 4
 #: Context bytes sorted together; beginnings of more suffixes than WIDE stay out of the levels, and if they have more
 #: contexts than that, these are compared by digests of stretches instead.
 SORTED_BYTES, WIDE = 1 << 20, 2_000
-#: Suffixes of one Arrow batch from which on a beginning is counted as one that may be wide.
-HEAVY = 8
+#: Suffixes of about so many bytes of text from which on a beginning is counted as one that may be wide.
+HEAVY, HEAVY_BYTES = 8, 32 << 20
 #: Starts of stretches that are told apart together in the first look at a wide beginning's contexts.
 STEP = 34
 _KEY, _CLASS = ["k1", "k2"], ["gram", "c1", "c2"]
@@ -97,8 +97,20 @@ def _entries(rows: DataFrame, length: int, batches: int, bits: int) -> DataFrame
     """The sampled suffixes of rows (k1, k2, text).  A text that a task has seen before is left out: one of a task's
     copies stands for them all, and texts that repeat are removed whole anyway."""
 
+    def counted(parts: list[tuple]):
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        _, which, count = np.unique(columns[0], return_inverse=True, return_counts=True)
+        columns += [columns[4] % batches, count[which] >= HEAVY]
+        types = [pa.int64()] * 5 + [pa.int32()] * 4 + [pa.bool_()]
+        table = pa.Table.from_arrays(
+            [pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)],
+            names=[f.split()[0] for f in _ENTRY.split(", ")],
+        )
+        yield from table.to_batches(max_chunksize=1 << 16)
+
     def run(frames):
         seen: set[tuple[int, int]] = set()
+        parts, size = [], 0
         for batch in frames:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             fresh = []
@@ -107,23 +119,18 @@ def _entries(rows: DataFrame, length: int, batches: int, bits: int) -> DataFrame
                     seen.add(key)
                     fresh.append(k)
             batch = batch.take(pa.array(fresh, pa.int64()))
-            parts = []
             for start, stop in slices(batch.column(2)):
                 part = batch.slice(start, stop - start)
-                owner, gram, ctx, lo, hi, at = sampled_suffixes([t.encode() for t in part.column(2).to_pylist()], length, bits=bits)
+                texts = [t.encode() for t in part.column(2).to_pylist()]
+                owner, gram, ctx, lo, hi, at = sampled_suffixes(texts, length, bits=bits)
                 k1, k2 = (part.column(c).to_numpy()[owner] for c in (0, 1))
                 parts.append((gram, ctx[:, 0], ctx[:, 1], k1, k2, lo, hi, at))
-            if not parts:
-                continue
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            _, which, count = np.unique(columns[0], return_inverse=True, return_counts=True)
-            columns += [columns[4] % batches, count[which] >= HEAVY]
-            types = [pa.int64()] * 5 + [pa.int32()] * 4 + [pa.bool_()]
-            table = pa.Table.from_arrays(
-                [pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)],
-                names=[f.split()[0] for f in _ENTRY.split(", ")],
-            )
-            yield from table.to_batches(max_chunksize=1 << 16)
+                size += sum(map(len, texts))
+                if size >= HEAVY_BYTES:  # whatever the size of Arrow's batches
+                    yield from counted(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from counted(parts)
 
     return rows.mapInArrow(run, _ENTRY)
 
