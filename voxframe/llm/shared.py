@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rows import bound_batches
-
 
 def shared_root(spark: SparkSession) -> str:
     """The cluster's checkpoint folder.  A session that names none is refused: a folder of this machine alone would lose
@@ -43,7 +41,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        bound_batches(spark)
         _folders.append(self.folder)
         self.kept: list[str] = []
 
