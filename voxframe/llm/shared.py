@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .rows import lean
+
 
 def shared_root(spark: SparkSession) -> str:
     """The cluster's checkpoint folder.  A session that names none is refused: a folder of this machine alone would lose
@@ -111,4 +113,4 @@ class KeyMap:
             for batch in batches:
                 yield batch.filter(pa.array(hits(batch.column(at).to_numpy()) == inside))
 
-        return df.mapInArrow(run, df.schema)
+        return df.mapInArrow(lean(run), df.schema)

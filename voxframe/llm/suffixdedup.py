@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BYTE, mix, span_hashes
-from .rows import slices, with_id
+from .rows import lean, slices, with_id
 from .shared import KeyMap, Scratch
 
 #: Bytes of a stretch that must not start twice, and of the hashed beginnings.
@@ -132,7 +132,7 @@ def _entries(rows: DataFrame, length: int, batches: int, bits: int) -> DataFrame
         if parts:
             yield from counted(parts)
 
-    return rows.mapInArrow(run, _ENTRY)
+    return rows.mapInArrow(lean(run), _ENTRY)
 
 
 def _classes(entries: DataFrame) -> DataFrame:
@@ -372,10 +372,10 @@ def _broad_ranges(contexts: DataFrame, scratch: Scratch, length: int) -> DataFra
         return rows.join(often, ["d1", "d2", *more], "left_semi")
 
     looked = contexts.select(*_KEY, "lo", "at", "context", F.lit(None).cast("array<int>").alias("steps"))
-    looked = scratch.keep(looked.mapInArrow(_stretches(length, True), _STRETCH), "looked")
+    looked = scratch.keep(looked.mapInArrow(lean(_stretches(length, True)), _STRETCH), "looked")
     steps = shared(looked, "place").groupBy(*_KEY, "lo").agg(F.collect_set("place").alias("steps"))  # a few for each context
     again = contexts.join(steps, [*_KEY, "lo"])
-    each = again.select(*_KEY, "lo", "at", "context", "steps").mapInArrow(_stretches(length, False), _STRETCH)
+    each = again.select(*_KEY, "lo", "at", "context", "steps").mapInArrow(lean(_stretches(length, False)), _STRETCH)
     each = scratch.keep(each, "stretches")
     starts = shared(each).join(contexts.where("NOT twice"), [*_KEY, "lo"], "left_semi")
     # At most as many as a context has
@@ -403,10 +403,10 @@ def _repeated_ranges(rows: DataFrame, entries: DataFrame, shared: DataFrame, bro
     )
     asked = scratch.keep(asked, "asked")
     texts = KeyMap(asked, "k1").filter(rows.select(*_KEY, "text")).dropDuplicates(_KEY)
-    contexts = texts.join(asked, _KEY).select(*_KEY, "text", "asks").mapInArrow(_cut(length), _CONTEXT)
+    contexts = texts.join(asked, _KEY).select(*_KEY, "text", "asks").mapInArrow(lean(_cut(length)), _CONTEXT)
     contexts = scratch.keep(contexts, "contexts")
     few = contexts.where("NOT broad").select("gram", "twice", *_KEY, "lo", "context")
-    partly = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(length), "k1 long, k2 long, lo int, hi int")
+    partly = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(lean(_compare(length)), "k1 long, k2 long, lo int, hi int")
     ranges = alike.unionAll(partly)
     if not broad.isEmpty():
         ranges = ranges.unionAll(_broad_ranges(contexts.where("broad"), scratch, length))
@@ -501,6 +501,6 @@ def remove_repeats(
 
     # The map is exact for what it excludes: those rows lose nothing.  The others meet their ranges by key.
     found = wanted.filter(rows.select(*_KEY, "doc_id", "text")).join(by_row, _KEY, "left")
-    done = found.select("doc_id", "text", "ranges").mapInArrow(touched, schema)
+    done = found.select("doc_id", "text", "ranges").mapInArrow(lean(touched), schema)
     free = wanted.filter(rows.select("k1", "doc_id", "text"), inside=False)
-    return done if free is None else free.mapInArrow(untouched, schema).unionAll(done)
+    return done if free is None else free.mapInArrow(lean(untouched), schema).unionAll(done)
