@@ -105,30 +105,51 @@ def fold_accents(t: Column) -> Column:
 
 
 def occurrences(t: Column, part: str) -> Column:
-    """Times that a string occurs, not overlapping."""
-    return ((F.length(t) - F.length(F.replace(t, F.lit(part), F.lit("")))) / len(part)).cast("int")
+    """Times that a string occurs, not overlapping.  Bytes are counted: their number is known without reading the text."""
+    return ((F.octet_length(t) - F.octet_length(F.replace(t, F.lit(part), F.lit("")))) / len(part.encode())).cast("int")
+
+
+def _marked_only(low: Column) -> Column:
+    """A text in which marker words occur as often as before: other words are emptied, their blanks stay, up to two in a row.
+
+    A marker begins with a blank or within a word, and ends with a blank.
+    """
+    whole = sorted({w[1:-1] for some in MARKERS.values() for w in some if w.startswith(" ")})
+    ends = sorted({w[:-1] for some in MARKERS.values() for w in some if not w.startswith(" ")})
+
+    def kept(word: Column) -> Column:
+        out = F.when(word.isin(*whole), word)
+        for end in ends:
+            out = out.when(word.endswith(end), F.lit(end))
+        return out.otherwise("")
+
+    return F.regexp_replace(F.array_join(F.transform(F.split(low, " ", -1), kept), " "), " {3,}", "  ")
 
 
 def detect_language(t: Column) -> Column:
     """The language with the most points, the earlier listed one on a tie, ``en`` without any.
 
-    Points are for marker words, characters of the language's script, and letters that only Ukrainian has.
+    Points are for marker words, characters of the language's script, and letters that only Ukrainian has.  What a text has
+    of marker words and of the scripts is taken out of it once, and counted there.
     """
-    low = F.lower(t)
-
-    def points(lang: str) -> Column:
-        total = sum((occurrences(low, w) for w in MARKERS.get(lang, ())), F.lit(0))
-        if lang in SCRIPTS:
-            script, each = SCRIPTS[lang]
-            total = total + F.length(F.regexp_replace(t, f"[^{script}]", "")) * each
-        if lang == "uk":
-            total = sum((F.contains(low, F.lit(c)).cast("int") * UKRAINIAN_BONUS for c in UKRAINIAN), total)
-        return total
-
-    scores = [(lang, points(lang)) for lang in {**MARKERS, **SCRIPTS}]
-    ranked = F.array(*[F.struct(s.alias("s"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, s) in enumerate(scores)])
-    best = F.array_max(ranked)
-    return F.when(best["s"] > 0, best["lang"]).otherwise("en")
+    other = "[^" + "".join(dict.fromkeys(script for script, _ in SCRIPTS.values())) + "]+"
+
+    def ranked(low: Column, written: Column) -> Column:
+        def points(lang: str) -> Column:
+            total = sum((occurrences(low, w) for w in MARKERS.get(lang, ())), F.lit(0))
+            if lang in SCRIPTS:
+                script, each = SCRIPTS[lang]
+                total = total + F.length(F.regexp_replace(written, f"[^{script}]+", "")) * each
+            if lang == "uk":
+                total = sum((F.contains(F.lower(written), F.lit(c)).cast("int") * UKRAINIAN_BONUS for c in UKRAINIAN), total)
+            return total
+
+        scores = [(lang, points(lang)) for lang in {**MARKERS, **SCRIPTS}]
+        return F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, s) in enumerate(scores)]))
+
+    written = F.when(F.octet_length(t) > F.length(t), F.regexp_replace(t, other, "")).otherwise(F.when(t.isNotNull(), F.lit("")))
+    best = bound(_marked_only(F.lower(t)), lambda low: bound(written, lambda w: ranked(low, w)))
+    return bound(best, lambda x: F.when(x["s"] > 0, x["lang"]).otherwise("en"))
 
 
 def plain_words(t: Column) -> Column:
