@@ -29,3 +29,34 @@ def test_detect_language_reads_a_text_once(spark):
     df = spark.createDataFrame(list(enumerate([*texts, None])), "k int, text string").select("k", text.detect_language(F.col("text")).alias("lang"))
     assert {r.k: r.lang for r in df.collect()} == dict(enumerate([*map(plain, texts), "en"]))
     assert plan_of(df).count("lower(") <= 6  # each further one lowers the whole text again
+
+
+def test_rule_trace_works_each_step_out_once(spark):
+    from voxframe import catalog
+
+    plan = plan_of(catalog.QUERIES["rule_trace"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("^[ \\t]+|[ \\t]+$") == 1
+
+
+def test_text_steps_that_read_less_give_the_same(spark):
+    from voxframe.functions.text import _under, reject_wrong_script
+    from voxframe.operators import textrules as tr
+
+    assert tr.to_java(r"\b(?:uh+|um)\b", "i") == r"(?Ui)(?=[u])\b(?:uh+|um)\b"
+    for pattern in (r"\ba?b", r"\b(?:a*|b)c", r"\b\d+", r"\b(?:a|)b", r"\b(?:ab)?c", r"a\b"):
+        assert tr.to_java(pattern) == "(?U)" + pattern
+    texts = ["", " ", "\t", "a\tb", "a \t b", "  a  ", "a\n", " \n ", "a \n\n  b\n c", "the the THE they", "thethe the", "a a-a a", "İ i", "ſo so So", "one two", " one  two three\n", "x" * 5000, "це не the", "҂҂҂ abc", "҂ це", "12"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    t = F.col("text")
+    before = [(r"[ \t]+", " ", "", tr.SPACING[0]), (r" *\n *", "\n", "", tr.SPACING[2]), (r"\b(\w+)(?:\s+\1\b)+", "$1", "i", tr.REPEATED_WORDS[0]), (r"\bso\b", "x", "i", tr.Rule(r"\bso\b", "x"))]
+    for pattern, made, flags, rule in before:
+        rows = df.select(F.regexp_replace(t, f"(?U{flags}){pattern}", made).alias("a"), tr.rewritten(t, F.lit("en"), [rule]).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows]
+    for n in (0, 1, 3):
+        words = F.size(F.filter(F.split(t, "(?U)\\s+"), lambda w: w != "")) < n
+        assert df.where(words != _under(t, n)).count() == 0
+    letters = F.regexp_replace(t, "[^\\p{L}]", "")
+    share = F.length(F.regexp_replace(letters, "[^\\u0400-\\u04FF]", "")) / F.nullif(F.length(letters), F.lit(0))
+    for lang, wrong in (("en", share > 0.5), ("uk", share < 0.2)):
+        want = F.when(F.coalesce(wrong, F.lit(False)), "").otherwise(t)
+        assert df.where(want != reject_wrong_script(t, F.lit(lang))).count() == 0

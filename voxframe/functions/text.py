@@ -74,12 +74,15 @@ def cyrillic_share(t: Column) -> Column:
 def reject_wrong_script(t: Column, lang: Column) -> Column:
     """Empty text where the script does not fit the language: over half Cyrillic in a Latin one, under a fifth in a
     Cyrillic one; texts without letters stay."""
-    share = F.regexp_replace(t, "[^\\p{L}]", "")
-    cyr = F.length(F.regexp_replace(share, "[^\\u0400-\\u04FF]", ""))
-    ratio = F.when(F.length(share) > 0, cyr / F.length(share))
+    cyr = F.length(F.regexp_replace(t, "[[^\\u0400-\\u04FF]\\P{L}]+", ""))
     slavic = lang.isin("uk", "ru", "bg", "sr")
-    wrong = F.coalesce(F.when(slavic, ratio < 0.2).otherwise(ratio > 0.5), F.lit(False))
-    return F.when(wrong, F.lit("")).otherwise(t)
+
+    def wrong(n: Column) -> Column:
+        """Letters are counted only where some are Cyrillic; without any the share is 0, or there is none."""
+        ratio = n / F.length(F.regexp_replace(t, "\\P{L}+", ""))
+        return F.when(n > 0, F.when(slavic, ratio < 0.2).otherwise(ratio > 0.5)).otherwise(slavic & t.rlike("\\p{L}"))
+
+    return F.when(F.coalesce(bound(cyr, wrong), F.lit(False)), F.lit("")).otherwise(t)
 
 
 def needs_paste(t: Column) -> Column:
@@ -196,15 +199,19 @@ def reset_context(t: Column) -> Column:
     return F.when(F.contains(t, F.lit(RESET)), upper_first(bare)).otherwise(t)
 
 
+def _under(t: Column, limit: int) -> Column:
+    """Whether a text has fewer words than ``limit``: no more of it is read than so many words."""
+    return ~t.rlike(f"(?U)^\\s*+\\S++(?:\\s++\\S++){{{limit - 1}}}") if limit > 0 else F.lit(False)
+
+
 def short_text(t: Column, limit: int = 3) -> Column:
     """Texts under ``limit`` words lose one final . ! ? or , and their Capitalised words' capitals; acronyms and mixed case
     stay.  Texts with a newline or without a letter or digit are left alone."""
-    words = F.filter(F.split(t, "(?U)\\s+"), lambda w: w != "")
     lowered = F.transform(
         F.filter(F.split(F.regexp_replace(t, "(?U)[.!?,]\\s*$", ""), "(?U)\\s+"), lambda w: w != ""),
         lambda w: F.when(w.rlike("^\\p{Lu}[\\p{Ll}\\p{M}'’-]*$"), lower_first(w)).otherwise(w),
     )
-    due = (F.size(words) < limit) & ~F.contains(t, F.lit("\n")) & t.rlike("[\\p{L}\\p{N}]")
+    due = _under(t, limit) & ~F.contains(t, F.lit("\n")) & t.rlike("[\\p{L}\\p{N}]")
     return F.when(due, F.array_join(lowered, " ")).otherwise(t)
 
 
@@ -213,9 +220,8 @@ def keepcaps(t: Column, expressions: list[str], limit: int = 3) -> Column:
     their capitals; those are marked by a leading \\x03.  A final dot that was not forced goes."""
     folded = sorted({unicodedata.normalize("NFD", e).encode("ascii", "ignore").decode().lower() for e in expressions})
     bare = fold_accents(F.regexp_replace(t, "(?U)[.!?,\\x02]+\\s*$", ""))
-    words = F.filter(F.split(t, "(?U)\\s+"), lambda w: w != "")
     first = F.coalesce(F.get(F.split(bare, "(?U)\\s+"), 0), F.lit(""))
-    hit = bare.isin(*folded) | ((F.size(words) < limit) & first.isin(*folded))
+    hit = bare.isin(*folded) | (_under(t, limit) & first.isin(*folded))
     kept = F.concat(F.lit(KEEPCAPS), F.regexp_replace(t, "\\.$", ""))
     return F.when(hit & ~F.contains(t, F.lit("\n")), kept).otherwise(short_text(t, limit))
 

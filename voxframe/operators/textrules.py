@@ -30,9 +30,24 @@ class Rule:
     guard: str | None = None
 
 
+_BEGINS_WORD = re.compile(r"\\b(?:\(\?:([^()\[\]]*)\)(?![?*{])|(\w)(?![?*{]))")
+
+
+def _letters_first(pattern: str) -> str:
+    """A pattern that begins with a word boundary and one of some letters, with the letters asked for first.
+
+    Whether a place is a boundary is dear to say, and with Unicode classes on it would be asked at every place of a text.
+    """
+    m = _BEGINS_WORD.match(pattern)
+    if not m:
+        return pattern
+    begins = [re.match(r"(\\d|\w)(?![?*{])", part) for part in (m[1] or m[2]).split("|")]
+    return f"(?=[{''.join(dict.fromkeys(b[1] for b in begins))}]){pattern}" if all(begins) else pattern
+
+
 def to_java(pattern: str, flags: str = "") -> str:
     """A Python pattern for Java: Unicode classes on, flags in front."""
-    return "(?U" + "".join(f for f in flags if f in "im") + ")" + pattern.replace("(?P<", "(?<")
+    return "(?U" + "".join(f for f in flags if f in "im") + ")" + _letters_first(pattern).replace("(?P<", "(?<")
 
 
 def to_java_replacement(text: str) -> str:
@@ -206,7 +221,7 @@ COMMANDS = [
     *_commands("pt", {"nova linha": "\n", "novo parágrafo": "\n\n", "ponto e vírgula": "; ", "dois pontos": ": "}),
     *_commands("uk", {"новий рядок": "\n", "новий абзац": "\n\n", "крапка з комою": "; "}),
 ]
-REPEATED_WORDS = [Rule(r"\b(\w+)(?:\s+\1\b)+", r"\1", family="repeats")]
+REPEATED_WORDS = [Rule(r"\b(\w++)(?:\s+\1\b)+", r"\1", family="repeats")]
 PUNCTUATION = [
     Rule(r",{2,}", ",", family="punctuation", guard=r"[,;:!?.]{2}"),
     Rule(r"\.{4,}", "...", family="punctuation", guard=r"[,;:!?.]{2}"),
@@ -215,16 +230,17 @@ PUNCTUATION = [
     Rule(r"[,;:]+([.!?])", r"\1", family="punctuation", guard=r"[,;:!?.]{2}"),
 ]
 SPACING = [
-    Rule(r"[ \t]+", " ", family="spacing"),
+    Rule(r"[ \t]{2,}|\t", " ", family="spacing"),
     Rule(r" ([,.])", r"\1", family="spacing"),
-    Rule(r" *\n *", "\n", family="spacing"),
+    Rule(r" +\n *|\n +", "\n", family="spacing"),
     Rule(r"\n{3,}", "\n\n", family="spacing"),
 ]
+_MEASURED = r"\d\s*(?:percent|pour ?cent|prozent|por ciento|per cento|euros?|dollars?|degrees|degrés|grad|grados)\b"
 SYMBOLS = [
-    Rule(r"(\d)\s*(?:percent|pour ?cent|prozent|por ciento|per cento)\b", r"\1 %", family="symbols", guard=r"\d"),
-    Rule(r"(\d)\s*(?:euros?)\b", r"\1 €", family="symbols", guard=r"\d"),
-    Rule(r"(\d)\s*(?:dollars?)\b", r"\1 $", family="symbols", guard=r"\d"),
-    Rule(r"(\d)\s+(?:degrees|degrés|grad|grados)\b", r"\1°", family="symbols", guard=r"\d"),
+    Rule(r"(\d)\s*(?:percent|pour ?cent|prozent|por ciento|per cento)\b", r"\1 %", family="symbols", guard=_MEASURED),
+    Rule(r"(\d)\s*(?:euros?)\b", r"\1 €", family="symbols", guard=_MEASURED),
+    Rule(r"(\d)\s*(?:dollars?)\b", r"\1 $", family="symbols", guard=_MEASURED),
+    Rule(r"(\d)\s+(?:degrees|degrés|grad|grados)\b", r"\1°", family="symbols", guard=_MEASURED),
 ]
 # French words whose h blocks elision, as dictionaries mark them.
 ASPIRATED = (
@@ -333,7 +349,7 @@ TYPOGRAPHY_FR = [
     Rule(r'"([^"\n]+)"', f"«{NBSP}\\1{NBSP}»", "fr", "typography", "", None),
     Rule(r"«[ \t\u00a0\u202f]*", f"«{NBSP}", "fr", "typography", "", None),
     Rule(r"[ \t\u00a0\u202f]*»", f"{NBSP}»", "fr", "typography", "", None),
-    Rule(r"(?<=[^\s;!?])[ \t\u00a0\u202f]*([;!?])", f"{NNBSP}\\1", "fr", "typography", "", None),
+    Rule(r"(?=[ \t\u00a0\u202f;!?])(?<=[^\s;!?])[ \t\u00a0\u202f]*([;!?])", f"{NNBSP}\\1", "fr", "typography", "", None),
     Rule(r"(?<=\S)[ \t ]*:", f"{NBSP}:", "fr", "typography", "", None),
 ]
 # The words of 0 to 10, with their variants after a slash.
@@ -412,7 +428,7 @@ CONTINUING = {
 def fix_continuation(t: Column, words: Sequence[str]) -> Column:
     """A dot after a word that goes on is taken out and the letter after it lowered: "of. The" becomes "of the"."""
     some = "|".join(sorted(map(re.escape, words), key=len, reverse=True))
-    parts = F.split(t, f"(?iU)(?<=\\b(?:{some}))(?:\\.{{1,3}}|…)\\s+(?=\\p{{L}})", -1)
+    parts = F.split(t, f"(?iU)(?=[.…])(?<=\\b(?:{some}))(?:\\.{{1,3}}|…)\\s+(?=\\p{{L}})", -1)
     lowered = F.transform(
         parts, lambda p, i: F.when(i > 0, F.concat(F.lower(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p)
     )
