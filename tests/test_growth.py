@@ -60,3 +60,48 @@ def test_text_steps_that_read_less_give_the_same(spark):
     for lang, wrong in (("en", share > 0.5), ("uk", share < 0.2)):
         want = F.when(F.coalesce(wrong, F.lit(False)), "").otherwise(t)
         assert df.where(want != reject_wrong_script(t, F.lit(lang))).count() == 0
+
+
+def _tables(spark):
+    """Tokens of some media, with marks, blanks, punctuation and rows without text."""
+    import random
+
+    rng = random.Random(3)
+    parts = ["▁the", "▁The", "a", "b.", "?", ",", "'", "-", " ", "▁", "", "▁ ", " x", "\n", ",\n", "..", None, "▁é", "Σ"]
+    rows = [(m, p, rng.choice(parts), None if rng.random() < 0.1 else p + 0.0, p + 0.5) for m in range(40) for p in range(rng.choice([1, 2, 7, 30]))]
+    return spark.createDataFrame(rows, "media_id long, pos int, text string, start double, end double"), rows
+
+
+def _both_ways(spark, make, df, order):
+    """What an operator gives over rows dealt anew and over rows that stand in order, in batches of three rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        dealt = sorted(map(tuple, make(df.repartition(3), False).collect()), key=str)
+        placed = make(df.coalesce(1).sortWithinPartitions("media_id", order), True)
+        assert dealt == sorted(map(tuple, placed.collect()), key=str)
+        return dealt
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ctc_spans_hold_no_medium(spark):
+    import random
+
+    from voxframe import catalog
+    from voxframe.operators import sequence
+
+    rng = random.Random(4)
+    rows = [(m, f, rng.choice([0, 0, 1, 1, 2])) for m in range(60) for f in range(rng.choice([1, 2, 3, 5, 40]))]
+    df = spark.createDataFrame(rows, "media_id long, frame int, id int")
+    want = []
+    for m in range(60):
+        ids = [r[2] for r in rows if r[0] == m]
+        heads = [k for k in range(len(ids)) if not k or ids[k] != ids[k - 1]]
+        speaks = [k for k in heads if ids[k]]
+        for k in speaks:
+            after = [h for h in heads if h > k][:1]
+            end = len(ids) if k == speaks[-1] else after[0] if ids[after[0]] else k
+            want.append((m, k, ids[k], k * 0.01, end * 0.01))
+    assert _both_ways(spark, lambda x, p: sequence.ctc_spans(x, 0, placed=p), df, "frame") == sorted(want, key=str)
+    plan = catalog.QUERIES["ctc_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan

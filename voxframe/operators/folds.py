@@ -107,8 +107,15 @@ def event_ms(at: str):
     return F.ceil(F.col(at).cast("timestamp").cast("double") * 1000).cast("long")
 
 
-def fold_in_order(df: DataFrame, keys: list[str], order: list[str], fold: Fold, at: str | None = None) -> DataFrame:
-    """What a fold gives over the rows of each key by ``order``.  at: a timestamp column, where the fold knows gaps.
+def in_place(df: DataFrame, keys: list[str], order: list[str], placed: bool) -> DataFrame:
+    """The rows of each key together and in order.  placed: they already are, as those exploded from one row of a key are;
+    then they are neither dealt out nor sorted, and a task's memory does not grow with its rows."""
+    return df if placed else df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def fold_in_order(df: DataFrame, keys: list[str], order: list[str], fold: Fold, at: str | None = None, placed: bool = False) -> DataFrame:
+    """What a fold gives over the rows of each key by ``order``.  at: a timestamp column, where the fold knows gaps;
+    placed: see ``in_place``.
 
     Keys are not null.  Without ``at`` a key never begins anew.  One task holds one key's memory and one batch of rows at a time.
     """
@@ -135,4 +142,4 @@ def fold_in_order(df: DataFrame, keys: list[str], order: list[str], fold: Fold,
         if key is not None:
             yield as_frame(fold, fold.end(key, memory))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, fold.columns)
+    return in_place(rows, keys, order, placed).mapInPandas(run, fold.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.operators.folds import Fold, fold_in_order
+from voxframe.operators.runs import joined_runs, token_runs, unlike_before
 
 ENDS_SENTENCE = "[.?!]"
 PUNCTUATION = "^[!-/:-@\\[-`{-~]+$"
@@ -26,28 +27,11 @@ def ctc_collapse(ids: DataFrame, blank: int) -> DataFrame:
     ).drop("_before")
 
 
-def ctc_spans(ids: DataFrame, blank: int, hop: int = 160, rate: int = 16000, stride: int = 1) -> DataFrame:
+def ctc_spans(ids: DataFrame, blank: int, hop: int = 160, rate: int = 16000, stride: int = 1, placed: bool = False) -> DataFrame:
     """Collapsed tokens with times.  A token ends where a different token follows at once, else where it starts; the
-    last token ends with the frames."""
-    w = _by("frame")
-    marked = ids.withColumn("_new", (F.coalesce(F.lag("id").over(w), F.lit(-1)) != F.col("id")).cast("int"))
-    marked = marked.withColumn("_run", F.sum("_new").over(w)).withColumn(
-        "_frames", F.max("frame").over(Window.partitionBy("media_id")) + 1
-    )
-    runs = marked.groupBy("media_id", "_run").agg(
-        F.first("id").alias("id"), F.min("frame").alias("frame"), F.max("_frames").alias("_frames")
-    )
-    w = _by("_run")
-    runs = runs.withColumn("_next_id", F.lead("id").over(w)).withColumn("_next_frame", F.lead("frame").over(w))
-    kept = runs.where(F.col("id") != blank)
-    last = F.lead("_run").over(w).isNull()
-    end = (
-        F.when(last, F.col("_frames"))
-        .when(F.col("_next_id") != blank, F.col("_next_frame"))
-        .otherwise(F.col("frame"))
-    )
+    last token ends with the frames.  placed: see ``folds.in_place``."""
     scale = hop * stride / rate
-    return kept.withColumn("_end", end).select(
+    return token_runs(ids, blank, placed).select(
         "media_id", "frame", "id", (F.col("frame") * scale).alias("start"), (F.col("_end") * scale).alias("end")
     )
 
@@ -93,56 +77,39 @@ def digit_spacing(tokens: DataFrame) -> DataFrame:
     return spaced.groupBy("media_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("text"))
 
 
-def words_from_tokens(tokens: DataFrame) -> DataFrame:
+def words_from_tokens(tokens: DataFrame, placed: bool = False) -> DataFrame:
     """Words (media_id, word_no, text, start, end) from tokens (media_id, pos, text, start, end).
 
     A word begins at the medium's first token, at a word mark or space, and at pure punctuation other than apostrophe
-    and hyphen.  Tokens of white space only end a word and are dropped.
+    and hyphen.  Tokens of white space only end a word and are dropped.  placed: see ``folds.in_place``.
     """
-    w = _by("pos")
-    blank = F.col("text").rlike("^[\\s▁]*$")
-    opens = F.col("text").rlike("^[▁ ]") | (F.col("text").rlike(PUNCTUATION) & ~F.col("text").isin("'", "-"))
-    flagged = tokens.withColumn("_blank", blank).withColumn(
-        "_new", opens | F.lag("pos").over(w).isNull() | F.coalesce(F.lag("_blank").over(w), F.lit(False))
-    )
-    grouped = flagged.withColumn("word_no", F.sum(F.col("_new").cast("long")).over(w)).where(~F.col("_blank"))
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), "")
-    return grouped.groupBy("media_id", "word_no").agg(
-        F.trim(F.regexp_replace(texts, "▁", " ")).alias("text"),
-        F.min("start").alias("start"),
-        F.max(F.struct("pos", "end"))["end"].alias("end"),
-    )
+    t = F.col("text")
+    marked = t.startswith("▁") | t.startswith(" ")
+    # What begins with a sign above all blanks and below the mark is not blank
+    blank = F.when((t <= " ") | marked, t.rlike("^[\\s▁]*$")).otherwise(t.isNull() & F.lit(None))
+    opens = marked | (t.rlike(PUNCTUATION) & ~t.isin("'", "-"))
+    words = joined_runs(tokens, "pos", opens, blank, ~blank, 1, "word_no", placed)
+    return words.withColumn("text", F.trim(F.replace("text", F.lit("▁"), F.lit(" "))))
 
 
-def drop_repeated(words: DataFrame, order: str = "word_no") -> DataFrame:
-    """Words without those that repeat the one before, whatever their case."""
-    before = F.lag(F.lower("text")).over(_by(order))
-    return words.withColumn("_before", before).where(
-        F.col("_before").isNull() | (F.col("_before") != F.lower("text"))
-    ).drop("_before")
+def drop_repeated(words: DataFrame, order: str = "word_no", placed: bool = False) -> DataFrame:
+    """Words without those that repeat the one before, whatever their case.  placed: see ``folds.in_place``."""
+    return unlike_before(words, order, F.lower("text"), placed)
 
 
-def sentence_text(words: Column) -> Column:
-    """Words joined by a space, but none before a single closing mark."""
-    joined = F.transform(
-        words, lambda w: F.when(w.rlike("^[.,!?;:)]$"), w).otherwise(F.concat(F.lit(" "), w))
-    )
-    return F.ltrim(F.array_join(joined, ""))
+def sentence_word(word: Column) -> Column:
+    """A word as it stands in a sentence: behind a space, but a single closing mark behind none."""
+    return F.when(word.isin(*".,!?;:)"), word).otherwise(F.concat(F.lit(" "), word))
 
 
-def sentences_from_words(words: DataFrame, order: str = "word_no") -> DataFrame:
-    """Sentences (media_id, sentence_no, text, start, end): a word that contains . ? or ! closes one."""
-    w = _by(order)
-    closes = F.col("text").rlike(ENDS_SENTENCE).cast("long")
-    grouped = words.withColumn("_closes", closes).withColumn(
-        "sentence_no", F.sum(F.coalesce(F.lag("_closes").over(w), F.lit(0))).over(w)
-    )
-    texts = F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda t: t["text"])
-    return grouped.groupBy("media_id", "sentence_no").agg(
-        sentence_text(texts).alias("text"),
-        F.min("start").alias("start"),
-        F.max(F.struct(order, "end"))["end"].alias("end"),
-    )
+def sentences_from_words(words: DataFrame, order: str = "word_no", placed: bool = False) -> DataFrame:
+    """Sentences (media_id, sentence_no, text, start, end): a word that contains . ? or ! closes one.  placed: see
+    ``folds.in_place``."""
+    t = F.col("text")
+    closes = t.contains(".") | t.contains("?") | t.contains("!")
+    rows = words.withColumns({"_closes": closes, "text": sentence_word(t)})
+    found = joined_runs(rows, order, F.lit(False), F.col("_closes"), F.lit(True), 0, "sentence_no", placed)
+    return found.withColumn("text", F.ltrim("text"))
 
 
 def speaker_turns(segments: DataFrame, glue: str = " ") -> DataFrame:
