@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import json
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -102,6 +103,12 @@ _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 _SPECIAL = re.compile(r"<(?!unk>)[^<>]*>|\[(?:CLS|SEP|PAD|BOS|EOS)\]")
 
 
+@lru_cache(1 << 16)
+def _piece_bytes(piece: str) -> bytes:
+    byte = _BYTE.fullmatch(piece)
+    return bytes([int(byte[1], 16)]) if byte else b"" if _SPECIAL.fullmatch(piece) else piece.replace("▁", " ").encode()
+
+
 class ProgressiveText(Fold):
     """(media_id, pos, text, start, end) of tokens (media_id, pos, piece, start, end): what each adds to the text so far.
 
@@ -118,10 +125,8 @@ class ProgressiveText(Fold):
         state, first = memory
         decoder, out = codecs.getincrementaldecoder("utf-8")("replace"), []
         decoder.setstate(state)
-        for pos, piece, start, end in zip(*(frame[c] for c in ("pos", "piece", "start", "end")), strict=True):
-            byte = _BYTE.fullmatch(piece)
-            data = bytes([int(byte[1], 16)]) if byte else b"" if _SPECIAL.fullmatch(piece) else piece.replace("▁", " ").encode()
-            text = decoder.decode(data)
+        for pos, piece, start, end in zip(*(frame[c].tolist() for c in ("pos", "piece", "start", "end")), strict=True):
+            text = decoder.decode(_piece_bytes(piece))
             if first and text:
                 text, first = text.removeprefix(" "), False
             if text:
@@ -129,7 +134,8 @@ class ProgressiveText(Fold):
         return (decoder.getstate(), first), out
 
 
-def progressive_text(tokens: DataFrame) -> DataFrame:
-    """See ProgressiveText; one pass over the sorted tokens of a medium, not a prefix for each of them."""
+def progressive_text(tokens: DataFrame, placed: bool = False) -> DataFrame:
+    """See ProgressiveText; one pass over the sorted tokens of a medium, not a prefix for each of them.  placed: see
+    ``folds.in_place``."""
     rows = tokens.selectExpr("media_id", "pos", "piece", "cast(start AS double) AS start", "cast(end AS double) AS end")
-    return fold_in_order(rows, ["media_id"], ["pos"], ProgressiveText())
+    return fold_in_order(rows, ["media_id"], ["pos"], ProgressiveText(), placed=placed)
