@@ -105,3 +105,26 @@ def test_ctc_spans_hold_no_medium(spark):
     assert _both_ways(spark, lambda x, p: sequence.ctc_spans(x, 0, placed=p), df, "frame") == sorted(want, key=str)
     plan = catalog.QUERIES["ctc_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "Exchange" not in plan
+
+
+def test_words_in_lists_are_those_of_rows(spark):
+    from voxframe import catalog
+    from voxframe.operators import sequence
+
+    tokens, rows = _tables(spark)
+    lists = [(m, [r[2:] for r in rows if r[0] == m]) for m in sorted({r[0] for r in rows})]
+    lists = spark.createDataFrame([*lists, (98, []), (99, None)], "media_id long, rows array<struct<text string, start double, end double>>")
+
+    def listed(df):
+        return sorted(map(tuple, df.selectExpr("media_id", "inline(rows)").collect()), key=str)
+
+    words = _both_ways(spark, lambda x, p: sequence.words_from_tokens(x, placed=p), tokens, "pos")
+    assert words[:1] and listed(sequence.words_in_lists(lists)) == words
+    frame = spark.createDataFrame(words, "media_id long, word_no long, text string, start double, end double")
+    once = _both_ways(spark, lambda x, p: sequence.drop_repeated(x, placed=p), frame, "word_no")
+    assert len(once) < len(words) and listed(sequence.repeats_in_lists(sequence.words_in_lists(lists))) == once
+    sentences = _both_ways(spark, lambda x, p: sequence.sentences_from_words(x, placed=p), frame, "word_no")
+    assert listed(sequence.sentences_in_lists(sequence.words_in_lists(lists))) == sentences
+    for name in ("word_group", "repeated_words_dropped", "sentence_group"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "Exchange" not in plan

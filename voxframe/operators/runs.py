@@ -5,19 +5,21 @@ Rows come as Arrow batches; what is carried from batch to batch is the run that
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from voxframe.operators.folds import in_place
 
 #: Rows of a medium meet by this key.
 KEY = "media_id"
+#: Of an array of texts: which ones have a property; what becomes of them.
+Test = Change = Callable[[pa.Array], pa.Array]
 
 
 def changes(values: pa.Array, before: pa.Array | None) -> np.ndarray:
@@ -30,6 +32,10 @@ def changes(values: pa.Array, before: pa.Array | None) -> np.ndarray:
     return differ if known else np.r_[True, differ]
 
 
+def _true(flags: pa.Array) -> np.ndarray:
+    return pc.fill_null(flags, False).to_numpy(zero_copy_only=False)
+
+
 def _flag(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
@@ -145,3 +151,59 @@ def token_runs(ids: DataFrame, blank: int, placed: bool) -> DataFrame:
             yield made(held, [frame + 1], True)[0]
 
     return in_place(ids.select(KEY, "frame", "id"), [KEY], ["frame"], placed).mapInArrow(run, schema)
+
+
+def joined_lists(lists: DataFrame, opens: Test, closes: Test, kept: Test, before: Change, after: Change, first: int, number: str) -> DataFrame:
+    """``joined_runs`` where each row holds a whole medium: (media_id, rows), rows a list of (text, start, end) in order.
+
+    What it gives is of that form too, with the number first.  ``opens``, ``closes`` and ``kept`` say of an array of texts
+    which ones do; null counts as no.  ``before`` changes texts before they are joined, ``after`` the joined ones.  Lists go
+    to Python whole: a row of its own for each of their elements costs more than the work on it.
+    """
+    names = [number, "text", "start", "end"]
+    made = StructType([StructField(number, LongType()), StructField("text", StringType()), StructField("start", DoubleType()), StructField("end", DoubleType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("rows")
+            rows = held.flatten()
+            texts, begin, end = (rows.field(c) for c in ("text", "start", "end"))
+            medium = np.repeat(np.arange(len(held)), pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False))
+            found, owners = [pa.array([], t) for t in (pa.int64(), pa.string(), pa.float64(), pa.float64())], medium[:0]
+            if len(medium):
+                other = np.r_[True, medium[1:] != medium[:-1]]
+                counted = np.cumsum(other | _true(opens(texts)) | np.r_[False, _true(closes(texts))[:-1]])
+                numbers = counted - (counted[np.flatnonzero(other)] - 1)[np.cumsum(other) - 1] + (first - 1)
+                stay = np.flatnonzero(_true(kept(texts)))
+                medium, numbers = medium[stay], numbers[stay]
+                texts, begin, end = (x.take(pa.array(stay)) for x in (pc.fill_null(before(texts), ""), begin, end))
+            if len(medium):
+                at = np.flatnonzero(np.r_[True, (medium[1:] != medium[:-1]) | (numbers[1:] != numbers[:-1])])
+                ends = np.r_[at[1:], len(medium)]
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[at, len(medium)], pa.int32()), texts), "")
+                start = np.fmin.reduceat(pc.cast(begin, pa.float64()).to_numpy(zero_copy_only=False), at)
+                found = [pa.array(numbers[at]), after(joined), pa.array(start, from_pandas=True), pc.cast(end, pa.float64()).take(pa.array(ends - 1))]
+                owners = medium[at]
+            offsets = np.r_[0, np.cumsum(np.bincount(owners, minlength=len(held)))]
+            yield pa.RecordBatch.from_arrays([batch.column(KEY), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(found, names))], [KEY, "rows"])
+
+    return lists.select(KEY, "rows").mapInArrow(run, StructType([lists.schema[KEY], StructField("rows", ArrayType(made))]))
+
+
+def unlike_in_lists(lists: DataFrame) -> DataFrame:
+    """``unlike_before`` for lists that hold a whole medium: without rows whose text is that of the row before, whatever case."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("rows")
+            rows = held.flatten()
+            lengths = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
+            medium = np.repeat(np.arange(len(held)), lengths)
+            texts = rows.field("text").dictionary_encode()
+            low = pa.array([None if t is None else t.lower() for t in texts.dictionary.to_pylist()], pa.string()).take(texts.indices)
+            stay = np.r_[True, (medium[1:] != medium[:-1])][: len(medium)] | changes(low, None)[: len(medium)]
+            kept = rows.take(pa.array(np.flatnonzero(stay)))
+            offsets = np.r_[0, np.cumsum(np.bincount(medium[stay], minlength=len(held)))]
+            yield pa.RecordBatch.from_arrays([batch.column(KEY), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), kept)], [KEY, "rows"])
+
+    return lists.select(KEY, "rows").mapInArrow(run, lists.select(KEY, "rows").schema)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.operators.folds import Fold, fold_in_order
-from voxframe.operators.runs import joined_runs, token_runs, unlike_before
+from voxframe.operators.runs import joined_lists, joined_runs, token_runs, unlike_before, unlike_in_lists
 
 ENDS_SENTENCE = "[.?!]"
 PUNCTUATION = "^[!-/:-@\\[-`{-~]+$"
@@ -77,6 +79,68 @@ def digit_spacing(tokens: DataFrame) -> DataFrame:
     return spaced.groupBy("media_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("text"))
 
 
+def _marked(t: Column) -> Column:
+    return t.startswith("▁") | t.startswith(" ")
+
+
+def _blank(t: Column) -> Column:
+    """Whether a token is white space or marks; null without text.  What begins with a sign above all blanks is not."""
+    return F.when((t <= " ") | _marked(t), t.rlike("^[\\s▁]*$")).otherwise(t.isNull() & F.lit(None))
+
+
+def _opens_word(t: Column) -> Column:
+    return _marked(t) | (t.rlike(PUNCTUATION) & ~t.isin("'", "-"))
+
+
+def _word_text(t: Column) -> Column:
+    return F.trim(F.replace(t, F.lit("▁"), F.lit(" ")))
+
+
+def _closes_sentence(t: Column) -> Column:
+    return t.contains(".") | t.contains("?") | t.contains("!")
+
+
+#: PUNCTUATION and blanks as patterns of Arrow: the end may have a line end before it, as in the patterns of columns.
+_PUNCTUATION_ARROW = "^[!-/:-@\\[-`{-~]+(?:\\r\\n|[\\n\\r\\x{85}\\x{2028}\\x{2029}])?\\z"
+_BLANK_ARROW = "^[ \\t\\n\\x0b\\f\\r▁]*[\\x{85}\\x{2028}\\x{2029}]?\\z"
+
+
+def words_in_lists(tokens: DataFrame) -> DataFrame:
+    """``words_from_tokens`` where each row holds a whole medium: (media_id, rows), rows a list of (text, start, end) in order.
+    Rows of the result are lists of (word_no, text, start, end)."""
+
+    def blank(t: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(t, _BLANK_ARROW)
+
+    def opens(t: pa.Array) -> pa.Array:
+        mark = pc.and_not(pc.match_substring_regex(t, _PUNCTUATION_ARROW), pc.is_in(t, pa.array(["'", "-"])))
+        return pc.or_(mark, pc.or_(pc.starts_with(t, "▁"), pc.starts_with(t, " ")))
+
+    def shown(t: pa.Array) -> pa.Array:
+        return pc.utf8_trim(pc.replace_substring(t, "▁", " "), " ")
+
+    return joined_lists(tokens, opens, blank, lambda t: pc.invert(blank(t)), lambda t: t, shown, 1, "word_no")
+
+
+def repeats_in_lists(words: DataFrame) -> DataFrame:
+    """``drop_repeated`` for such lists: their words without those that repeat the one before."""
+    return unlike_in_lists(words)
+
+
+def sentences_in_lists(words: DataFrame) -> DataFrame:
+    """``sentences_from_words`` for such lists; rows of the result are lists of (sentence_no, text, start, end)."""
+
+    def spaced(t: pa.Array) -> pa.Array:
+        return pc.if_else(pc.is_in(t, pa.array(list(".,!?;:)"))), t, pc.binary_join_element_wise(" ", t, ""))
+
+    def always(t: pa.Array) -> pa.Array:
+        return pc.is_in(pa.nulls(len(t), pa.string()), pa.array([None], pa.string()))
+
+    return joined_lists(
+        words, lambda t: pc.invert(always(t)), lambda t: pc.match_substring_regex(t, ENDS_SENTENCE), always, spaced, lambda t: pc.utf8_ltrim(t, " "), 0, "sentence_no"
+    )
+
+
 def words_from_tokens(tokens: DataFrame, placed: bool = False) -> DataFrame:
     """Words (media_id, word_no, text, start, end) from tokens (media_id, pos, text, start, end).
 
@@ -84,12 +148,8 @@ def words_from_tokens(tokens: DataFrame, placed: bool = False) -> DataFrame:
     and hyphen.  Tokens of white space only end a word and are dropped.  placed: see ``folds.in_place``.
     """
     t = F.col("text")
-    marked = t.startswith("▁") | t.startswith(" ")
-    # What begins with a sign above all blanks and below the mark is not blank
-    blank = F.when((t <= " ") | marked, t.rlike("^[\\s▁]*$")).otherwise(t.isNull() & F.lit(None))
-    opens = marked | (t.rlike(PUNCTUATION) & ~t.isin("'", "-"))
-    words = joined_runs(tokens, "pos", opens, blank, ~blank, 1, "word_no", placed)
-    return words.withColumn("text", F.trim(F.replace("text", F.lit("▁"), F.lit(" "))))
+    words = joined_runs(tokens, "pos", _opens_word(t), _blank(t), ~_blank(t), 1, "word_no", placed)
+    return words.withColumn("text", _word_text(t))
 
 
 def drop_repeated(words: DataFrame, order: str = "word_no", placed: bool = False) -> DataFrame:
@@ -106,7 +166,7 @@ def sentences_from_words(words: DataFrame, order: str = "word_no", placed: bool
     """Sentences (media_id, sentence_no, text, start, end): a word that contains . ? or ! closes one.  placed: see
     ``folds.in_place``."""
     t = F.col("text")
-    closes = t.contains(".") | t.contains("?") | t.contains("!")
+    closes = _closes_sentence(t)
     rows = words.withColumns({"_closes": closes, "text": sentence_word(t)})
     found = joined_runs(rows, order, F.lit(False), F.col("_closes"), F.lit(True), 0, "sentence_no", placed)
     return found.withColumn("text", F.ltrim("text"))
