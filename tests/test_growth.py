@@ -128,3 +128,17 @@ def test_words_in_lists_are_those_of_rows(spark):
     for name in ("word_group", "repeated_words_dropped", "sentence_group"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Sort" not in plan and "Exchange" not in plan
+
+
+def test_contractions_are_tried_on_texts_that_have_them(spark):
+    from dataclasses import replace
+
+    from voxframe.operators import textrules as tr
+
+    texts = ["in dem Haus", "IN DEM", "In\ndem", "zu der, zu das", "Bei  dem indem", "de el Perro", "a el perro DE EL", "em o em  A", "di il su LO", "por aquilo", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for lang, rules in (("de", tr.GERMAN), ("it", tr.ITALIAN), ("pt", tr.PORTUGUESE), ("es", tr.SPANISH)):
+        assert all(r.guard for r in rules if r.family.startswith("contractions"))
+        bare = [replace(r, guard=None) if r.family.startswith("contractions") else r for r in rules]
+        rows = df.select(tr.rewritten(F.col("text"), F.lit(lang), rules).alias("a"), tr.rewritten(F.col("text"), F.lit(lang), bare).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -188,6 +188,16 @@ def contraction(first: str, second: str, joined: str, lang: str, ahead: str = ""
     return out
 
 
+_TWO_WORDS = re.compile(r"\\b(\w+)\\s\+(\w+)\\b")
+
+
+def guarded_contractions(rules: Sequence[Rule]) -> list[Rule]:
+    """Contractions of a language with one guard: texts without any of the first words before any of the second are left."""
+    pairs = [_TWO_WORDS.match(r.pattern).groups() for r in rules]
+    firsts, seconds = ("|".join(dict.fromkeys(words)) for words in zip(*pairs, strict=True))
+    return [replace(r, guard=rf"\b(?:{firsts})\s+(?:{seconds})\b") for r in rules]
+
+
 #: Our own small rule set, in the order in which it runs.
 ANNOTATIONS = [
     Rule(r"\[[^\]\n]*\]", "", family="annotations", guard=r"[\[(*]"),
@@ -230,9 +240,9 @@ PUNCTUATION = [
     Rule(r"[,;:]+([.!?])", r"\1", family="punctuation", guard=r"[,;:!?.]{2}"),
 ]
 SPACING = [
-    Rule(r"[ \t]{2,}|\t", " ", family="spacing"),
+    Rule(r"[ \t](?:[ \t]+|(?<=\t))", " ", family="spacing"),
     Rule(r" ([,.])", r"\1", family="spacing"),
-    Rule(r" +\n *|\n +", "\n", family="spacing"),
+    Rule(r"(?=[ \n])(?: +\n *|\n +)", "\n", family="spacing"),
     Rule(r"\n{3,}", "\n\n", family="spacing"),
 ]
 _MEASURED = r"\d\s*(?:percent|pour ?cent|prozent|por ciento|per cento|euros?|dollars?|degrees|degrés|grad|grados)\b"
@@ -279,7 +289,7 @@ ELISION_IT = [
     for word, short in _ELIDED_IT
     for kind in ("Lu", "Ll")
 ]
-ITALIAN = [
+ITALIAN = guarded_contractions([
     r
     for a, rows in {
         "di": {"il": "del", "lo": "dello", "la": "della", "i": "dei", "gli": "degli", "le": "delle"},
@@ -290,18 +300,17 @@ ITALIAN = [
     }.items()
     for b, joined in rows.items()
     for r in contraction(a, b, joined, "it")
-]
+])
 #: Spanish question words.
 ASKING_ES = ("qué", "quién", "quiénes", "cómo", "cuándo", "dónde", "por qué", "cuál", "cuáles", "cuánto", "cuánta", "cuántos", "cuántas")
 SPANISH = [
-    *contraction("a", "el", "al", "es", r"(?!\s+\p{Lu})"),
-    *contraction("de", "el", "del", "es", r"(?!\s+\p{Lu})"),
+    *guarded_contractions([*contraction("a", "el", "al", "es", r"(?!\s+\p{Lu})"), *contraction("de", "el", "del", "es", r"(?!\s+\p{Lu})")]),
     Rule(rf"(^|(?<=[\s,;]))((?:{'|'.join(ASKING_ES)})\b[^?]*\?)", r"\1¿\2", "es", "spanish-questions", "i", r"\?"),
     # What is called out is marked as a whole first, with or without its mark, so that no later part of it is marked again
     Rule(r"(^|(?<=[.!?\n]\s))([^!]*!)", rf"{_JOINED}\2", "es", "spanish-calls", "", "!"),
     Rule(rf"{_JOINED}(?:¡|\s*(?!¡))", "¡", "es", "spanish-calls", "", "!"),
 ]
-PORTUGUESE = [
+PORTUGUESE = guarded_contractions([
     r
     for a, rows in {
         # The contractions of the written language
@@ -320,16 +329,16 @@ PORTUGUESE = [
     }.items()
     for b, joined in rows.items()
     for r in contraction(a, b, joined, "pt")
-]
+])
 GERMAN = [
-    *[
+    *guarded_contractions([
         r
         for a, b, j in (
             ("in", "dem", "im"), ("an", "dem", "am"), ("zu", "dem", "zum"), ("zu", "der", "zur"), ("bei", "dem", "beim"),
             ("von", "dem", "vom"), ("in", "das", "ins"), ("an", "das", "ans"), ("auf", "das", "aufs"),
         )
         for r in contraction(a, b, j, "de")
-    ],
+    ]),
     Rule(r'"([^"\n]+)"', r"„\1“", "de", "quotes", "", '"'),
 ]
 DUTCH = [
