@@ -142,3 +142,17 @@ def test_contractions_are_tried_on_texts_that_have_them(spark):
         bare = [replace(r, guard=None) if r.family.startswith("contractions") else r for r in rules]
         rows = df.select(tr.rewritten(F.col("text"), F.lit(lang), rules).alias("a"), tr.rewritten(F.col("text"), F.lit(lang), bare).alias("b")).collect()
         assert [r.a for r in rows] == [r.b for r in rows]
+
+
+def test_long_runs_in_a_text_need_no_stack(spark):
+    from voxframe.functions.text import _under
+    from voxframe.operators import textrules as tr
+
+    smiles = "Die " + "\U0001d552a" * 20_000
+    cases = {"Anfang " + "und " * 20_000 + "Ende.": ("de", "Anfang und Ende."), "x" + " Der DER\n" * 9000: ("de", "x Der"), "que A" + smiles[4:]: ("fr", "qu'a" + smiles[4:])}
+    df = spark.createDataFrame([(t, lang) for t, (lang, _) in cases.items()], "text string, lang string")
+    rules = [*tr.REPEATED_WORDS, *tr.ELISION_FR]
+    got = {r.text: r.made.strip() for r in df.select("text", tr.rewritten(F.col("text"), F.col("lang"), rules).alias("made")).collect()}
+    assert got == {t: want for t, (_, want) in cases.items()}
+    assert [r.text.rstrip("\n") for r in tr.TextChain().apply(df).where("lang = 'de'").orderBy("text").collect()] == ["Anfang und Ende.", "x der"]
+    assert df.where(_under(F.col("text"), 15_000)).count() == 1

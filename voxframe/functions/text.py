@@ -201,7 +201,7 @@ def reset_context(t: Column) -> Column:
 
 def _under(t: Column, limit: int) -> Column:
     """Whether a text has fewer words than ``limit``: no more of it is read than so many words."""
-    return ~t.rlike(f"(?U)^\\s*+\\S++(?:\\s++\\S++){{{limit - 1}}}") if limit > 0 else F.lit(False)
+    return ~t.rlike(f"(?U)^\\s*+\\S++(?:\\s++\\S++){{{limit - 1}}}+") if limit > 0 else F.lit(False)
 
 
 def short_text(t: Column, limit: int = 3) -> Column:

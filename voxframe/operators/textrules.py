@@ -231,7 +231,8 @@ COMMANDS = [
     *_commands("pt", {"nova linha": "\n", "novo parágrafo": "\n\n", "ponto e vírgula": "; ", "dois pontos": ": "}),
     *_commands("uk", {"новий рядок": "\n", "новий абзац": "\n\n", "крапка з комою": "; "}),
 ]
-REPEATED_WORDS = [Rule(r"\b(\w++)(?:\s+\1\b)+", r"\1", family="repeats")]
+# Possessive: Java matches any other repeated group by recursion, and so many repeats of a word overflow the stack of a task
+REPEATED_WORDS = [Rule(r"\b(\w++)(?:\s+\1\b)++", r"\1", family="repeats")]
 PUNCTUATION = [
     Rule(r",{2,}", ",", family="punctuation", guard=r"[,;:!?.]{2}"),
     Rule(r"\.{4,}", "...", family="punctuation", guard=r"[,;:!?.]{2}"),
@@ -274,7 +275,7 @@ ELISION_FR = [
     ],
     # A capitalised word is lowered as it is joined; others, of one letter or with more capitals, stay
     *[
-        Rule(rf"{_JOINED}{c.upper()}(?=(?:(?!\p{{Lu}})\w)+\b)", c, "fr", "elision-capitals", "", _JOINED)
+        Rule(rf"{_JOINED}{c.upper()}(?=(?:(?!\p{{Lu}})\w)++\b)", c, "fr", "elision-capitals", "", _JOINED)
         for c in _VOWELS_FR
     ],
     Rule(_JOINED, "", "fr", "elision-capitals", "", _JOINED),
