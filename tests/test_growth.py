@@ -156,3 +156,38 @@ def test_long_runs_in_a_text_need_no_stack(spark):
     assert got == {t: want for t, (_, want) in cases.items()}
     assert [r.text.rstrip("\n") for r in tr.TextChain().apply(df).where("lang = 'de'").orderBy("text").collect()] == ["Anfang und Ende.", "x der"]
     assert df.where(_under(F.col("text"), 15_000)).count() == 1
+
+
+def test_strings_looked_for_first_change_nothing(spark):
+    from dataclasses import replace
+
+    from voxframe import catalog
+    from voxframe.functions.text import capitalise
+    from voxframe.operators import textrules as tr
+
+    texts = [
+        "the THE tHe", "lİnux LINUX lınux Linux", "full ſtop. NEW LİNE new line", "trois poınt deux", "IN DEM in dem In dem", "A el De el DE EL a el", "A a o De a o DE A o",
+        "que Elle ; « a » : \"b\"... !", "a  b \t c\n d \n\n\n\n ,e .f", "[a] (b) *c* [", "σας ΣΑΣ", " \t\n", "a \n", "x\n\r", "x  ", "\x03a\x1fb", "це the", "", None,
+    ]
+    df = spark.createDataFrame([(t, lang) for t in texts for lang in ("en", "fr", "de", "es", "it", "pt")], "text string, lang string")
+    entries = [*tr.cased_variants("linux", "the"), *tr.cased_variants("the", "die"), *tr.cased_variants("σας", "x")]
+    rules = [*tr.FIRST_RULES, *tr.LANGUAGE_PACKS, *tr.TYPOGRAPHY_FR, *tr.VERSIONS, *entries]
+    assert sum(bool(r.holds or r.says) for r in rules) > 60
+    for some in (tr.FIRST_RULES, tr.LANGUAGE_PACKS, [*tr.TYPOGRAPHY_FR, *tr.VERSIONS], entries):
+        bare = [replace(r, holds=(), says=(), guard=None) for r in some]
+        rows = df.select(tr.rewritten(F.col("text"), F.col("lang"), some).alias("a"), tr.rewritten(F.col("text"), F.col("lang"), bare).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows]
+    ends = df.select(tr._trimmed(F.col("text")).alias("a"), F.regexp_replace("text", "^[ \\t]+|[ \\t]+$", "").alias("b"), tr._without_newline(F.col("text")).alias("c"), F.regexp_replace("text", "\\n$", "").alias("d")).collect()
+    assert [(r.a, r.c) for r in ends] == [(r.b, r.d) for r in ends]
+    assert df.where("text IS NULL").select(capitalise(F.col("text")).alias("t")).where("t IS NOT NULL").count() == 0
+    plan = plan_of(catalog.QUERIES["text_chain"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("^[ \\t]+|[ \\t]+$") == 1 and plan.lower().count("contains(") > 60
+
+
+def test_many_dictionary_words(spark):
+    from voxframe.operators import textrules as tr
+
+    chain = tr.TextChain(dictionary={"*": {f"w{k}x": f"Y{k}" for k in range(50)}})
+    df = spark.createDataFrame([("some w7x and W49X here.", "en")], "text string, lang string")
+    assert chain.apply(df).first().text == "Some Y7 and Y49 here."
+    assert chain.trace(df).first().trace[-1].after == "Some Y7 and Y49 here."

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from voxframe.functions.binding import bound
 
 NBSP, NNBSP, FORCED_END, KEEPCAPS, RESET = " ", " ", "\x02", "\x03", "\x04"
+#: Named one by one: Java looks those up in one table, ranges one after the other.
+_SCRUBBED = "[" + "".join(f"\\x{c:02x}" for c in (0, 3, *range(5, 9), *range(0x0B, 0x20))) + "]"
 _CONTROLS = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 
 #: Marker words of each language, counted as written with their blanks, in order of preference.
@@ -51,7 +53,7 @@ def strip_controls(t: Column) -> Column:
 def scrub(t: Column) -> Column:
     """Control characters go, but for \\x01, \\x02, \\x04, tab and newline; \\x03 stays as the first character only."""
     head = F.when(t.startswith(KEEPCAPS), F.lit(KEEPCAPS)).otherwise(F.lit(""))
-    return F.concat(head, F.regexp_replace(t, "[\\x00\\x03\\x05-\\x08\\x0b-\\x1f]", ""))
+    return F.concat(head, F.regexp_replace(t, _SCRUBBED, ""))
 
 
 def typing_text(t: Column) -> Column:
@@ -74,7 +76,7 @@ def cyrillic_share(t: Column) -> Column:
 def reject_wrong_script(t: Column, lang: Column) -> Column:
     """Empty text where the script does not fit the language: over half Cyrillic in a Latin one, under a fifth in a
     Cyrillic one; texts without letters stay."""
-    cyr = F.length(F.regexp_replace(t, "[[^\\u0400-\\u04FF]\\P{L}]+", ""))
+    cyr = F.when(F.octet_length(t) == F.length(t), 0).otherwise(F.length(F.regexp_replace(t, "[[^\\u0400-\\u04FF]\\P{L}]+", "")))
     slavic = lang.isin("uk", "ru", "bg", "sr")
 
     def wrong(n: Column) -> Column:
@@ -177,10 +179,13 @@ def capitalise(t: Column) -> Column:
     """
     cut = "\x1e\x1f"
     marked = F.regexp_replace(t, "(?U)([.!?…])\\x02?(\\s+)(?=[a-zà-ÿ])", f"$1$2{cut}")
-    marked = F.regexp_replace(marked, "(?U)(\\n\\s*)(?=[a-zà-ÿ])", f"$1{cut}")
+
+    def lines(m: Column) -> Column:
+        return F.when(F.contains(m, F.lit("\n")), F.regexp_replace(m, "(?U)(\\n\\s*)(?=[a-zà-ÿ])", f"$1{cut}")).otherwise(m)
+
+    parts = bound(bound(marked, lines), lambda m: F.when(F.contains(m, F.lit(cut)), F.split(m, cut, -1)).when(m.isNotNull(), F.array(m)))
     raised = F.transform(
-        F.split(marked, cut, -1),
-        lambda p: F.when(p.rlike("^\\p{Ll}"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p),
+        parts, lambda p: F.when(p.rlike("^\\p{Ll}"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p)
     )
     return F.array_join(raised, "")
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import cache, reduce
+from itertools import groupby
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +23,11 @@ from voxframe.functions.text import NBSP, NNBSP, capitalise, keepcaps, reject_wr
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern (Python syntax) and replacement for a language ("*": all), in a family that shares a guard."""
+    """A pattern (Python syntax) and replacement for a language ("*": all), in a family that shares a guard.
+
+    ``holds`` (as written) and ``says`` (in any case) are plain strings: texts with none of them are left alone, before any
+    pattern is tried.  Looking for a string costs a small part of what a pattern does.
+    """
 
     pattern: str
     replacement: str
@@ -28,6 +35,34 @@ class Rule:
     family: str = "rules"
     flags: str = "i"
     guard: str | None = None
+    holds: tuple[str, ...] = ()
+    says: tuple[str, ...] = ()
+
+
+def _one_letter(made: str, c: str) -> str:
+    return made if len(made) == 1 else c
+
+
+@cache
+def _other_cases() -> dict[str, str]:
+    """For a small letter, the characters that a pattern in any case takes for it, though their small letter is another."""
+    found: dict[str, str] = {}
+    for c in map(chr, range(0x80, 0x10000)):
+        small = "i" if c == "İ" else _one_letter(_one_letter(c.upper(), c).lower(), c)
+        if small != c.lower():
+            found[small] = found.get(small, "") + c
+    return found
+
+
+def _has(t: Column, parts: Sequence[str]) -> Column:
+    return reduce(or_, (F.contains(t, F.lit(p)) for p in parts))
+
+
+def _said(t: Column, parts: Sequence[str]) -> Column:
+    """Whether a text may hold one of some strings in any case."""
+    small = sorted({p.lower() for p in parts})
+    odd = sorted({o for p in small for c in p for o in _other_cases().get(c, "")})
+    return reduce(or_, [bound(F.lower(t), lambda low: _has(low, small)), *([_has(t, odd)] if odd else [])])
 
 
 _BEGINS_WORD = re.compile(r"\\b(?:\(\?:([^()\[\]]*)\)(?![?*{])|(\w)(?![?*{]))")
@@ -110,14 +145,21 @@ def rules_from_rows(rows: DataFrame, suffixes: dict[str, str] | None = None) ->
     return found
 
 
+#: Each group of rules with tests of its own is a lambda in another's argument, and the analyzer resolves one a round.
+_MOST_GROUPS = 20
+
+
 def _families(rules: Sequence[Rule]) -> list[list[Rule]]:
-    """Neighbouring rules of one language, family and guard."""
+    """Neighbouring rules of one language and family with the same tests; very many groups of a family are one, without the
+    tests that only save time."""
+
+    def grouped(some: Sequence[Rule], key) -> list[list[Rule]]:
+        return [list(g) for _, g in groupby(some, key)]
+
     out: list[list[Rule]] = []
-    for rule in rules:
-        if out and (out[-1][0].lang, out[-1][0].family, out[-1][0].guard) == (rule.lang, rule.family, rule.guard):
-            out[-1].append(rule)
-        else:
-            out.append([rule])
+    for family in grouped(rules, lambda r: (r.lang, r.family, r.guard)):
+        parts = grouped(family, lambda r: (r.holds, r.says))
+        out += parts if len(parts) <= _MOST_GROUPS else [[replace(r, holds=(), says=()) for r in family]]
     return out
 
 
@@ -140,7 +182,12 @@ def rewritten(t: Column, lang: Column, rules: Sequence[Rule]) -> Column:
         out, head = x, family[0]
         for rule in family:
             out = F.regexp_replace(out, F.lit(to_java(rule.pattern, rule.flags)), F.lit(to_java_replacement(rule.replacement)))
-        return F.when(x.rlike(to_java(head.guard, head.flags)), out).otherwise(x) if head.guard else out
+        tests = [_has(x, head.holds)] if head.holds else []
+        if head.says:
+            tests.append(_said(x, head.says))
+        if head.guard:
+            tests.append(x.rlike(to_java(head.guard, head.flags)))
+        return F.when(reduce(and_, tests), out).otherwise(x) if tests else out
 
     def choose(by_lang: dict[str, list[list[Rule]]]):
         def run(x: Column) -> Column:
@@ -169,13 +216,18 @@ def rewrite(df: DataFrame, rules: Sequence[Rule], text: str = "text", lang: str
     return df.withColumn(text, rewritten(F.col(text), F.col(lang), rules))
 
 
+#: Strings whose small letters are known without what stands around them; a text's Greek ones are not.
+_LATIN = re.compile("[\x00-\u024f]+")
+
+
 def cased_variants(word: str, replacement: str, lang: str = "*", family: str = "dictionary") -> list[Rule]:
     """Whole-word rules that carry case over: UPPER to UPPER, Capital to Capital, else as written."""
     upper, first, rest = re.escape(word.upper()), re.escape(word[:1].upper()), re.escape(word[1:])
     small = re.escape(word[:1].lower())
-    rules = [Rule(rf"\b{upper}\b", replacement.upper(), lang, family, "")] if len(word) > 1 else []
-    rules.append(Rule(rf"\b{first}(?i:{rest})\b", replacement[:1].upper() + replacement[1:], lang, family, ""))
-    rules.append(Rule(rf"\b{small}(?i:{rest})\b", replacement, lang, family, ""))
+    says = (word,) if _LATIN.fullmatch(word) else ()
+    rules = [Rule(rf"\b{upper}\b", replacement.upper(), lang, family, "", holds=(word.upper(),))] if len(word) > 1 else []
+    rules.append(Rule(rf"\b{first}(?i:{rest})\b", replacement[:1].upper() + replacement[1:], lang, family, "", says=says))
+    rules.append(Rule(rf"\b{small}(?i:{rest})\b", replacement, lang, family, "", says=says))
     return rules
 
 
@@ -192,17 +244,29 @@ _TWO_WORDS = re.compile(r"\\b(\w+)\\s\+(\w+)\\b")
 
 
 def guarded_contractions(rules: Sequence[Rule]) -> list[Rule]:
-    """Contractions of a language with one guard: texts without any of the first words before any of the second are left."""
+    """Contractions of a language, those in capitals first, then those with a capital, each kind with one guard: texts
+    without any of the first words before any of the second are left.
+
+    Rules of different kinds change different words, and can change places unless a second word is a first one as well.
+    """
     pairs = [_TWO_WORDS.match(r.pattern).groups() for r in rules]
-    firsts, seconds = ("|".join(dict.fromkeys(words)) for words in zip(*pairs, strict=True))
-    return [replace(r, guard=rf"\b(?:{firsts})\s+(?:{seconds})\b") for r in rules]
+    mixed = {a.lower() for a, _ in pairs} & {b.lower() for _, b in pairs}
+    kinds: dict[int, list] = {}
+    for rule, (a, b) in zip(rules, pairs, strict=True):
+        kinds.setdefault(3 if mixed else 0 if b.isupper() else 1 if a[0].isupper() else 2, []).append((rule, a, b))
+    out = []
+    for kind, some in sorted(kinds.items()):
+        firsts, seconds = (tuple(dict.fromkeys(x[k] for x in some)) for k in (1, 2))
+        guard = rf"\b(?:{'|'.join(firsts)})\s+(?:{'|'.join(seconds)})\b"
+        out += [replace(rule, guard=guard, holds=() if kind else seconds) for rule, _, _ in some]
+    return out
 
 
 #: Our own small rule set, in the order in which it runs.
 ANNOTATIONS = [
-    Rule(r"\[[^\]\n]*\]", "", family="annotations", guard=r"[\[(*]"),
-    Rule(r"\([^)\n]*\)", "", family="annotations", guard=r"[\[(*]"),
-    Rule(r"\*[^*\n]+\*", "", family="annotations", guard=r"[\[(*]"),
+    Rule(r"\[[^\]\n]*\]", "", family="annotations", holds=("[", "(", "*")),
+    Rule(r"\([^)\n]*\)", "", family="annotations", holds=("[", "(", "*")),
+    Rule(r"\*[^*\n]+\*", "", family="annotations", holds=("[", "(", "*")),
 ]
 HESITATIONS = [
     Rule(r"\b(?:uh+|um+|hmm+)\b[,.]?\s*", "", "en", "hesitations"),
@@ -216,8 +280,9 @@ HESITATIONS = [
 
 def _commands(lang: str, table: dict[str, str]) -> list[Rule]:
     alternatives = "|".join(sorted(map(re.escape, table), key=len, reverse=True))
+    says = tuple(table) if all(map(_LATIN.fullmatch, table)) else ()
     return [
-        Rule(rf"\s*\b{re.escape(said)}\b[.,]?[ \t]*", text, lang, f"commands-{lang}", "i", rf"\b(?:{alternatives})\b")
+        Rule(rf"\s*\b{re.escape(said)}\b[.,]?[ \t]*", text, lang, f"commands-{lang}", "i", rf"\b(?:{alternatives})\b", says=says)
         for said, text in sorted(table.items(), key=lambda x: -len(x[0]))
     ]
 
@@ -241,10 +306,10 @@ PUNCTUATION = [
     Rule(r"[,;:]+([.!?])", r"\1", family="punctuation", guard=r"[,;:!?.]{2}"),
 ]
 SPACING = [
-    Rule(r"[ \t](?:[ \t]+|(?<=\t))", " ", family="spacing"),
-    Rule(r" ([,.])", r"\1", family="spacing"),
-    Rule(r"(?=[ \n])(?: +\n *|\n +)", "\n", family="spacing"),
-    Rule(r"\n{3,}", "\n\n", family="spacing"),
+    Rule(r"[ \t](?:[ \t]+|(?<=\t))", " ", family="spacing", holds=("  ", "\t")),
+    Rule(r" ([,.])", r"\1", family="spacing", holds=(" ,", " .")),
+    Rule(r"(?=[ \n])(?: +\n *|\n +)", "\n", family="spacing", holds=(" \n", "\n ")),
+    Rule(r"\n{3,}", "\n\n", family="spacing", holds=("\n\n\n",)),
 ]
 _MEASURED = r"\d\s*(?:percent|pour ?cent|prozent|por ciento|per cento|euros?|dollars?|degrees|degrés|grad|grados)\b"
 SYMBOLS = [
@@ -275,10 +340,10 @@ ELISION_FR = [
     ],
     # A capitalised word is lowered as it is joined; others, of one letter or with more capitals, stay
     *[
-        Rule(rf"{_JOINED}{c.upper()}(?=(?:(?!\p{{Lu}})\w)++\b)", c, "fr", "elision-capitals", "", _JOINED)
+        Rule(rf"{_JOINED}{c.upper()}(?=(?:(?!\p{{Lu}})\w)++\b)", c, "fr", "elision-capitals", "", holds=(_JOINED + c.upper(),))
         for c in _VOWELS_FR
     ],
-    Rule(_JOINED, "", "fr", "elision-capitals", "", _JOINED),
+    Rule(_JOINED, "", "fr", "elision-capitals", "", holds=(_JOINED,)),
 ]
 #: Italian words that lose their vowel before another, and what is left of them.
 _ELIDED_IT = (
@@ -355,12 +420,12 @@ ROMANIAN = [
     Rule(r'"([^"\n]+)"', r"„\1“", "ro", "quotes", "", '"'),
 ]
 TYPOGRAPHY_FR = [
-    Rule(r"\.{3,}", "…", "fr", "typography"),
-    Rule(r'"([^"\n]+)"', f"«{NBSP}\\1{NBSP}»", "fr", "typography", "", None),
-    Rule(r"«[ \t\u00a0\u202f]*", f"«{NBSP}", "fr", "typography", "", None),
-    Rule(r"[ \t\u00a0\u202f]*»", f"{NBSP}»", "fr", "typography", "", None),
-    Rule(r"(?=[ \t\u00a0\u202f;!?])(?<=[^\s;!?])[ \t\u00a0\u202f]*([;!?])", f"{NNBSP}\\1", "fr", "typography", "", None),
-    Rule(r"(?<=\S)[ \t ]*:", f"{NBSP}:", "fr", "typography", "", None),
+    Rule(r"\.{3,}", "…", "fr", "typography", holds=("...",)),
+    Rule(r'"([^"\n]+)"', f"«{NBSP}\\1{NBSP}»", "fr", "typography", "", holds=('"',)),
+    Rule(r"«[ \t\u00a0\u202f]*", f"«{NBSP}", "fr", "typography", "", holds=("«",)),
+    Rule(r"[ \t\u00a0\u202f]*»", f"{NBSP}»", "fr", "typography", "", holds=("»",)),
+    Rule(r"(?=[ \t\u00a0\u202f;!?])(?<=[^\s;!?])[ \t\u00a0\u202f]*([;!?])", f"{NNBSP}\\1", "fr", "typography", "", holds=(";", "!", "?")),
+    Rule(r"(?<=\S)[ \t ]*:", f"{NBSP}:", "fr", "typography", "", holds=(":",)),
 ]
 # The words of 0 to 10, with their variants after a slash.
 _DIGITS = {
@@ -381,7 +446,7 @@ def _versions(lang: str) -> list[Rule]:
     guard = rf"\b(?:{any_})\s+{point}\s+(?:{any_})\b"
 
     def rule(pattern: str, made: str) -> Rule:
-        return Rule(pattern, made, lang, f"versions-{lang}", "i", guard)
+        return Rule(pattern, made, lang, f"versions-{lang}", "i", guard, says=(point,))
 
     return [
         *[rule(rf"\b(?:{word})(?=\s+{point}\s+(?:{any_})\b)", str(n)) for n, word in enumerate(words)],
@@ -438,13 +503,31 @@ CONTINUING = {
 def fix_continuation(t: Column, words: Sequence[str]) -> Column:
     """A dot after a word that goes on is taken out and the letter after it lowered: "of. The" becomes "of the"."""
     some = "|".join(sorted(map(re.escape, words), key=len, reverse=True))
-    parts = F.split(t, f"(?iU)(?=[.…])(?<=\\b(?:{some}))(?:\\.{{1,3}}|…)\\s+(?=\\p{{L}})", -1)
+    parts = F.split(t, f"(?iU)(?=(?-i:[.…]))(?<=\\b(?:{some}))(?:\\.{{1,3}}|…)\\s+(?=\\p{{L}})", -1)
     lowered = F.transform(
         parts, lambda p, i: F.when(i > 0, F.concat(F.lower(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p)
     )
     return F.array_join(lowered, " ")
 
 
+def _ends_with_any(t: Column, chars: str) -> Column:
+    return reduce(or_, (t.endswith(c) for c in chars))
+
+
+#: What may stand after the place that $ matches.
+_LINE_ENDS = "\n\r\x85\u2028\u2029"
+
+
+def _trimmed(t: Column) -> Column:
+    """Without blanks and tabs at both ends and before a last line's end; only the ends of a text tell whether it has some."""
+    edges = t.startswith(" ") | t.startswith("\t") | _ends_with_any(t, " \t" + _LINE_ENDS)
+    return F.when(edges, F.regexp_replace(t, "^[ \\t]+|[ \\t]+$", "")).otherwise(t)
+
+
+def _without_newline(t: Column) -> Column:
+    return F.when(_ends_with_any(t, _LINE_ENDS), F.regexp_replace(t, "\\n$", "")).otherwise(t)
+
+
 @dataclass
 class TextChain:
     """The text steps in order; ``steps`` gives (label, column function of text and language)."""
@@ -470,7 +553,7 @@ class TextChain:
             return keepcaps(t, list(g.keep), g.short_limit) if g.keep else short_text(t, g.short_limit)
 
         table = [
-            (g.rules, "rules", lambda t, lang: F.regexp_replace(rewritten(t, lang, FIRST_RULES), "^[ \\t]+|[ \\t]+$", "")),
+            (g.rules, "rules", lambda t, lang: bound(rewritten(t, lang, FIRST_RULES), _trimmed)),
             (g.script, "script", reject_wrong_script),
             (g.continuation, "continuation", continuing),
             (g.language, "language", by(LANGUAGE_PACKS)),
@@ -488,19 +571,16 @@ class TextChain:
     def apply(self, df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
         """The frame with the text rewritten; one final newline is taken off first, and blank texts stay as they are."""
 
-        def chained(steps: list):
-            def run(t: Column) -> Column:
-                out = t
-                for _, step in steps:
-                    out = bound(out, lambda x, step=step: step(x, F.col(lang)))
-                return F.when(t.rlike("(?U)\\S"), out).otherwise(t)
-
-            return run
-
-        first = F.regexp_replace(F.col(text), "\\n$", "")
-        for k, (python, steps) in enumerate(self._runs()):
-            now = first if k == 0 else F.col(text)
-            df = df.withColumn(text, digits(now, F.col(lang)) if python else bound(now, chained(steps)))
+        df = df.withColumn(text, _without_newline(F.col(text)))
+        for python, steps in self._runs():
+            if python:
+                df = df.withColumn(text, digits(F.col(text), F.col(lang)))
+                continue
+            # A column for each step: they become one expression, but each is resolved alone, without what stands below it
+            df = df.withColumn("_whole", F.col(text))
+            for _, step in steps:
+                df = df.withColumn(text, bound(F.col(text), lambda x, step=step: step(x, F.col(lang))))
+            df = df.withColumn(text, F.when(F.col("_whole").rlike("(?U)\\S"), F.col(text)).otherwise(F.col("_whole"))).drop("_whole")
         return df
 
     def _runs(self) -> list:
@@ -517,14 +597,15 @@ class TextChain:
         """The frame with ``trace``: label, text before and after of every step.  Each step runs once: the texts so far are
         one array that a step adds to."""
         steps = self.steps()
-        held = F.array(F.regexp_replace(F.col(text), "\\n$", ""))
+        df = df.withColumn("_held", F.array(_without_newline(F.col(text))))
         for python, part in self._runs():
             if python:
-                df = df.withColumn("_held", held).withColumn("_digits", digits(F.element_at("_held", -1), F.col(lang)))
-                held = F.concat("_held", F.array("_digits"))
+                df = df.withColumn("_digits", digits(F.element_at("_held", -1), F.col(lang)))
+                df = df.withColumn("_held", F.concat("_held", F.array("_digits")))
                 continue
             for _, step in part:
-                held = bound(held, lambda a, step=step: F.concat(a, F.array(bound(F.element_at(a, -1), lambda x: step(x, F.col(lang))))))
+                added = bound(F.col("_held"), lambda a, step=step: F.concat(a, F.array(bound(F.element_at(a, -1), lambda x: step(x, F.col(lang))))))
+                df = df.withColumn("_held", added)
 
         def shown(t: Column) -> Column:
             t = F.replace(t, F.lit("\\"), F.lit("\\\\"))
@@ -538,4 +619,4 @@ class TextChain:
                 ]
             )
 
-        return df.withColumn("trace", bound(held, rows)).drop("_held", "_digits")
+        return df.withColumn("trace", bound(F.col("_held"), rows)).drop("_held", "_digits")
